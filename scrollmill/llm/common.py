@@ -76,3 +76,31 @@ def hot_values(df: DataFrame, column: str, counts: str, per: int = 1000) -> Data
     """Of a table (column, counts), the values with over 1/per of all rows: under `per` values, so safe to broadcast."""
     total = df.agg(F.sum(counts)).first()[0] or 0
     return df.filter(F.col(counts) * per > F.lit(total)).select(column)
+
+
+def with_text_columns(df: DataFrame, text: str | list[str], added: str, make) -> DataFrame:
+    """Add columns (DDL in `added`) computed from a text column (or several), in Arrow batches.
+
+    `make()` runs once in each task and gives a function from a list of texts (None for null)
+    for each column to one list or array per added column. Input columns of the same names are replaced; all
+    others pass through with their exact types.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    new = T.StructType.fromDDL(added) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(added)
+    texts = [text] if isinstance(text, str) else text
+    base = df.drop(*[c for c in new.names if c not in texts])
+    schema = T.StructType([*base.schema.fields, *new.fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = to_arrow_schema(new).types
+        fn = None
+        for batch in batches:
+            fn = fn or make()
+            arrays = [a if isinstance(a, pa.Array) else pa.array(a, kind) for a, kind in zip(fn(*[batch.column(c).to_pylist() for c in texts]), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
+
+    return base.mapInArrow(run, schema)
