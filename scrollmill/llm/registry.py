@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from scrollmill.llm import token_files
+from scrollmill.llm import decontaminate, line_dedup, mixing, simhash, token_files
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op7_simhash": simhash.op7_simhash,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_decontaminate": decontaminate.ORACLE_SQL,
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
+    }
