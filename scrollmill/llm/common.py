@@ -57,7 +57,7 @@ def put_file(uri: str, name: str, write) -> None:
     store.create_dir(path, recursive=True)
     final = str(PurePosixPath(path) / name)
     private = f"{final}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(private) as out:
+    with store.open_output_stream(private, compression=None) as out:
         write(out)
     store.move(private, final)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from scrollmill.llm import decontaminate, line_dedup, mixing, simhash, token_files
+from scrollmill.llm import decontaminate, line_dedup, mixing, simhash, token_files, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op6_warc": warc.op6_warc,
         "op7_simhash": simhash.op7_simhash,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_topk": topk.op9_topk,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
@@ -18,5 +20,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.ORACLE_SQL,
+        "op6_warc": warc.ORACLE_SQL,
+        "op9_topk": topk.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
     }
