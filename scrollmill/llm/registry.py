@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from scrollmill.llm import decontaminate, line_dedup, mixing, simhash, token_files, topk, warc
+from scrollmill.llm import decontaminate, langid, line_dedup, mixing, simhash, token_files, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_language_id": langid.op4_language_id,
         "op6_warc": warc.op6_warc,
         "op7_simhash": simhash.op7_simhash,
         "op8_line_dedup": line_dedup.op8_line_dedup,
