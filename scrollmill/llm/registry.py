@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scrollmill.llm import decontaminate, langid, line_dedup, mixing, simhash, token_files, topk, warc
+from scrollmill.llm import decontaminate, langid, line_dedup, mixing, secrets, simhash, token_files, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op2_secrets": secrets.op2_secrets,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_language_id": langid.op4_language_id,
         "op6_warc": warc.op6_warc,
