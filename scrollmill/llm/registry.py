@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrollmill.llm import decontaminate, langid, line_dedup, mixing, secrets, simhash, token_files, topk, warc
+from scrollmill.llm import decontaminate, langid, line_dedup, mixing, secrets, simhash, token_files, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_secrets": secrets.op2_secrets,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_language_id": langid.op4_language_id,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_warc": warc.op6_warc,
         "op7_simhash": simhash.op7_simhash,
         "op8_line_dedup": line_dedup.op8_line_dedup,
