@@ -53,21 +53,39 @@ class ChunkEncoder:
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.cuttable = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer")
+        #: A byte-level token has one character for each of its bytes.
+        self.n_bytes = np.zeros(self.vocab, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.n_bytes[i] = len(token)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks that follow a space. They are joined to one text, whose ids are cut at the chunks' bytes."""
+        whole = [c for c in chunks if c[-1:].isspace()]
+        self.known.update(zip(whole, self._pack([" " + c for c in whole])))
+        chunks = [c for c in chunks if not c[-1:].isspace()]
+        if not chunks:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.cumsum(np.array([len(c.encode()) for c in chunks]) + 1)
+        at = (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1) * self.dtype.itemsize
+        raw, a = ids.tobytes(), 0
+        for c, b in zip(chunks, at.tolist()):
+            self.known[c] = raw[a:b]
+            a = b
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuttable:
             return self._pack(texts)
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         known = self.known
-        #: An added token's text is taken out before splitting, so such a text stays whole.
+        # An added token's text is taken out before splitting, so such a text stays whole.
         cut = [[t] if any(a in t for a in self.added) else GAP.split(t) for t in texts]
-        new = list({c for chunks in cut for c in chunks[1:] if c not in known})
-        known.update(zip(new, self._pack([" " + c for c in new])))
         heads = self._pack([chunks[0] for chunks in cut])
+        self._learn(list({c for chunks in cut for c in chunks[1:] if c not in known}))
         return [head + b"".join([known[c] for c in chunks[1:]]) for head, chunks in zip(heads, cut)]
 
 
