@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scrollmill.functions.ids import col
 
@@ -75,12 +76,12 @@ def ascii_lower(text) -> Column:
     return F.translate(col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """Case folded and without combining marks, but not NFKC: full-width letters stay."""
 
@@ -123,7 +124,7 @@ def make_snippet(text: str, query: str, size: int = SNIPPET) -> str:
     return ("..." if best else "") + flat[best : best + size].strip() + ("..." if best + size < len(flat) else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def snippet(texts: pd.Series, thinking: pd.Series, queries: pd.Series) -> pd.Series:
     """For top rows only: the snippet of the text, or of the thinking where that holds more terms."""
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scrollmill.functions.ids import col
 
@@ -134,7 +135,7 @@ def safe_media(items) -> Column:
 IMAGE = re.compile(r"!\[([^\]]*)\]\(\s*(?:<([^>\n]*)>|((?:\\.|[^\s()\\])+))(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _images(texts: pd.Series) -> pd.Series:
     def one(m: re.Match) -> str:
         target = re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", m[2] if m[2] is not None else m[3])

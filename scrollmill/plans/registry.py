@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from scrollmill.plans import read_queries, search_queries, testbed  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(testbed.REGISTRY)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(testbed.ORACLES)
