@@ -5,6 +5,7 @@ All times are ISO strings of fixed width, so they compare as text.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,20 @@ def shaped(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in _parse_datatype_string(ddl).fields])
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder that driver and executors share: under the checkpoint folder, or else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, kind: str) -> DataFrame:
+    """Cut lineage with a written table: later steps read it instead of planning and running all before them again."""
+    spark = df.sparkSession
+    path = shared_path(spark, kind)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], ddl)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scrollmill.functions.ids import UNIT, content_hash, conversation_id, message_id, stable_id
 from scrollmill.functions.urls import aliases
-from scrollmill.operators.batch import STORE, Batch, Store, shaped
+from scrollmill.operators.batch import STORE, Batch, Store, cut, shaped
 from scrollmill.operators.windows import keep_first
 
 LISTS = ("upstream_ids", "attachments", "citations", "media")
@@ -143,10 +143,12 @@ def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1
     """
     if scope not in ("full", "partial"):
         raise ValueError("scope is full or partial")
+    batch = Batch(*[cut(getattr(batch, n), "batch") for n in ("conversations", "messages", "evidence", "diagnostics")])
     conversations, incoming, evidence = merge_batch_conversations(batch)
-    resolved = resolve_ids(conversations, store.conversations)
-    doubles = duplicate_ids(conversations, store.conversations, resolved)
-    conversations = conversations.join(resolved, "batch_key")
+    conversations, incoming, evidence = cut(conversations, "incoming"), cut(incoming, "incoming"), cut(evidence, "incoming")
+    resolved = cut(resolve_ids(conversations, store.conversations), "resolved")
+    doubles = cut(duplicate_ids(conversations, store.conversations, resolved), "doubles")
+    conversations = cut(conversations.join(resolved, "batch_key"), "incoming")
     # Two rows of one batch may resolve to one stored id: the later (by conv_key) gives the body.
     target = conversations.select("batch_key", "conversation_id")
     evidence = evidence.withColumn("content_hash", content_hash("content")).withColumn("evidence_id", stable_id("raw", "source_id", "content_hash"))
@@ -158,7 +160,7 @@ def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1
         held = held.withColumn("ord", F.struct(F.lit(0).alias("side"), F.concat(F.col("created_at"), F.lit(UNIT), F.col("message_id")).alias("conv"), F.lit(0).cast("long").alias("at"))).withColumn("evidence_id", F.lit(None).cast("string"))
         fresh = fresh.select("conversation_id", "ord", *cols).unionByName(held.select("conversation_id", "ord", *cols))
         times = store.conversations.select(F.col("id").alias("old_id"), F.col("started_at").alias("s"), F.col("updated_at").alias("u")).join(exact, "old_id").groupBy("conversation_id").agg(F.min("s").alias("s"), F.max("u").alias("u"))
-    merged = merge_messages(fresh.select("conversation_id", "ord", *cols), "conversation_id")
+    merged = cut(merge_messages(fresh.select("conversation_id", "ord", *cols), "conversation_id"), "merged")
     body = conversations.groupBy("conversation_id").agg(F.max_by(F.struct("source_id", "source_label", "upstream_id", "signature", "url", "title", "metadata"), "conv_key").alias("b"), F.min("started_at").alias("started_at"), F.max("updated_at").alias("updated_at"))
     body = body.select("conversation_id", "b.*", "started_at", "updated_at")
     if scope == "partial":
@@ -166,11 +168,11 @@ def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1
     index = (F.row_number().over(Window.partitionBy("conversation_id").orderBy("ord")) - 1).alias("idx")
     names = body.select("conversation_id", F.coalesce(F.nullif("upstream_id", F.lit("")), "title").alias("conv_upstream"))
     messages = merged.withColumn("idx", index).join(names, "conversation_id").withColumn("message_id", message_id())
-    messages = keep_first(messages, ["message_id"], ["idx"])  # equal ids: the first stays
+    messages = cut(shaped(keep_first(messages, ["message_id"], ["idx"]), STORE["messages"]), "messages")  # equal ids: the first stays
     counts = messages.groupBy("conversation_id").agg(F.count("*").alias("message_count"))
     refs = evidence.join(target, "batch_key").groupBy("conversation_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_refs"))
     rows = body.join(counts, "conversation_id", "left").join(refs, "conversation_id", "left").withColumnRenamed("conversation_id", "id")
-    rows = shaped(rows.withColumn("message_count", F.coalesce("message_count", F.lit(0))).withColumn("evidence_refs", F.coalesce("evidence_refs", F.expr("cast(array() as array<string>)"))), STORE["conversations"])
+    rows = cut(shaped(rows.withColumn("message_count", F.coalesce("message_count", F.lit(0))).withColumn("evidence_refs", F.coalesce("evidence_refs", F.expr("cast(array() as array<string>)"))), STORE["conversations"]), "rows")
 
     gone = doubles.select(F.col("duplicate_id").alias("id")).join(rows.select("id"), "id", "left_anti").distinct()
     kept = store.conversations.join(gone, "id", "left_anti")
@@ -180,11 +182,11 @@ def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1
         failed = batch.diagnostics.filter("severity = 'error'").select("source_id").distinct()
         kept = prune_missing(kept, rows.select("id"), sources.join(failed, "source_id", "left_anti"))
         cleared = sources
-    every = upsert(kept, rows, "id")
+    every = cut(upsert(kept, rows, "id"), "conversations")
     left = store.messages.join(every.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
     old_evidence = store.evidence if cleared is None else store.evidence.join(cleared, "source_id", "left_anti")
     new_evidence = shaped(keep_first(evidence, ["evidence_id"], ["uri"]).withColumn("created_at", F.lit(at)), STORE["evidence"]).join(old_evidence.select("evidence_id"), "evidence_id", "left_anti")
-    out = Store(every, upsert(left, shaped(messages, STORE["messages"]), "conversation_id"), old_evidence.unionByName(new_evidence), upsert_diagnostics(store.diagnostics, batch.diagnostics, at, cleared), store.status)
+    out = Store(every, cut(upsert(left, messages, "conversation_id"), "messages"), old_evidence.unionByName(new_evidence), upsert_diagnostics(store.diagnostics, batch.diagnostics, at, cleared), store.status)
     from scrollmill.operators.status import roll_up_status
 
     out.status = roll_up_status(store.status, out, batch, scope, at)

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrollmill import sources as _sources  # noqa: F401
-from scrollmill.operators import export, merge
-from scrollmill.operators.batch import Batch, Store
+from scrollmill.operators.batch import Batch
+from scrollmill.operators.batch import shared_path as scratch
 from scrollmill.plans.testbed import STORE_SQL, query, table, turns
 from scrollmill.sources import base, claude_code, claude_web, codex, copilot, cursor, grok_build, kimi_code, opencode, pi
 
 
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder that driver and executors share: under the checkpoint folder or the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 def js(**fields):
     """A JSON object of columns; nulls are left out."""
     return F.to_json(F.struct(*[(v if not isinstance(v, (str, int, bool)) else F.lit(v)).alias(k) for k, v in fields.items()]))
