@@ -81,16 +81,20 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(StringType())
-def folded(texts: pd.Series) -> pd.Series:
+#: Tokens are runs of letters and digits of folded text.
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+
+
+def fold(text: str) -> str:
     """Case folded and without combining marks, but not NFKC: full-width letters stay."""
+    if text.isascii():
+        return text.lower()
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
-    def fold(t):
-        if t is None or t.isascii():
-            return t and t.lower()
-        return "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
 
-    return texts.map(fold)
+@F.pandas_udf(StringType())
+def folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else fold(t))
 
 
 def query_terms(query: str) -> list[str]:
@@ -98,8 +102,7 @@ def query_terms(query: str) -> list[str]:
 
 
 def tokens(text) -> Column:
-    """Runs of letters and digits of folded text."""
-    return F.regexp_extract_all(folded(col(text)), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    return F.regexp_extract_all(folded(col(text)), F.lit(TOKEN), F.lit(0))
 
 
 def make_snippet(text: str, query: str, size: int = SNIPPET) -> str:

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrollmill.functions.text import ascii_lower, query_terms, search_text, snippet, tokens
+from scrollmill.functions.text import TOKEN, ascii_lower, fold, query_terms, search_text, snippet
 from scrollmill.functions.urls import conversation_uri
+from scrollmill.operators.batch import cut
 from scrollmill.operators.recall import filter_local_day, filter_source
 from scrollmill.operators.windows import top_n
 
@@ -49,16 +50,51 @@ class Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
+ENTRY = "token string, message_id string, col int, tf long, positions array<int>"
+
+
+def index_rows(batches):
+    """Arrow batches of (message_id, title, body) to postings; a row's length is an entry without a token."""
+    import pyarrow as pa
+
+    find = _token_pattern().findall
+    names = ["token", "message_id", "col", "tf", "positions"]
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            token, key, column, tf, positions = [], [], [], [], []
+            for message, *texts in zip(*[c.to_pylist() for c in part.columns]):
+                total = 0
+                for n, text in enumerate(texts):
+                    places: dict[str, list[int]] = {}
+                    for k, t in enumerate(find(fold(text or ""))):
+                        places.setdefault(t, []).append(k)
+                    total += sum(map(len, places.values()))
+                    token += places
+                    positions += places.values()
+                    key += [message] * len(places)
+                    column += [n] * len(places)
+                    tf += map(len, places.values())
+                for values, value in ((token, None), (key, message), (column, None), (tf, total), (positions, None)):
+                    values.append(value)
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((token, key, column, tf, positions), kinds)], names=names)
+
+
+def _token_pattern():
+    import regex
+
+    return regex.compile(TOKEN)
+
+
 def build_index(rows: DataFrame) -> Index:
     """From (message_id, title, text, thinking): one full-text row per message, its title repeated in it.
 
-    Tokens are counted inside each row before anything is exploded, so a row leaves one posting per distinct token.
+    A row's tokens are counted where it lies, so nothing is shuffled; the entries are written once and read by every use.
     """
-    parts = rows.select("message_id", F.array(F.struct(F.lit(0).alias("col"), tokens("title").alias("t")), F.struct(F.lit(1).alias("col"), tokens(search_text()).alias("t"))).alias("cols"))
-    lengths = parts.select("message_id", F.aggregate("cols", F.lit(0), lambda a, c: a + F.size(c["t"])).cast("long").alias("dl"))
-    placed = parts.select("message_id", F.explode("cols").alias("c")).select("message_id", "c.col", F.posexplode("c.t").alias("pos", "token"))
-    postings = placed.groupBy("token", "message_id", "col").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, lengths)
+    flat = rows.select(F.col("message_id").cast("string").alias("message_id"), "title", search_text().alias("body"))
+    entries = cut(flat.mapInArrow(index_rows, ENTRY), "index")
+    return Index(entries.filter("token is not null"), entries.filter("token is null").select("message_id", F.col("tf").alias("dl")))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -66,9 +102,8 @@ def terms_of(queries: DataFrame) -> DataFrame:
     spark = queries.sparkSession
     rows = []
     for r in queries.select("query_id", "query").collect():  # the queries a user asks, not data
-        rows += [(r.query_id, i, term) for i, term in enumerate(query_terms(r.query))]
-    terms = spark.createDataFrame(rows, "query_id long, term_no int, term string")
-    return terms.withColumn("parts", tokens("term"))
+        rows += [(r.query_id, i, term, _token_pattern().findall(fold(term))) for i, term in enumerate(query_terms(r.query))]
+    return spark.createDataFrame(rows, "query_id long, term_no int, term string, parts array<string>")
 
 
 def phrase_hits(index: Index, terms: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scrollmill.functions import variants as V
 from scrollmill.functions.text import is_title, session_title, title_from_text, trimmed
 from scrollmill.functions.times import EPOCH, iso_date
-from scrollmill.operators.batch import DIAGNOSTICS, MESSAGES, Batch, empty, shaped
+from scrollmill.operators.batch import DIAGNOSTICS, MESSAGES, Batch, cut, empty, shaped
 from scrollmill.operators.windows import keep_first
 
 SKIPPED = r"/(node_modules|\.git)/"
@@ -75,6 +75,11 @@ def text_lines(spark: SparkSession, root: str, rule: str = ".*", select: str | N
     return numbered.select("path", "line", "value", "modified")
 
 
+def log_files(spark: SparkSession, root: str, rule: str) -> DataFrame:
+    """(path) of the files under a root, without reading them."""
+    return find_files(spark, root, rule).select("path")
+
+
 def read_jsonl(lines: DataFrame, source_id: str, tail: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Records (path, line, v, uri, modified) and diagnostics from numbered lines.
 
@@ -125,7 +130,12 @@ def json_date(v: Column, fallback=EPOCH) -> Column:
 def dedup(messages: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """The first message of each (role, time, text) in a conversation; the shuffle key is a hash of the text."""
     keyed = messages.withColumn("_h", F.sha2("text", 256))
-    return keep_first(keyed, ["conv_key", *extra, "role", "created_at", "_h"], "ord").drop("_h")
+    return settle(keep_first(keyed, ["conv_key", *extra, "role", "created_at", "_h"], "ord").drop("_h"))
+
+
+def settle(messages: DataFrame) -> DataFrame:
+    """Messages written once: titles, times and empty sessions are found from them without another pass over the logs."""
+    return cut(messages, "messages")
 
 
 def sessions(messages: DataFrame) -> DataFrame:

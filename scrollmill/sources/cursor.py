@@ -54,6 +54,7 @@ def best_transcript(files):
 def read(spark: SparkSession, root: str) -> Batch:
     S.tolerant(spark)
     files, rows = candidates(spark, root)
+    files, rows = S.cut(files, "files"), S.settle(rows)
     best = best_transcript(files)
     counts = files.groupBy().agg(
         (F.count("*") - F.count_distinct("id")).alias("duplicates"),

@@ -97,6 +97,7 @@ def read(spark: SparkSession, root: str, summaries: str | None = None, workspace
     at = F.coalesce(F.nullif(seconds_or_millis("t_number", "t_text", "-"), F.lit("-")), F.col("fallback"))
     role = F.when(F.col("role") == "agent", "assistant").otherwise("user")
     messages = timed.select(F.col("dir").alias("conv_key"), (F.col("line") * 100_000 + F.col("n")).cast("long").alias("ord"), F.concat(F.lit("L"), F.col("line").cast("string"), F.lit("-"), (F.col("n") + 1).cast("string")).alias("upstream_id"), role.alias("role"), at.alias("created_at"), "text", F.when(role == "assistant", F.col("model")).alias("model_id"))
+    messages = S.settle(messages)
     whole, none = S.split_empty(shown.withColumn("conv_key", F.col("dir")), messages, ID, "grok_build_no_messages", "dir")
     done = whole.join(S.sessions(messages), "conv_key").withColumn("upstream_id", F.coalesce(V.string("s", "$.info.id"), F.element_at(F.split("dir", "/"), -1)))
     if workspaces is not None:

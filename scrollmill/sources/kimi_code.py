@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scrollmill.functions import variants as V
-from scrollmill.functions.text import session_title, trimmed
+from scrollmill.functions.text import session_title
 from scrollmill.functions.times import EPOCH
 from scrollmill.operators.batch import Batch
 from scrollmill.sources import base as S
@@ -69,66 +71,80 @@ def replay(events: list[tuple]) -> list[dict]:
 
 def reduce_session(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("line").astype(object).where(frame.sort_values("line").notna(), None)
+    some = []
+    for op, content, origin, *rest in zip(*[frame[c] for c in ("op", "content", "origin", "time", "id", "count", "model")]):
+        text = None
+        if op in ("prompt", "user", "assistant", "part"):
+            content, origin = [json.loads(x) if x else None for x in (content, origin)]
+            text = asked(content, origin) if op in ("prompt", "user") else shown(content)
+        if text != "" and (rest[1] is not None or op not in ("step", "part", "end")):
+            some.append((op, text, *rest))
     rows = []
-    for n, m in enumerate(replay(list(zip(*[frame[c] for c in ("op", "text", "time", "id", "count", "model")])))):
+    for n, m in enumerate(replay(some)):
         text = "\n".join(p.strip() for p in m["parts"] if p.strip()).strip()
         if text:
             rows.append((key[0], n, m["id"], m["role"], m["time"], text, m["model"]))
     return pd.DataFrame(rows, columns=["dir", "ord", "upstream_id", "role", "time", "text", "model_id"])
 
 
-def visible(v) -> Column:
-    """Text parts; images, audio and video as marks."""
-    part = lambda p: F.when(V.string(p, "$.type").isin("image_url", "audio_url", "video_url"), F.concat(F.lit("["), F.regexp_replace(V.string(p, "$.type"), "_url$", ""), F.lit("]"))).when(V.is_object(p) & F.coalesce(V.string(p, "$.type") == "text", F.lit(True)), V.string(p, "$.text"))
-    many = F.array_join(F.filter(F.transform(V.items(v), part), lambda t: t.isNotNull()), "\n")
-    whole = F.when(V.kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(V.kind(v).startswith("ARRAY"), many).otherwise(part(v))
-    return F.nullif(trimmed(whole), F.lit(""))
-
-
-def user_text(content: Column, origin: Column) -> Column:
-    """What the user saw: commands by their names, skills that came along cut, reminders and other origins dropped."""
-    kind = V.string(origin, "$.kind")
-    command = lambda name, args: F.when(name.isNotNull(), trimmed(F.concat(F.lit("/"), name, F.coalesce(F.concat(F.lit(" "), trimmed(args)), F.lit("")))))
-    slash = V.string(origin, "$.trigger") == "user-slash"
-    cut = F.size(V.items(origin, "$.skillActivations"))
-    listed = V.items(content)
-    rest = F.when((F.size(listed) > 0) & (kind == "user") & (cut > 0), F.slice(listed, cut + 1, F.greatest(F.size(listed) - cut, F.lit(0)))).otherwise(listed)
-    part = lambda p: F.when(V.string(p, "$.type").isin("image_url", "audio_url", "video_url"), F.concat(F.lit("["), F.regexp_replace(V.string(p, "$.type"), "_url$", ""), F.lit("]"))).when(V.is_object(p) & F.coalesce(V.string(p, "$.type") == "text", F.lit(True)), V.string(p, "$.text"))
-    many = F.nullif(trimmed(F.array_join(F.filter(F.transform(rest, part), lambda t: t.isNotNull()), "\n")), F.lit(""))
-    text = F.when(F.size(listed) > 0, many).otherwise(visible(content))
-    plain = F.when(~text.rlike(r"(?is)^<system-reminder>.*</system-reminder>$"), text)
-    return (
-        F.when(kind == "skill_activation", F.when(slash, command(V.string(origin, "$.skillName"), V.string(origin, "$.skillArgs"))))
-        .when(kind == "plugin_command", F.when(slash & V.string(origin, "$.pluginId").isNotNull(), command(F.concat(V.string(origin, "$.pluginId"), F.lit(":"), V.string(origin, "$.commandName")), V.string(origin, "$.commandArgs"))))
-        .when(V.is_object(origin) & kind.isNotNull() & (kind != "user"), None)
-        .otherwise(plain)
-    )
+MARKS = {"image_url": "[image]", "audio_url": "[audio]", "video_url": "[video]"}
+
+
+def shown(content) -> str:
+    """Text of a string, a part or an array of parts; media as marks, other kinds dropped."""
+    if isinstance(content, str):
+        return content.strip()
+    texts = []
+    for p in content if isinstance(content, list) else [content]:
+        kind = p.get("type") if isinstance(p, dict) else False
+        if kind in MARKS:
+            texts.append(MARKS[kind])
+        elif kind in (None, "text") and isinstance(p.get("text"), str) and p["text"].strip():
+            texts.append(p["text"])
+    return "\n".join(texts).strip()
+
+
+def asked(content, origin) -> str:
+    """What a user saw: commands by their names, skills that came along cut, reminders and other origins dropped."""
+    origin = origin if isinstance(origin, dict) else {}
+    kind = origin.get("kind")
+    if kind in ("skill_activation", "plugin_command"):
+        keys = ("skillName",) if kind == "skill_activation" else ("pluginId", "commandName")
+        name, rest = [origin.get(k) for k in keys], origin.get("skillArgs" if len(keys) == 1 else "commandArgs")
+        whole = all(isinstance(n, str) and n.strip() for n in name) and origin.get("trigger") == "user-slash"
+        return f"/{':'.join(name)} {rest.strip() if isinstance(rest, str) else ''}".strip() if whole else ""
+    if kind not in (None, "user"):
+        return ""
+    if kind == "user" and isinstance(content, list):
+        content = content[len(origin.get("skillActivations") or []) :]
+    text = shown(content)
+    return "" if re.fullmatch(r"(?is)<system-reminder>.*</system-reminder>", text) else text
 
 
 def events(records):
-    """(dir, line, op, text, time, id, count, model): only what the replay needs."""
-    kind, event = V.string("v", "$.type"), V.string("v", "$.event.type")
-    role = V.string("v", "$.message.role")
-    loop = kind == "context.append_loop_event"
+    """(dir, line, op, content, origin, time, id, count, model): only what the replay needs.
+
+    Content and origin stay JSON text; tool payloads never leave this step.
+    """
+    loop = F.col("kind") == "context.append_loop_event"
     op = (
-        F.when(kind.isin("turn.prompt", "turn.steer"), "prompt")
-        .when((kind == "context.append_message") & role.isin("user", "assistant"), role)
-        .when(loop & (event == "step.begin"), "step")
-        .when(loop & (event == "content.part"), "part")
-        .when(loop & (event == "step.end"), "end")
-        .when(kind == "llm.request", "model")
-        .when(kind == "context.undo", "undo")
-        .when(kind.isin("context.clear", "context.apply_compaction"), "clear")
-    )
-    text = (
-        F.when(op == "prompt", user_text(V.get("v", "$.input"), V.get("v", "$.origin")))
-        .when(op == "user", user_text(V.get("v", "$.message.content"), V.get("v", "$.message.origin")))
-        .when(op == "assistant", visible(V.get("v", "$.message.content")))
-        .when(op == "part", visible(V.get("v", "$.event.part")))
+        F.when(F.col("kind").isin("turn.prompt", "turn.steer"), "prompt")
+        .when((F.col("kind") == "context.append_message") & F.col("said").isin("user", "assistant"), F.col("said"))
+        .when(loop & (F.col("event") == "step.begin"), "step")
+        .when(loop & (F.col("event") == "content.part"), "part")
+        .when(loop & (F.col("event") == "step.end"), "end")
+        .when(F.col("kind") == "llm.request", "model")
+        .when(F.col("kind") == "context.undo", "undo")
+        .when(F.col("kind").isin("context.clear", "context.apply_compaction"), "clear")
     )
-    id_ = F.when(op.isin("step", "end"), V.string("v", "$.event.uuid")).when(op == "part", V.string("v", "$.event.stepUuid")).otherwise(V.string("v", "$.message.id"))
-    rows = records.select(F.regexp_extract("path", DIR, 1).alias("dir"), "line", op.alias("op"), text.alias("text"), F.nullif(S.json_date(V.get("v", "$.time"), F.lit("")), F.lit("")).alias("time"), id_.alias("id"), F.coalesce(V.number("v", "$.count"), F.lit(0.0)).alias("count"), V.string("v", "$.modelAlias", "$.model").alias("model"))
-    return rows.filter("op is not null and not (op in ('prompt', 'user', 'assistant', 'part') and text is null) and not (op in ('step', 'part', 'end') and id is null)")
+    rows = records.select(F.regexp_extract("path", DIR, 1).alias("dir"), "line", "v", V.string("v", "$.type").alias("kind"), V.string("v", "$.event.type").alias("event"), V.string("v", "$.message.role").alias("said"))
+    rows = rows.withColumn("op", op).filter("op is not null")
+    is_ = lambda *ops: F.col("op").isin(*ops)
+    content = F.when(is_("prompt"), V.get("v", "$.input")).when(is_("part"), V.get("v", "$.event.part")).otherwise(V.get("v", "$.message.content"))
+    origin = F.when(is_("prompt"), V.get("v", "$.origin")).when(is_("user"), V.get("v", "$.message.origin"))
+    id_ = F.when(is_("step", "end"), V.string("v", "$.event.uuid")).when(is_("part"), V.string("v", "$.event.stepUuid")).otherwise(V.string("v", "$.message.id"))
+    time = F.nullif(S.json_date(V.get("v", "$.time"), F.lit("")), F.lit(""))
+    return rows.select("dir", "line", "op", F.to_json(content).alias("content"), F.to_json(origin).alias("origin"), time.alias("time"), id_.alias("id"), F.coalesce(V.number("v", "$.count"), F.lit(0.0)).alias("count"), V.string("v", "$.modelAlias", "$.model").alias("model"))
 
 
 @S.register_source(ID, LABEL, "stable", r"/agents/main/wire\.jsonl$")
@@ -145,7 +161,7 @@ def read(spark: SparkSession, root: str, states: str | None = None) -> Batch:
     kept = found.groupBy("dir").applyInPandas(reduce_session, "dir string, ord long, upstream_id string, role string, time string, text string, model_id string")
     objects, unread = S.read_objects(spark, states or root, r"state\.json$|state/.*part-", ID)
     meta = objects.select(session(S.parent("path")).alias("dir"), F.col("v").alias("s"))
-    whole = lines.select(session(F.regexp_extract("path", DIR, 1)).alias("dir")).distinct().join(meta, "dir", "left").withColumn("conv_key", F.col("dir"))
+    whole = S.log_files(spark, root, DIR).select(session(F.regexp_extract("path", DIR, 1)).alias("dir")).distinct().join(meta, "dir", "left").withColumn("conv_key", F.col("dir"))
     created = F.coalesce(F.nullif(S.json_date(V.get("s", "$.createdAt"), F.lit("")), F.lit("")), F.nullif(S.json_date(V.get("s", "$.updatedAt"), F.lit("")), F.lit("")), F.lit(EPOCH))
     messages = S.dedup(kept.join(whole.select("dir", created.alias("fallback")), "dir").select(F.col("dir").alias("conv_key"), "ord", "upstream_id", "role", F.coalesce("time", "fallback").alias("created_at"), "text", "model_id"))
     held, none = S.split_empty(whole, messages, ID, "kimi_code_no_messages", "dir")

@@ -85,7 +85,7 @@ def read(spark: SparkSession, root: str) -> Batch:
     void = lambda p: F.coalesce(V.kind(V.get("v", p)) == "VOID", F.lit(False))
     narrow = entries.select("path", "line", "version", V.string("v", "$.id").alias("id"), V.string("v", "$.parentId").alias("parent"), void("$.parentId").alias("root"), (kind == "leaf").alias("leaf"), V.string("v", "$.targetId").alias("target"), void("$.targetId").alias("target_null"))
     # Only ids and pointers go to the helper; texts join back by line.
-    walked = narrow.groupBy("path").applyInPandas(resolve, "path string, line int, place int, verdict string")
+    walked = S.cut(narrow.groupBy("path").applyInPandas(resolve, "path string, line int, place int, verdict string"), "branches")
     invalid = S.diagnostic(walked.filter("line = 0 and verdict = 'invalid'"), ID, "warning", "pi_session_tree_invalid", "The session's tree is ambiguous or broken; it was skipped.", "path")
     branch = entries.join(walked.filter("line > 0").select("path", "line", "place"), ["path", "line"])
     role = V.string("v", "$.message.role")
@@ -93,6 +93,7 @@ def read(spark: SparkSession, root: str) -> Batch:
     text = visible(V.get("v", "$.message.content"), role == "user")
     at = S.json_date(V.get("v", "$.message.timestamp"), S.json_date(V.get("v", "$.timestamp"), F.coalesce("time", F.lit(S.EPOCH))))
     messages = said.select(F.col("path").alias("conv_key"), F.col("place").cast("long").alias("ord"), F.coalesce(V.string("v", "$.id"), F.concat(F.lit("line-"), F.col("line").cast("string"))).alias("upstream_id"), role.alias("role"), at.alias("created_at"), text.alias("text"), F.when(role == "assistant", V.string("v", "$.message.model")).alias("model_id")).filter("text is not null")
+    messages = S.settle(messages)
     names = records.filter(V.string("v", "$.type") == "session_info").groupBy("path").agg(F.max_by(V.string("v", "$.name"), "line").alias("name"))
     models = branch.groupBy("path").agg(F.max_by(V.string("v", "$.modelId"), F.when(V.string("v", "$.modelId").isNotNull() & (kind == "model_change"), F.col("place"))).alias("current"))
     valid = good.join(walked.filter("line = 0 and verdict = 'invalid'").select("path"), "path", "left_anti").withColumn("conv_key", F.col("path"))
