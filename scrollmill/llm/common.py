@@ -72,10 +72,21 @@ def crc_bucket(c: str, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(n)), F.lit(0))
 
 
-def hot_values(df: DataFrame, column: str, counts: str, per: int = 1000) -> DataFrame:
-    """Of a table (column, counts), the values with over 1/per of all rows: under `per` values, so safe to broadcast."""
-    total = df.agg(F.sum(counts)).first()[0] or 0
-    return df.filter(F.col(counts) * per > F.lit(total)).select(column)
+#: A key with over 1/HOT_PER of all rows is hot; by counting there are fewer than HOT_PER of them.
+HOT_PER, HOT_BYTES = 1000, 10_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, counts: str) -> DataFrame:
+    """Inner join of many rows with one row per key, whose `counts` says how many of the rows have it.
+
+    Hot keys are joined by broadcast (fewer than HOT_PER, keys of HOT_BYTES at most), so their rows stay where
+    they lie; the rest is shuffled without them.
+    """
+    total = side.agg(F.sum(counts)).first()[0] or 0
+    hot = (F.col(counts) * HOT_PER > F.lit(total)) & (F.length(F.col(key).cast("string")) <= HOT_BYTES)
+    few, rest = F.broadcast(side.filter(hot).drop(counts)), side.filter(~hot).drop(counts)
+    cold = rows.join(F.broadcast(side.filter(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(cold.join(rest, key))
 
 
 def with_text_columns(df: DataFrame, text: str | list[str], added: str, make) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import id_last, keep, table, with_text_columns
+from scrollmill.llm.common import id_last, join_hot, keep, table, with_text_columns
 
 MIN_CHARS = 10
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -123,8 +123,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int = MO
 
     numbered = docs.select(id_last("doc_id").alias("doc"), "text")
     suspected = keep(numbered.mapInArrow(suspects, "doc long, key binary"), "suspects")
-    repeated = suspected.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("key", "first")
-    drops = suspected.join(repeated, "key").filter("doc <> first").groupBy("doc").agg(F.collect_set("key").alias("_drop"))
+    repeated = suspected.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "first", "n")
+    drops = join_hot(suspected, keep(repeated, "repeated"), "key", "n").filter("doc <> first").groupBy("doc").agg(F.collect_set("key").alias("_drop"))
     marked = docs.withColumn("_doc", id_last("doc_id")).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
 
     def make():
