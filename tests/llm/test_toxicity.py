@@ -21,15 +21,15 @@ def corpus(n, seed):
     return rows
 
 
-def test_held_out_accuracy_of_planted_stems(spark):
+def test_planted_stems_are_learned(spark):
     rows = corpus(700, 1)
     docs = spark.createDataFrame([(i, t, 9.0) for i, t, _ in rows] + [(None, None, 1.0), (10_000, "", 1.0), (10_001, "é " * 30_000, 1.0)], "doc_id long, text string, score double").repartition(3)
     labels = spark.createDataFrame([(i, y, "x") for i, _, y in rows] + [(None, 1, "x"), (5, None, "x")], "doc_id long, toxic int, text string")
     model = tx.train(*tx.sample(docs, labels))
     out = {r.doc_id: r for r in tx.with_toxicity(docs, model).collect()}
     assert len(out) == 703 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out.values())
-    held = [(y, out[i].predicted) for i, _, y in rows]
-    assert np.mean([a == b for a, b in held]) > 0.95
+    scored_rows = [(y, out[i].predicted) for i, _, y in rows]
+    assert np.mean([a == b for a, b in scored_rows]) > 0.95
     fresh = corpus(200, 2)
     scored = tx.Scorer(model).scores([t for _, t, _ in fresh])
     assert np.mean([(s >= 0.5) == y for s, (_, _, y) in zip(scored, fresh)]) > 0.9
