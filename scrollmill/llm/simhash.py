@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import id_last, keep, table, with_text_columns
+from scrollmill.llm.common import id_last, join_hot, keep, table, with_text_columns
 from scrollmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -60,19 +60,19 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def classes(marked: DataFrame, fp: str = "fp", doc_id: str = "doc_id") -> DataFrame:
-    """(fp, first): every distinct fingerprint with the smallest doc_id of its component."""
-    prints = keep(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(id_last(doc_id)).alias("first")), "prints")
+    """(fp, first, n): every distinct fingerprint with the smallest doc_id of its component and its number of rows."""
+    prints = keep(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(id_last(doc_id)).alias("first"), F.count("*").alias("n")), "prints")
     roots = keep(components(links(prints)), "roots")
     linked = roots.join(prints, roots.node == prints.fp).select("fp", "root", "first")
     best = linked.groupBy("root").agg(F.min("first").alias("best"))
     moved = linked.join(best, "root").select("fp", "best")
-    return prints.join(moved, "fp", "left").select("fp", F.coalesce("best", "first").alias("first"))
+    return prints.join(moved, "fp", "left").select("fp", F.coalesce("best", "first").alias("first"), "n")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fp, first (smallest doc_id of its component; the largest long for null ids)."""
     marked = keep(with_fingerprints(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"), "marked")
-    return marked.join(classes(marked), "fp")
+    return join_hot(marked, keep(classes(marked), "classes"), "fp", "n")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
