@@ -69,7 +69,8 @@ class Classifier:
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected)."""
         folded = fold(text)
-        if not folded or not self.langs:
+        # What is left may still be signs that count as word characters, such as fractions.
+        if not self.langs or not any(map(str.isalpha, folded)):
             return "und", 0.0, 0.0, True
         blocks = [folded[i : i + BLOCK].encode() for i in range(0, len(folded), BLOCK)]
         sizes = [sum(len(press(b)) for b in blocks) for press in self.press]
