@@ -189,7 +189,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 texts = frame["text"].fillna("").tolist()
                 for a in range(0, len(texts), 256):
                     ids = frame["doc_id"].iloc[a : a + 256]
-                    yield from zip([None if pd.isna(i) else int(i) for i in ids], enc.encode(texts[a : a + 256]))
+                    yield from zip([None if i is None or i != i else int(i) for i in ids], enc.encode(texts[a : a + 256]))
                 frame = next(frames, None)
 
         found = {}
@@ -198,6 +198,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         yield pd.DataFrame([{"shard": k, "file": name, **found}])
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    # As text, since pandas holds a column of longs and nulls as doubles.
+    ranged = ranged.select(F.col("doc_id").cast("string"), "text")
     path = folder + "-manifest"
     ranged.mapInPandas(shard, "shard long, file string, n_docs long, n_tokens long").write.parquet(path)
     sizes = sorted((r.shard, r.file, r.n_docs, r.n_tokens) for r in spark.read.parquet(path).collect())  # one row a file

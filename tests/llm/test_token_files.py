@@ -21,7 +21,7 @@ def test_chunks_give_the_same_ids_as_whole_texts(spark, sf_dir):
 
 
 def test_round_trip_with_nulls_ties_and_extra_columns(spark):
-    rows = [(i * 3 - 5, t, 7) for i, t in enumerate(TEXTS)] + [(None, "no id", 1), (4, None, 2), (4, "again", 2), (4, "again", 2)]
+    rows = [(i * 3 - 5, t, 7) for i, t in enumerate(TEXTS)] + [(None, "no id", 1), (4, None, 2), (4, "again", 2), (4, "again", 2), (2**53 + 1, "large id", 1)]
     folder = new_folder(spark, "t")
     docs = spark.createDataFrame(rows, "doc_id long, text string, start long").repartition(3)
     got = tf.read_token_files(tf.write_token_files(docs, folder, tf.default_tokenizer()), folder).collect()
