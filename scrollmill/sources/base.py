@@ -19,21 +19,22 @@ SKIPPED = r"/(node_modules|\.git)/"
 
 @dataclass(frozen=True)
 class Source:
-    """id, label, confidence, the path rule of its files, and read(spark, path) -> Batch."""
+    """id, label, confidence, the path rule of its files, and read(spark, path) -> Batch; with `by_file` also of a list of files."""
 
     id: str
     label: str
     confidence: str
     path_rule: str
-    read: Callable[[SparkSession, str], Batch]
+    read: Callable[[SparkSession, str | list[str]], Batch]
+    by_file: bool = True
 
 
 SOURCES: dict[str, Source] = {}
 
 
-def register_source(id: str, label: str, confidence: str, path_rule: str):
+def register_source(id: str, label: str, confidence: str, path_rule: str, by_file: bool = True):
     def put(fn):
-        SOURCES[id] = Source(id, label, confidence, path_rule, fn)
+        SOURCES[id] = Source(id, label, confidence, path_rule, fn, by_file)
         return fn
 
     return put

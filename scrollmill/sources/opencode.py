@@ -68,7 +68,7 @@ def from_relational(spark: SparkSession, tables: dict[str, DataFrame], path: str
     return S.finish(ID, LABEL, conversations, S.dedup(every), [none])
 
 
-@S.register_source(ID, LABEL, "experimental", r"/(session|message|part|workspace|project)\.parquet")
+@S.register_source(ID, LABEL, "experimental", r"/(session|message|part|workspace|project)\.parquet", by_file=False)
 def read(spark: SparkSession, root: str) -> Batch:
     """The tables as Parquet folders `<root>/<table>.parquet`; absent ones are left out."""
     found = {}

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scrollmill import sources as _sources  # noqa: F401
-from scrollmill.operators.batch import Batch, Store
+from scrollmill.operators import export
+from scrollmill.operators.batch import Store
 from scrollmill.operators.merge import merge_batch
 from scrollmill.operators.status import mark_absent
 from scrollmill.sources.base import SOURCES, changed_files, find_files
 
-INTERVAL = "30 seconds"
+INTERVAL_SECONDS = 30
+#: Up to so many changed files are named to the reader; of more, the folder is read whole.
+MOST_FILES = 10_000
+STATE = "source_id string, path string, length long, modified timestamp"
 
 
 @dataclass(frozen=True)
@@ -23,10 +30,16 @@ class Spec:
     root: str
 
 
+def literal(path: str) -> str:
+    """A path whose signs are not taken for a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def import_sources(spark: SparkSession, store: Store, specs: list[Spec], at: str, skip_unchanged: bool = False, known: DataFrame | None = None) -> tuple[Store, DataFrame | None]:
     """Merge all specs into a store, one batch per source; returns it and the file state (source_id, path, length, modified).
 
-    With `skip_unchanged`, sources without new or rewritten files are left alone, and others are merged as partial.
+    With `skip_unchanged`, sources without new or rewritten files are left alone, and others are merged as partial;
+    those that can be read file by file are read in their changed files only.
     """
     state = None
     for spec in specs:
@@ -41,13 +54,49 @@ def import_sources(spark: SparkSession, store: Store, specs: list[Spec], at: str
         if not found:
             store = Store(store.conversations, store.messages, store.evidence, store.diagnostics, mark_absent(store.status, spec.source_id))
             continue
-        from pyspark.sql import functions as F
-
         own = files.withColumn("source_id", F.lit(spec.source_id))
         state = own if state is None else state.unionByName(own)
         before = known.filter(F.col("source_id") == spec.source_id) if known is not None else None
-        if skip_unchanged and before is not None and changed_files(files, before).limit(1).count() == 0:
-            continue
-        batch: Batch = source.read(spark, spec.root)
+        where: str | list[str] = spec.root
+        if skip_unchanged and before is not None:
+            changed = [r.path for r in changed_files(files, before).select("path").limit(MOST_FILES + 1).collect()]
+            if not changed:
+                continue
+            if source.by_file and len(changed) <= MOST_FILES:
+                where = [literal(p) for p in sorted(changed)]
+        batch = source.read(spark, where)
         store = merge_batch(store, batch, "partial" if skip_unchanged else "full", at)
     return store, state
+
+
+def refresh(spark: SparkSession, store_dir: str, specs: list[Spec], at: str, interval: float = INTERVAL_SECONDS, now: float | None = None) -> Store:
+    """What a query calls first: the stored tables, with changed files merged unless the last look is under `interval` seconds old.
+
+    The file state lies beside the store, one partition a look. The store is written before it, so that a look that
+    fails in between is repeated, which changes nothing.
+    """
+    now = time.time() if now is None else now
+    store = stored(lambda: export.read_store(spark, store_dir))
+    looks = stored(lambda: spark.read.schema(STATE + ", looked long").parquet(f"{store_dir}/files"))
+    last = looks.agg(F.max("looked")).first()[0] if looks is not None and store is not None else None
+    if last is not None and now * 1000 - last < interval * 1000:
+        return store
+    known = looks.filter(F.col("looked") == last).drop("looked") if last is not None else None
+    before = store if store is not None else Store.new(spark)
+    after, state = import_sources(spark, before, specs, at, skip_unchanged=last is not None, known=known)
+    if after is not before:
+        export.write_store(after, store_dir)
+        after = export.read_store(spark, store_dir)
+    if state is not None:
+        state.select("source_id", "path", "length", "modified").write.mode("overwrite").parquet(f"{store_dir}/files/looked={int(now * 1000)}")
+    return after
+
+
+def stored(read):
+    """What `read` gives, or None where its folder is not there yet."""
+    try:
+        return read()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None

@@ -1,8 +1,11 @@
 """Importing registered sources again when files changed."""
 
+from dataclasses import replace
+
 from scrollmill.operators.batch import Store, shared_path
 from scrollmill.sources.base import files_signature, find_files
-from scrollmill.streaming.refresh import Spec, import_sources
+from scrollmill.streaming import refresh as refresh_module
+from scrollmill.streaming.refresh import Spec, import_sources, refresh
 
 AT = "2026-05-21T00:00:00.000Z"
 
@@ -18,3 +21,25 @@ def test_unchanged_sources_are_left_alone(spark):
     again, _ = import_sources(spark, store, specs, AT, skip_unchanged=True, known=state)
     assert again.conversations is store.conversations
     assert files_signature(find_files(spark, root, ".*")) == files_signature(find_files(spark, root, ".*"))
+
+
+def line(session, uuid, text):
+    return '{"type":"user","sessionId":"%s","uuid":"%s","timestamp":"2026-05-21T10:00:00Z","message":{"role":"user","content":"%s"}}\n' % (session, uuid, text)
+
+
+def test_refresh_reads_changed_files_only(spark, tmp_path, monkeypatch):
+    root, store_dir = tmp_path / "logs", f"file://{tmp_path}/store"
+    root.mkdir()
+    (root / "a.jsonl").write_text(line("s1", "u1", "hello"))
+    (root / "b {1}[x].jsonl").write_text(line("s2", "u2", "other"))
+    specs, told = [Spec("claude-code", f"file://{root}")], []
+    source = refresh_module.SOURCES["claude-code"]
+    monkeypatch.setitem(refresh_module.SOURCES, "claude-code", replace(source, read=lambda s, where: told.append(where) or source.read(s, where)))
+    texts = lambda store: sorted(r.text for r in store.messages.collect())
+    assert texts(refresh(spark, store_dir, specs, AT, now=1000.0)) == ["hello", "other"]
+    with open(root / "b {1}[x].jsonl", "a") as f:
+        f.write(line("s2", "u3", "more"))
+    assert texts(refresh(spark, store_dir, specs, AT, now=1029.0)) == ["hello", "other"]
+    assert texts(refresh(spark, store_dir, specs, AT, now=1031.0)) == ["hello", "more", "other"]
+    assert texts(refresh(spark, store_dir, specs, AT, now=1100.0)) == ["hello", "more", "other"]
+    assert len(told) == 2 and isinstance(told[0], str) and len(told[1]) == 1 and told[1][0].endswith("b \\{1\\}\\[x\\].jsonl")
