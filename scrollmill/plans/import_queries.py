@@ -57,11 +57,15 @@ def expected(roles: str = "role IS NOT NULL", start: str = "min(created_at)", en
     SELECT session, title, started_at, updated_at, CAST(row_number() OVER (PARTITION BY session ORDER BY turn) AS INT) AS n, role, created_at, text FROM k JOIN h USING (session)"""
 
 
-def render_claude_code(spark, sf_dir) -> str:
+def claude_code_lines(spark, sf_dir) -> DataFrame:
     good = js(type=F.col("role"), sessionId=F.col("session"), uuid=F.concat(F.lit("u"), F.col("turn")), timestamp=F.col("created_at"), message=F.struct("role", block(F.col("text")).alias("content")))
     junk = js(type="progress", sessionId=F.col("session"), timestamp=F.col("created_at"))
     every = F.lit(True)
-    return put_lines(lines(spark, sf_dir, (0, every, good), (1, F.col("turn") == 1, good), (2, every, junk), (3, F.col("turn") == F.col("last"), F.lit('{"type": "user", "sess'))), scratch(spark, "claude-code"))
+    return lines(spark, sf_dir, (0, every, good), (1, F.col("turn") == 1, good), (2, every, junk), (3, F.col("turn") == F.col("last"), F.lit('{"type": "user", "sess')))
+
+
+def render_claude_code(spark, sf_dir) -> str:
+    return put_lines(claude_code_lines(spark, sf_dir), scratch(spark, "claude-code"))
 
 
 @query("import_claude_code", expected())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrollmill.functions import urls
@@ -9,10 +10,11 @@ from scrollmill.functions import variants as V
 from scrollmill.functions.times import iso
 from scrollmill.operators import export, merge
 from scrollmill.operators.batch import MESSAGES, Store, shaped
-from scrollmill.plans.import_queries import js, put_lines, render_claude_code, render_codex, scratch
+from scrollmill.plans.import_queries import claude_code_lines, js, put_lines, render_claude_code, render_codex, scratch
 from scrollmill.plans.testbed import STORE_SQL, batch, messages, query, table, turns
 from scrollmill.sources import base, claude_code, codex, pi
 from scrollmill.streaming import captures
+from scrollmill.streaming.refresh import Spec, refresh
 
 AT = "2024-06-01T00:00:00.000Z"
 
@@ -201,21 +203,42 @@ def stream_captures(spark, sf_dir):
     return export.read_store(spark, f"{root}/store").conversations.select("upstream_id", "started_at", "updated_at", "message_count")
 
 
-@query("stream_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS source_id, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_daily(spark, sf_dir):
-    """Day counts of the events as a stream, read back from its sink."""
-    root = scratch(spark, "daily")
+def last_totals(spark, sf_dir, kind: str, aggregate) -> DataFrame:
+    """The last output of an aggregate of the events as a stream, read back from its sink."""
+    root = scratch(spark, kind)
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), F.col("ts").cast("timestamp").alias("updated_at"))
     e.repartition(4).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
 
     def last(frame, epoch):
-        frame.write.mode("overwrite").parquet(f"{root}/out/{epoch:06d}")
+        frame.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+
+    aggregate(stream).writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.parquet(f"{root}/out")
+    return every.join(F.broadcast(every.agg(F.max("epoch").alias("epoch"))), "epoch").drop("epoch")
 
-    captures.daily_activity(stream, late="60 days").writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    every = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out").withColumn("epoch", F.regexp_extract(F.col("_metadata.file_path"), r"/out/(\d+)/", 1))
-    best = every.groupBy("day", "source_id").agg(F.max_by("n", "epoch").alias("n"))
-    return best.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source_id", "n")
+
+@query("stream_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS source_id, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily(spark, sf_dir):
+    days = last_totals(spark, sf_dir, "daily", lambda rows: captures.daily_activity(rows, late="60 days"))
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source_id", "n")
+
+
+@query("stream_totals", "SELECT event_type AS source_id, count(*) AS messages, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM events GROUP BY 1")
+def stream_totals(spark, sf_dir):
+    totals = last_totals(spark, sf_dir, "totals", captures.running_totals)
+    return totals.select("source_id", "messages", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@query("refresh_changed", f"WITH {STORE_SQL}, t AS (SELECT DISTINCT session, turn, role, created_at, text FROM m) SELECT 'claude-code' AS source_id, count(DISTINCT session) AS conversations, count(*) AS messages FROM t")
+def refresh_changed(spark, sf_dir):
+    """Logs that arrive in two parts, each session in both; the second look reads the new files only."""
+    root = scratch(spark, "refresh")
+    rows = claude_code_lines(spark, sf_dir)
+    for part, keep in enumerate((F.col("at") < 20, F.col("at") >= 20)):
+        put_lines(rows.filter(keep), f"{root}/logs/{part}")
+        store = refresh(spark, f"{root}/store", [Spec("claude-code", f"{root}/logs")], AT, now=60.0 * part)
+    return store.status.select("source_id", "conversations", "messages")
 
 
 @query("backup_write", f"WITH {STORE_SQL} SELECT (SELECT count(*) FROM c) AS conversations, (SELECT count(*) FROM m) AS messages, CAST(0 AS BIGINT) AS evidence, CAST(3 AS BIGINT) AS status, (SELECT count(*) FROM m) AS nested")
