@@ -84,10 +84,35 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _id (nulls largest) and _key, which names a row by its id and two hashes of all its columns; rows alike share it."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.concat_ws("/", id_last("doc_id"), F.xxhash64(*columns), F.xxhash64(F.lit(SEED), *reversed(columns)))
+    return docs.withColumns({"_id": id_last("doc_id"), "_key": key})
+
+
+def survivors(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of `docs` for each component: the one of the smallest (doc_id, row hash), whatever ids its rows share.
+
+    `prints` has a row for each fingerprint (fp, best = its smallest (_id, _key, n)), `roots` (node, root) those that are linked.
+    """
+    owned = prints.join(roots, prints.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
+    best = keep(owned.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._key").alias("_key"), F.col("best.n").alias("_n"), F.col("best.n").alias("_count")), "best")
+    found = join_hot(with_row_keys(docs).drop("_id"), best, "_key", "_count")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # Only rows that are repeated whole are grouped.
+    once = found.filter("_n > 1").groupBy("_key").agg(F.first(row).alias("row")).select("row.*")
+    return found.filter("_n = 1").select(row).select("row.*").unionByName(once)
+
+
+def best_rows(marked: DataFrame) -> DataFrame:
+    """(fp, best) of rows (fp, _id, _key): the smallest (_id, _key) of each fingerprint and how many rows are like it."""
+    alike = marked.groupBy("fp", "_id", "_key").agg(F.count("*").alias("n"))
+    return alike.groupBy("fp").agg(F.min(F.struct("_id", "_key", "n")).alias("best"))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component: that of the smallest doc_id (one row of it, if the row is repeated)."""
-    found = near_copies(docs)
-    firsts = found.filter(id_last("doc_id") == F.col("first")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return kept.withColumn("_rank_", rank).filter("_rank_ = 1").drop("_rank_")
+    """`docs` with one document of each component: that of the smallest doc_id (of rows that share it, the one of the smallest hash)."""
+    rows = with_row_keys(docs).select("_id", "_key", "text")
+    prints = keep(best_rows(with_fingerprints(rows, "fp").select("fp", "_id", "_key")), "best_rows")
+    return survivors(docs, prints, keep(components(links(prints.select("fp"))), "roots"))

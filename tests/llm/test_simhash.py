@@ -79,3 +79,13 @@ def test_one_document_of_each_group_stays(spark):
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "8", "None"]
     assert sh.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnop") * 3 + str(rng.randrange(99)) for _ in range(40))
+    clean, copied = text(), text()
+    rows = [(None, text()) for _ in range(30)] + [(7, clean), (7, copied), (3, copied), (11, text()), (11, text())]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(4)
+    left = sorted((str(r.doc_id), r.text) for r in sh.drop_near_copies(docs).collect())
+    assert left == sorted((str(d), t) for d, t in rows if (d, t) != (7, copied))
