@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing.
+"""SimHash near-duplicates by meet-in-the-middle ball hashing; for the pipeline, texts of similar shingle sets by MinHash bands.
 
 A fingerprint has 64 bits over the word shingles of a text. Two fingerprints within distance 2
 have a common neighbour within distance 1 of each, so every distinct fingerprint emits itself
@@ -23,6 +23,8 @@ from scrollmill.llm.common import id_last, join_hot, keep, table, with_text_colu
 from scrollmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Of `drop_near_copies`: words of a shingle, least similarity (4 / 5), bands and minima of a band, and how far apart two texts of a sorted bucket may lie.
+NEAR_SHINGLE, NEAR, BANDS, BAND, NEIGHBOURS = 5, (4, 5), 20, 5, 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -111,8 +113,120 @@ def best_rows(marked: DataFrame) -> DataFrame:
     return alike.groupBy("fp").agg(F.min(F.struct("_id", "_key", "n")).alias("best"))
 
 
+def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[int, np.ndarray]:
+    """A hash of the words of a text, and the distinct hashes of its shingles, sorted; words as for fingerprints."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return 0, np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    runs = map(join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [join(words)]
+    return digest(join(words), SEED), np.unique(np.fromiter((digest(x, SEED) for x in runs), np.uint64))
+
+
+_RNG = np.random.default_rng(SEED)
+_XOR, _ODD, _MIX = _RNG.integers(0, 2**64, (3, BANDS * BAND), np.uint64)
+_ODD, _MIX = _ODD | np.uint64(1), _MIX | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS signed hashes, each of BAND minima of a set under its own random orders; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    for a in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[a : a + 1024, None] ^ _XOR) * _ODD).min(0))
+    mixed = (least ^ (least >> np.uint64(29))) * _MIX
+    return mixed.reshape(BANDS, BAND).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _marks():
+    def run(texts):
+        found = [shingles(t) for t in texts]
+        return [np.uint64(h).view(np.int64) for h, _ in found], [len(s) for _, s in found], [bands(s).tolist() for _, s in found]
+
+    return run
+
+
+def _shingle_lists():
+    return lambda texts: [[shingles(t)[1].view(np.int64).tolist() for t in texts]]
+
+
+def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(n, m) * NEAR[1] >= np.maximum(n, m) * NEAR[0]
+
+
+def neighbours(batches):
+    """Pairs of rows (bucket, fp, n) at most NEIGHBOURS apart in one bucket of a sorted part; the part's first and last rows go out too."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    names = ["kind", "part", "bucket", "a", "b", "na", "nb"]
+    part, w, seen, tail = TaskContext.get().partitionId(), NEIGHBOURS, 0, [np.zeros(0, np.int64)] * 3
+
+    def out(kind, bucket, a, b, na, nb):
+        size = len(bucket)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, part, np.int32)), *map(pa.array, (bucket, a, b, na, nb))], names=names)
+
+    for batch in batches:
+        new = [batch.column(c).to_numpy() for c in ("bucket", "fp", "n")]
+        if seen < w and len(new[0]):
+            bucket, fp, n = (c[: w - seen] for c in new)
+            yield out(1, bucket, fp, fp, n, n)
+        seen += len(new[0])
+        old = len(tail[0])
+        bucket, fp, n = rows = [np.concatenate([t, c]) for t, c in zip(tail, new)]
+        for d in range(1, w + 1):
+            at = np.arange(max(d, old), len(bucket))
+            at = at[(bucket[at] == bucket[at - d]) & (fp[at] != fp[at - d]) & alike(n[at], n[at - d])]
+            yield out(0, bucket[at], fp[at], fp[at - d], n[at], n[at - d])
+        tail = [c[-w:] for c in rows]
+    if (left := min(w, seen - w)) > 0:
+        bucket, fp, n = (c[-left:] for c in tail)
+        yield out(2, bucket, fp, fp, n, n)
+
+
+def near_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b, na, nb) candidates of distinct texts (fp, n, bands) that share a band.
+
+    Each bucket is sorted by its texts' next band, which brings the most similar ones together, and each text is paired with
+    those next to it, so a bucket of k texts gives fewer than NEIGHBOURS * k pairs. Sorting is global: parts are even whatever the buckets' sizes,
+    and pairs across the parts' borders are found from their first and last rows.
+    """
+    spark = marked.sparkSession
+    rows = marked.select("fp", F.col("n").cast("long").alias("n"), "bands", F.posexplode("bands").alias("at", "bucket"))
+    rows = rows.select("bucket", F.element_at("bands", ((F.col("at") + 1) % BANDS + 1).cast("int")).alias("next"), "fp", "n")
+    ordered = rows.repartitionByRange("bucket", "next", "fp").sortWithinPartitions("bucket", "next", "fp").select("bucket", "fp", "n")
+    found = keep(ordered.mapInArrow(neighbours, "kind int, part int, bucket long, a long, b long, na long, nb long"), "neighbours")
+    # Two runs of NEIGHBOURS rows at most for each part.
+    edge = [(r.bucket, r.a, r.na) for r in sorted(found.filter("kind > 0").collect(), key=lambda r: (r.part, r.kind))]
+    crossing = [(x[1], y[1], x[2], y[2]) for d in range(1, NEIGHBOURS + 1) for x, y in zip(edge, edge[d:]) if x[0] == y[0] and x[1] != y[1]]
+    schema = "a long, b long, na long, nb long"
+    every = found.filter("kind = 0").select("a", "b", "na", "nb").union(spark.createDataFrame(crossing, schema))
+    first = F.col("a") < F.col("b")
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets (fp, s) have a Jaccard similarity of NEAR or more, counted exactly."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common * (NEAR[0] + NEAR[1]) >= (F.col("na") + F.col("nb")) * NEAR[0]).select("a", "b")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component: that of the smallest doc_id (of rows that share it, the one of the smallest hash)."""
+    """`docs` with one document of each component: that of the smallest doc_id (of rows that share it, the one of the smallest hash).
+
+    Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share one of
+    BANDS bands of BAND minima (0.9996 of pairs at 0.8 do), and each is checked exactly. Texts of the same words are one.
+    """
     rows = with_row_keys(docs).select("_id", "_key", "text")
-    prints = keep(best_rows(with_fingerprints(rows, "fp").select("fp", "_id", "_key")), "best_rows")
-    return survivors(docs, prints, keep(components(links(prints.select("fp"))), "roots"))
+    marked = keep(with_text_columns(rows, "text", "fp long, n int, bands array<long>", _marks).select("fp", "_id", "_key", "n", "bands"), "marked")
+    prints = keep(best_rows(marked), "best_rows")
+    texts = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    pairs = keep(near_pairs(texts), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = prints.join(nodes, "fp").select("fp", F.col("best._key").alias("_key"))
+    held = rows.select("_key", "text").join(wanted, "_key").dropDuplicates(["fp"])
+    sets = keep(with_text_columns(held, "text", "s array<long>", _shingle_lists).select("fp", "s"), "sets")
+    return survivors(docs, prints, keep(components(similar(pairs, sets)), "roots"))

@@ -89,3 +89,39 @@ def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
     docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(4)
     left = sorted((str(r.doc_id), r.text) for r in sh.drop_near_copies(docs).collect())
     assert left == sorted((str(d), t) for d, t in rows if (d, t) != (7, copied))
+
+
+def five_word_sets(texts):
+    split = [(t or "").translate(LOWER).split() for t in texts]
+    return [{tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set() for ws in split]
+
+
+def brute_pairs(texts):
+    sets = five_word_sets(texts)
+    return [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4]
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    """Planted copies, each with some words changed, in small groups and in one large one; only pairs of 0.8 or more are linked."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for size in [rng.randint(1, 3) for _ in range(60)] + [80]:
+        base = [word() for _ in range(rng.randint(60, 300))]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 40)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in brute_pairs(texts):
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    left = {r.doc_id for r in sh.drop_near_copies(docs).collect()}
+    assert left == {i for i in range(len(texts)) if find(i) == i}
