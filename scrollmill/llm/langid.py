@@ -42,7 +42,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 def dictionaries(rows: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[str, bytes]:
     """Raw-content dictionaries from (text, lang); one count per language and a bounded sample reach the driver."""
     rows = rows.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()}  # texts, since copies weigh once
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3.0 * pieces / n))])

@@ -28,3 +28,10 @@ def test_odd_rows_and_passed_columns(spark):
 def test_narrow_margin_is_rejected():
     c = langid.Classifier({"a": b"one two three four", "b": b"one two three four"})
     assert c.predict("one two three")[3] and c.predict("one two three")[0] == "a"
+
+
+def test_copies_do_not_shrink_a_dictionary(spark):
+    texts = [f"{chr(97 + i) * 3} text" for i in range(20)]
+    docs = spark.createDataFrame([(t, "en") for t in texts * 50], "text string, lang string")
+    raw = langid.dictionaries(docs, pieces=20)["en"].decode()
+    assert [t for t in texts if t not in raw] == []
