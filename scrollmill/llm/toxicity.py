@@ -7,7 +7,7 @@ looks worst at the time (first by log-odds of its words, then by the model itsel
 windows of the others. The threshold that separates the sample best becomes score 0.5.
 
 Learning takes a bounded sample: at most `TRAIN_ROWS` labelled rows of the two classes, chosen by hash, of at most
-`TRAIN_CHARS` characters. Scoring reads whole texts.
+`TRAIN_CHARS` characters. Scoring reads whole texts, runs without spaces in overlapping pieces.
 
 Rows: a null or empty text, or one without words, has one empty window; repeated rows are each scored; a null
 toxic label is not learned from; with rows of one class only, or none, every score is 0. Conflicting labels of a doc_id
@@ -35,15 +35,21 @@ VOCAB, BUCKETS, NGRAMS = 20_000, 1 << 15, (3, 4)
 EPOCHS, UPDATES, BATCH, RATE = 8, 400, 128, 0.1
 CACHE_WORDS = 200_000
 WORD = re.compile(r"\w+")
+#: Letters of a word at most, and how many of them two pieces of a longer run share.
+LONGEST, SHARED = 40, 20
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Words of a text; a run of over LONGEST letters is cut into overlapping pieces, each of which counts as a word."""
+    found = WORD.findall(text.lower()) if text else []
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[a : a + LONGEST] for w in found for a in range(0, max(1, len(w) - SHARED), LONGEST - SHARED)]
 
 
 def ngrams(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of words between marks, word after word, and how many each has (of very long words the first letters)."""
-    marked = [f"<{w[:40]}>".encode() for w in some]
+    """Hashed character n-grams of words between marks, word after word, and how many each has."""
+    marked = [f"<{w}>".encode() for w in some]
     sizes = np.array([len(m) for m in marked], np.int64)
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(some)), sizes)

@@ -82,3 +82,16 @@ def test_batches_do_not_change_scores():
     apart = [tx.Scorer(model).scores([t])[0] for t in texts]
     assert np.allclose(together, apart, atol=1e-4)
     assert tx.windows(0) == [0] and tx.windows(33) == [0, 24] and tx.windows(32) == [0]
+
+
+def test_long_runs_are_read_to_their_end():
+    run = "".join(f"{i:04d}" for i in range(2000, 2100))
+    for n in (1, 40, 41, 59, 60, 61, 80, 81, 400):
+        pieces = tx.words(f"a {run[:n]} b")[1:-1]
+        assert max(map(len, pieces)) <= 40 and all(any(run[a : min(a + 20, n)] in p for p in pieces) for a in range(max(1, n - 19)))
+    rows = corpus(700, 1)
+    model = tx.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    clean = ["bareto", "mikuso", "lentar", "vidong"] * 4
+    ends = [[*clean, "gruxba"], [*clean, "zplebre"], [*clean, "lentar"]]
+    scores = tx.Scorer(model).scores(["_".join(ws) for ws in ends])
+    assert min(scores[:2]) > scores[2]
