@@ -10,7 +10,7 @@ File layout (all integers little-endian):
   low 32 bits of XXH64 of each frame's content, so that a reader fetches one document.
 
 Rows: a null or empty text is a document with the end id alone. Rows with equal doc_id stay
-separate documents, ordered by text; a null doc_id sorts first. An empty table gives no files
+separate documents, ordered by the first characters of their texts, then by a hash; a null doc_id sorts first. An empty table gives no files
 and no rows. Other columns are ignored, whatever their names.
 """
 
@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,14 @@ from scrollmill.llm.common import new_folder, open_store, put_file
 
 HEADER, INDEX, SEEK = 0x184D2A50, 0x184D2A51, 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
-#: A single space between two other characters always starts a piece of the byte-level splitter.
-GAP = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 600_000
+#: A space before another character than white space always starts a piece of the byte-level splitter, which never spans it.
+GAP = re.compile(r" (?=\S)")
+#: A space that does not, in RE2's syntax.
+NO_GAP = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
+#: Bytes of words and ids that an encoder remembers, and of text that it takes at once (unless one text is longer).
+CACHE_BYTES, SLICE_BYTES = 128_000_000, 16_000_000
+#: Rows of equal doc_id are ordered by so many characters, then by a hash; rows alike are dealt to so many ranges at most.
+HEAD_CHARS, SPREAD = 64, 1024
 _encoders: dict = {}
 
 
@@ -49,44 +55,128 @@ class ChunkEncoder:
         self.vocab = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab <= 65536 else np.dtype("<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.cuttable = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer")
+        self.whole = "|".join([NO_GAP, *map(re.escape, self.added)])
         #: A byte-level token has one character for each of its bytes.
         self.n_bytes = np.zeros(self.vocab, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memory: numbers of first chunks and of chunks after a space, and where each number's ids lie in `flat`."""
+        self.heads: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.start, self.size, self.uses, self.count, self.bytes = *np.zeros((3, 1 << 14), np.int32), 0, 0
+
+    def _trim(self) -> None:
+        """Forget chunks that few slices have held, until half the memory is free."""
+        heads, known, flat, start, size, uses, least = self.heads, self.known, self.flat, self.start, self.size, self.uses, 2
+        while (uses >= least).sum() * self.bytes > self.count * CACHE_BYTES // 2:
+            least *= 2
+        self._forget()
+        for old, new in ((heads, self.heads), (known, self.known)):
+            chunks = [c for c, k in old.items() if uses[k] >= least]
+            at = np.array([old[c] for c in chunks], np.int64)
+            self._store(new, chunks, flat[ranges(start[at], size[at])], size[at])
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(ids, self.dtype).tobytes() for ids in self._ids(texts)]
+
+    def _store(self, table: dict[str, int], chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(chunks) > len(self.start):
+            self.start, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.uses))
+        new = slice(self.count, self.count + len(chunks))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        table.update(zip(chunks, range(self.count, self.count + len(chunks))))
+        self.used, self.count = self.used + len(ids), self.count + len(chunks)
+        self.bytes += sum(map(len, chunks)) + 200 * len(chunks) + ids.nbytes
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks that follow a space. They are joined to one text, whose ids are cut at the chunks' bytes."""
-        whole = [c for c in chunks if c[-1:].isspace()]
-        self.known.update(zip(whole, self._pack([" " + c for c in whole])))
-        chunks = [c for c in chunks if not c[-1:].isspace()]
         if not chunks:
             return
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.cumsum(np.array([len(c.encode()) for c in chunks]) + 1)
-        at = (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1) * self.dtype.itemsize
-        raw, a = ids.tobytes(), 0
-        for c, b in zip(chunks, at.tolist()):
-            self.known[c] = raw[a:b]
-            a = b
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        ids = np.array(self._ids([" " + " ".join(chunks)])[0], self.dtype)
+        ends = np.cumsum(np.array([len(c) if c.isascii() else len(c.encode()) for c in chunks]) + 1)
+        self._store(self.known, chunks, ids, np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0))
+
+    def _learn_heads(self, chunks: list[str]) -> None:
+        found = self._ids(chunks)
+        self._store(self.heads, chunks, np.array([i for ids in found for i in ids], self.dtype), np.array([len(ids) for ids in found], np.int64))
+
+    def _assemble(self, chunks, counts: np.ndarray) -> list[bytes]:
+        """Ids of texts from an Arrow array of their chunks, text after text, `counts` of each."""
+        first = np.cumsum(counts) - counts
+        coded = chunks.dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        heads = [words[i] for i in code[first]]
+        self._learn_heads(list({h for h in heads if h not in self.heads}))
+        later = np.ones(len(code), bool)
+        later[first] = False
+        used = np.zeros(len(words), bool)
+        used[code[later]] = True
+        number = np.array([*map(self.known.get, words, repeat(-1))], np.int32)
+        new = np.flatnonzero(used & (number < 0))
+        number[new] = np.arange(self.count, self.count + len(new))
+        self._learn([words[i] for i in new.tolist()])
+        number = number[code]
+        number[first] = [*map(self.heads.__getitem__, heads)]
+        self.uses += np.bincount(number, minlength=len(self.uses)) > 0
+        ids = self.flat[ranges(self.start[number], self.size[number])]
+        ends = np.cumsum(np.add.reduceat(self.size[number], first, dtype=np.int64)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+
+    def encode(self, texts) -> list[bytes]:
+        """Packed ids of texts without nulls, a list or an Arrow array."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
         if not self.cuttable:
-            return self._pack(texts)
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        known = self.known
+            return self._pack(texts.to_pylist())
+        if self.bytes > CACHE_BYTES:
+            self._trim()
         # An added token's text is taken out before splitting, so such a text stays whole.
-        cut = [[t] if any(a in t for a in self.added) else GAP.split(t) for t in texts]
-        heads = self._pack([chunks[0] for chunks in cut])
-        self._learn(list({c for chunks in cut for c in chunks[1:] if c not in known}))
-        return [head + b"".join([known[c] for c in chunks[1:]]) for head, chunks in zip(heads, cut)]
+        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        plain, out = np.flatnonzero(~odd), np.empty(len(texts), object)
+        if len(plain):
+            cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            out[plain] = self._assemble(cut.flatten(), np.diff(cut.offsets.to_numpy()))
+        if odd.any():
+            cut = [[t] if any(a in t for a in self.added) else GAP.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+            out[odd] = self._assemble(pa.array([c for chunks in cut for c in chunks], pa.string()), np.array([len(c) for c in cut]))
+        return out.tolist()
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranges [start, start + count) one after the other."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows of a text column, of `limit` bytes at most unless one row is longer."""
+    import pyarrow.compute as pc
+
+    sizes, a, held = pc.fill_null(pc.binary_length(column), 0).to_pylist(), 0, 0
+    for b, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield a, b
+            a, held = b, 0
+        held += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -123,6 +213,7 @@ class FrameReader:
 
     def __init__(self, source):
         self.source = source
+        self.unpress = zstandard.ZstdDecompressor()
         source.seek(0, 2)
         size = source.tell()
         n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
@@ -155,7 +246,7 @@ class FrameReader:
     def tokens(self, k: int) -> np.ndarray:
         """Ids of the k-th document, the end id last."""
         _, size, check = self.seek[k + 1]
-        raw = zstandard.ZstdDecompressor().decompress(self._at(int(self.offset[k + 1]), int(self.seek[k + 1, 0])), max_output_size=int(size))
+        raw = self.unpress.decompress(self._at(int(self.offset[k + 1]), int(self.seek[k + 1, 0])), max_output_size=int(size))
         if len(raw) != size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {k} fails its checksum")
         ids = np.frombuffer(raw, self.dtype)
@@ -169,39 +260,39 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     Returns the manifest: one row per file (shard, file, n_docs, n_tokens, start), where start
     is the number of ids in all files before it. Files come from contiguous ranges of doc_id,
-    so the text is dealt once, and their number follows the session's shuffle partitions.
+    so the text is dealt once, and their number follows the session's shuffle partitions. Rows of one
+    doc_id may lie in several files.
     """
     spark = docs.sparkSession
 
-    def shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shard(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        k, enc = TaskContext.get().partitionId(), encoder(tokenizer)
-        first = next(frames, None)
-        while first is not None and not len(first):
-            first = next(frames, None)
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
         if first is None:
             return
+        k, enc = TaskContext.get().partitionId(), encoder(tokenizer)
 
         def rows():
-            frame = first
-            while frame is not None:
-                texts = frame["text"].fillna("").tolist()
-                for a in range(0, len(texts), 256):
-                    ids = frame["doc_id"].iloc[a : a + 256]
-                    yield from zip([None if i is None or i != i else int(i) for i in ids], enc.encode(texts[a : a + 256]))
-                frame = next(frames, None)
-
-        found = {}
-        name = f"tokens-{k:06d}.zst"
-        put_file(folder, name, lambda out: found.update(zip(("n_docs", "n_tokens"), write_frames(out, rows(), enc.dtype, enc.vocab, end_id, level))))
-        yield pd.DataFrame([{"shard": k, "file": name, **found}])
+            for batch in chain([first], batches):
+                ids, texts = batch.columns
+                for a, b in slices(texts):
+                    yield from zip(ids[a:b].to_pylist(), enc.encode(texts[a:b].fill_null("")))
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    # As text, since pandas holds a column of longs and nulls as doubles.
-    ranged = ranged.select(F.col("doc_id").cast("string"), "text")
+        found = []
+        name = f"tokens-{k:06d}.zst"
+        put_file(folder, name, lambda out: found.extend(write_frames(out, rows(), enc.dtype, enc.vocab, end_id, level)))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (k, name, *found)], names=["shard", "file", "n_docs", "n_tokens"])
+
+    # Rows of one id are dealt by their texts, rows alike by their places.
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    order = [F.substring("text", 1, HEAD_CHARS).alias("head"), F.xxhash64("text").alias("h"), place.alias("place")]
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *order)
+    ranged = ranged.repartitionByRange("doc_id", "head", "h", "place").sortWithinPartitions("doc_id", "head", "h").select("doc_id", "text")
     path = folder + "-manifest"
-    ranged.mapInPandas(shard, "shard long, file string, n_docs long, n_tokens long").write.parquet(path)
+    ranged.mapInArrow(shard, "shard long, file string, n_docs long, n_tokens long").write.parquet(path)
     sizes = sorted((r.shard, r.file, r.n_docs, r.n_tokens) for r in spark.read.parquet(path).collect())  # one row a file
     starts = np.concatenate([[0], np.cumsum([r[3] for r in sizes], dtype=np.int64)]).tolist()
     return spark.createDataFrame([(*r, starts[i]) for i, r in enumerate(sizes)], "shard long, file string, n_docs long, n_tokens long, start long")
