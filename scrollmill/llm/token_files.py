@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import new_folder, open_store, put_file
+from scrollmill.llm.common import new_folder, open_store, put_file, ranges
 
 HEADER, INDEX, SEEK = 0x184D2A50, 0x184D2A51, 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
@@ -39,7 +39,9 @@ GAP = re.compile(r" (?=\S)")
 #: A space that does not, in RE2's syntax.
 NO_GAP = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 #: Bytes of words and ids that an encoder remembers, and of text that it takes at once (unless one text is longer).
-CACHE_BYTES, SLICE_BYTES = 128_000_000, 16_000_000
+CACHE_BYTES, SLICE_BYTES = 80_000_000, 5_000_000
+#: Chunks that are joined to one text.
+LEARN = 20_000
 #: Rows of equal doc_id are ordered by so many characters, then by a hash; rows alike are dealt to so many ranges at most.
 HEAD_CHARS, SPREAD = 64, 1024
 _encoders: dict = {}
@@ -102,12 +104,12 @@ class ChunkEncoder:
         self.bytes += sum(map(len, chunks)) + 200 * len(chunks) + ids.nbytes
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that follow a space. They are joined to one text, whose ids are cut at the chunks' bytes."""
-        if not chunks:
-            return
-        ids = np.array(self._ids([" " + " ".join(chunks)])[0], self.dtype)
-        ends = np.cumsum(np.array([len(c) if c.isascii() else len(c.encode()) for c in chunks]) + 1)
-        self._store(self.known, chunks, ids, np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0))
+        """Encode chunks that follow a space. They are joined to texts, whose ids are cut at the chunks' bytes."""
+        for a in range(0, len(chunks), LEARN):
+            some = chunks[a : a + LEARN]
+            ids = np.array(self._ids([" " + " ".join(some)])[0], self.dtype)
+            ends = np.cumsum(np.array([len(c) if c.isascii() else len(c.encode()) for c in some]) + 1)
+            self._store(self.known, some, ids, np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0))
 
     def _learn_heads(self, chunks: list[str]) -> None:
         found = self._ids(chunks)
@@ -159,12 +161,6 @@ class ChunkEncoder:
         return out.tolist()
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The ranges [start, start + count) one after the other."""
-    ends = np.cumsum(counts, dtype=np.int64)
-    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of a text column, of `limit` bytes at most unless one row is longer."""
     import pyarrow.compute as pc

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import crc_bucket, table, with_text_columns
+from scrollmill.llm.common import crc_bucket, ranges, table, with_text_columns
 
 WINDOW, STRIDE = 32, 24
 #: Rows of class 0 and of class 1.
@@ -180,11 +180,6 @@ class Lexicon:
         return np.array([get(w, 0) for w in new], np.int64), *ngrams(new)
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The ranges [start, start + count) one after the other."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-
-
 def train(texts: list[str], labels: list[int], seed: int = 1) -> dict | None:
     """A model from labelled texts: parameters, vocabulary and threshold."""
     y = np.array(labels)
