@@ -4,12 +4,13 @@ A source with target T and size S wants each document T/S times: floor(T/S) whol
 inclusion probability for one more. Probabilities move through the null-space of two constraints,
 the words and the documents of a source, until they are 0 or 1, in chunks of bounded size; the one or
 two units that a chunk leaves go on to a coarser round, and the last ones of a source are landed by
-trying their few roundings. Chunks come from hashes of doc_id and the random steps from the chunk's
+trying their few roundings. Chunks come from hashes of doc_id and text and the random steps from the chunk's
 name, so a rerun gives the same sample however the rows lie.
 
-Rows: a null text has size 0; a null source is a source, last in order; rows with equal doc_id, source
-and size are one unit and share its decision; a source without words keeps each row once, for 0 words.
-An empty table gives no rows. Other columns pass through in `mix_documents`.
+Rows: a null text has size 0; a null source is a source, last in order. Rows of equal doc_id, source and text are
+one unit: of n such rows with probability p, floor(n p) get their extra copy and one fractional unit is left to
+the sampling, so repeated rows cost no balance. A source without words keeps each row once, for 0 words. A doc_id of any type is
+carried as text. An empty table gives no rows. Other columns pass through in `mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from scrollmill.llm.common import keep, table
 
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 CHUNK, SHRINK = 4096, 8
+#: Rows of one unit that one task answers at once.
+PIECE = 100_000
 #: Up to so many sources their targets are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -100,62 +103,105 @@ def land(pi: list[float], words: list[float], docs: list[float], owed: float) ->
 def _round(level: int, last: bool):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         # Large documents settle first, so that small ones are left to land.
-        frame = frame.assign(order=[xxhash.xxh64_intdigest(f"{d}|{s}") for d, s in zip(frame["doc_id"], frame["size"])], band=-frame["size"].map(lambda x: int(x).bit_length()))
-        frame = frame.sort_values(["band", "order", "doc_id", "size"], kind="stable")
-        docs = [float(x) for x in frame["n_rows"]]
-        words = [float(s) * n for s, n in zip(frame["size"], docs)]
+        frame = frame.assign(order=[xxhash.xxh64_intdigest(f"{d}|{h}") for d, h in zip(frame["id"], frame["hash"])], band=-frame["size"].map(lambda x: int(x).bit_length()))
+        frame = frame.sort_values(["band", "order", "id", "hash"], kind="stable")
+        words, docs = frame["size"].astype(float).tolist(), [1.0] * len(frame)
         pi = flight(frame["pi"].tolist(), words, docs, random.Random(xxhash.xxh64_intdigest(f"{key[0]!r}|{key[1]}|{level}")))
-        return frame.drop(columns=["order", "band", "chunk"]).assign(pi=land(pi, words, docs, 0.0) if last else pi)
+        return frame[["id", "source", "hash", "size"]].assign(pi=land(pi, words, docs, 0.0) if last else pi)
 
     return run
 
 
-def copies(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, source, size, n_rows, source_size, target) with `copies`, how often each of its rows is taken."""
-    ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size"))).otherwise(1.0)
-    state = units.withColumn("base", F.floor(ratio + 1e-12).cast("long")).withColumn("pi", F.greatest(F.lit(0.0), ratio - F.col("base")))
-    state = keep(state.withColumn("pi", F.when(F.col("pi") < 1e-9, 0.0).otherwise(F.col("pi"))), "units")
+UNIT = ["id", "source", "hash"]
+
+
+def same_unit(left: str, right: str):
+    """Whether the rows of two aliases are of one unit; ids and sources may be null."""
+    a, b = F.col(f"{left}.id"), F.col(f"{right}.id")
+    c, d = F.col(f"{left}.source"), F.col(f"{right}.source")
+    return (F.col(f"{left}.hash") == F.col(f"{right}.hash")) & a.eqNullSafe(b) & c.eqNullSafe(d)
+
+
+def sampled(state: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(id, source, hash, pi) of units (id, source, hash, size, pi) with 0 < pi < 1: pi moved to 0 or 1."""
     moving = (F.col("pi") > 0) & (F.col("pi") < 1)
-    done, n, level = [state.filter(~moving)], None, 0
+    n, level, done = None, 0, []
     while True:
         open_ = state.filter(moving)
         rest = open_.count()
-        n = max(1, math.ceil(rest / chunk)) if n is None else max(1, min(math.ceil(rest / chunk), n // SHRINK))
         if not rest:
             break
-        grouped = open_.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(n)).cast("long")).groupBy("source", "chunk")
-        state = keep(grouped.applyInPandas(_round(level, n == 1), "doc_id long, source string, size long, n_rows long, source_size long, target double, base long, pi double"), "flight")
+        n = max(1, math.ceil(rest / chunk)) if n is None else max(1, min(math.ceil(rest / chunk), n // SHRINK))
+        grouped = open_.withColumn("chunk", F.pmod(F.xxhash64("id", "hash", F.lit(level)), F.lit(n)).cast("long")).groupBy("source", "chunk")
+        state = keep(grouped.applyInPandas(_round(level, n == 1), "id string, source string, hash long, size long, pi double"), "flight")
         done.append(state.filter(~moving))
         if n == 1:
             break
         level += 1
-    out = done[0]
+    out = state.filter(~moving) if not done else done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "n_rows", "source_size", "target", (F.col("base") + F.col("pi").cast("long")).alias("copies"))
+    return out.select(*UNIT, "pi")
+
+
+def copies(units: DataFrame) -> DataFrame:
+    """`units` (id, source, hash, size, n, source_size, target) with `base`, how often each of its n rows is taken, and `extra`, how many of them once more."""
+    ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size"))).otherwise(1.0)
+    state = units.withColumn("base", F.floor(ratio + 1e-12).cast("long")).withColumn("part", F.greatest(F.lit(0.0), ratio - F.col("base")) * F.col("n"))
+    state = state.withColumn("whole", F.floor(F.col("part") + 1e-9).cast("long")).withColumn("pi", F.col("part") - F.col("whole"))
+    state = keep(state.withColumn("pi", F.when(F.col("pi") < 1e-9, 0.0).otherwise(F.col("pi"))).drop("part"), "units")
+    settled = sampled(state.filter("pi > 0").select(*UNIT, "size", "pi")).filter("pi > 0.5")
+    more = state.alias("u").join(settled.alias("s"), same_unit("u", "s"), "left")
+    extra = F.col("u.whole") + F.col("s.hash").isNotNull().cast("long")
+    return more.select("u.*", extra.alias("extra")).drop("whole", "pi")
+
+
+def unit_columns(docs: DataFrame) -> list:
+    """id, source, hash and size of the rows of `docs` (doc_id, text, source)."""
+    return [F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source"), F.xxhash64("text").alias("hash"), word_count("text").alias("size")]
 
 
 def plan_mix(docs: DataFrame) -> DataFrame:
-    """The units of `docs` (doc_id, text, source) with their targets and copies; texts are only counted."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
-    units = keep(narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")), "sized")
-    targets = keep(source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"))), "targets")
+    """The units of `docs` (doc_id, text, source) with their targets and copies; texts are only counted and hashed."""
+    units = keep(docs.select(*unit_columns(docs)).groupBy(*UNIT, "size").agg(F.count("*").alias("n")), "sized")
+    targets = keep(source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
     side = targets.withColumnRenamed("source", "_source")
     if targets.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
-    joined = units.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return copies(joined.select("doc_id", "source", "size", "n_rows", "source_size", "target"))
+    return copies(units.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    rows = mix.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # A unit of many rows is dealt in pieces of bounded size.
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE).cast("long")))
+    pieces = plan_mix(docs).withColumn("piece", piece)
+    rows = pieces.withColumn("row", F.explode(F.sequence(F.col("piece") * PIECE + 1, F.least(F.col("n"), (F.col("piece") + 1) * PIECE))))
+    taken = F.col("size") * (F.col("base") + (F.col("row") <= F.col("extra")).cast("long"))
+    return rows.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
+
+
+def ranked_rows(rows: DataFrame) -> DataFrame:
+    """`rows` (row, id, source, hash, key, ...) with `rank`, a row's place in its unit by key, from 1; no unit is gathered in one task."""
+    order = ["hash", "id", "source", "key"]
+    placed = rows.withColumn("place", F.pmod(F.monotonically_increasing_id(), F.lit(1024))).repartitionByRange(*order, "place")
+    placed = keep(placed.drop("place").withColumn("part", F.spark_partition_id()), "contested")
+    held = placed.groupBy(*UNIT, "part").agg(F.count("*").alias("held"))
+    before = held.withColumn("before", F.sum("held").over(Window.partitionBy(*UNIT).orderBy("part")) - F.col("held"))
+    own = placed.withColumn("own", F.row_number().over(Window.partitionBy("part", *UNIT).orderBy("key")))
+    both = own.alias("r").join(before.alias("b"), same_unit("r", "b") & (F.col("r.part") == F.col("b.part")))
+    return both.select("r.*", (F.col("r.own") + F.col("b.before")).alias("rank"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with each row as often as the mix takes it, 0, 1 or 2 times."""
-    mix = plan_mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).filter("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count("text") == F.col("_size"))
-    taken = docs.join(mix, same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` with each row as often as the mix takes it, 0, 1 or 2 times; of equal units the rows of the smallest hashes are taken once more."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    mix = plan_mix(docs.select("doc_id", "source", "text")).filter("base > 0 or extra > 0").select(*UNIT, "n", "base", "extra")
+    spot = docs.select(F.struct(*columns).alias("row"), *unit_columns(docs)[:3], F.xxhash64(*columns).alias("key"))
+    joined = spot.alias("d").join(mix.alias("m"), same_unit("d", "m")).select("d.*", "m.n", "m.base", "m.extra")
+    split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
+    plain = joined.filter(~split).select("row", (F.col("base") + (F.col("extra") > 0).cast("long")).alias("copies"))
+    some = ranked_rows(joined.filter(split)).select("row", (F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")).alias("copies"))
+    taken = plain.unionByName(some) if mix.filter(split).limit(1).count() else plain
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return taken.filter("copies > 0").select("row", copy).select("row.*")

@@ -75,3 +75,47 @@ def test_flight_keeps_both_totals():
     out = mx.flight(pi, words, docs, rng)
     assert sum(0 < p < 1 for p in out) <= 2
     assert abs(sum(w * (o - p) for w, o, p in zip(words, out, pi))) < 1e-3 and abs(sum(d * (o - p) for d, o, p in zip(docs, out, pi))) < 1e-5
+
+
+def total(rows):
+    return sum(r["count"] * r["size"] for r in rows)
+
+
+def test_large_ids_beside_null_ids(spark, tmp_path):
+    """60 ids from 2**53 + 1 and a null one: exactly these come back, and the mix meets the target."""
+    docs = [(2**53 + 1 + i, "s", " ".join(["w"] * (1 + i % 7)), "en") for i in range(60)] + [(None, "s", "a b c", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mx.op10_mix_sources(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, *_ in docs)
+    words = sum(len(t.split()) for _, _, t, _ in docs)
+    assert abs(sum(r.taken for r in got) - 1.5 * words) <= 7
+    kept = mx.mix_documents(df).collect()
+    assert abs(sum(len(r.text.split()) for r in kept) - 1.5 * words) <= 7
+    assert {(r.doc_id, r.text) for r in kept} <= {(d, t) for d, _, t, _ in docs}
+
+
+def test_repeated_rows_meet_the_target_within_a_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mx, "PIECE", 64)
+    docs = [(5, "s", "four words in it", i % 3) for i in range(1000)] + [(None, "s", f"some more words {i}", 0) for i in range(300)] + [(8, "t", "x y", 0)] * 7
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string, other int").repartition(5)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {"s": 4 * 1300, "t": 14}
+    want = targets(sizes)
+    got = mx.op10_mix_sources(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) and all(r.taken in (0, r.size, 2 * r.size) for r in got)
+    for s in sizes:
+        assert abs(sum(r.taken for r in got if r.source_size == sizes[s]) - want[s]) <= 4
+    kept = mx.mix_documents(df).groupBy("doc_id", "source", "other").count().collect()
+    assert abs(sum(r["count"] * 4 for r in kept if r.source == "s") - want["s"]) <= 4
+    again = mx.mix_documents(df.repartition(3)).groupBy("doc_id", "source", "other").count().collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
+def test_ids_of_text_and_clashing_names(spark):
+    names = ["_id", "_source", "_size", "_copies", "_copy", "row", "id", "hash", "size", "n", "base", "extra", "key", "part", "rank"]
+    docs = [(f"d{i}", "ab"[i % 2], "one two three", *[i] * len(names)) for i in range(40)] + [("d1", "b", "one two three", *[9] * len(names))] * 3
+    df = spark.createDataFrame(docs, ["doc_id", "source", "text", *names])
+    left = mx.mix_documents(df)
+    assert left.columns == df.columns and left.dtypes == df.dtypes
+    assert set(map(tuple, left.collect())) <= set(docs) and abs(left.count() * 3 - 1.5 * 3 * 43) <= 9
