@@ -6,22 +6,27 @@ All times are ISO strings of fixed width, so they compare as text.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, fields
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONVERSATIONS = "conv_key string, source_id string, source_label string, upstream_id string, title string, started_at string, updated_at string, metadata map<string,string>"
 MESSAGES = "conv_key string, source_id string, ord long, upstream_id string, role string, created_at string, updated_at string, text string, thinking string, model_id string, upstream_ids array<string>, attachments array<string>, citations array<string>, media array<string>, evidence_uri string"
-EVIDENCE = "conv_key string, source_id string, ord long, uri string, content string"
+EVIDENCE = "conv_key string, source_id string, ord long, uri string, content string, metadata string"
 DIAGNOSTICS = "source_id string, severity string, code string, message string, evidence_ref string"
+#: What an import knows of its sources as a whole.
+FACTS = "source_id string, label string, confidence string, confidence_reason string, cursor string, schema_fingerprint string, source_version string"
 
 STORE = {
     "conversations": "id string, source_id string, source_label string, upstream_id string, signature string, url string, title string, started_at string, updated_at string, message_count long, evidence_refs array<string>, metadata map<string,string>",
     "messages": "message_id string, conversation_id string, source_id string, upstream_id string, role string, created_at string, updated_at string, text string, thinking string, model_id string, upstream_ids array<string>, attachments array<string>, citations array<string>, media array<string>, evidence_id string",
-    "evidence": "evidence_id string, source_id string, uri string, content string, content_hash string, created_at string",
+    "evidence": "evidence_id string, source_id string, uri string, content string, content_hash string, metadata string, created_at string",
     "diagnostics": "id string, source_id string, severity string, code string, message string, evidence_ref string, created_at string",
-    "status": "source_id string, label string, health string, last_import_at string, conversations long, messages long, evidence long",
+    "status": "source_id string, label string, health string, confidence string, confidence_reason string, last_import_at string, conversations long, messages long, evidence long, cursor string, schema_fingerprint string, source_version string",
 }
 
 
@@ -34,19 +39,52 @@ def shaped(df: DataFrame, ddl: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new folder that driver and executors share: under the checkpoint folder, or else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share: under the checkpoint folder, or else, on one machine, the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, kind: str) -> DataFrame:
     """Cut lineage with a written table: later steps read it instead of planning and running all before them again."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_all(**frames: DataFrame) -> dict[str, DataFrame]:
+    """Cut several frames at once; their jobs share the cluster."""
+    spark = next(iter(frames.values())).sparkSession
+    with ThreadPoolExecutor(len(frames)) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(cut), df, name) for name, df in frames.items()}
+        return {name: r.result() for name, r in running.items()}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that `cut` writes inside are deleted at the end, when what was made of them is written elsewhere."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            delete(spark, path)
+        del _written[before:]
+
+
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], ddl)
 
@@ -59,15 +97,17 @@ class Batch:
     messages: DataFrame
     evidence: DataFrame
     diagnostics: DataFrame
+    facts: DataFrame
 
     @staticmethod
-    def of(conversations: DataFrame, messages: DataFrame, evidence: DataFrame | None = None, diagnostics: DataFrame | None = None) -> Batch:
+    def of(conversations: DataFrame, messages: DataFrame, evidence: DataFrame | None = None, diagnostics: DataFrame | None = None, facts: DataFrame | None = None) -> Batch:
         spark = conversations.sparkSession
         return Batch(
             shaped(conversations, CONVERSATIONS),
             shaped(messages, MESSAGES),
             shaped(evidence, EVIDENCE) if evidence is not None else empty(spark, EVIDENCE),
             shaped(diagnostics, DIAGNOSTICS) if diagnostics is not None else empty(spark, DIAGNOSTICS),
+            shaped(facts, FACTS) if facts is not None else empty(spark, FACTS),
         )
 
     def union(self, other: Batch) -> Batch:

@@ -1,35 +1,146 @@
-"""Store on disk, snapshots and nested backups."""
+"""Store on disk, snapshots and nested backups.
+
+A store folder holds numbered versions. The manifest of a version lists its parts: a first part with whole tables and
+later ones with what a merge changed, so a merge writes the conversations it touches and no others. A row counts
+unless a later part holds or removes its conversation (evidence and diagnostics: clears its source).
+"""
 
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrollmill.operators.batch import STORE, Store
+from scrollmill.operators.batch import STORE, Store, delete, empty
+from scrollmill.operators.windows import keep_first
 
 PARTITIONED = ("conversations", "messages", "evidence")
+#: A version of so many parts is written whole again.
+MOST_PARTS = 24
+#: Up to so many touched conversations are broadcast to a read; of more they are joined by shuffle.
+BROADCAST_TOUCHED = 200_000
+BACKUP = {"format": "scrollmill.backup", "schema_version": 1}
 
 
-def write_store(store: Store, path: str) -> str:
-    """Write all tables to a new version, then name it in the manifest: readers see all of it or none. Returns the version."""
-    spark = store.conversations.sparkSession
-    version = uuid.uuid4().hex
-    for f in fields(store):
-        writer = getattr(store, f.name).write
-        (writer.partitionBy("source_id") if f.name in PARTITIONED else writer).parquet(f"{path}/{version}/{f.name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-    return version
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(number, parts) of all versions; PATH_NOT_FOUND where there is no store."""
+    return spark.read.schema("parts array<string>, number long").parquet(f"{path}/manifest")
+
+
+def latest_number(spark: SparkSession, path: str) -> int | None:
+    return manifests(spark, path).agg(F.max("number")).first()[0] if exists(spark, f"{path}/manifest") else None
+
+
+def parts_of(spark: SparkSession, path: str, version: int | None = None) -> list[str]:
+    """The parts of a version (the latest), first to last."""
+    rows = manifests(spark, path)
+    number = latest_number(spark, path) if version is None else int(version)
+    return rows.filter(F.col("number") == number).first().parts
+
+
+def write_part(spark: SparkSession, path: str, tables: dict[str, DataFrame], before: list[str]) -> int:
+    """Write tables as a part, then name it in a new manifest: readers see all of it or none. A second writer of the same number fails."""
+    number = (latest_number(spark, path) or 0) + 1
+    part = f"part-{number:012d}-{uuid.uuid4().hex}"
+
+    def put(name: str, df: DataFrame) -> None:
+        writer = df.write
+        (writer.partitionBy("source_id") if name in PARTITIONED else writer).parquet(f"{path}/{part}/{name}")
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(put), *item) for item in tables.items()]:
+            done.result()
+    spark.createDataFrame([([*before, part],)], "parts array<string>").coalesce(1).write.parquet(f"{path}/manifest/number={number}")
+    return number
+
+
+def write_store(store: Store, path: str) -> int:
+    """Write all tables as a new version; its number."""
+    return write_part(store.conversations.sparkSession, path, {f.name: getattr(store, f.name) for f in fields(store)}, [])
+
+
+def write_change(change, path: str) -> int:
+    """Write what a merge changed as a new version after the latest; its number."""
+    spark = change.conversations.sparkSession
+    names = [*STORE, "gone", "cleared"]
+    parts = parts_of(spark, path) if latest_number(spark, path) is not None else []
+    number = write_part(spark, path, {n: getattr(change, n) for n in names}, parts)
+    if len(parts) + 1 >= MOST_PARTS:
+        number = write_store(read_store(spark, path), path)
+    return number
+
 
+def read_part(spark: SparkSession, path: str, part: str, table: str, ddl: str | None = None) -> DataFrame:
+    """A table of one part; empty where the part has no such table."""
+    ddl = ddl or STORE[table]
+    return spark.read.schema(ddl).parquet(f"{path}/{part}/{table}") if exists(spark, f"{path}/{part}/{table}") else empty(spark, ddl)
 
-def read_store(spark: SparkSession, path: str, version: str | None = None) -> Store:
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_TOUCHED + 1).count() <= BROADCAST_TOUCHED else df
+
+
+def numbered(spark: SparkSession, path: str, parts: list[str], table: str, ddl: str) -> DataFrame:
+    """The rows of a table in all parts, with `part_no`."""
+    out = None
+    for k, part in enumerate(parts):
+        own = read_part(spark, path, part, table, ddl).withColumn("part_no", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def latest(spark: SparkSession, path: str, parts: list[str], table: str, ddl: str, key: str) -> DataFrame:
+    """The rows of a table that count: those whose conversation (`key`) no later part holds or removes."""
+    rows = numbered(spark, path, parts, table, ddl)
+    if len(parts) == 1:
+        return rows.drop("part_no")
+    ids = numbered(spark, path, parts[1:], "conversations", STORE["conversations"]).select("id", "part_no").union(numbered(spark, path, parts[1:], "gone", "id string").select("id", "part_no"))
+    touched = small(ids.groupBy(F.col("id").alias(key)).agg((F.max("part_no") + 1).alias("touched")))
+    return rows.join(touched, key, "left").filter("touched is null or touched = part_no").drop("touched", "part_no")
+
+
+def uncleared(spark: SparkSession, path: str, parts: list[str], table: str) -> DataFrame:
+    """The rows of a table that no later part clears by their source."""
+    rows = numbered(spark, path, parts, table, STORE[table])
+    if len(parts) == 1:
+        return rows.drop("part_no")
+    cleared = numbered(spark, path, parts[1:], "cleared", "source_id string").groupBy("source_id").agg((F.max("part_no") + 1).alias("cleared"))
+    return rows.join(small(cleared), "source_id", "left").filter("cleared is null or cleared <= part_no").drop("cleared", "part_no")
+
+
+def read_store(spark: SparkSession, path: str, version: int | None = None) -> Store:
     """The latest version of a store (or a given one)."""
-    if version is None:
-        latest = spark.read.parquet(f"{path}/manifest").select("version", "_metadata.file_modification_time").orderBy(F.col("file_modification_time").desc(), "version").first()
-        version = latest.version
-    return Store(**{name: spark.read.schema(ddl).parquet(f"{path}/{version}/{name}") for name, ddl in STORE.items()})
+    parts = parts_of(spark, path, version)
+    by_id = {t: latest(spark, path, parts, t, STORE[t], key).select(*read_columns(t)) for t, key in (("conversations", "id"), ("messages", "conversation_id"))}
+    diagnostics = uncleared(spark, path, parts, "diagnostics").select(*read_columns("diagnostics"))
+    if len(parts) > 1:
+        diagnostics = keep_first(diagnostics, ["id"], [F.col("created_at").desc()])
+    return Store(by_id["conversations"], by_id["messages"], uncleared(spark, path, parts, "evidence").select(*read_columns("evidence")), diagnostics, read_part(spark, path, parts[-1], "status"))
+
+
+def read_columns(table: str) -> list[str]:
+    return [c.split()[0] for c in STORE[table].replace("map<string,string>", "map").split(", ")]
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete the manifests of all but the newest versions and the parts that only they list; the parts deleted."""
+    rows = sorted(((r.number, r.parts) for r in manifests(spark, path).collect()), reverse=True)  # a row for each version
+    live = {p for _, parts in rows[:keep] for p in parts}
+    dead = sorted({p for _, parts in rows[keep:] for p in parts} - live)
+    for number, _ in rows[keep:]:
+        delete(spark, f"{path}/manifest/number={number}")
+    for part in dead:
+        delete(spark, f"{path}/{part}")
+    return dead
 
 
 def write_snapshot(store: Store, path: str) -> DataFrame:
@@ -46,21 +157,41 @@ def nest_conversations(conversations: DataFrame, messages: DataFrame) -> DataFra
     return conversations.join(nested.withColumnRenamed("conversation_id", "id"), "id", "left")
 
 
+def table_mark(df: DataFrame) -> str:
+    """SHA-256 over order-free sums of two hashes of all rows, and their number."""
+    cells = [F.to_json(F.struct("*"))]
+    r = df.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), *cells).cast("decimal(38,0)")) for k in (1, 2)]).first()
+    return df.sparkSession.range(1).select(F.sha2(F.lit("/".join(str(x or 0) for x in r)), 256)).first()[0]
+
+
 def backup_counts(store: Store) -> DataFrame:
-    """One row: counts of the tables, and a checksum of the messages that no order changes."""
+    """One row: counts of the five tables, and a SHA-256 of their contents that no order of rows changes."""
     spark = store.conversations.sparkSession
     counts = {f.name: getattr(store, f.name).count() for f in fields(store)}
-    mark = store.messages.agg(F.sum(F.xxhash64("message_id", "text", "thinking").cast("decimal(38,0)"))).first()[0]
-    return spark.createDataFrame([(*counts.values(), str(mark or 0))], ", ".join(f"{n} long" for n in counts) + ", checksum string")
+    marks = ",".join(f"{f.name}:{table_mark(getattr(store, f.name))}" for f in fields(store))
+    return spark.createDataFrame([(*counts.values(), marks)], ", ".join(f"{n} long" for n in counts) + ", marks string").select(*counts, F.sha2("marks", 256).alias("checksum"))
 
 
 def write_backup(store: Store, path: str, exported_at: str, fmt: str = "json") -> DataFrame:
-    """A sharded backup, one JSON line per conversation (newest first in each shard) beside the other tables; or a table snapshot."""
+    """A backup in sharded JSON lines, or a table snapshot; returns its counts.
+
+    The shards of `conversations` (each with its messages) are ranges by falling time, so they read newest first in order of
+    their names; evidence is in order of (created_at, id), diagnostics by falling time. `header` has the format, its version,
+    the time, the counts and the checksum, `sources` the status of all sources.
+    """
     if fmt == "snapshot":
         return write_snapshot(store, path)
     if fmt != "json":
         raise ValueError("a backup is json or snapshot")
-    nest_conversations(store.conversations, store.messages).withColumn("exported_at", F.lit(exported_at)).sortWithinPartitions(F.col("updated_at").desc()).write.json(f"{path}/conversations")
-    for name in ("status", "evidence", "diagnostics"):
-        getattr(store, name).write.json(f"{path}/{name}")
-    return backup_counts(store)
+
+    def put(rows: DataFrame, name: str, *order) -> None:
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.json(f"{path}/{name}")
+
+    put(nest_conversations(store.conversations, store.messages), "conversations", F.col("updated_at").desc(), F.col("id"))
+    put(store.evidence, "evidence", F.col("created_at"), F.col("evidence_id"))
+    put(store.diagnostics, "diagnostics", F.col("created_at").desc(), F.col("id"))
+    put(store.status, "sources", F.col("source_id"))
+    counts = backup_counts(store)
+    header = {**BACKUP, "exported_at": exported_at}
+    counts.select(*[F.lit(v).alias(k) for k, v in header.items()], "*").coalesce(1).write.json(f"{path}/header")
+    return counts

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrollmill.functions.ids import UNIT, content_hash, conversation_id, message_id, stable_id
 from scrollmill.functions.urls import aliases
-from scrollmill.operators.batch import STORE, Batch, Store, cut, shaped
+from scrollmill.operators.batch import STORE, Batch, Store, cut, cut_all, empty, shaped
+from scrollmill.operators.status import roll_up_status
 from scrollmill.operators.windows import keep_first
 
 LISTS = ("upstream_ids", "attachments", "citations", "media")
@@ -114,11 +117,6 @@ def link_evidence(messages: DataFrame, evidence: DataFrame) -> DataFrame:
     return messages.join(side, ["batch_key", "evidence_uri"], "left")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows whose key is not among the new, and the new rows."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
 def upsert_diagnostics(old: DataFrame, new: DataFrame, at: str, clear_sources: DataFrame | None = None) -> DataFrame:
     """Diagnostics by content id, the newest kept; sources in `clear_sources` lose their old ones first."""
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -129,13 +127,27 @@ def upsert_diagnostics(old: DataFrame, new: DataFrame, at: str, clear_sources: D
     return keep_first(old.unionByName(fresh), ["id"], [F.col("created_at").desc()])
 
 
-def prune_missing(store: DataFrame, keep: DataFrame, sources: DataFrame) -> DataFrame:
-    """Stored conversations of `sources` that are not in `keep` (id) go; other sources stay."""
-    return store.join(sources, "source_id", "left_anti").unionByName(store.join(sources, "source_id", "left_semi").join(keep, "id", "left_semi"))
+def missing(store: DataFrame, keep: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id) of the stored conversations of `sources` that are not in `keep` (id)."""
+    return store.join(sources, "source_id", "left_semi").join(keep, "id", "left_anti").select("id")
 
 
-def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1970-01-01T00:00:00.000Z") -> Store:
-    """A new store with a batch merged in.
+@dataclass
+class Change:
+    """What a merge does to a store: whole rows of the conversations it touches, ids that go, new evidence and diagnostics,
+    sources whose old evidence and diagnostics go, and the status after it."""
+
+    conversations: DataFrame
+    messages: DataFrame
+    gone: DataFrame
+    evidence: DataFrame
+    diagnostics: DataFrame
+    cleared: DataFrame
+    status: DataFrame
+
+
+def merge_change(store: Store, batch: Batch, scope: str = "partial", at: str = "1970-01-01T00:00:00.000Z") -> Change:
+    """What merging a batch changes; of the store only rows of conversations that the batch meets are read whole.
 
     full: the sources of the batch lose what it does not hold (unless it has an error diagnostic), their evidence and
     diagnostics. partial: messages of the stored conversation and its exact duplicates come first, times widen.
@@ -143,15 +155,15 @@ def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1
     """
     if scope not in ("full", "partial"):
         raise ValueError("scope is full or partial")
-    batch = Batch(*[cut(getattr(batch, n), "batch") for n in ("conversations", "messages", "evidence", "diagnostics")])
+    batch = Batch(**cut_all(**{f.name: getattr(batch, f.name) for f in fields(Batch)}))
     conversations, incoming, evidence = merge_batch_conversations(batch)
-    conversations, incoming, evidence = cut(conversations, "incoming"), cut(incoming, "incoming"), cut(evidence, "incoming")
-    resolved = cut(resolve_ids(conversations, store.conversations), "resolved")
-    doubles = cut(duplicate_ids(conversations, store.conversations, resolved), "doubles")
-    conversations = cut(conversations.join(resolved, "batch_key"), "incoming")
-    # Two rows of one batch may resolve to one stored id: the later (by conv_key) gives the body.
+    conversations = cut(conversations.join(resolve_ids(conversations, store.conversations), "batch_key"), "incoming")
     target = conversations.select("batch_key", "conversation_id")
+    doubles = duplicate_ids(conversations.drop("conversation_id", "match"), store.conversations, target)
     evidence = evidence.withColumn("content_hash", content_hash("content")).withColumn("evidence_id", stable_id("raw", "source_id", "content_hash"))
+    both = cut_all(doubles=doubles, evidence=evidence)
+    doubles, evidence = both["doubles"], both["evidence"]
+    # Two rows of one batch may resolve to one stored id: the later (by conv_key) gives the body.
     fresh = link_evidence(incoming, evidence).join(target, "batch_key").drop("batch_key", "evidence_uri")
     cols = [c for c in fresh.columns if c not in ("conversation_id", "ord")]
     if scope == "partial":
@@ -160,7 +172,7 @@ def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1
         held = held.withColumn("ord", F.struct(F.lit(0).alias("side"), F.concat(F.col("created_at"), F.lit(UNIT), F.col("message_id")).alias("conv"), F.lit(0).cast("long").alias("at"))).withColumn("evidence_id", F.lit(None).cast("string"))
         fresh = fresh.select("conversation_id", "ord", *cols).unionByName(held.select("conversation_id", "ord", *cols))
         times = store.conversations.select(F.col("id").alias("old_id"), F.col("started_at").alias("s"), F.col("updated_at").alias("u")).join(exact, "old_id").groupBy("conversation_id").agg(F.min("s").alias("s"), F.max("u").alias("u"))
-    merged = cut(merge_messages(fresh.select("conversation_id", "ord", *cols), "conversation_id"), "merged")
+    merged = merge_messages(fresh.select("conversation_id", "ord", *cols), "conversation_id")
     body = conversations.groupBy("conversation_id").agg(F.max_by(F.struct("source_id", "source_label", "upstream_id", "signature", "url", "title", "metadata"), "conv_key").alias("b"), F.min("started_at").alias("started_at"), F.max("updated_at").alias("updated_at"))
     body = body.select("conversation_id", "b.*", "started_at", "updated_at")
     if scope == "partial":
@@ -172,22 +184,35 @@ def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1
     counts = messages.groupBy("conversation_id").agg(F.count("*").alias("message_count"))
     refs = evidence.join(target, "batch_key").groupBy("conversation_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_refs"))
     rows = body.join(counts, "conversation_id", "left").join(refs, "conversation_id", "left").withColumnRenamed("conversation_id", "id")
-    rows = cut(shaped(rows.withColumn("message_count", F.coalesce("message_count", F.lit(0))).withColumn("evidence_refs", F.coalesce("evidence_refs", F.expr("cast(array() as array<string>)"))), STORE["conversations"]), "rows")
-
-    gone = doubles.select(F.col("duplicate_id").alias("id")).join(rows.select("id"), "id", "left_anti").distinct()
-    kept = store.conversations.join(gone, "id", "left_anti")
-    sources = batch.conversations.select("source_id").union(batch.diagnostics.select("source_id")).filter("source_id is not null").distinct()
-    cleared = None
+    rows = shaped(rows.withColumn("message_count", F.coalesce("message_count", F.lit(0))).withColumn("evidence_refs", F.coalesce("evidence_refs", F.expr("cast(array() as array<string>)"))), STORE["conversations"])
+    ids = conversations.select(F.col("conversation_id").alias("id")).distinct()
+    gone = doubles.select(F.col("duplicate_id").alias("id")).join(ids, "id", "left_anti")
+    sources = batch.conversations.select("source_id").union(batch.diagnostics.select("source_id")).union(batch.facts.select("source_id")).filter("source_id is not null").distinct()
+    cleared = sources.limit(0)
     if scope == "full":
         failed = batch.diagnostics.filter("severity = 'error'").select("source_id").distinct()
-        kept = prune_missing(kept, rows.select("id"), sources.join(failed, "source_id", "left_anti"))
-        cleared = sources
-    every = cut(upsert(kept, rows, "id"), "conversations")
-    left = store.messages.join(every.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
-    old_evidence = store.evidence if cleared is None else store.evidence.join(cleared, "source_id", "left_anti")
+        gone, cleared = gone.union(missing(store.conversations, ids, sources.join(failed, "source_id", "left_anti"))), sources
+    old_evidence = store.evidence if scope == "partial" else store.evidence.join(cleared, "source_id", "left_anti")
     new_evidence = shaped(keep_first(evidence, ["evidence_id"], ["uri"]).withColumn("created_at", F.lit(at)), STORE["evidence"]).join(old_evidence.select("evidence_id"), "evidence_id", "left_anti")
-    out = Store(every, cut(upsert(left, messages, "conversation_id"), "messages"), old_evidence.unionByName(new_evidence), upsert_diagnostics(store.diagnostics, batch.diagnostics, at, cleared), store.status)
-    from scrollmill.operators.status import roll_up_status
+    told = upsert_diagnostics(empty(store.status.sparkSession, STORE["diagnostics"]), batch.diagnostics, at)
+    done = cut_all(rows=rows, gone=gone.distinct(), new_evidence=new_evidence, told=told, cleared=cleared)
+    change = Change(done["rows"], messages, done["gone"], done["new_evidence"], done["told"], done["cleared"], store.status)
+    change.status = roll_up_status(store.status, store, batch, change, scope, at)
+    return change
+
+
+def apply_change(store: Store, change: Change) -> Store:
+    """A store after a change: untouched rows stay as they are."""
+    touched = change.conversations.select("id").union(change.gone).distinct()
+    return Store(
+        store.conversations.join(touched, "id", "left_anti").unionByName(change.conversations),
+        store.messages.join(touched.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_anti").unionByName(change.messages),
+        store.evidence.join(change.cleared, "source_id", "left_anti").unionByName(change.evidence),
+        keep_first(store.diagnostics.join(change.cleared, "source_id", "left_anti").unionByName(change.diagnostics), ["id"], [F.col("created_at").desc()]),
+        change.status,
+    )
+
 
-    out.status = roll_up_status(store.status, out, batch, scope, at)
-    return out
+def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1970-01-01T00:00:00.000Z") -> Store:
+    """A new store with a batch merged in; see `merge_change`."""
+    return apply_change(store, merge_change(store, batch, scope, at))

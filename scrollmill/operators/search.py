@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrollmill.functions.text import TOKEN, ascii_lower, fold, query_terms, search_text, snippet
 from scrollmill.functions.urls import conversation_uri
+from scrollmill.operators import export
 from scrollmill.operators.batch import cut
 from scrollmill.operators.recall import filter_local_day, filter_source
 from scrollmill.operators.windows import top_n
 
 DEFAULT, MOST, WIDEN = 10, 50, 5
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Up to so many distinct query tokens are broadcast to the postings scan.
+#: Up to so many query tokens, or rows for each query, are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 100_000
+#: Queries that one scan of the messages tests by substrings.
+QUERY_BLOCK = 100
 
 
 def clamp_limit(value) -> int:
@@ -29,7 +34,7 @@ def clamp_limit(value) -> int:
 
 @dataclass
 class Index:
-    """postings (token, message_id, col, tf, positions), lengths (message_id, dl)."""
+    """postings (token, message_id, conversation_id, col, tf, positions), lengths (message_id, conversation_id, dl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -40,30 +45,21 @@ class Index:
     def token_df(self) -> DataFrame:
         return self.postings.groupBy("token").agg(F.count_distinct("message_id").alias("df"))
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Parquet, clustered by token so that a query's tokens prune row groups."""
-        self.postings.repartitionByRange(buckets, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
-    @staticmethod
-    def read(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
-
-
-ENTRY = "token string, message_id string, col int, tf long, positions array<int>"
+ENTRY = "token string, message_id string, conversation_id string, col int, tf long, positions array<int>"
 
 
 def index_rows(batches):
-    """Arrow batches of (message_id, title, body) to postings; a row's length is an entry without a token."""
+    """Arrow batches of (message_id, conversation_id, title, body) to postings; a row's length is an entry without a token."""
     import pyarrow as pa
 
     find = _token_pattern().findall
-    names = ["token", "message_id", "col", "tf", "positions"]
+    names = ["token", "message_id", "conversation_id", "col", "tf", "positions"]
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            token, key, column, tf, positions = [], [], [], [], []
-            for message, *texts in zip(*[c.to_pylist() for c in part.columns]):
+            token, key, owner, column, tf, positions = [], [], [], [], [], []
+            for message, conversation, *texts in zip(*[c.to_pylist() for c in part.columns]):
                 total = 0
                 for n, text in enumerate(texts):
                     places: dict[str, list[int]] = {}
@@ -73,12 +69,13 @@ def index_rows(batches):
                     token += places
                     positions += places.values()
                     key += [message] * len(places)
+                    owner += [conversation] * len(places)
                     column += [n] * len(places)
                     tf += map(len, places.values())
-                for values, value in ((token, None), (key, message), (column, None), (tf, total), (positions, None)):
+                for values, value in ((token, None), (key, message), (owner, conversation), (column, None), (tf, total), (positions, None)):
                     values.append(value)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((token, key, column, tf, positions), kinds)], names=names)
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((token, key, owner, column, tf, positions), kinds)], names=names)
 
 
 def _token_pattern():
@@ -87,14 +84,34 @@ def _token_pattern():
     return regex.compile(TOKEN)
 
 
+def index_entries(rows: DataFrame) -> DataFrame:
+    """Entries of (message_id, conversation_id, title, text, thinking): a row's tokens are counted where it lies, so nothing is shuffled."""
+    owner = F.col("conversation_id") if "conversation_id" in rows.columns else F.lit(None)
+    flat = rows.select(F.col("message_id").cast("string").alias("message_id"), owner.cast("string").alias("conversation_id"), "title", search_text().alias("body"))
+    return flat.mapInArrow(index_rows, ENTRY)
+
+
+def as_index(entries: DataFrame) -> Index:
+    return Index(entries.filter("token is not null"), entries.filter("token is null").select("message_id", "conversation_id", F.col("tf").alias("dl")))
+
+
 def build_index(rows: DataFrame) -> Index:
-    """From (message_id, title, text, thinking): one full-text row per message, its title repeated in it.
+    """From (message_id, conversation_id, title, text, thinking): one full-text row per message, its title repeated in it.
 
-    A row's tokens are counted where it lies, so nothing is shuffled; the entries are written once and read by every use.
+    The entries are written once and read by every use.
     """
-    flat = rows.select(F.col("message_id").cast("string").alias("message_id"), "title", search_text().alias("body"))
-    entries = cut(flat.mapInArrow(index_rows, ENTRY), "index")
-    return Index(entries.filter("token is not null"), entries.filter("token is null").select("message_id", F.col("tf").alias("dl")))
+    return as_index(cut(index_entries(rows), "index"))
+
+
+def store_index(spark: SparkSession, path: str) -> Index:
+    """The index that lies beside a store; parts of the store that have none yet are indexed now, other parts are left as they are."""
+    parts = export.parts_of(spark, path)
+    for part in parts:
+        if not export.exists(spark, f"{path}/{part}/index/_SUCCESS"):
+            own = export.read_part(spark, path, part, "messages").join(export.read_part(spark, path, part, "conversations").select(F.col("id").alias("conversation_id"), "title"), "conversation_id")
+            # By token, so that a query's tokens prune row groups.
+            index_entries(own).repartitionByRange("token", "message_id").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/{part}/index")
+    return as_index(export.latest(spark, path, parts, "index", ENTRY, "conversation_id"))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -106,11 +123,15 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "query_id long, term_no int, term string, parts array<string>")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has BROADCAST_TERMS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+
+
 def phrase_hits(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, term_no, message_id, freq): rows that hold a phrase; its tokens stand side by side in one column."""
     wanted = terms.select("query_id", "term_no", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "token"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
-    hit = index.postings.join(side, "token")
+    hit = index.postings.join(small(wanted), "token")
     single = hit.filter("n = 1").select("query_id", "term_no", "message_id", "tf")
     # A phrase: shift each token's positions back to the phrase's start and keep what all share.
     starts = hit.filter("n > 1").groupBy("query_id", "term_no", "message_id", "col", "n").agg(F.collect_list(F.struct("k", "positions")).alias("ps"), F.count("*").alias("held"))
@@ -132,10 +153,10 @@ def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     stats = index.stats().first()
     idf = F.ln((F.lit(stats.n_rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("freq") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avg_dl or 1.0))
-    weighed = hits.join(F.broadcast(df), ["query_id", "term_no"]).join(index.lengths, "message_id")
+    weighed = hits.join(df if terms.count() > BROADCAST_TERMS else F.broadcast(df), ["query_id", "term_no"]).join(index.lengths.select("message_id", "dl"), "message_id")  # df has a row for each term
     part = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col("freq") * (K1 + 1) / norm
     scored = weighed.groupBy("query_id", "message_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("n"))
-    return scored.join(F.broadcast(needed), "query_id").filter("n = n_terms").select("query_id", "message_id", "score")
+    return scored.join(small(needed), "query_id").filter("n = n_terms").select("query_id", "message_id", "score")
 
 
 def best_per_conversation(scored: DataFrame, messages: DataFrame, conversations: DataFrame, limit: int) -> DataFrame:
@@ -150,16 +171,18 @@ def best_per_conversation(scored: DataFrame, messages: DataFrame, conversations:
 def substring_matches(messages: DataFrame, conversations: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, rank, conversation_id, message_id): every term in title, text or thinking of one message, ASCII case ignored.
 
-    One scan of the messages for the whole table of queries, which is what is broadcast.
+    One scan of the messages for each QUERY_BLOCK queries, whose terms stand in the scan's own expressions.
     """
-    spark = queries.sparkSession
     asked = [(r.query_id, query_terms(r.query)) for r in queries.select("query_id", "query").collect()]  # the queries a user asks
     asked = [(q, [t.translate({i: i + 32 for i in range(65, 91)}) for t in terms]) for q, terms in asked if terms]
-    terms = spark.createDataFrame(asked, "query_id long, terms array<string>")
     rows = messages.join(conversations.select(F.col("id").alias("conversation_id"), "title", "updated_at"), "conversation_id")
     low = rows.select("conversation_id", "message_id", "created_at", "updated_at", *[ascii_lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("title", "text", "thinking")])
-    held = F.forall("terms", lambda t: F.contains(F.col("title"), t) | F.contains(F.col("text"), t) | F.contains(F.col("thinking"), t))
-    hits = low.join(F.broadcast(terms), held).select("query_id", "conversation_id", "message_id", "created_at", "updated_at")
+    holds = lambda t: F.contains("title", F.lit(t)) | F.contains("text", F.lit(t)) | F.contains("thinking", F.lit(t))
+    hits = low.limit(0).select(F.lit(0).cast("long").alias("query_id"), "conversation_id", "message_id", "created_at", "updated_at")
+    for a in range(0, len(asked), QUERY_BLOCK):
+        block = asked[a : a + QUERY_BLOCK]
+        met = F.array_compact(F.array(*[F.when(reduce(and_, map(holds, terms)), F.lit(q).cast("long")) for q, terms in block]))
+        hits = hits.union(low.select(F.explode(met).alias("query_id"), "conversation_id", "message_id", "created_at", "updated_at"))
     best = hits.withColumn("own", F.row_number().over(Window.partitionBy("query_id", "conversation_id").orderBy(F.col("created_at").desc(), "message_id"))).filter("own = 1")
     return top_n(best, ["query_id"], [F.col("updated_at").desc(), F.col("conversation_id")], limit).select("query_id", "rank", "conversation_id", "message_id")
 
@@ -177,7 +200,7 @@ def search_many(messages: DataFrame, conversations: DataFrame, index: Index, que
 def with_snippets(results: DataFrame, messages: DataFrame, queries: DataFrame) -> DataFrame:
     """Add snippet and uri to results; only result rows reach the helper."""
     texts = messages.join(results.select("message_id").distinct(), "message_id", "left_semi").select("message_id", "text", "thinking")
-    rows = results.join(texts, "message_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    rows = results.join(texts, "message_id").join(small(queries.select("query_id", "query")), "query_id")
     return rows.withColumn("snippet", snippet("text", "thinking", "query")).withColumn("uri", conversation_uri("conversation_id")).drop("text", "thinking", "query")
 
 

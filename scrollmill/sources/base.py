@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -57,23 +58,45 @@ def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def files_signature(files: DataFrame) -> str:
-    """One hash of a file list; the order of files does not matter."""
-    mark = F.sha2(F.concat_ws("\x1f", "path", F.col("length").cast("string"), F.col("modified").cast("string")), 256)
-    rows = files.select(mark.alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256)).first()
-    return rows[0]
+    """One mark of a file list, from sums that no order changes: its number of files and two sums of their hashes."""
+    columns = ["path", "length", F.col("modified").cast("long")]
+    r = files.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), *columns).cast("decimal(38,0)")) for k in (1, 2)]).first()
+    return ":".join(str(x or 0) for x in r)
 
 
-def text_lines(spark: SparkSession, root: str, rule: str = ".*", select: str | None = None) -> DataFrame:
+def files_fingerprint(spark: SparkSession, files: DataFrame, n: int = 20, sample: int = 8192) -> str | None:
+    """A hash of the first `sample` characters of the first `n` files by path; None of no files."""
+    paths = [r.path for r in files.select("path").distinct().orderBy("path").limit(n).collect()]
+    if not paths:
+        return None
+    lines = text_lines(spark, [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]).filter(F.col("line") <= sample)
+    starts = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", F.substring("value", 1, sample).alias("v")))).alias("ls"))
+    starts = starts.select("path", F.substring(F.array_join(F.transform("ls", lambda x: x["v"]), "\n"), 1, sample).alias("start"))
+    whole = starts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "start"))), lambda x: x["start"]), "\n---\n"), 256))
+    return whole.first()[0][:16]
+
+
+#: Up to so many blocks of files their first line numbers are broadcast; of more they are joined by shuffle.
+BROADCAST_BLOCKS = 100_000
+
+
+def text_lines(spark: SparkSession, root: str | list[str], rule: str = ".*", select: str | None = None) -> DataFrame:
     """(path, line, value, modified): non-blank lines of all files with their 1-based numbers, blank lines counted.
 
-    `select` keeps lines by a pattern after numbering. The shuffle is by file; a file's blocks are ordered by their start.
+    `select` keeps lines by a pattern. No line is shuffled: a first pass counts the lines of each block of a file, whose running sums
+    number its blocks; inside a block, which one task reads in order, a line's number follows from the row's own.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("modified"))
-    raw = raw.filter(F.col("path").rlike(rule) & ~F.col("path").rlike(SKIPPED)).withColumn("seq", F.monotonically_increasing_id())
-    numbered = raw.withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy("block", "seq"))).filter(trimmed("value") != "")
+    # Both passes read one listing, so rows have the same ids in both.
+    raw = raw.withColumn("seq", F.monotonically_increasing_id()).filter(F.col("path").rlike(rule) & ~F.col("path").rlike(SKIPPED))
+    counted = raw.groupBy("path", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    blocks = cut(counted.select("path", "block", (before - F.col("first") + 1).alias("shift")), "blocks")
+    side = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    kept = raw.filter(trimmed("value") != "")
     if select:
-        numbered = numbered.filter(F.col("value").rlike(select))
-    return numbered.select("path", "line", "value", "modified")
+        kept = kept.filter(F.col("value").rlike(select))
+    return kept.join(side, ["path", "block"]).select("path", (F.col("seq") + F.col("shift")).cast("int").alias("line"), "value", "modified")
 
 
 def log_files(spark: SparkSession, root: str, rule: str) -> DataFrame:
@@ -90,8 +113,9 @@ def read_jsonl(lines: DataFrame, source_id: str, tail: str | None = None) -> tup
     parsed = lines.withColumn("v", V.parse("value")).withColumn("uri", F.concat("path", F.lit("#L"), F.col("line").cast("string")))
     good = V.is_object("v")
     records = parsed.filter(good).select("path", "line", "v", "uri", "modified")
-    last = F.max("line").over(Window.partitionBy("path"))
-    bad = parsed.withColumn("last", last if tail else F.lit(-1)).filter(~good)
+    bad = parsed.filter(~good)
+    if tail:  # only bad lines meet their file's last line
+        bad = bad.join(lines.groupBy("path").agg(F.max("line").alias("last")), "path")
     cut = (F.col("line") == F.col("last")) if tail else F.lit(False)
     diagnostics = bad.select(
         F.lit(source_id).alias("source_id"),

@@ -15,7 +15,7 @@ ID, LABEL = "claude-code", "Claude Code"
 ROLES = ("user", "assistant", "system", "tool")
 
 
-@S.register_source(ID, LABEL, "stable", r"\.jsonl$")
+@S.register_source(ID, LABEL, "stable", r"\.jsonl$|/part-[^/]*$")
 def read(spark: SparkSession, root: str, history: DataFrame | None = None) -> Batch:
     """All sessions under a root; `history` is an optional sidecar (session_key, ord, title)."""
     S.tolerant(spark)

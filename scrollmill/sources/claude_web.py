@@ -23,7 +23,7 @@ def visible(v) -> Column:
     return F.when(F.size(V.items(v)) > 0, F.nullif(trimmed(F.array_join(parts, "\n")), F.lit(""))).otherwise(V.text_from_content(v))
 
 
-@S.register_source(ID, LABEL, "experimental", r"conversations.*\.json$")
+@S.register_source(ID, LABEL, "experimental", r"conversations.*\.json$|/part-[^/]*$")
 def read(spark: SparkSession, root: str) -> Batch:
     """All exports under a root. Array elements become rows in the JSON reader, so a file's conversations spread out."""
     S.tolerant(spark)

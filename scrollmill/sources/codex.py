@@ -21,7 +21,7 @@ def sidecar_titles(lines: DataFrame) -> DataFrame:
     return records.select(history_key(session).alias("session_key"), F.struct("path", "line").alias("ord"), title.alias("title")).filter("session_key is not null and title is not null")
 
 
-@S.register_source(ID, LABEL, "stable", r"/sessions/.*\.jsonl$")
+@S.register_source(ID, LABEL, "stable", r"/sessions/.*(\.jsonl|/part-[^/]*)$")
 def read(spark: SparkSession, root: str, titles: DataFrame | None = None) -> Batch:
     """All sessions under a root; `titles` as of `sidecar_titles`."""
     S.tolerant(spark)

@@ -21,7 +21,7 @@ def response_text(r) -> Column:
     return F.coalesce(*direct, F.nullif(trimmed(F.array_join(chunks, "\n")), F.lit("")))
 
 
-@S.register_source(ID, LABEL, "experimental", r"/chatSessions/.*\.jsonl?$")
+@S.register_source(ID, LABEL, "experimental", r"/chatSessions/.*(\.jsonl?|/part-[^/]*)$")
 def read(spark: SparkSession, root: str) -> Batch:
     S.tolerant(spark)
     lines = S.text_lines(spark, root, r"\.jsonl?$|/part-")

@@ -50,7 +50,7 @@ def best_transcript(files):
     return keep_first(files.filter("not invalid and complete > 0"), ["id"], [F.col("complete").desc(), F.col("modified").desc(), F.col("path")])
 
 
-@S.register_source(ID, LABEL, "experimental", r"/agent-transcripts/[^/]+/[^/]+\.jsonl$", by_file=False)
+@S.register_source(ID, LABEL, "experimental", r"/agent-transcripts/[^/]+/[^/]+(\.jsonl|\.txt)$", by_file=False)
 def read(spark: SparkSession, root: str) -> Batch:
     S.tolerant(spark)
     files, rows = candidates(spark, root)

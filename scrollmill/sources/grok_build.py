@@ -74,7 +74,7 @@ def events(records):
     return out
 
 
-@S.register_source(ID, LABEL, "stable", r"/updates\.jsonl$", by_file=False)
+@S.register_source(ID, LABEL, "stable", r"/updates\.jsonl$|/updates/.*part-[^/]*$", by_file=False)
 def read(spark: SparkSession, root: str, summaries: str | None = None, workspaces=None) -> Batch:
     """Update logs under `root`; summary objects under `summaries` (default: the same), joined by session folder.
 

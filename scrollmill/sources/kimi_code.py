@@ -147,7 +147,7 @@ def events(records):
     return rows.select("dir", "line", "op", F.to_json(content).alias("content"), F.to_json(origin).alias("origin"), time.alias("time"), id_.alias("id"), F.coalesce(V.number("v", "$.count"), F.lit(0.0)).alias("count"), V.string("v", "$.modelAlias", "$.model").alias("model"))
 
 
-@S.register_source(ID, LABEL, "stable", r"/agents/main/wire\.jsonl$", by_file=False)
+@S.register_source(ID, LABEL, "stable", r"/agents/main/wire\.jsonl$|/log=wire/[^/]*$", by_file=False)
 def read(spark: SparkSession, root: str, states: str | None = None) -> Batch:
     """Wire logs of main agents under `root`, state objects under `states` (default: the same), joined by session folder."""
     S.tolerant(spark)

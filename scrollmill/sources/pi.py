@@ -70,7 +70,7 @@ def visible(v, user: Column) -> Column:
     return F.when(V.kind(v) == "STRING", shown(F.try_variant_get(v, "$", "string"))).otherwise(F.nullif(trimmed(many), F.lit("")))
 
 
-@S.register_source(ID, LABEL, "stable", r"/sessions/.*\.jsonl$")
+@S.register_source(ID, LABEL, "stable", r"/sessions/.*(\.jsonl|/part-[^/]*)$")
 def read(spark: SparkSession, root: str) -> Batch:
     S.tolerant(spark)
     records, bad = S.read_jsonl(S.text_lines(spark, root, r"\.jsonl$|/part-"), ID, tail="pi")

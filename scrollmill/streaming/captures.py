@@ -9,7 +9,7 @@ from scrollmill.functions import urls
 from scrollmill.functions.text import trimmed
 from scrollmill.functions.times import iso
 from scrollmill.operators import export, merge
-from scrollmill.operators.batch import MESSAGES, Batch, Store, shaped
+from scrollmill.operators.batch import MESSAGES, Batch, Store, shaped, temporary
 
 LINKED = "array<struct<name:string,title:string,url:string>>"
 PAYLOAD = (
@@ -69,29 +69,28 @@ def merge_captures(store: Store, rows: DataFrame, at: str) -> Store:
 
 
 def start_capture_stream(spark: SparkSession, in_dir: str, store_dir: str, checkpoint: str, at: str = "1970-01-01T00:00:00.000Z", **trigger):
-    """Merge capture files as they arrive: each micro-batch is one partial import and one new store version.
+    """Merge capture files as they arrive: each micro-batch is one partial import that writes the conversations it touches.
 
     A repeated batch after a failure merges the same rows again, which changes nothing. There is no cut-off for late rows.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        try:
-            store = export.read_store(session, store_dir)
-        except Exception as e:  # the first batch finds no manifest
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            store = Store.new(session)
-        export.write_store(merge_captures(store, batch, at), store_dir)
+        store = export.read_store(session, store_dir) if export.latest_number(session, store_dir) is not None else Store.new(session)
+        with temporary(session):
+            export.write_change(merge.merge_change(store, captures_to_batch(parse_captures(batch)), "partial", at), store_dir)
 
     stream = spark.readStream.schema("value string").text(in_dir)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
-def daily_activity(rows: DataFrame, tz_offset: str = "0 hours", late: str = "2 days") -> DataFrame:
-    """Streaming form of the day digest: rows per local day and source of a (source_id, updated_at timestamp) stream, with a watermark."""
-    timed = rows.withWatermark("updated_at", late) if rows.isStreaming else rows
-    return timed.groupBy(F.window("updated_at", "1 day", startTime=tz_offset).alias("w"), "source_id").agg(F.count("*").alias("n"), F.max("updated_at").alias("latest")).select(F.col("w.start").alias("day"), "source_id", "n", "latest")
+def daily_activity(rows: DataFrame, tz: str = "UTC", late: str = "2 days") -> DataFrame:
+    """Streaming form of the day digest: rows per local day of a zone (with its summer time) and source of a
+    (source_id, updated_at timestamp) stream, with a watermark; rows later than that are dropped from a day that is closed."""
+    # Local clock time as a timestamp, so that a local day of 23 or 25 hours is one window.
+    local = rows.withColumn("local", F.from_utc_timestamp("updated_at", tz))
+    timed = local.withWatermark("local", late) if rows.isStreaming else local
+    return timed.groupBy(F.window("local", "1 day").alias("w"), "source_id").agg(F.count("*").alias("n"), F.max("updated_at").alias("latest")).select(F.col("w.start").alias("day"), "source_id", "n", "latest")
 
 
 def running_totals(rows: DataFrame) -> DataFrame:

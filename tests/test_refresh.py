@@ -16,7 +16,8 @@ def test_unchanged_sources_are_left_alone(spark):
     spark.createDataFrame([(line,)], "v string").coalesce(1).write.text(root)
     specs = [Spec("claude-code", root), Spec("codex", root + "-missing")]
     store, state = import_sources(spark, Store.new(spark), specs, AT)
-    assert [(r.source_id, r.conversations, r.messages, r.health) for r in store.status.collect()] == [("claude-code", 1, 1, "healthy")]
+    # A source that was never there is told of, too.
+    assert sorted((r.source_id, r.conversations, r.messages, r.health) for r in store.status.collect()) == [("claude-code", 1, 1, "healthy"), ("codex", 0, 0, "absent")]
     state = spark.createDataFrame(state.collect(), state.schema)
     again, _ = import_sources(spark, store, specs, AT, skip_unchanged=True, known=state)
     assert again.conversations is store.conversations
