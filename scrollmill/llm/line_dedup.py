@@ -25,6 +25,7 @@ MIN_CHARS = 10
 STRIPPED = " \t\n\x0b\x0c\r"
 #: Filter bits per line, and the most bits a filter has: 32 MB, which is what is broadcast. Beyond it the filter passes more lines on.
 BITS_PER_LINE, MOST_BITS, PROBES = 10, 1 << 28, 3
+ADDED = ("n_lines", "n_dropped", "kept_text")
 SEGMENT = 1 << 20  # bytes of a filter that merge together
 
 
@@ -114,18 +115,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int = MO
 
         twice = Bloom(bits, shared.value)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, marks, texts = (c.to_pylist() for c in batch.columns)
             for a in range(0, len(ids), 512):
-                own = [(i, k) for i, t in zip(ids[a : a + 512], texts[a : a + 512]) for k in long_keys(t, min_chars)]
-                held = np.flatnonzero(twice.may_hold(hashes(k for _, k in own)))
-                rows = [own[j] for j in held]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc", "key"])
-
-    numbered = docs.select(id_last("doc_id").alias("doc"), "text")
-    suspected = keep(numbered.mapInArrow(suspects, "doc long, key binary"), "suspects")
+                own = [(i, m, k) for i, m, t in zip(ids[a : a + 512], marks[a : a + 512], texts[a : a + 512]) for k in long_keys(t, min_chars)]
+                held = np.flatnonzero(twice.may_hold(hashes(r[2] for r in own)))
+                rows = list(zip(*[own[j] for j in held])) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(r, kind) for r, kind in zip(rows, (pa.int64(), pa.int64(), pa.binary()))], names=["doc", "mark", "key"])
+
+    # Rows of one id with other texts are told apart by a hash of the text, so that a group holds the lines of one text.
+    row = [id_last("doc_id").alias("doc"), F.xxhash64("text").alias("mark")]
+    suspected = keep(docs.select(*row, "text").mapInArrow(suspects, "doc long, mark long, key binary"), "suspects")
     repeated = suspected.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "first", "n")
-    drops = join_hot(suspected, keep(repeated, "repeated"), "key", "n").filter("doc <> first").groupBy("doc").agg(F.collect_set("key").alias("_drop"))
-    marked = docs.withColumn("_doc", id_last("doc_id")).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    drops = join_hot(suspected, keep(repeated, "repeated"), "key", "n").filter("doc <> first").groupBy("doc", "mark").agg(F.collect_set("key").alias("drop"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    marked = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"), *row).join(drops, ["doc", "mark"], "left").select("row", "text", "drop")
 
     def make():
         def one(text, drop):
@@ -138,7 +141,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int = MO
 
         return lambda texts, drop: zip(*map(one, texts, drop)) if texts else [[], [], []]
 
-    return with_text_columns(marked, ["text", "_drop"], "n_lines long, n_dropped long, kept_text string", make).drop("_drop")
+    found = with_text_columns(marked, ["text", "drop"], "n_lines long, n_dropped long, kept_text string", make)
+    return found.select("row.*", *ADDED)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

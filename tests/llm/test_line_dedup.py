@@ -38,3 +38,13 @@ def test_digests_of_the_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = sorted(((d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute(rows)), key=str)
     assert sorted(map(tuple, ld.op8_line_dedup(spark, sf_dir).collect()), key=str) == want
+
+
+def test_clashing_names_pass_through(spark):
+    names = ["_doc", "_drop", "doc", "mark", "key", "drop", "row", "first"]
+    rows = [(i, f"a common line here\nown line of {i}", *[i] * len(names)) for i in range(5)] + [(2, "a common line here", *[9] * len(names))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = ld.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped", "kept_text"]
+    assert sorted(tuple(r)[: len(docs.columns)] for r in got.collect()) == sorted(rows)
+    assert sorted(r.n_dropped for r in got.collect()) == [0, 1, 1, 1, 1, 1]
