@@ -1,13 +1,12 @@
 """Exact top-k inner products by block-at-a-time pruning (Ding and Suel 2011).
 
-Candidates are split into groups of vec_id hashes, each group into blocks of neighbours in a bounded
-first pass over random axes; a block keeps every dimension's largest and smallest component. For a query the sum
-over dimensions of the larger of query times either bounds every score in the block. Blocks are taken
-by falling bound and scored through their own rows until a bound lies below the k-th score so far.
+Candidates are sorted by the signs of their products with a few random axes and cut into groups of neighbours, each group into
+blocks; groups and blocks keep every dimension's largest and smallest component. For a query the sum over dimensions
+of the larger of query times either bounds every score in a group or block. A query goes only to groups whose
+bound reaches the score that its k-th cannot be below, known from a bounded sample; there blocks are taken by falling bound and
+scored through their own rows until a bound lies below the k-th score so far.
 
-Queries are dealt to the groups in blocks of bounded size, so a task holds one block of queries and one
-group of candidates. A first, bounded sample of candidates gives each query a score that its k-th
-cannot be below, so that groups return few rows.
+A task holds one group of candidates and a bounded block of queries; a group's size follows from the rows and the cores.
 
 Rows: a null vector, or one with null or non-finite components, takes no part; vectors only meet
 vectors of their own length; a row is not its own candidate, nor are other rows of its vec_id; repeated rows and
@@ -21,15 +20,18 @@ import math
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import keep, table
+from scrollmill.llm.common import keep, new_folder, open_store, table
 
 K, EVERY, SCALE = 10, 100, 1024
-QUERY_BLOCK, GROUP, BLOCK, SEED_ROWS = 8192, 65536, 64, 4096
-PAIR = "query_id long, vec_id long, score long"
+#: Rows: of a block of queries, of a group at least and at most, of a block, and of the sample that gives the first bounds.
+QUERY_BLOCK, LEAST_GROUP, GROUP, BLOCK, SEED_ROWS = 8192, 1024, 65536, 64, 4096
+AXES = 16
+NONE = -(2**63)
+#: Of each query and group also a row without vec_id, that tells how many blocks were scored, of how many.
+FOUND = "query_id long, vec_id string, score long, scored long, blocks long"
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -40,8 +42,62 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(F.lit(float(SCALE)) * c).cast("long")).alias("v"))
 
 
-def stacked(column) -> np.ndarray:
-    return np.array(list(column), np.int64).reshape(len(column), -1)
+def matrix(cells, dim: int) -> np.ndarray:
+    """Rows of packed integers."""
+    return np.frombuffer(b"".join(cells), "<i8").reshape(len(cells), dim)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(vec_id, dim, v as bytes, code) of (vec_id, dim, v); code has the signs of v's products with AXES random axes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, dims, lists = batch.columns
+            dims, flat, ends = dims.to_numpy(), lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            cells, code = [flat[a:b].astype("<i8").tobytes() for a, b in zip(ends - ends[0], ends[1:] - ends[0])], np.zeros(len(dims), np.int64)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                axes = np.random.default_rng(int(dim)).standard_normal((int(dim), AXES))
+                code[at] = (matrix([cells[i] for i in at], int(dim)) @ axes > 0) @ (1 << np.arange(AXES))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(cells, pa.binary()), pa.array(code)], names=["vec_id", "dim", "v", "code"])
+
+    return rows.select("vec_id", "dim", "v").mapInArrow(run, "vec_id long, dim int, v binary, code long")
+
+
+def grouped(rows: DataFrame, size: int, folder: str) -> DataFrame:
+    """Write the groups of packed rows, one row each: g, dim, ids, v, high and low as bytes. Parts are ranges of neighbours, even whatever repeats."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, n, held = TaskContext.get().partitionId(), 0, []
+
+        def out():
+            dim = held[0][1]
+            v = matrix([r[2] for r in held], dim)
+            ids = np.array([r[0] for r in held], "<i8")
+            cells = [[f"{part}-{n}"], [dim], [ids.tobytes()], [v.tobytes()], [v.max(0).tobytes()], [v.min(0).tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, (pa.string(), pa.int32(), *[pa.binary()] * 4))], names=["g", "dim", "ids", "v", "high", "low"])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and (len(held) >= size or held[0][1] != row[1]):
+                    yield out()
+                    n, held = n + 1, []
+                held.append(row)
+        if held:
+            yield out()
+
+    n = max(1, math.ceil(rows.count() / size))
+    placed = rows.withColumn("h", F.xxhash64("vec_id", "v")).withColumn("place", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    order = ["dim", "code", "h", "place"]
+    placed = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("vec_id", "dim", "v")
+    schema = "g string, dim int, ids binary, v binary, high binary, low binary"
+    placed.mapInArrow(run, schema).write.parquet(folder)
+    return rows.sparkSession.read.schema(schema).parquet(folder)
 
 
 def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -56,6 +112,14 @@ def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Blocks:
     """The block-forward index of one group of candidates."""
 
+    @staticmethod
+    def bound(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Queries by blocks: no score in the block is above it (one is added for rounding)."""
+        up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+        top = up @ high.T.astype(np.float64) + down @ low.T.astype(np.float64)
+        size = up @ np.abs(high).T.astype(np.float64) - down @ np.abs(low).T.astype(np.float64)
+        return np.maximum(top + size * 1e-9 + 1, float(NONE))
+
     def __init__(self, ids: np.ndarray, rows: np.ndarray, block: int):
         dim = rows.shape[1]
         if len(ids) > block and dim:
@@ -72,10 +136,7 @@ class Blocks:
         self.block = block
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Queries by blocks: no score in the block is above it (one is added for rounding)."""
-        up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-        top = up @ self.high.T.astype(np.float64) + down @ self.low.T.astype(np.float64)
-        return top + np.abs(top) * 1e-9 + 1
+        return self.bound(q, self.high, self.low)
 
     def top(self, query_id: int, q: np.ndarray, bounds: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(vec_ids, scores) of the best k at or above `floor`, and the blocks scored."""
@@ -97,50 +158,110 @@ class Blocks:
         return ids, scores, n
 
 
+def with_floors(queries: DataFrame, sample: list, k: int) -> DataFrame:
+    """(query_id, dim, v, floor): a score that the k-th best cannot be below, from a bounded sample of candidates (vec_id, dim, v)."""
+    shared = queries.sparkSession.sparkContext.broadcast(sample)
+
+    def run(batches):
+        import pyarrow as pa
+
+        by_dim: dict[int, list] = {}
+        for vec_id, dim, v in shared.value:
+            by_dim.setdefault(dim, []).append((vec_id, v))
+        index = {dim: (np.array([i for i, _ in found]), matrix([v for _, v in found], dim)) for dim, found in by_dim.items()}
+        for batch in batches:
+            ids, dims, cells = (c.to_pylist() for c in batch.columns)
+            floors = []
+            for i, dim, cell in zip(ids, dims, cells):
+                known, rows = index.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim), np.int64)))
+                scores = products(matrix([cell], dim), rows)[0][known != i]
+                floors.append(int(np.partition(scores, -k)[-k]) if len(scores) >= k else NONE)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.int64())], names=["query_id", "dim", "v", "floor"])
+
+    return queries.select("vec_id", "dim", "v").mapInArrow(run, "query_id long, dim int, v binary, floor long")
+
+
+def probes(asked: DataFrame, folder: str) -> DataFrame:
+    """(g, query_id, v, floor) of every query and each group whose bound reaches the floor; tasks read the groups' bounds in pieces."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, path = open_store(folder)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+        for batch in batches:
+            ids, dims, cells, floors = (c.to_pylist() for c in batch.columns)
+            at: dict[int, list[int]] = {}
+            for i, dim in enumerate(dims):
+                at.setdefault(dim, []).append(i)
+            for f in files:
+                for piece in pq.ParquetFile(store.open_input_file(f)).iter_batches(1024, columns=["g", "dim", "high", "low"]):
+                    gs, gdims, highs, lows = (c.to_pylist() for c in piece.columns)
+                    for dim, own in at.items():
+                        some = [j for j, d in enumerate(gdims) if d == dim]
+                        if not some:
+                            continue
+                        high, low = (matrix([x[j] for j in some], dim) for x in (highs, lows))
+                        for a in range(0, len(own), 512):
+                            asks = own[a : a + 512]
+                            reach = Blocks.bound(matrix([cells[i] for i in asks], dim), high, low) >= np.array([floors[i] for i in asks])[:, None]
+                            q, g = np.nonzero(reach)
+                            q = [asks[i] for i in q]
+                            yield pa.RecordBatch.from_arrays([pa.array([gs[some[j]] for j in g], pa.string()), pa.array([ids[i] for i in q], pa.int64()), pa.array([cells[i] for i in q], pa.binary()), pa.array([floors[i] for i in q], pa.int64())], names=["g", "query_id", "v", "floor"])
+
+    return asked.mapInArrow(run, "g string, query_id long, v binary, floor long")
+
+
 def _score(k: int, block: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        index = Blocks(rows["vec_id"].to_numpy(np.int64), stacked(rows["v"]), block)
+    def run(group: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "vec_id", "score", "scored", "blocks"]
+        if not len(group) or not len(queries):
+            return pd.DataFrame([], columns=names)
+        dim = int(group["dim"].iloc[0])
+        own = np.frombuffer(group["ids"].iloc[0], "<i8")
+        index = Blocks(own, np.frombuffer(group["v"].iloc[0], "<i8").reshape(len(own), dim), block)
         found = []
         for a in range(0, len(queries), 256):
             part = queries.iloc[a : a + 256]
-            q, ids = stacked(part["v"]), part["vec_id"].to_numpy(np.int64)
+            q, ids = matrix(part["v"].tolist(), dim), part["query_id"].tolist()
             bounds = index.bounds(q)
-            for i, floor in enumerate(part["floor"].fillna(-math.inf)):
-                vec, score, _ = index.top(int(ids[i]), q[i], bounds[i], floor, k)
-                found.append(pd.DataFrame({"query_id": ids[i], "vec_id": vec, "score": score}))
-        return pd.concat(found, ignore_index=True).astype("int64")
+            for i, floor in enumerate(part["floor"].tolist()):
+                vec, score, n = index.top(ids[i], q[i], bounds[i], floor, k)
+                found += [(ids[i], str(x), y, 0, 0) for x, y in zip(vec.tolist(), score.tolist())]
+                found.append((ids[i], None, 0, n, len(index.starts)))
+        return pd.DataFrame(found, columns=names)
 
     return run
 
 
-def ranked(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def search_rows(queries: DataFrame, candidates: DataFrame, k: int = K, group: int | None = None, block: int = BLOCK) -> DataFrame:
+    """The best k candidates of each group for every query, both (vec_id, dim, v), and how many blocks were scored."""
+    spark = candidates.sparkSession
+    rows, n_queries = keep(packed(candidates), "packed"), queries.count()
+    n_rows = rows.count()
+    group = group or min(GROUP, max(LEAST_GROUP, math.ceil(n_rows / (4 * spark.sparkContext.defaultParallelism))))
+    folder = new_folder(spark, "groups")
+    groups = grouped(rows, group, folder)
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, n_rows // SEED_ROWS))) == 0).select("vec_id", "dim", "v").limit(2 * SEED_ROWS)
+    asked = keep(with_floors(packed(queries), [tuple(r) for r in sample.collect()], k), "asked")
+    blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
+    pairs = probes(asked, folder).withColumn("qb", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)))
+    left = groups.select("g", "dim", "ids", "v").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return left.groupBy("g", "qb").cogroup(pairs.groupBy("g", "qb")).applyInPandas(_score(k, block), FOUND)
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = K, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = K, group: int | None = None, block: int = BLOCK) -> DataFrame:
     """Best k candidates of every query, both (vec_id, dim, v): query_id, rank, vec_id, score."""
-    n_rows, n_queries = candidates.count(), queries.count()
-    groups, blocks = max(1, math.ceil(n_rows / group)), max(1, math.ceil(n_queries / QUERY_BLOCK))
-    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("long")
-    # Repeated ids would be one hot group; the row's place in its partition spreads them.
-    spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
-    queries = queries.withColumn("qb", part(blocks, 1))
-
-    def pairs(rows: DataFrame, rows_groups: int, asked: DataFrame) -> DataFrame:
-        left = rows.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        right = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows_groups - 1).cast("long"))))
-        return left.groupBy("dim", "g", "qb").cogroup(right.groupBy("dim", "g", "qb")).applyInPandas(_score(k, block), PAIR)
-
-    asked = queries.withColumn("floor", F.lit(None).cast("double"))
-    if groups > 1:
-        sample = candidates.filter(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(max(1, n_rows // SEED_ROWS))) == 0).withColumn("g", F.lit(0).cast("long"))
-        seeds = ranked(pairs(sample, 1, asked), k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-        asked = keep(queries.join(seeds, "vec_id", "left"), "asked")
-    found = pairs(candidates.withColumn("g", spread), groups, asked)
-    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    pairs = search_rows(queries, candidates, k, group, block).filter("vec_id is not null").select("query_id", F.col("vec_id").cast("long").alias("vec_id"), "score")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def blocks_scored(queries: DataFrame, candidates: DataFrame, k: int = K, group: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Per query that reached a group: blocks scored and blocks of the groups reached."""
+    return search_rows(queries, candidates, k, group, block).groupBy("query_id").agg(F.sum("scored").alias("scored"), F.sum("blocks").alias("blocks"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
