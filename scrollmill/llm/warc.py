@@ -23,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import id_last, new_folder, open_store, put_file, table
+from scrollmill.llm.common import id_last, join_hot, keep, new_folder, open_store, put_file, table
 
 DICT_MAGIC = 0x184D2A5D
 DICT_BYTES = 64_000
 MIN_BYTES = 0
-#: A record may hold this many bytes; a frame that says more is refused before it is decoded.
+#: A record may hold this many bytes; a frame whose header says more is refused before it is decoded, one that says nothing when it has given more.
 MOST_RECORD = 1 << 31
 DATE = "2024-01-01T00:00:00Z"
 NO_ID = 2**63 - 1
@@ -90,6 +90,11 @@ def read_archive(source):
         pending = pending or source.read(1 << 20)
         if not pending:
             return
+        while len(pending) < 18 and (more := source.read(1 << 20)):  # a frame header has 18 bytes at most
+            pending += more
+        declared = zstandard.get_frame_parameters(pending).content_size
+        if declared != zstandard.CONTENTSIZE_UNKNOWN and declared > MOST_RECORD:
+            raise ValueError("a record is too long")
         frame, decoded = unpress.decompressobj(), io.BytesIO()
         while True:
             decoded.write(frame.decompress(pending))
@@ -150,13 +155,13 @@ def parse_page(headers: dict[str, str], block: bytes) -> tuple:
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write `pages` (page_id, url, html), one archive per partition; returns (file, records).
 
-    Only ids and digests are grouped to find equal payloads; the largest groups are counted before the
-    shuffle. The pages meet their revisit target by page_id, which no group shares.
+    Only ids and digests are grouped to find equal payloads; digests that many pages share are joined where
+    the pages lie. The pages meet their revisit target by page_id and digest, which only rows alike share.
     """
     bare = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     marks = bare.select(id_last("page_id").alias("page"), F.sha1("payload").alias("sha1"), F.length("payload").alias("n"))
-    firsts = marks.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page").alias("first"), F.max("page").alias("last")).filter("first < last").select("sha1", "first")
-    revisits = marks.join(firsts, "sha1").filter("page <> first").select(F.col("page").alias("_page"), F.col("sha1").alias("_sha1"), "first").distinct()
+    firsts = marks.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count("*").alias("n")).filter("first < last").select("sha1", "first", "n")
+    revisits = join_hot(marks.drop("n"), keep(firsts, "firsts"), "sha1", "n").filter("page <> first").select(F.col("page").alias("_page"), F.col("sha1").alias("_sha1"), "first").distinct()
     whole = bare.withColumn("_page", id_last("page_id")).withColumn("_sha1", F.sha1("payload")).join(revisits, ["_page", "_sha1"], "left")
     rows = whole.select("page_id", "url", "payload", F.col("first").alias("refers"))
 
