@@ -1,12 +1,12 @@
 """Toxicity: a bidirectional GRU with attention pooling over word and character inputs, trained in numpy.
 
 A word's input is its own embedding (words of the sample) beside the mean embedding of its hashed character
-n-grams (any word). Texts are scored in overlapping windows of `WINDOW` words, `STRIDE` apart, and a document's
-logit is its highest window's. Labels are per document, so training picks the window of a toxic document that
+n-grams (any word). Texts are scored in overlapping windows of `WINDOW` words, `SCORE_STRIDE` apart (half a window, so that a run of
+as many words lies whole in one), and a document's logit is its highest window's; learning takes windows `STRIDE` apart. Labels are per document, so training picks the window of a toxic document that
 looks worst at the time (first by log-odds of its words, then by the model itself), and random and worst
 windows of the others. The threshold that separates the sample best becomes score 0.5.
 
-Learning takes a bounded sample: at most `TRAIN_ROWS` labelled rows of the two classes, chosen by hash, of at most
+Learning takes a bounded sample: at most `TRAIN_ROWS` labelled ids of the two classes, chosen by hash, one text of each, of at most
 `TRAIN_CHARS` characters. Scoring reads whole texts, runs without spaces in overlapping pieces.
 
 Rows: a null or empty text, or one without words, has one empty window; repeated rows are each scored; a null
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from scrollmill.llm.common import crc_bucket, ranges, table, with_text_columns
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE, SCORE_STRIDE = 32, 24, 16
 #: Rows of class 0 and of class 1.
 TRAIN_ROWS, TRAIN_CHARS = (3000, 1500), 20_000
 D, H = 12, 8
@@ -66,9 +66,9 @@ def ngrams(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes)[order].astype(np.int64), np.bincount(owners, minlength=len(some))
 
 
-def windows(n: int) -> list[int]:
+def windows(n: int, stride: int = STRIDE) -> list[int]:
     """Starts of the overlapping windows of n words, the last one reaching the end."""
-    return list(range(0, max(1, n - WINDOW + STRIDE), STRIDE))
+    return list(range(0, max(1, n - WINDOW + stride), stride))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -199,7 +199,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> dict | None:
     net = Network(len(ids))
 
     # Windows: row numbers, -1 for padding.
-    cut = [np.full((len(s := windows(len(d))), WINDOW), -1, np.int64) for d in docs]
+    cut = [np.full((len(windows(len(d))), WINDOW), -1, np.int32) for d in docs]
     for c, d in zip(cut, docs):
         for i, a in enumerate(windows(len(d))):
             part = d[a : a + WINDOW]
@@ -226,7 +226,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> dict | None:
         return np.concatenate([net.gates(net.inputs(word_ids, grams, counts)), np.zeros((1, 6 * H), np.float32)])
 
     def logits(rows: np.ndarray, gates: np.ndarray) -> np.ndarray:
-        return np.concatenate([net.forward(gates[rows[a : a + 4096].T], rows[a : a + 4096].T >= 0) for a in range(0, len(rows), 4096)])
+        return np.concatenate([net.forward(gates[rows[a : a + 2048].T], rows[a : a + 2048].T >= 0) for a in range(0, len(rows), 2048)])
 
     ends = np.cumsum([len(c) for c in cut])[:-1]
     per_epoch = math.ceil((y.sum() + 3 * (y == 0).sum()) / BATCH)
@@ -279,14 +279,15 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> dict | None:
                 net.p[k][rows_] -= RATE * summed / math.sqrt(scale[k] / (1 - 0.98**step) + 1e-12)
             net.p["Ew"][0] = 0
 
-    tops = np.array([part.max() for part in np.split(logits(np.concatenate(cut), table_()), ends)])
+    model = {"p": net.p, "ids": ids, "threshold": 0.0}
+    tops = Scorer(model).logits(texts)
     # The threshold with the best mean of both classes' accuracy; in the middle of its gap.
     order = np.sort(tops)
     middles = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2])
     pos, neg = np.sort(tops[y == 1]), np.sort(tops[y == 0])
     balance = (len(pos) - np.searchsorted(pos, middles)) / len(pos) + np.searchsorted(neg, middles) / len(neg)
     best = np.flatnonzero(balance >= balance.max() - 1e-12)
-    return {"p": net.p, "ids": ids, "threshold": float(middles[best].mean())}
+    return model | {"threshold": float(middles[best].mean())}
 
 
 class Scorer:
@@ -304,7 +305,11 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> list[float]:
         if not self.model:
             return [0.0] * len(texts)
-        return [s for a in range(0, len(texts), 256) for s in self._some(texts[a : a + 256])]
+        return sigmoid(self.logits(texts) - self.model["threshold"]).tolist()
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's highest window's."""
+        return np.concatenate([np.zeros(0), *[self._some(texts[a : a + 256]) for a in range(0, len(texts), 256)]])
 
     def _some(self, texts):
         if len(self.lex.row) > CACHE_WORDS:
@@ -319,7 +324,7 @@ class Scorer:
         gates = self.gates
         starts, stops, owner, at = [], [], [], 0
         for k, d in enumerate(docs):
-            for a in windows(len(d)):
+            for a in windows(len(d), SCORE_STRIDE):
                 starts.append(at + a)
                 stops.append(at + len(d))
                 owner.append(k)
@@ -331,7 +336,7 @@ class Scorer:
             live = place < stops[a : a + 1024, None]
             rows = np.where(live, flat[np.minimum(place, len(flat) - 1)], 0).T
             np.maximum.at(out, owner[a : a + 1024], self.net.forward(gates[rows], live.T))
-        return sigmoid(out - self.model["threshold"]).tolist()
+        return out
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> tuple[list[str], list[int]]:
@@ -343,7 +348,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROW
         part = marks.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[value])
         chosen = part if chosen is None else chosen.union(part)
     side = F.broadcast(chosen.withColumnRenamed("doc_id", "_id"))  # sum(rows) at most
-    texts = docs.filter(F.length("text") <= TRAIN_CHARS).join(side, F.col("doc_id") == F.col("_id")).select("text", "toxic").distinct()
+    texts = docs.filter(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(side, F.col("doc_id") == F.col("_id"))
+    # One text of each doc_id, so that what reaches the driver is bounded whatever ids repeat.
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic").distinct()
     found = sorted((r.text, r.toxic) for r in texts.collect())
     return [t for t, _ in found], [int(v) for _, v in found]
 

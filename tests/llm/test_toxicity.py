@@ -95,3 +95,66 @@ def test_long_runs_are_read_to_their_end():
     ends = [[*clean, "gruxba"], [*clean, "zplebre"], [*clean, "lentar"]]
     scores = tx.Scorer(model).scores(["_".join(ws) for ws in ends])
     assert min(scores[:2]) > scores[2]
+
+
+def plain_score(model, text):
+    """The score by the definition: window by window, word by word, gate by gate."""
+    import math
+
+    p, ids = model["p"], model["ids"]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def word_input(w):
+        marked, grams = f"<{w}>".encode(), []
+        for n in tx.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for b in marked[i : i + n]:
+                    h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+                grams.append((h ^ h >> 15) % tx.BUCKETS)
+        return np.concatenate([p["Ew"][ids.get(w, 0)], p["Ec"][grams].mean(0)]).astype(float)
+
+    def run(xs, d):
+        h, out = np.zeros(tx.H), []
+        for x in xs:
+            gx, gh = x @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            z, r = sig(gx[: tx.H] + gh[: tx.H]), sig(gx[tx.H : 2 * tx.H] + gh[tx.H : 2 * tx.H])
+            n = np.tanh(gx[2 * tx.H :] + r * gh[2 * tx.H :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    ws, best, at = tx.words(text), -math.inf, 0
+    while True:
+        xs = [word_input(w) for w in ws[at : at + tx.WINDOW]]
+        states = np.array([np.concatenate(pair) for pair in zip(run(xs, "f"), run(xs[::-1], "b")[::-1])]).reshape(-1, 2 * tx.H)
+        if len(states):
+            e = np.exp(np.tanh(states @ p["A"] + p["a"]) @ p["v"])
+            pooled = (e[:, None] * states).sum(0) / e.sum()
+        else:
+            pooled = np.zeros(2 * tx.H)
+        best = max(best, float(pooled @ p["w"] + p["b"][0]))
+        if at + tx.WINDOW >= len(ws):
+            break
+        at += tx.SCORE_STRIDE
+    return float(sig(best - model["threshold"]))
+
+
+def test_query_scores_match_plain_windows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = tx.train(*tx.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    got = {r.doc_id: r for r in tx.op5_toxicity(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[::3]:
+        if len(r.text or "") < 30_000:
+            want = plain_score(model, r.text)
+            assert abs(got[r.doc_id].score - want) < 1e-3 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+
+
+def test_sample_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other"), (3, None), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    held = {i for i in (1, 2) if __import__("zlib").crc32(str(i).encode()) % 5}
+    texts, marks = tx.sample(docs, labels)
+    assert len(texts) == len(held) and sorted(marks) == sorted({1: 1, 2: 0}[i] for i in held)
