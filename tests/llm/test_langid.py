@@ -35,3 +35,36 @@ def test_copies_do_not_shrink_a_dictionary(spark):
     docs = spark.createDataFrame([(t, "en") for t in texts * 50], "text string, lang string")
     raw = langid.dictionaries(docs, pieces=20)["en"].decode()
     assert [t for t in texts if t not in raw] == []
+
+
+def test_query_matches_plain_compression(spark, sf_dir):
+    """Every prediction again, with a compressor made anew for each block and language."""
+    import unicodedata
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    raw = langid.dictionaries(langid.learnable(docs))
+
+    def sizes(text):
+        letters = "".join(c if (c.isalnum() and unicodedata.category(c) != "Nd") else " " for c in text)
+        folded = " ".join(letters.split()).lower()
+        out = {}
+        for lang, data in raw.items():
+            shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            press = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
+            out[lang] = sum(len(press.compress(folded[a : a + langid.BLOCK].encode())) for a in range(0, len(folded), langid.BLOCK))
+        return folded, out
+
+    got = {r.doc_id: r for r in langid.op4_language_id(spark, sf_dir).collect()}
+    rows = [r for r in docs.collect() if len(r.text or "") < 20_000]
+    assert len(rows) > 100
+    for r in rows[::2]:
+        folded, found = sizes(r.text or "")
+        if not any(c.isalpha() for c in folded):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        best = min(found, key=lambda k: (found[k], k))
+        second = min(n for k, n in found.items() if k != best)
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].rejected == ((second - found[best]) / second < langid.MIN_MARGIN)
