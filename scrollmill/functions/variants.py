@@ -45,6 +45,12 @@ def items(v, path: str = "$") -> Column:
     return F.coalesce(F.try_variant_get(col(v), path, "array<variant>"), F.expr("cast(array() as array<variant>)"))
 
 
+def strings(v, path: str = "$") -> Column:
+    """The texts of a JSON array, trimmed, blank ones left out; nothing of any other value."""
+    own = F.filter(items(v, path), lambda x: F.coalesce(kind(x) == "STRING", F.lit(False)))
+    return F.filter(F.transform(own, lambda x: trimmed(F.try_variant_get(x, "$", "string"))), lambda t: t != "")
+
+
 def text_of(v) -> Column:
     """A string, or the text, value or content of an object."""
     return F.when(kind(v) == "STRING", F.nullif(trimmed(F.try_variant_get(col(v), "$", "string")), F.lit(""))).otherwise(string(v, "$.text", "$.value", "$.content"))

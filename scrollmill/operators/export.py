@@ -15,7 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrollmill.operators.batch import STORE, Store, delete, empty
+from scrollmill.operators.batch import STORE, Store, delete, empty, exists
 from scrollmill.operators.windows import keep_first
 
 PARTITIONED = ("conversations", "messages", "evidence")
@@ -26,11 +26,6 @@ BROADCAST_TOUCHED = 200_000
 BACKUP = {"format": "scrollmill.backup", "schema_version": 1}
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """(number, parts) of all versions; PATH_NOT_FOUND where there is no store."""
     return spark.read.schema("parts array<string>, number long").parquet(f"{path}/manifest")

@@ -31,6 +31,11 @@ def today(conversations: DataFrame, day: str, tz: str = "UTC", limit: int = TODA
     return filter_local_day(conversations, day, tz, ("updated_at", "started_at")).orderBy(F.col("updated_at").desc(), "id").limit(limit)
 
 
+def today_with_coverage(store, day: str, tz: str = "UTC", limit: int = TODAY) -> tuple[DataFrame, DataFrame]:
+    """The sessions of a day and, beside them, the status of all sources."""
+    return today(store.conversations, day, tz, limit), sources(store.status, store.diagnostics)
+
+
 def daily_digest(conversations: DataFrame, tz: str = "UTC", limit: int = TODAY) -> DataFrame:
     """The same for every day at once: (day, rank, id, ...), one shuffle by day."""
     days = F.array_distinct(F.array(local_date("started_at", tz), local_date("updated_at", tz)))
@@ -68,4 +73,4 @@ def sources(status: DataFrame, diagnostics: DataFrame, source_id=None) -> DataFr
     """Source status with the newest diagnostics of each (created_at desc, id), as array<struct>."""
     newest = top_n(diagnostics, ["source_id"], [F.col("created_at").desc(), F.col("id")], DIAGNOSTICS)
     lists = newest.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("rank", "severity", "code", "message"))).alias("diagnostics"))
-    return filter_source(status, source_id).join(lists, "source_id", "left").orderBy("source_id")
+    return filter_source(status, source_id).join(lists, "source_id", "left").orderBy("source_id")  # confidence, cursor, fingerprint and version come with the status

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from scrollmill.functions.text import TOKEN, ascii_lower, fold, query_terms, search_text, snippet
 from scrollmill.functions.urls import conversation_uri
 from scrollmill.operators import export
-from scrollmill.operators.batch import cut
-from scrollmill.operators.recall import filter_local_day, filter_source
+from scrollmill.operators.batch import Store, cut
+from scrollmill.operators.recall import filter_local_day, filter_source, sources
 from scrollmill.operators.windows import top_n
 
 DEFAULT, MOST, WIDEN = 10, 50, 5
@@ -39,6 +39,15 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
 
+    known: tuple | None = None
+
+    def totals(self) -> tuple[int, float]:
+        """Rows and their mean length, counted once for an index."""
+        if self.known is None:
+            row = self.stats().first()
+            self.known = (row.n_rows, row.avg_dl or 1.0)
+        return self.known
+
     def stats(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"), F.sum("dl").alias("n_tokens"))
 
@@ -114,24 +123,28 @@ def store_index(spark: SparkSession, path: str) -> Index:
     return as_index(export.latest(spark, path, parts, "index", ENTRY, "conversation_id"))
 
 
-def terms_of(queries: DataFrame) -> DataFrame:
-    """(query_id, term_no, term, parts): the phrases of (query_id, query); parts are a phrase's tokens in order."""
-    spark = queries.sparkSession
+def asked_terms(queries: DataFrame) -> list[tuple]:
+    """(query_id, term_no, term, parts) of (query_id, query); what a user asks, not data."""
     rows = []
-    for r in queries.select("query_id", "query").collect():  # the queries a user asks, not data
+    for r in queries.select("query_id", "query").collect():
         rows += [(r.query_id, i, term, _token_pattern().findall(fold(term))) for i, term in enumerate(query_terms(r.query))]
-    return spark.createDataFrame(rows, "query_id long, term_no int, term string, parts array<string>")
+    return rows
+
+
+def terms_of(queries: DataFrame) -> DataFrame:
+    """(query_id, term_no, term, parts): the phrases of (query_id, query); parts are a phrase's tokens in order."""
+    return queries.sparkSession.createDataFrame(asked_terms(queries), "query_id long, term_no int, term string, parts array<string>")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has BROADCAST_TERMS rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, known to have so many rows at most, marked for broadcast if they are few."""
+    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def phrase_hits(index: Index, terms: DataFrame) -> DataFrame:
+def phrase_hits(index: Index, terms: DataFrame, tokens: int | None = None) -> DataFrame:
     """(query_id, term_no, message_id, freq): rows that hold a phrase; its tokens stand side by side in one column."""
     wanted = terms.select("query_id", "term_no", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "token"))
-    hit = index.postings.join(small(wanted), "token")
+    hit = index.postings.join(sized(wanted, wanted.count() if tokens is None else tokens), "token")
     single = hit.filter("n = 1").select("query_id", "term_no", "message_id", "tf")
     # A phrase: shift each token's positions back to the phrase's start and keep what all share.
     starts = hit.filter("n > 1").groupBy("query_id", "term_no", "message_id", "col", "n").agg(F.collect_list(F.struct("k", "positions")).alias("ps"), F.count("*").alias("held"))
@@ -146,17 +159,22 @@ def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
 
     A term without a token makes its query's ranked pass empty.
     """
-    terms = terms_of(queries)
-    needed = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.min(F.size("parts")).alias("least")).filter("least > 0").select("query_id", "n_terms")
-    hits = phrase_hits(index, terms)
+    asked = asked_terms(queries)
+    parts: dict = {}
+    for query_id, _, _, tokens in asked:
+        parts.setdefault(query_id, []).append(len(tokens))
+    spark = queries.sparkSession
+    terms = spark.createDataFrame(asked, "query_id long, term_no int, term string, parts array<string>")
+    needed = spark.createDataFrame([(q, len(ns)) for q, ns in parts.items() if min(ns)], "query_id long, n_terms long")
+    hits = phrase_hits(index, terms, sum(map(sum, parts.values())))
     df = hits.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
-    stats = index.stats().first()
-    idf = F.ln((F.lit(stats.n_rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("freq") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avg_dl or 1.0))
-    weighed = hits.join(df if terms.count() > BROADCAST_TERMS else F.broadcast(df), ["query_id", "term_no"]).join(index.lengths.select("message_id", "dl"), "message_id")  # df has a row for each term
+    n_rows, avg_dl = index.totals()
+    idf = F.ln((F.lit(n_rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("freq") + K1 * (1 - B + B * F.col("dl") / F.lit(avg_dl))
+    weighed = hits.join(sized(df, len(asked)), ["query_id", "term_no"]).join(index.lengths.select("message_id", "dl"), "message_id")  # df has a row for each term
     part = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col("freq") * (K1 + 1) / norm
     scored = weighed.groupBy("query_id", "message_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("n"))
-    return scored.join(small(needed), "query_id").filter("n = n_terms").select("query_id", "message_id", "score")
+    return scored.join(sized(needed, len(parts)), "query_id").filter("n = n_terms").select("query_id", "message_id", "score")
 
 
 def best_per_conversation(scored: DataFrame, messages: DataFrame, conversations: DataFrame, limit: int) -> DataFrame:
@@ -175,7 +193,8 @@ def substring_matches(messages: DataFrame, conversations: DataFrame, queries: Da
     """
     asked = [(r.query_id, query_terms(r.query)) for r in queries.select("query_id", "query").collect()]  # the queries a user asks
     asked = [(q, [t.translate({i: i + 32 for i in range(65, 91)}) for t in terms]) for q, terms in asked if terms]
-    rows = messages.join(conversations.select(F.col("id").alias("conversation_id"), "title", "updated_at"), "conversation_id")
+    own = messages.select("conversation_id", "message_id", "created_at", "text", "thinking")
+    rows = own.join(conversations.select(F.col("id").alias("conversation_id"), "title", "updated_at"), "conversation_id")
     low = rows.select("conversation_id", "message_id", "created_at", "updated_at", *[ascii_lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("title", "text", "thinking")])
     holds = lambda t: F.contains("title", F.lit(t)) | F.contains("text", F.lit(t)) | F.contains("thinking", F.lit(t))
     hits = low.limit(0).select(F.lit(0).cast("long").alias("query_id"), "conversation_id", "message_id", "created_at", "updated_at")
@@ -197,10 +216,11 @@ def search_many(messages: DataFrame, conversations: DataFrame, index: Index, que
     return placed.filter(F.col("place") <= limit).select("query_id", F.col("place").alias("rank"), "conversation_id", "message_id", "score")
 
 
-def with_snippets(results: DataFrame, messages: DataFrame, queries: DataFrame) -> DataFrame:
+def with_snippets(results: DataFrame, messages: DataFrame, queries: DataFrame, n_queries: int | None = None) -> DataFrame:
     """Add snippet and uri to results; only result rows reach the helper."""
+    n_queries = queries.count() if n_queries is None else n_queries
     texts = messages.join(results.select("message_id").distinct(), "message_id", "left_semi").select("message_id", "text", "thinking")
-    rows = results.join(texts, "message_id").join(small(queries.select("query_id", "query")), "query_id")
+    rows = results.join(texts, "message_id").join(sized(queries.select("query_id", "query"), n_queries), "query_id")
     return rows.withColumn("snippet", snippet("text", "thinking", "query")).withColumn("uri", conversation_uri("conversation_id")).drop("text", "thinking", "query")
 
 
@@ -213,4 +233,9 @@ def search(messages: DataFrame, conversations: DataFrame, index: Index, query: s
         some = filter_local_day(some, date, tz)
     queries = messages.sparkSession.createDataFrame([(0, query)], "query_id long, query string")
     found = search_many(messages, some, index, queries, limit)
-    return with_snippets(found, messages, queries).orderBy("rank")
+    return with_snippets(found, messages, queries, 1).orderBy("rank")
+
+
+def search_with_coverage(store: Store, index: Index, query: str, source_id=None, date: str | None = None, tz: str = "UTC", limit=None) -> tuple[DataFrame, DataFrame]:
+    """The results of one query and, beside them, the status of the sources it covers."""
+    return search(store.messages, store.conversations, index, query, source_id, date, tz, limit), sources(store.status, store.diagnostics, source_id)

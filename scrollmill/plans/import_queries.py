@@ -94,14 +94,20 @@ def title_sidecar(spark, sf_dir):
     return shown(codex.read(spark, render_codex(spark, sf_dir), titles))
 
 
+SESSIONS_A_FILE = 500
+
+
 def render_claude_web(spark, sf_dir) -> str:
     t = turns(spark, sf_dir)
     said = F.struct("turn", F.struct(F.concat(F.lit("u"), F.col("turn")).alias("uuid"), F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), F.lit("not shown").alias("text"), F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hidden sentinel").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), F.col("created_at").alias("created_at")).alias("m"))
-    one = t.groupBy("session", F.pmod(F.hash("session"), F.lit(4)).alias("file")).agg(F.transform(F.array_sort(F.collect_list(said)), lambda s: s["m"]).alias("chat_messages"))
-    one = one.union(t.filter("turn = 0 and conv_id % 9 = 0").select(F.concat(F.lit("empty-"), "session"), F.pmod(F.hash("session"), F.lit(4)), F.array(said["m"]).alias("x")).withColumn("x", F.filter("x", lambda m: F.lit(False))))
+    # Some SESSIONS_A_FILE sessions in each export file, whatever the table's size.
+    n_files = max(4, t.select("session").distinct().count() // SESSIONS_A_FILE)
+    place = F.pmod(F.hash("session"), F.lit(n_files))
+    one = t.groupBy("session", place.alias("file")).agg(F.transform(F.array_sort(F.collect_list(said)), lambda s: s["m"]).alias("chat_messages"))
+    one = one.union(t.filter("turn = 0 and conv_id % 9 = 0").select(F.concat(F.lit("empty-"), "session"), place, F.array(said["m"]).alias("x")).withColumn("x", F.filter("x", lambda m: F.lit(False))))
     body = one.select("file", js(uuid=F.col("session"), chat_messages=F.col("chat_messages")).alias("c")).groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("c")), ","), F.lit("]")).alias("value"))
     path = scratch(spark, "claude-web")
-    body.repartition(4, "file").select("file", "value").write.partitionBy("file").text(path)
+    body.repartition("file").select("file", "value").write.partitionBy("file").text(path)
     return path
 
 

@@ -198,7 +198,7 @@ def stream_captures(spark, sf_dir):
     root = scratch(spark, "captures")
     rows = payloads(spark, sf_dir)
     for part in (0, 1):
-        rows.filter(F.col("part") == part).select("value").coalesce(1).write.mode("append").text(f"{root}/in")
+        rows.filter(F.col("part") == part).select("value").write.mode("append").text(f"{root}/in")
         captures.start_capture_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint", AT, availableNow=True).awaitTermination()
     return export.read_store(spark, f"{root}/store").conversations.select("upstream_id", "started_at", "updated_at", "message_count")
 

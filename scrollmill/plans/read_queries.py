@@ -56,10 +56,10 @@ def local_day_la(spark, sf_dir):
     return recall.filter_local_day(rows, "2024-01-05", "America/Los_Angeles").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("message_window", f"WITH {STORE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, message_id) AS rn FROM m) SELECT a.message_id AS anchor_id, n.message_id, n.text, CAST(n.rn - a.rn AS INT) AS off FROM n JOIN n a ON n.conversation_id = a.conversation_id AND a.turn % 3 = 0 AND abs(n.rn - a.rn) <= 1")
+@query("message_window", f"WITH {STORE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, message_id) AS rn FROM m) SELECT a.message_id AS anchor_id, n.message_id, n.text, CAST(n.rn - a.rn AS INT) AS off FROM n JOIN n a ON n.conversation_id = a.conversation_id AND abs(n.rn - a.rn) <= 1 + a.turn % 2")
 def message_window(spark, sf_dir):
     m = messages(spark, sf_dir)
-    anchors = m.filter("turn % 3 = 0").select("conversation_id", "message_id", F.lit(1).alias("context"))
+    anchors = m.select("conversation_id", "message_id", (1 + F.col("turn") % 2).cast("int").alias("context"))
     return message_windows(m, anchors).select("anchor_id", "message_id", "text", (F.col("rn") - F.col("at")).alias("off"))
 
 

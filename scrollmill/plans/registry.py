@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrollmill.plans import import_queries, merge_queries, read_queries, search_queries, testbed  # noqa: F401
+from scrollmill.plans import import_queries, merge_queries, read_queries, search_queries, status_queries, testbed  # noqa: F401
 
 
 def queries() -> dict:

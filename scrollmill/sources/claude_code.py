@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 from scrollmill.functions import variants as V
 from scrollmill.functions.ids import file_stem
 from scrollmill.functions.text import session_title
-from scrollmill.operators.batch import Batch
+from scrollmill.operators.batch import Batch, exists
 from scrollmill.sources import base as S
 
 ID, LABEL = "claude-code", "Claude Code"
 ROLES = ("user", "assistant", "system", "tool")
 
 
+def history_titles(lines: DataFrame) -> DataFrame:
+    """(session_key, ord, title) from the lines of a log of prompts."""
+    records, _ = S.read_jsonl(lines, ID)
+    rows = records.select(V.string("v", "$.sessionId", "$.session_id").alias("session_key"), F.struct("path", "line").alias("ord"), V.string("v", "$.display").alias("title"))
+    return rows.filter("session_key is not null and title is not null")
+
+
 @S.register_source(ID, LABEL, "stable", r"\.jsonl$|/part-[^/]*$")
-def read(spark: SparkSession, root: str, history: DataFrame | None = None) -> Batch:
-    """All sessions under a root; `history` is an optional sidecar (session_key, ord, title)."""
+def read(spark: SparkSession, root: str, history: DataFrame | str | None = None) -> Batch:
+    """All sessions under a root; `history` is an optional sidecar: its path, or (session_key, ord, title).
+
+    Without one, the log of prompts above a root in a `.claude` folder is read, if there is one.
+    """
     S.tolerant(spark)
+    if history is None and isinstance(root, str) and "/.claude/" in root:
+        beside = root[: root.rindex("/.claude/") + 9] + "history.jsonl"
+        history = beside if exists(spark, beside) else None
+    if isinstance(history, str):
+        history = history_titles(S.text_lines(spark, history))
     records, bad = S.read_jsonl(S.text_lines(spark, root, r"\.jsonl$|/part-"), ID)
     session = F.coalesce(V.string("v", "$.sessionId", "$.session_id"), file_stem("path"))
     named = F.coalesce(V.string("v", "$.message.role"), V.string("v", "$.type"))

@@ -22,9 +22,11 @@ def sidecar_titles(lines: DataFrame) -> DataFrame:
 
 
 @S.register_source(ID, LABEL, "stable", r"/sessions/.*(\.jsonl|/part-[^/]*)$")
-def read(spark: SparkSession, root: str, titles: DataFrame | None = None) -> Batch:
-    """All sessions under a root; `titles` as of `sidecar_titles`."""
+def read(spark: SparkSession, root: str, titles: DataFrame | str | None = None) -> Batch:
+    """All sessions under a root; `titles` as of `sidecar_titles`, or the folder of its files."""
     S.tolerant(spark)
+    if isinstance(titles, str):
+        titles = sidecar_titles(S.text_lines(spark, titles))
     records, bad = S.read_jsonl(S.text_lines(spark, root, r"\.jsonl$|/part-"), ID)
     holder = F.coalesce(F.when(V.is_object(V.get("v", "$.payload.message")), V.get("v", "$.payload.message")), F.when(V.is_object(V.get("v", "$.message")), V.get("v", "$.message")), F.when(V.is_object(V.get("v", "$.payload")), V.get("v", "$.payload")))
     rows = records.withColumn("m", holder)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrollmill.functions import variants as V
@@ -74,14 +76,50 @@ def events(records):
     return out
 
 
+#: Lines of a file that are looked at to tell an update log.
+SNIFF_LINES = 1000
+
+
+def sniffed(lines: DataFrame) -> DataFrame:
+    """(path) of the files whose first lines look like an update log."""
+    v = F.col("value")
+    marks = {"update": r'"sessionUpdate"\s*:', "method": r'"method"\s*:\s*"(_x\.ai/)?session/update"', "session": r'"sessionId"\s*:', "body": r'"update"\s*:'}
+    held = lines.filter(F.col("line") <= SNIFF_LINES).groupBy("path").agg(*[F.bool_or(v.rlike(p)).alias(n) for n, p in marks.items()])
+    return held.filter("update and (method or (session and body))").select("path")
+
+
+def cwd_files(parents: DataFrame) -> DataFrame:
+    """(parent, cwd) from the `.cwd` files of folders; Spark's readers skip such names, so tasks open them one by one."""
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for parent in batch.column(0).to_pylist():
+                try:
+                    store, path = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", parent) if parent.startswith("file:") else parent)
+                    with store.open_input_stream(f"{path}/.cwd") as source:
+                        found.append((parent, source.read(65536).decode(errors="replace").strip()))
+                except (OSError, pa.ArrowInvalid):  # no such file, or a store that tasks cannot open
+                    continue
+            found = [f for f in found if f[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["parent", "cwd"])
+
+    return parents.select("parent").mapInArrow(read, "parent string, cwd string")
+
+
 @S.register_source(ID, LABEL, "stable", r"/updates\.jsonl$|/updates/.*part-[^/]*$", by_file=False)
 def read(spark: SparkSession, root: str, summaries: str | None = None, workspaces=None) -> Batch:
     """Update logs under `root`; summary objects under `summaries` (default: the same), joined by session folder.
 
-    `workspaces` is an optional sidecar (parent, cwd): the workspace of sessions whose summary names none.
+    `workspaces` is an optional sidecar (parent, cwd): the workspace of sessions whose summary names none; by default the
+    `.cwd` files beside the session folders. Files that do not look like update logs in their first lines are left out.
     """
     S.tolerant(spark)
-    records, bad = S.read_jsonl(S.text_lines(spark, root, r"updates\.jsonl$|updates/.*part-"), ID, tail="grok_build")
+    lines = S.text_lines(spark, root, r"updates\.jsonl$|updates/.*part-")
+    records, bad = S.read_jsonl(lines.join(sniffed(lines), "path", "left_semi"), ID, tail="grok_build")
     found = events(records)
     # Folder names join both files: <session>/updates... and <session>/summary...
     key = F.regexp_extract("dir", r"session=([^/]+)", 1)
@@ -100,10 +138,9 @@ def read(spark: SparkSession, root: str, summaries: str | None = None, workspace
     messages = S.settle(messages)
     whole, none = S.split_empty(shown.withColumn("conv_key", F.col("dir")), messages, ID, "grok_build_no_messages", "dir")
     done = whole.join(S.sessions(messages), "conv_key").withColumn("upstream_id", F.coalesce(V.string("s", "$.info.id"), F.element_at(F.split("dir", "/"), -1)))
-    if workspaces is not None:
-        done = done.join(workspaces.select(F.col("parent").alias("_p"), "cwd"), S.parent("dir") == F.col("_p"), "left")
-    else:
-        done = done.withColumn("cwd", F.lit(None).cast("string"))
+    if workspaces is None:
+        workspaces = cwd_files(done.select(S.parent("dir").alias("parent")).filter("parent like '%/%'").distinct())
+    done = done.join(workspaces.select(F.col("parent").alias("_p"), "cwd"), S.parent("dir") == F.col("_p"), "left")
     done = done.withColumn("generated", V.string("s", "$.generated_title")).withColumn("summary", V.string("s", "$.session_summary"))
     conversations = done.select("conv_key", "upstream_id", S.best_title(session_title(F.lit(LABEL), "upstream_id"), "generated", "summary").alias("title"), F.coalesce(time(V.get("s", "$.created_at")), F.col("started")).alias("started_at"), F.coalesce(time(V.get("s", "$.updated_at")), F.col("updated")).alias("updated_at"), S.metadata(sourcePath=F.col("dir"), format="grok-acp-updates-jsonl", workspaceDirectory=F.coalesce(V.string("s", "$.info.cwd"), F.col("cwd")), currentModelId=V.string("s", "$.current_model_id"), sessionKind=V.string("s", "$.session_kind")).alias("metadata"))
     return S.finish(ID, LABEL, conversations, messages, [bad, unread, none])
