@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing; for the pipeline, texts of similar shingle sets by MinHash bands.
+"""SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 A fingerprint has 64 bits over the word shingles of a text. Two fingerprints within distance 2
 have a common neighbour within distance 1 of each, so every distinct fingerprint emits itself
@@ -6,14 +6,21 @@ and its 64 one-bit variants, and fingerprints that meet in a variant are candida
 fingerprints can meet in one variant, whatever the data, so no bucket is hot; documents that share
 a fingerprint are counted before anything is emitted.
 
+`drop_near_copies`, the pipeline's stage, links texts whose sets of five-word shingles are 0.8 alike. Fingerprints over such
+shingles lie too far apart for a small radius; fingerprints over a text's counted words lie near (3 % of their bits differ on
+average at 0.8 and more), so each text has TABLES short ones. Each emits its ball of half the radius, texts that meet in a variant and
+also in the least hash of their shingles are candidates, and every candidate pair is verified by its shingle sets.
+
 Rows: a null or empty text has no words and fingerprint zero, linked like any other; fewer words
 than a shingle are one shingle; repeated rows and equal doc_ids are each answered; a null doc_id
 counts as the largest, and gives a null component_id where no other id is in its component. An
-empty table gives no rows. Other columns pass through in `drop_near_copies`.
+empty table gives no rows. Other columns pass through in `drop_near_copies`, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,8 +30,8 @@ from scrollmill.llm.common import id_last, join_hot, keep, table, with_text_colu
 from scrollmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Of `drop_near_copies`: words of a shingle, least similarity (4 / 5), bands and minima of a band, and how far apart two texts of a sorted bucket may lie.
-NEAR_SHINGLE, NEAR, BANDS, BAND, NEIGHBOURS = 5, (4, 5), 20, 5, 2
+#: Of `drop_near_copies`: words of a shingle, least similarity (4 / 5), fingerprints and bits of each, and how far apart two texts of a sorted bucket may lie.
+NEAR_SHINGLE, NEAR, TABLES, BITS, NEIGHBOURS = 5, (4, 5), 8, 16, 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -86,147 +93,158 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_row_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _id (nulls largest) and _key, which names a row by its id and two hashes of all its columns; rows alike share it."""
+def row_columns(docs: DataFrame) -> list:
+    """id (nulls largest) and key, which names a row by its id and two hashes of all its columns; rows alike share it."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = F.concat_ws("/", id_last("doc_id"), F.xxhash64(*columns), F.xxhash64(F.lit(SEED), *reversed(columns)))
-    return docs.withColumns({"_id": id_last("doc_id"), "_key": key})
+    return [id_last("doc_id").alias("id"), key.alias("key")]
 
 
 def survivors(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
     """One row of `docs` for each component: the one of the smallest (doc_id, row hash), whatever ids its rows share.
 
-    `prints` has a row for each fingerprint (fp, best = its smallest (_id, _key, n)), `roots` (node, root) those that are linked.
+    `prints` has a row for each text (fp, best = its smallest (id, key, n)), `roots` (node, root) those that are linked.
     """
     owned = prints.join(roots, prints.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
-    best = keep(owned.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._key").alias("_key"), F.col("best.n").alias("_n"), F.col("best.n").alias("_count")), "best")
-    found = join_hot(with_row_keys(docs).drop("_id"), best, "_key", "_count")
+    best = keep(owned.groupBy("root").agg(F.min("best").alias("best")).select("best.key", "best.n", F.col("best.n").alias("count")), "best")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = join_hot(docs.select(row, row_columns(docs)[1]), best, "key", "count")
     # Only rows that are repeated whole are grouped.
-    once = found.filter("_n > 1").groupBy("_key").agg(F.first(row).alias("row")).select("row.*")
-    return found.filter("_n = 1").select(row).select("row.*").unionByName(once)
+    once = found.filter("n > 1").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    return found.filter("n = 1").select("row.*").unionByName(once)
 
 
 def best_rows(marked: DataFrame) -> DataFrame:
-    """(fp, best) of rows (fp, _id, _key): the smallest (_id, _key) of each fingerprint and how many rows are like it."""
-    alike = marked.groupBy("fp", "_id", "_key").agg(F.count("*").alias("n"))
-    return alike.groupBy("fp").agg(F.min(F.struct("_id", "_key", "n")).alias("best"))
+    """(fp, best) of rows (fp, id, key): the smallest (id, key) of each text and how many rows are like it."""
+    alike = marked.groupBy("fp", "id", "key").agg(F.count("*").alias("n"))
+    return alike.groupBy("fp").agg(F.min(F.struct("id", "key", "n")).alias("best"))
 
 
-def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[int, np.ndarray]:
-    """A hash of the words of a text, and the distinct hashes of its shingles, sorted; words as for fingerprints."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def split_words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def shingles(words: list[bytes], shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of the shingles of some words, sorted."""
     if not words:
-        return 0, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     runs = map(join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [join(words)]
-    return digest(join(words), SEED), np.unique(np.fromiter((digest(x, SEED) for x in runs), np.uint64))
+    return np.unique(np.fromiter((digest(x, SEED) for x in runs), np.uint64))
+
+
+def word_prints(words: list[bytes]) -> list[int]:
+    """TABLES fingerprints of BITS bits: each bit is the majority of that bit in the hashes of the words, counted as often as they occur."""
+    counted = Counter(words)
+    total, votes = len(words), np.zeros(128, np.float64)
+    some, weights = list(counted), np.fromiter(counted.values(), np.float64)
+    for a in range(0, len(some), 16384):
+        part = b"".join(map(xxhash.xxh3_128_digest, some[a : a + 16384]))
+        votes += weights[a : a + 16384] @ np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 16), axis=1)
+    bits = (votes[: TABLES * BITS] * 2 > total).reshape(TABLES, BITS)
+    return (bits @ (1 << np.arange(BITS))).tolist()
 
 
 _RNG = np.random.default_rng(SEED)
-_XOR, _ODD, _MIX = _RNG.integers(0, 2**64, (3, BANDS * BAND), np.uint64)
-_ODD, _MIX = _ODD | np.uint64(1), _MIX | np.uint64(1)
+_XOR, _ODD = _RNG.integers(0, 2**64, (2, TABLES), np.uint64)
+_ODD = _ODD | np.uint64(1)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """BANDS signed hashes, each of BAND minima of a set under its own random orders; none of an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND, ~np.uint64(0))
-    for a in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[a : a + 1024, None] ^ _XOR) * _ODD).min(0))
-    mixed = (least ^ (least >> np.uint64(29))) * _MIX
-    return mixed.reshape(BANDS, BAND).sum(1, dtype=np.uint64).view(np.int64)
+def least(hashes: np.ndarray) -> list[int]:
+    """TABLES signed minima of a set of hashes, each under a random order of its own."""
+    out = np.full(TABLES, ~np.uint64(0))
+    for a in range(0, len(hashes), 8192):
+        out = np.minimum(out, ((hashes[a : a + 8192, None] ^ _XOR) * _ODD).min(0))
+    return out.view(np.int64).tolist()
 
 
 def _marks():
-    def run(texts):
-        found = [shingles(t) for t in texts]
-        return [np.uint64(h).view(np.int64) for h, _ in found], [len(s) for _, s in found], [bands(s).tolist() for _, s in found]
+    def one(text):
+        words = split_words(text)
+        if not words:
+            return 0, [], []
+        return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).view(np.int64)), word_prints(words), least(shingles(words))
 
-    return run
+    return lambda texts: list(zip(*map(one, texts))) or [[], [], []]
 
 
 def _shingle_lists():
-    return lambda texts: [[shingles(t)[1].view(np.int64).tolist() for t in texts]]
-
-
-def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can be similar enough."""
-    return np.minimum(n, m) * NEAR[1] >= np.maximum(n, m) * NEAR[0]
+    return lambda texts: [[shingles(split_words(t)).view(np.int64).tolist() for t in texts]]
 
 
 def neighbours(batches):
-    """Pairs of rows (bucket, fp, n) at most NEIGHBOURS apart in one bucket of a sorted part; the part's first and last rows go out too."""
+    """Pairs of rows (bucket, fp) at most NEIGHBOURS apart in one bucket of a sorted part; the part's first and last rows go out too."""
     import pyarrow as pa
     from pyspark import TaskContext
 
-    names = ["kind", "part", "bucket", "a", "b", "na", "nb"]
-    part, w, seen, tail = TaskContext.get().partitionId(), NEIGHBOURS, 0, [np.zeros(0, np.int64)] * 3
+    names = ["kind", "part", "bucket", "a", "b"]
+    part, w, seen, tail = TaskContext.get().partitionId(), NEIGHBOURS, 0, [np.zeros(0, np.int64)] * 2
 
-    def out(kind, bucket, a, b, na, nb):
+    def out(kind, bucket, a, b):
         size = len(bucket)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, part, np.int32)), *map(pa.array, (bucket, a, b, na, nb))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, part, np.int32)), *map(pa.array, (bucket, a, b))], names=names)
 
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in ("bucket", "fp", "n")]
+        new = [batch.column(c).to_numpy() for c in ("bucket", "fp")]
         if seen < w and len(new[0]):
-            bucket, fp, n = (c[: w - seen] for c in new)
-            yield out(1, bucket, fp, fp, n, n)
+            bucket, fp = (c[: w - seen] for c in new)
+            yield out(1, bucket, fp, fp)
         seen += len(new[0])
         old = len(tail[0])
-        bucket, fp, n = rows = [np.concatenate([t, c]) for t, c in zip(tail, new)]
+        bucket, fp = rows = [np.concatenate([t, c]) for t, c in zip(tail, new)]
         for d in range(1, w + 1):
             at = np.arange(max(d, old), len(bucket))
-            at = at[(bucket[at] == bucket[at - d]) & (fp[at] != fp[at - d]) & alike(n[at], n[at - d])]
-            yield out(0, bucket[at], fp[at], fp[at - d], n[at], n[at - d])
+            at = at[(bucket[at] == bucket[at - d]) & (fp[at] != fp[at - d])]
+            yield out(0, bucket[at], np.minimum(fp[at], fp[at - d]), np.maximum(fp[at], fp[at - d]))
         tail = [c[-w:] for c in rows]
     if (left := min(w, seen - w)) > 0:
-        bucket, fp, n = (c[-left:] for c in tail)
-        yield out(2, bucket, fp, fp, n, n)
+        bucket, fp = (c[-left:] for c in tail)
+        yield out(2, bucket, fp, fp)
 
 
-def near_pairs(marked: DataFrame) -> DataFrame:
-    """(a, b, na, nb) candidates of distinct texts (fp, n, bands) that share a band.
+def near_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b) candidates of distinct texts (fp, prints, mins), a < b: those that meet in a variant of a fingerprint and in a least hash.
 
-    Each bucket is sorted by its texts' next band, which brings the most similar ones together, and each text is paired with
-    those next to it, so a bucket of k texts gives fewer than NEIGHBOURS * k pairs. Sorting is global: parts are even whatever the buckets' sizes,
-    and pairs across the parts' borders are found from their first and last rows.
+    A bucket's texts are within RADIUS bits of each other. It is sorted by other least hashes, which brings the most similar texts
+    together, and each text is paired with those next to it, so a bucket of k texts gives fewer than NEIGHBOURS * k pairs.
+    Sorting is global: parts are even whatever the buckets' sizes, and pairs across the parts' borders are found from their
+    first and last rows.
     """
-    spark = marked.sparkSession
-    rows = marked.select("fp", F.col("n").cast("long").alias("n"), "bands", F.posexplode("bands").alias("at", "bucket"))
-    rows = rows.select("bucket", F.element_at("bands", ((F.col("at") + 1) % BANDS + 1).cast("int")).alias("next"), "fp", "n")
-    ordered = rows.repartitionByRange("bucket", "next", "fp").sortWithinPartitions("bucket", "next", "fp").select("bucket", "fp", "n")
-    found = keep(ordered.mapInArrow(neighbours, "kind int, part int, bucket long, a long, b long, na long, nb long"), "neighbours")
+    spark = texts.sparkSession
+    flips = F.array(*[F.lit(f) for f in [0, *[1 << i for i in range(BITS)]]])
+    rows = texts.select("fp", "mins", F.posexplode("prints").alias("t", "print"))
+    rows = rows.select("fp", "mins", "t", "print", F.get("mins", F.col("t")).alias("own"), F.posexplode(flips).alias("k", "flip"))
+    # Each variant has an order of its own: by the high bits of three other least hashes.
+    other = lambda n: F.shiftrightunsigned(F.get("mins", (F.col("t") + 1 + (F.col("k") + n) % (TABLES - 1)) % TABLES), 43)
+    place = F.shiftleft(other(0), 42).bitwiseOR(F.shiftleft(other(1), 21)).bitwiseOR(other(2))
+    rows = rows.select(F.xxhash64("t", F.col("print").bitwiseXOR(F.col("flip")), "own").alias("bucket"), place.alias("next"), "fp")
+    ordered = rows.repartitionByRange("bucket", "next", "fp").sortWithinPartitions("bucket", "next", "fp").select("bucket", "fp")
+    found = keep(ordered.mapInArrow(neighbours, "kind int, part int, bucket long, a long, b long"), "neighbours")
     # Two runs of NEIGHBOURS rows at most for each part.
-    edge = [(r.bucket, r.a, r.na) for r in sorted(found.filter("kind > 0").collect(), key=lambda r: (r.part, r.kind))]
-    crossing = [(x[1], y[1], x[2], y[2]) for d in range(1, NEIGHBOURS + 1) for x, y in zip(edge, edge[d:]) if x[0] == y[0] and x[1] != y[1]]
-    schema = "a long, b long, na long, nb long"
-    every = found.filter("kind = 0").select("a", "b", "na", "nb").union(spark.createDataFrame(crossing, schema))
-    first = F.col("a") < F.col("b")
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    edge = [(r.bucket, r.a) for r in sorted(found.filter("kind > 0").collect(), key=lambda r: (r.part, r.kind))]
+    crossing = [(min(x[1], y[1]), max(x[1], y[1])) for d in range(1, NEIGHBOURS + 1) for x, y in zip(edge, edge[d:]) if x[0] == y[0] and x[1] != y[1]]
+    return found.filter("kind = 0").select("a", "b").union(spark.createDataFrame(crossing, "a long, b long")).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets (fp, s) have a Jaccard similarity of NEAR or more, counted exactly."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common * (NEAR[0] + NEAR[1]) >= (F.col("na") + F.col("nb")) * NEAR[0]).select("a", "b")
+    return both.filter(common * (NEAR[0] + NEAR[1]) >= (F.size("sa") + F.size("sb")) * NEAR[0]).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component: that of the smallest doc_id (of rows that share it, the one of the smallest hash).
 
-    Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share one of
-    BANDS bands of BAND minima (0.9996 of pairs at 0.8 do), and each is checked exactly. Texts of the same words are one.
+    Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is checked exactly for
+    each candidate (see `near_pairs`). Texts of the same words are one.
     """
-    rows = with_row_keys(docs).select("_id", "_key", "text")
-    marked = keep(with_text_columns(rows, "text", "fp long, n int, bands array<long>", _marks).select("fp", "_id", "_key", "n", "bands"), "marked")
+    rows = docs.select(*row_columns(docs), F.col("text").alias("text"))
+    marked = keep(with_text_columns(rows, "text", "fp long, prints array<int>, mins array<long>", _marks).select("fp", "id", "key", "prints", "mins"), "marked")
     prints = keep(best_rows(marked), "best_rows")
-    texts = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    pairs = keep(near_pairs(texts), "pairs")
+    pairs = keep(near_pairs(marked.groupBy("fp").agg(F.first("prints").alias("prints"), F.first("mins").alias("mins"))), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = prints.join(nodes, "fp").select("fp", F.col("best._key").alias("_key"))
-    held = rows.select("_key", "text").join(wanted, "_key").dropDuplicates(["fp"])
+    wanted = prints.join(nodes, "fp").select("fp", "best.key")
+    held = rows.select("key", "text").join(wanted, "key").dropDuplicates(["fp"])
     sets = keep(with_text_columns(held, "text", "s array<long>", _shingle_lists).select("fp", "s"), "sets")
     return survivors(docs, prints, keep(components(similar(pairs, sets)), "roots"))

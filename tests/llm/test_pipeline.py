@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline as cp
-from scrollmill.llm import decontaminate, langid, simhash, token_files
+from scrollmill.llm import decontaminate, langid, token_files
 from scrollmill.llm.common import table
 
 
@@ -14,19 +14,24 @@ def test_run_against_brute_force(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     predict = langid.Classifier(langid.dictionaries(langid.learnable(docs))).predict
     left = [r for r in docs.collect() if not predict(r.text)[3]]
-    prints = sorted((r.doc_id, simhash.fingerprint(r.text) % 2**64, r) for r in left)
-    root = {d: d for d, _, _ in prints}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for i, (d, fp, _) in enumerate(prints):
-        for e, other, _ in prints[:i]:
-            if (fp ^ other).bit_count() <= 2 and find(d) != find(e):
-                root[max(find(d), find(e))] = min(find(d), find(e))
-    left = [r for d, _, r in prints if find(d) == d]
+    # Five-word shingle sets that are 0.8 alike, by comparing every two of them.
+    rows = sorted(left, key=lambda r: r.doc_id)
+    split = [r.text.encode().lower().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 5 * min(len(s), len(sets[j])) >= 4 * max(len(s), len(sets[j])) and 5 * len(s & sets[j]) >= 4 * len(s | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    left = [r for i, r in enumerate(rows) if find(i) == i]
+    kept = cp.near_dedup(spark, spark.createDataFrame(rows, docs.schema), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == [r.doc_id for r in left]
     matcher = decontaminate.Matcher([(str(r.item_id), r.text) for r in table(spark, sf_dir, "benchmark").collect()], 10)
     left = {r.doc_id: r for r in left if not matcher.find(r.text)[1]}
 

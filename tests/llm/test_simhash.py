@@ -125,3 +125,11 @@ def test_near_copies_of_four_fifths_go(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     left = {r.doc_id for r in sh.drop_near_copies(docs).collect()}
     assert left == {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_clashing_names_pass_the_stage(spark):
+    names = ["_id", "_key", "_first", "_rank_", "id", "key", "row", "fp", "n", "count", "root", "best"]
+    rows = [(1, "the same words stand in here", *[1] * len(names)), (2, "the same words stand in here", *[2] * len(names)), (3, "other words are over there now", *[3] * len(names))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    left = sh.drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [rows[0], rows[2]]
