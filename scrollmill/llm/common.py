@@ -15,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, and only on one machine, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -32,15 +34,31 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_kept: list[str] = []
+
+
 def keep(df: DataFrame, kind: str) -> DataFrame:
     """Cut lineage with a written table in the shared folder; survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, kind)
     schema = df.schema
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def settle(make, kind: str) -> DataFrame:
+    """make() written to the shared folder; the tables that it kept on its way are deleted then."""
+    before = len(_kept)
+    out = keep(make(), kind)
+    spark, path = out.sparkSession, _kept.pop()
+    for old in _kept[before:]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _kept[before:] = [path]
+    return out
+
+
 def open_store(uri: str):
     """(filesystem, path) of a shared folder, for tasks that read or write whole files."""
     from pyarrow import fs

@@ -8,7 +8,7 @@ a fingerprint are counted before anything is emitted.
 
 `drop_near_copies`, the pipeline's stage, links texts whose sets of five-word shingles are 0.8 alike. Fingerprints over such
 shingles lie too far apart for a small radius; fingerprints over a text's counted words lie near (3 % of their bits differ on
-average at 0.8 and more), so each text has TABLES short ones. Each emits its ball of half the radius, texts that meet in a variant and
+average at 0.8 and more), so each text has TABLES short ones of BITS bits. Each emits its ball of half the radius, texts that meet in a variant and
 also in the least hash of their shingles are candidates, and every candidate pair is verified by its shingle sets.
 
 Rows: a null or empty text has no words and fingerprint zero, linked like any other; fewer words
@@ -31,7 +31,9 @@ from scrollmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Of `drop_near_copies`: words of a shingle, least similarity (4 / 5), fingerprints and bits of each, and how far apart two texts of a sorted bucket may lie.
-NEAR_SHINGLE, NEAR, TABLES, BITS, NEIGHBOURS = 5, (4, 5), 8, 16, 8
+NEAR_SHINGLE, NEAR, TABLES, BITS, NEIGHBOURS = 5, (4, 5), 6, 10, 8
+#: In how many of the variants that they share texts of equal fingerprints are paired, each time in another order.
+SAME = 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -173,32 +175,38 @@ def _shingle_lists():
 
 
 def neighbours(batches):
-    """Pairs of rows (bucket, fp) at most NEIGHBOURS apart in one bucket of a sorted part; the part's first and last rows go out too."""
+    """Pairs of rows (bucket, next, fp) at most NEIGHBOURS apart in one bucket of a sorted part; the part's first and last rows go out too.
+
+    The low bits of `next` are the variant's number. Rows of one number have equal fingerprints and meet in all variants, so
+    they are paired in the first SAME only.
+    """
     import pyarrow as pa
     from pyspark import TaskContext
 
     names = ["kind", "part", "bucket", "a", "b"]
-    part, w, seen, tail = TaskContext.get().partitionId(), NEIGHBOURS, 0, [np.zeros(0, np.int64)] * 2
+    part, w, seen, tail = TaskContext.get().partitionId(), NEIGHBOURS, 0, [np.zeros(0, np.int64)] * 3
 
     def out(kind, bucket, a, b):
         size = len(bucket)
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, part, np.int32)), *map(pa.array, (bucket, a, b))], names=names)
 
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in ("bucket", "fp")]
+        new = [batch.column(c).to_numpy() for c in ("bucket", "fp", "next")]
         if seen < w and len(new[0]):
-            bucket, fp = (c[: w - seen] for c in new)
+            bucket, fp, _ = (c[: w - seen] for c in new)
             yield out(1, bucket, fp, fp)
         seen += len(new[0])
         old = len(tail[0])
-        bucket, fp = rows = [np.concatenate([t, c]) for t, c in zip(tail, new)]
+        bucket, fp, place = rows = [np.concatenate([t, c]) for t, c in zip(tail, new)]
+        k = place & 31
         for d in range(1, w + 1):
             at = np.arange(max(d, old), len(bucket))
             at = at[(bucket[at] == bucket[at - d]) & (fp[at] != fp[at - d])]
+            at = at[(k[at] != k[at - d]) | (k[at] < SAME)]
             yield out(0, bucket[at], np.minimum(fp[at], fp[at - d]), np.maximum(fp[at], fp[at - d]))
         tail = [c[-w:] for c in rows]
     if (left := min(w, seen - w)) > 0:
-        bucket, fp = (c[-left:] for c in tail)
+        bucket, fp, _ = (c[-left:] for c in tail)
         yield out(2, bucket, fp, fp)
 
 
@@ -214,11 +222,11 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     flips = F.array(*[F.lit(f) for f in [0, *[1 << i for i in range(BITS)]]])
     rows = texts.select("fp", "mins", F.posexplode("prints").alias("t", "print"))
     rows = rows.select("fp", "mins", "t", "print", F.get("mins", F.col("t")).alias("own"), F.posexplode(flips).alias("k", "flip"))
-    # Each variant has an order of its own: by the high bits of three other least hashes.
+    # Each variant has an order of its own: by the high bits of two other least hashes, then by chance.
     other = lambda n: F.shiftrightunsigned(F.get("mins", (F.col("t") + 1 + (F.col("k") + n) % (TABLES - 1)) % TABLES), 43)
-    place = F.shiftleft(other(0), 42).bitwiseOR(F.shiftleft(other(1), 21)).bitwiseOR(other(2))
+    place = F.shiftleft(other(0), 42).bitwiseOR(F.shiftleft(other(1), 21)).bitwiseOR(F.shiftleft(F.pmod(F.xxhash64("fp", "k"), F.lit(1 << 16)), 5)).bitwiseOR(F.col("k").cast("long"))
     rows = rows.select(F.xxhash64("t", F.col("print").bitwiseXOR(F.col("flip")), "own").alias("bucket"), place.alias("next"), "fp")
-    ordered = rows.repartitionByRange("bucket", "next", "fp").sortWithinPartitions("bucket", "next", "fp").select("bucket", "fp")
+    ordered = rows.repartitionByRange("bucket", "next", "fp").sortWithinPartitions("bucket", "next", "fp").select("bucket", "next", "fp")
     found = keep(ordered.mapInArrow(neighbours, "kind int, part int, bucket long, a long, b long"), "neighbours")
     # Two runs of NEIGHBOURS rows at most for each part.
     edge = [(r.bucket, r.a) for r in sorted(found.filter("kind > 0").collect(), key=lambda r: (r.part, r.kind))]
