@@ -73,7 +73,9 @@ def without_files(text) -> Column:
 
 
 def ascii_lower(text) -> Column:
-    return F.translate(col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased and no other letter; a text of ASCII alone takes the faster way."""
+    t = col(text)
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 @F.pandas_udf(StringType())

@@ -209,7 +209,7 @@ def substring_matches(messages: DataFrame, conversations: DataFrame, queries: Da
 def search_many(messages: DataFrame, conversations: DataFrame, index: Index, queries: DataFrame, limit=None) -> DataFrame:
     """Ranked results, filled up to the limit by substring results: query_id, rank, conversation_id, message_id, score."""
     limit = clamp_limit(limit)
-    ranked = best_per_conversation(bm25_scores(index, queries), messages, conversations, limit)
+    ranked = cut(best_per_conversation(bm25_scores(index, queries), messages, conversations, limit), "ranked")  # used twice
     fill = substring_matches(messages, conversations, queries, limit).join(ranked.select("query_id", "conversation_id"), ["query_id", "conversation_id"], "left_anti")
     both = ranked.withColumn("stage", F.lit(0)).unionByName(fill.withColumn("score", F.lit(0.0)).withColumn("stage", F.lit(1)))
     placed = both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("stage", "rank")))
@@ -231,8 +231,16 @@ def search(messages: DataFrame, conversations: DataFrame, index: Index, query: s
     some = filter_source(conversations, source_id)
     if date is not None:
         some = filter_local_day(some, date, tz)
-    queries = messages.sparkSession.createDataFrame([(0, query)], "query_id long, query string")
-    found = search_many(messages, some, index, queries, limit)
+    spark, limit = messages.sparkSession, clamp_limit(limit)
+    queries = spark.createDataFrame([(0, query)], "query_id long, query string")
+    # `limit` rows at most reach the driver; substrings are looked for only if the ranked pass leaves places free.
+    rows = [(r["rank"], r.conversation_id, r.message_id, r.score) for r in best_per_conversation(bm25_scores(index, queries), messages, some, limit).collect()]
+    if len(rows) < limit:
+        known = {r[1] for r in rows}
+        fill = [r for r in substring_matches(messages, some, queries, limit).collect() if r.conversation_id not in known]
+        rows += [(0, r.conversation_id, r.message_id, 0.0) for r in sorted(fill, key=lambda r: r["rank"])]
+    rows = [(0, n + 1, *r[1:]) for n, r in enumerate(sorted(rows, key=lambda r: r[0] or limit + 1)[:limit])]
+    found = F.broadcast(spark.createDataFrame(rows, "query_id long, rank int, conversation_id string, message_id string, score double"))
     return with_snippets(found, messages, queries, 1).orderBy("rank")
 
 

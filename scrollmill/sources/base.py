@@ -42,8 +42,9 @@ def register_source(id: str, label: str, confidence: str, path_rule: str, by_fil
 
 
 def tolerant(spark: SparkSession) -> None:
-    """The last of duplicate JSON keys counts, as in JavaScript."""
+    """The last of duplicate JSON keys counts, as in JavaScript. Logs lie in many small folders, which are listed by some tasks for each core, not one for each folder."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
 
 
 def find_files(spark: SparkSession, root: str, rule: str) -> DataFrame:
