@@ -171,7 +171,7 @@ def _marks():
 
 
 def _shingle_lists():
-    return lambda texts: [[shingles(split_words(t)).view(np.int64).tolist() for t in texts]]
+    return lambda texts: [[np.unique((shingles(split_words(t)) >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist() for t in texts]]
 
 
 def neighbours(batches):
@@ -203,7 +203,7 @@ def neighbours(batches):
             at = np.arange(max(d, old), len(bucket))
             at = at[(bucket[at] == bucket[at - d]) & (fp[at] != fp[at - d])]
             at = at[(k[at] != k[at - d]) | (k[at] < SAME)]
-            yield out(0, bucket[at], np.minimum(fp[at], fp[at - d]), np.maximum(fp[at], fp[at - d]))
+            yield out(0 if d == 1 else 3, bucket[at], np.minimum(fp[at], fp[at - d]), np.maximum(fp[at], fp[at - d]))
         tail = [c[-w:] for c in rows]
     if (left := min(w, seen - w)) > 0:
         bucket, fp, _ = (c[-left:] for c in tail)
@@ -211,7 +211,7 @@ def neighbours(batches):
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b) candidates of distinct texts (fp, prints, mins), a < b: those that meet in a variant of a fingerprint and in a least hash.
+    """(a, b, side_by_side) candidates of distinct texts (fp, prints, mins), a < b: those that meet in a variant of a fingerprint and in a least hash.
 
     A bucket's texts are within RADIUS bits of each other. It is sorted by other least hashes, which brings the most similar texts
     together, and each text is paired with those next to it, so a bucket of k texts gives fewer than NEIGHBOURS * k pairs.
@@ -229,13 +229,14 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     ordered = rows.repartitionByRange("bucket", "next", "fp").sortWithinPartitions("bucket", "next", "fp").select("bucket", "next", "fp")
     found = keep(ordered.mapInArrow(neighbours, "kind int, part int, bucket long, a long, b long"), "neighbours")
     # Two runs of NEIGHBOURS rows at most for each part.
-    edge = [(r.bucket, r.a) for r in sorted(found.filter("kind > 0").collect(), key=lambda r: (r.part, r.kind))]
+    edge = [(r.bucket, r.a) for r in sorted(found.filter("kind in (1, 2)").collect(), key=lambda r: (r.part, r.kind))]
     crossing = [(min(x[1], y[1]), max(x[1], y[1])) for d in range(1, NEIGHBOURS + 1) for x, y in zip(edge, edge[d:]) if x[0] == y[0] and x[1] != y[1]]
-    return found.filter("kind = 0").select("a", "b").union(spark.createDataFrame(crossing, "a long, b long")).distinct()
+    every = found.filter("kind in (0, 3)").select("a", "b", "kind").union(spark.createDataFrame([(*p, 0) for p in crossing], "a long, b long, kind int"))
+    return every.groupBy("a", "b").agg((F.min("kind") == 0).alias("side_by_side"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets (fp, s) have a Jaccard similarity of NEAR or more, counted exactly."""
+    """Pairs (a, b) whose sets (fp, s) have a Jaccard similarity of NEAR or more, counted over 32-bit hashes of all shingles."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common * (NEAR[0] + NEAR[1]) >= (F.size("sa") + F.size("sb")) * NEAR[0]).select("a", "b")
@@ -254,5 +255,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = prints.join(nodes, "fp").select("fp", "best.key")
     held = rows.select("key", "text").join(wanted, "key").dropDuplicates(["fp"])
-    sets = keep(with_text_columns(held, "text", "s array<long>", _shingle_lists).select("fp", "s"), "sets")
-    return survivors(docs, prints, keep(components(similar(pairs, sets)), "roots"))
+    sets = keep(with_text_columns(held, "text", "s array<int>", _shingle_lists).select("fp", "s"), "sets")
+    # Neighbours that lie side by side first; of the others only pairs that these have not connected are compared.
+    near = keep(similar(pairs.filter("side_by_side"), sets), "near")
+    roots = keep(components(near), "roots")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = pairs.filter("not side_by_side").join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(a_root, a) <> coalesce(b_root, b)")
+    more = keep(similar(rest.select("a", "b"), sets), "more")
+    return survivors(docs, prints, keep(components(near.union(more)), "roots"))
