@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrollmill.llm import decontaminate, langid, line_dedup, mixing, secrets, simhash, token_files, topk, toxicity, warc
+from scrollmill.llm import byte_bpe, decontaminate, infill, langid, line_dedup, mixing, secrets, simhash, token_files, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_topk": topk.op9_topk,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_fill_in_middle": infill.op11_fill_in_middle,
+        "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.ORACLE_SQL,
         "op9_topk": topk.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_fill_in_middle": infill.ORACLE_SQL,
     }
