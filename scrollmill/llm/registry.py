@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrollmill.llm import byte_bpe, decontaminate, infill, langid, line_dedup, mixing, secrets, simhash, token_files, topk, toxicity, warc
+from scrollmill.llm import byte_bpe, decontaminate, infill, langid, line_dedup, mixing, prefix_trie, secrets, simhash, token_files, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_mix_sources": mixing.op10_mix_sources,
         "op11_fill_in_middle": infill.op11_fill_in_middle,
         "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_topk": topk.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
         "op11_fill_in_middle": infill.ORACLE_SQL,
+        "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     }
