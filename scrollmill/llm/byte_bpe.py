@@ -12,13 +12,13 @@ bounded table too.
 Decoding streams: an automaton over UTF-8 says where in what is joined so far a code point is still open, and those bytes wait for the next tokens.
 
 Rows: a null or empty text has no ids; repeated rows are each answered; an empty table gives no rows.
-Other columns pass through; `ids` and `decoded` are replaced. A null list of ids decodes to nothing.
+Other columns pass through; `ids` and `decoded` are replaced. Null ids decode to nothing.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import gc
 from functools import cache, partial
 
 import numpy as np
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from scrollmill.llm.common import table, with_text_columns
 
 #: Steps of the deterministic transducer that a worker keeps (some 500 bytes each), pairs of tokens that it has tried, and words whose tokens it remembers.
-MOST_STEPS, MOST_PAIRS, MOST_WORDS = 200_000, 400_000, 150_000
+MOST_STEPS, MOST_PAIRS, MOST_WORDS = 200_000, 300_000, 150_000
 #: Where up to so many tokens go on from what is read, those that may follow stand for the last token, so more states are alike.
 FEW = 32
 #: Longer words are not remembered; longer texts are split into words one by one.
 LONG_WORD, LONG_TEXT = 64, 1 << 20
+#: Rows that are coded together.
+AT_ONCE = 128
 #: Tokens that a decoder joins before it writes.
 FLUSH = 4096
 
@@ -242,24 +244,35 @@ def _encoder(path: str, pattern: str):
                         known.clear()
                     known[word] = tokens
             ids += tokens
-        return np.array(ids, np.int32)
+        return np.array(ids, "<u4").tobytes()
 
-    return lambda texts: [[one(t or "") for t in texts]]
+    def many(texts):
+        gc.disable()  # of the many small tuples none is in a cycle
+        try:
+            return [[one(t or "") for t in texts]]
+        finally:
+            gc.enable()
+
+    return many
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """`docs` with `ids`: the tokens of each text by the ranks in `path` (on every executor), each match of `pattern` separately."""
-    return with_text_columns(docs, "text", "ids array<int>", partial(_encoder, path, pattern))
+    """`docs` with `ids`: the tokens of each text by the ranks in `path` (on every executor), each match of `pattern` separately; packed as little-endian 32-bit integers."""
+    return with_text_columns(docs, "text", "ids binary", partial(_encoder, path, pattern), AT_ONCE)
+
+
+def unpacked(ids: bytes | None) -> list[int]:
+    return np.frombuffer(ids or b"", "<u4").tolist()
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """Rows of `ids` with `decoded`, their bytes."""
-    return with_text_columns(rows, "ids", "decoded binary", lambda: lambda lists: [[b"".join(chunks(ids or (), spelling(path))) for ids in lists]])
+    """Rows of packed `ids` with `decoded`, their bytes."""
+    return with_text_columns(rows, "ids", "decoded binary", lambda: lambda lists: [[b"".join(chunks(unpacked(ids), spelling(path))) for ids in lists]], AT_ONCE)
 
 
 def decode_text(rows: DataFrame, path: str) -> DataFrame:
-    """Rows of `ids` with `decoded`, their text; bytes that are no UTF-8 become U+FFFD."""
-    return with_text_columns(rows, "ids", "decoded string", lambda: lambda lists: [["".join(text_of(ids or (), spelling(path))) for ids in lists]])
+    """Rows of packed `ids` with `decoded`, their text; bytes that are no UTF-8 become U+FFFD."""
+    return with_text_columns(rows, "ids", "decoded string", lambda: lambda lists: [["".join(text_of(unpacked(ids), spelling(path))) for ids in lists]], AT_ONCE)
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,5 +280,4 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
-    sha = lambda lists: ([len(x) for x in lists], [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in lists])
-    return with_text_columns(found, "ids", "n_tokens long, ids_sha256 string", lambda: sha).selectExpr("doc_id", "n_tokens", "ids_sha256", "sha2(decoded, 256) as decoded_sha256")
+    return found.selectExpr("doc_id", "cast(octet_length(ids) div 4 as bigint) as n_tokens", "sha2(ids, 256) as ids_sha256", "sha2(decoded, 256) as decoded_sha256")

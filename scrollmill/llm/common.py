@@ -114,11 +114,11 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, counts: str) -> DataFra
     return rows.join(few, key).unionByName(cold.join(rest, key))
 
 
-def with_text_columns(df: DataFrame, text: str | list[str], added: str, make) -> DataFrame:
+def with_text_columns(df: DataFrame, text: str | list[str], added: str, make, at_once: int | None = None) -> DataFrame:
     """Add columns (DDL in `added`) computed from a text column (or several), in Arrow batches.
 
     `make()` runs once in each task and gives a function from a list of texts (None for null)
-    for each column to one list or array per added column. Input columns of the same names are replaced; all
+    for each column to one list or array per added column; `at_once` bounds the rows of a call. Input columns of the same names are replaced; all
     others pass through with their exact types.
     """
     from pyspark.sql import types as T
@@ -134,9 +134,12 @@ def with_text_columns(df: DataFrame, text: str | list[str], added: str, make) ->
 
         kinds = to_arrow_schema(new).types
         fn = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             fn = fn or make()
             arrays = [a if isinstance(a, pa.Array) else pa.array(a, kind) for a, kind in zip(fn(*[batch.column(c).to_pylist() for c in texts]), kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
 
+    def parts(batch):
+        return [batch.slice(a, at_once) for a in range(0, batch.num_rows, at_once)] if at_once else [batch]
+
     return base.mapInArrow(run, schema)
