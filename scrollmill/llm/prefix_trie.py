@@ -4,7 +4,7 @@ Sequences of up to H = 2^k items are cut at half depth. Prefixes up to the cut a
 smallest of their sequences as representative. The upper trie keeps the representatives' first halves with the weight of
 all they stand for; the second halves make a forest with one tree for each name. Both are cut again, all trees of all
 levels in the same jobs, until trees are one item deep and their distinct items are the nodes: k rounds of
-grouped joins for depth 2^k. Totals go the other way: level by level, the sum of each lower tree is grafted onto the
+grouped joins for depth 2^k, each over the sequences that are longer than the half alone. Totals go the other way: level by level, the sum of each lower tree is grafted onto the
 upper trie's path to the name that it hangs from, and into the sum of the tree made of both. A message goes to each node of that path, so
 the rows of a round are no more than those of its upper tries.
 
@@ -78,24 +78,27 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keep(first.unionByName(later), "sequences"), all_.select("conv", "length")
 
 
-def cut_in_half(rows: DataFrame, height: int) -> DataFrame:
-    """Rows (tree, seq, depth, item, chars, w) of trees of `height`, with (next, below, w): their representative, tree and weight in trees of half of it.
+def past_half(height: int) -> Column:
+    """Whether a row's sequence goes on in the lower half of its tree."""
+    return F.col("last") - (F.col("depth") - 1 - F.pmod(F.col("depth") - 1, F.lit(height))) > height // 2
 
-    A row stays if it is its own representative (next = seq).
-    """
+
+def cut_in_half(rows: DataFrame, height: int) -> DataFrame:
+    """Rows (tree, seq, depth, item, chars, w, last) of trees of `height`, whose sequences all go past half of it, in trees of half of it, with
+    `next`, their representative there; a row stays if it is its own."""
     half = height // 2
     place = F.pmod(F.col("depth") - 1, F.lit(height))
-    rows = rows.withColumn("block", ((F.col("depth") - 1 - place) / height).cast("long"))
+    rows = rows.withColumn("base", F.col("depth") - 1 - place)
     mark = lambda *c: F.bit_xor(F.xxhash64(*c))
-    upper = rows.filter(place < half).groupBy("tree", "block", "seq").agg(mark("depth", "item").alias("a"), mark("item", "depth").alias("b"), F.count("*").alias("n"), F.max("w").alias("own"))
-    same = ["tree", "block", "a", "b", "n"]
+    upper = rows.filter(place < half).groupBy("tree", "base", "seq").agg(mark("depth", "item").alias("a"), mark("item", "depth").alias("b"), F.max("w").alias("own"))
+    same = ["tree", "base", "a", "b"]
     named = upper.groupBy(*same).agg(F.min("seq").alias("name"), F.sum("own").alias("all"))
-    names = upper.join(named, same).select("tree", "block", "seq", "name", "all")
-    return rows.join(names, ["tree", "block", "seq"]).select(
+    names = upper.join(named, same).select("tree", "base", "seq", "name", "all")
+    pick = lambda above, below, name: F.when(place < half, above).otherwise(below).alias(name)
+    return rows.join(names, ["tree", "base", "seq"]).select(
         "seq", "depth", "item", "chars",
-        F.when(place < half, F.col("name")).otherwise(F.col("seq")).alias("next"),
-        F.when(place < half, F.col("tree")).otherwise(F.col("name")).alias("tree"),
-        F.when(place < half, F.col("all")).otherwise(F.col("w")).alias("w"),
+        pick(F.col("name"), F.col("seq"), "next"), pick(F.col("tree"), F.col("name"), "tree"),
+        pick(F.col("all"), F.col("w"), "w"), pick(F.col("base") + half, F.col("last"), "last"),
     )
 
 
@@ -152,21 +155,26 @@ def prefix_trie(sequences: DataFrame, members: DataFrame) -> DataFrame:
     top = 1
     while top < deepest:
         top *= 2
-    # Down: names and weights.
-    rows = sequences.select(F.lit(root).cast("long").alias("tree"), F.col("conv").alias("seq"), "depth", "item", "chars", F.lit(1).cast("long").alias("w"))
+    # Down: names and weights. A sequence takes part once its tree's half is shorter than it; until then its rows wait where they are.
+    one = F.lit(1).cast("long")
+    rows = sequences.join(members.withColumnRenamed("length", "last"), "conv").select(F.lit(root).cast("long").alias("tree"), F.col("conv").alias("seq"), "depth", "item", "chars", one.alias("w"), "last")
+    rows, columns = keep(rows, "rows"), rows.columns
     levels, height = [], top
     while height > 1:
-        levels.append(keep(cut_in_half(rows, height), "cut"))
-        rows, height = levels[-1].filter("next = seq").select("tree", "seq", "depth", "item", "chars", "w"), height // 2
+        levels.append(keep(cut_in_half(rows.filter(past_half(height)), height), "cut"))
+        rows, height = rows.filter(~past_half(height)).unionByName(levels[-1].filter("next = seq").select(*columns)), height // 2
     nodes = keep(rows.groupBy("tree", "depth", "item").agg(F.min("seq").alias("conv"), F.sum("w").alias("n"), F.max("chars").alias("chars")), "nodes")
-    # Back up: what row of a sequence lies on what node.
-    places = rows.join(nodes.select("tree", "depth", "item", "conv"), ["tree", "depth", "item"]).select("seq", "depth", "conv", "tree")
+    # Back up: what row of a sequence lies on what node. Each row is looked up once, at the level where it got a representative.
+    places = keep(rows.join(nodes.select("tree", "depth", "item", "conv"), ["tree", "depth", "item"]).select("seq", "depth", "conv", "tree"), "places")
     for level in reversed(levels):
-        places = level.select("seq", "depth", "next").join(places.withColumnRenamed("seq", "next"), ["next", "depth"]).select("seq", "depth", "conv", "tree")
-    places = keep(places, "places")
-    kids = nodes.groupBy(F.col("tree").alias("conv"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
-    own = nodes.join(kids, ["conv", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    own = keep(own.select("conv", "depth", "tree", "n", "n_children", (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n") - 1) * F.col("chars")).alias("saved")), "own")
+        moved = level.filter("next <> seq").select("seq", "depth", "next").join(places.withColumnRenamed("seq", "next"), ["next", "depth"]).select("seq", "depth", "conv", "tree")
+        places = places.unionByName(keep(moved, "moved"))
+    # A tree's name is a sequence; its parent node is where that lies.
+    above = nodes.withColumn("up", F.col("depth") - 1).join(places.select(F.col("seq").alias("tree"), F.col("depth").alias("up"), F.col("conv").alias("parent")), ["tree", "up"], "left").withColumn("parent", F.coalesce("parent", "tree"))
+    above = keep(above, "above")
+    kids = above.groupBy(F.col("parent").alias("conv"), F.col("up").alias("depth")).agg(F.count("*").alias("n_children"))
+    own = above.join(kids, ["conv", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+    own = keep(own.select("conv", "depth", "tree", "parent", "n", "n_children", (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n") - 1) * F.col("chars")).alias("saved")), "own")
     # Totals of trees (conv, depth of their root), from one item deep to all; grafts are messages to nodes.
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
     trees = keep(total(own.select(F.col("tree").alias("conv"), (F.col("depth") - 1).alias("depth"), "leaves", "saved"), "conv", "depth"), "trees")
@@ -180,14 +188,14 @@ def prefix_trie(sequences: DataFrame, members: DataFrame) -> DataFrame:
         trees = keep(total(trees.filter(F.col("depth") % height == 0).unionByName(onto), "conv", "depth"), "trees")
         half = height
     every = reduce(DataFrame.unionByName, [df.select("conv", "depth", "leaves", "saved") for df in [own, *grafts]])
-    summed = own.select("conv", "depth", "tree", "n", "n_children").join(total(every, "conv", "depth"), ["conv", "depth"])
+    summed = own.select("conv", "depth", "parent", "n", "n_children").join(total(every, "conv", "depth"), ["conv", "depth"])
     whole = trees.filter("depth = 0").agg(F.coalesce(F.max("leaves"), F.lit(1)), F.coalesce(F.max("saved"), F.lit(0))).first()
-    top_node = spark.createDataFrame([(root, 0, None, n_convs, own.filter("depth = 1").count(), *whole)], "conv long, depth long, tree long, n long, n_children long, leaves long, saved long")
+    top_node = spark.createDataFrame([(root, 0, None, n_convs, own.filter("depth = 1").count(), *whole)], "conv long, depth long, parent long, n long, n_children long, leaves long, saved long")
     ending = members.filter("length > 0").select(F.col("conv").alias("seq"), F.col("length").alias("depth")).join(places, ["seq", "depth"]).select("conv", "depth", F.col("seq").alias("id"))
     ending = ending.unionByName(members.filter("length = 0").select(F.lit(root).cast("long").alias("conv"), F.lit(0).cast("long").alias("depth"), F.col("conv").alias("id")))
     out = summed.unionByName(top_node).join(end_digests(keep(ending, "ending")), ["conv", "depth"], "left")
     return out.select(
-        F.col("conv").alias("conv_id"), "depth", F.col("tree").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children",
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children",
         F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("sha", F.lit(EMPTY)).alias("ends_sha256"),
     )
 
