@@ -128,6 +128,8 @@ class Store:
     evidence: DataFrame
     diagnostics: DataFrame
     status: DataFrame
+    #: Of a store on disk: the keys under which its conversations are known (`merge.KEYS`).
+    keys = None
 
     @staticmethod
     def new(spark: SparkSession) -> Store:

@@ -3,6 +3,9 @@
 A store folder holds numbered versions. The manifest of a version lists its parts: a first part with whole tables and
 later ones with what a merge changed, so a merge writes the conversations it touches and no others. A row counts
 unless a later part holds or removes its conversation (evidence and diagnostics: clears its source).
+
+Parts are merged by size: as long as a part is no larger than all after it, these become one part, their keys and index with them.
+So a store of n rows has some log2(n) parts, and a row is written again as often.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from scrollmill.operators.batch import STORE, Store, delete, empty, exists
 from scrollmill.operators.windows import keep_first
 
 PARTITIONED = ("conversations", "messages", "evidence")
-#: A version of so many parts is written whole again.
-MOST_PARTS = 24
+#: Tables beside a part's own: the keys that find its conversations, and its size in rows.
+KEYS = "bucket int, source_id string, kind string, key string, id string, updated_at string"
 #: Up to so many touched conversations are broadcast to a read; of more they are joined by shuffle.
 BROADCAST_TOUCHED = 200_000
 BACKUP = {"format": "scrollmill.backup", "schema_version": 1}
@@ -58,22 +61,66 @@ def write_part(spark: SparkSession, path: str, tables: dict[str, DataFrame], bef
     return number
 
 
+def by_bucket(keys: DataFrame) -> DataFrame:
+    """Keys in files sorted by bucket, so that a probe skips what it does not ask for."""
+    return keys.repartitionByRange("bucket").sortWithinPartitions("bucket", "key")
+
+
 def write_store(store: Store, path: str) -> int:
     """Write all tables as a new version; its number."""
-    return write_part(store.conversations.sparkSession, path, {f.name: getattr(store, f.name) for f in fields(store)}, [])
+    from scrollmill.operators.merge import stored_keys
+
+    tables = {f.name: getattr(store, f.name) for f in fields(store)}
+    return write_part(store.conversations.sparkSession, path, tables | {"keys": by_bucket(stored_keys(store.conversations))}, [])
 
 
 def write_change(change, path: str) -> int:
-    """Write what a merge changed as a new version after the latest; its number."""
+    """Write what a merge changed as a new version after the latest, and merge parts by size; its number."""
     spark = change.conversations.sparkSession
-    names = [*STORE, "gone", "cleared"]
     parts = parts_of(spark, path) if latest_number(spark, path) is not None else []
-    number = write_part(spark, path, {n: getattr(change, n) for n in names}, parts)
-    if len(parts) + 1 >= MOST_PARTS:
-        number = write_store(read_store(spark, path), path)
+    number = write_part(spark, path, {n: getattr(change, n) for n in [*STORE, "gone", "cleared"]} | {"keys": by_bucket(change.keys)}, parts)
+    parts = parts_of(spark, path, number)
+    while (some := to_merge([part_rows(spark, path, p) for p in parts])) > 1:
+        number = merge_parts(spark, path, parts, some)
+        parts = parts_of(spark, path, number)
     return number
 
 
+def part_rows(spark: SparkSession, path: str, part: str) -> int:
+    """Messages and evidence of a part; Parquet answers from the files' footers."""
+    return sum(read_part(spark, path, part, t).count() for t in ("messages", "evidence"))
+
+
+def to_merge(sizes: list[int]) -> int:
+    """How many of the last parts are to become one: from the first that is no larger than all after it."""
+    after = 0
+    most = 1
+    for n, size in enumerate(reversed(sizes), 1):
+        if n > 1 and size <= after:
+            most = n
+        after += size
+    return most
+
+
+def merge_parts(spark: SparkSession, path: str, parts: list[str], some: int) -> int:
+    """A new version whose last `some` parts are one; rows that count, ids that go, and the index where one of them has it."""
+    from scrollmill.operators.search import index_part, merged_blocks
+
+    before, run = parts[:-some], parts[-some:]
+    tables = {t: latest(spark, path, run, t, STORE[t], key) for t, key in (("conversations", "id"), ("messages", "conversation_id"))}
+    tables |= {t: uncleared(spark, path, run, t) for t in ("evidence", "diagnostics")}
+    tables["diagnostics"] = keep_first(tables["diagnostics"], ["id"], [F.col("created_at").desc()])
+    tables = {t: df.select(*read_columns(t)) for t, df in tables.items()} | {"status": read_part(spark, path, run[-1], "status"), "keys": by_bucket(latest(spark, path, run, "keys", KEYS, "id"))}
+    if before:
+        gone = numbered(spark, path, run, "gone", "id string").select("id").distinct()
+        tables |= {"gone": gone.join(tables["conversations"].select("id"), "id", "left_anti"), "cleared": numbered(spark, path, run, "cleared", "source_id string").select("source_id").distinct()}
+    if any(exists(spark, f"{path}/{p}/index/_SUCCESS") for p in run):
+        for part in run:
+            index_part(spark, path, part)
+        tables["index"] = merged_blocks(spark, path, run)
+    return write_part(spark, path, tables, before)
+
+
 def read_part(spark: SparkSession, path: str, part: str, table: str, ddl: str | None = None) -> DataFrame:
     """A table of one part; empty where the part has no such table."""
     ddl = ddl or STORE[table]
@@ -93,13 +140,24 @@ def numbered(spark: SparkSession, path: str, parts: list[str], table: str, ddl:
     return out
 
 
+def outdated(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """(part_no, conversation_id): what later parts hold or remove of conversations, for every part before them; for an index's dead rows."""
+    touched = touches(spark, path, parts).withColumnRenamed("id", "conversation_id")
+    return small(touched.select("conversation_id", F.explode(F.sequence(F.lit(0), F.col("touched") - 1)).alias("part_no")))
+
+
+def touches(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """(id, touched): the last of the later parts that holds or removes a conversation."""
+    ids = numbered(spark, path, parts[1:], "conversations", STORE["conversations"]).select("id", "part_no").union(numbered(spark, path, parts[1:], "gone", "id string").select("id", "part_no"))
+    return ids.groupBy("id").agg((F.max("part_no") + 1).alias("touched"))
+
+
 def latest(spark: SparkSession, path: str, parts: list[str], table: str, ddl: str, key: str) -> DataFrame:
     """The rows of a table that count: those whose conversation (`key`) no later part holds or removes."""
     rows = numbered(spark, path, parts, table, ddl)
     if len(parts) == 1:
         return rows.drop("part_no")
-    ids = numbered(spark, path, parts[1:], "conversations", STORE["conversations"]).select("id", "part_no").union(numbered(spark, path, parts[1:], "gone", "id string").select("id", "part_no"))
-    touched = small(ids.groupBy(F.col("id").alias(key)).agg((F.max("part_no") + 1).alias("touched")))
+    touched = small(touches(spark, path, parts).withColumnRenamed("id", key))
     return rows.join(touched, key, "left").filter("touched is null or touched = part_no").drop("touched", "part_no")
 
 
@@ -119,7 +177,9 @@ def read_store(spark: SparkSession, path: str, version: int | None = None) -> St
     diagnostics = uncleared(spark, path, parts, "diagnostics").select(*read_columns("diagnostics"))
     if len(parts) > 1:
         diagnostics = keep_first(diagnostics, ["id"], [F.col("created_at").desc()])
-    return Store(by_id["conversations"], by_id["messages"], uncleared(spark, path, parts, "evidence").select(*read_columns("evidence")), diagnostics, read_part(spark, path, parts[-1], "status"))
+    store = Store(by_id["conversations"], by_id["messages"], uncleared(spark, path, parts, "evidence").select(*read_columns("evidence")), diagnostics, read_part(spark, path, parts[-1], "status"))
+    store.keys = latest(spark, path, parts, "keys", KEYS, "id")
+    return store
 
 
 def read_columns(table: str) -> list[str]:

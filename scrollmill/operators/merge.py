@@ -70,39 +70,57 @@ def merge_batch_conversations(batch: Batch) -> tuple[DataFrame, DataFrame, DataF
     return conversations, placed, evidence
 
 
-def resolve_ids(conversations: DataFrame, store: DataFrame) -> DataFrame:
+#: Buckets of the keys that a store keeps; a row of `KEYS` for each signature, upstream id and alias of a conversation.
+KEY_BUCKETS = 256
+KEYS = "bucket int, source_id string, kind string, key string, id string, updated_at string"
+
+
+def key_rows(rows: DataFrame, *carried: str) -> DataFrame:
+    """(bucket, source_id, kind, key, n, carried) of conversations: s by signature, u by upstream id, a by alias (n: its place)."""
+    one = lambda kind, key, at: F.struct(F.lit(kind).alias("kind"), key.alias("key"), at.cast("int").alias("n"))
+    exact = F.array(one("s", F.col("signature"), F.lit(0)), one("u", F.nullif(F.col("upstream_id"), F.lit("")), F.lit(0)))
+    alias = F.transform(aliases(), lambda x, i: one("a", x, i))
+    out = rows.select("source_id", *carried, F.explode(F.concat(exact, F.coalesce(alias, F.array().cast("array<struct<kind:string,key:string,n:int>>")))).alias("k")).select("source_id", *carried, "k.*").filter("key is not null")
+    return out.select(F.pmod(F.xxhash64("source_id", "kind", "key"), F.lit(KEY_BUCKETS)).cast("int").alias("bucket"), "source_id", "kind", "key", "n", *carried)
+
+
+def stored_keys(conversations: DataFrame) -> DataFrame:
+    """KEYS of stored conversations."""
+    return key_rows(conversations, "id", "updated_at").select("bucket", "source_id", "kind", "key", "id", "updated_at")
+
+
+def probe(conversations: DataFrame, keys: DataFrame) -> DataFrame:
+    """(batch_key, kind, n, id, updated_at): the stored conversations that share a key with one of a batch.
+
+    The keys' table is read where the batch's keys lie, by bucket, and the rest of a bucket is dropped before anything is grouped.
+    """
+    own = cut(key_rows(conversations, "batch_key"), "keys")
+    touched = [r.bucket for r in own.select("bucket").distinct().collect()]  # KEY_BUCKETS at most
+    if len(touched) < KEY_BUCKETS:
+        keys = keys.filter(F.col("bucket").isin(touched))
+    return own.join(keys, ["bucket", "source_id", "kind", "key"]).select("batch_key", "kind", "n", "id", "updated_at")
+
+
+def resolve_ids(conversations: DataFrame, store: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """(batch_key, conversation_id, match): the stored id by signature, else upstream id, else alias, else the own id.
 
-    Of several stored rows the newest (updated_at, then id) is taken, before the join; null keys never meet.
+    Of several stored rows the newest (updated_at, then id) is taken, of aliases the first that meets one; null keys never meet.
     """
-    newest = F.max_by("id", F.struct("updated_at", "id")).alias("hit")
-    by_signature = store.filter("signature is not null").groupBy("source_id", "signature").agg(newest)
-    by_upstream = store.filter("length(upstream_id) > 0").groupBy("source_id", "upstream_id").agg(newest)
-    stored = store.select("id", "source_id", "updated_at", F.explode(aliases()).alias("alias")).distinct()
-    by_alias = stored.groupBy("source_id", "alias").agg(newest)
-    rows = conversations.select("batch_key", "source_id", "signature", "upstream_id", "url", "own_id")
-    one = rows.filter("signature is not null").join(by_signature, ["source_id", "signature"]).select("batch_key", F.col("hit").alias("h1"))
-    two = rows.filter("length(upstream_id) > 0").join(by_upstream, ["source_id", "upstream_id"]).select("batch_key", F.col("hit").alias("h2"))
-    meet = rows.select("batch_key", "source_id", F.posexplode(aliases()).alias("n", "alias")).join(by_alias, ["source_id", "alias"])
-    three = meet.groupBy("batch_key").agg(F.min_by("hit", "n").alias("h3"))
-    out = rows.join(one, "batch_key", "left").join(two, "batch_key", "left").join(three, "batch_key", "left")
+    hits = probe(conversations, stored_keys(store)) if hits is None else hits
+    best = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("id")), F.when(F.col("kind") == kind, F.struct(-F.col("n"), "updated_at", "id")))
+    found = hits.groupBy("batch_key").agg(best("s").alias("h1"), best("u").alias("h2"), best("a").alias("h3"))
+    out = conversations.select("batch_key", "own_id").join(found, "batch_key", "left")
     match = F.when(F.col("h1").isNotNull(), "signature").when(F.col("h2").isNotNull(), "upstream").when(F.col("h3").isNotNull(), "alias").otherwise("new")
     return out.select("batch_key", F.coalesce("h1", "h2", "h3", "own_id").alias("conversation_id"), match.alias("match"))
 
 
-def duplicate_ids(conversations: DataFrame, store: DataFrame, resolved: DataFrame) -> DataFrame:
+def duplicate_ids(hits: DataFrame, resolved: DataFrame) -> DataFrame:
     """(batch_key, conversation_id, duplicate_id, exact): other stored rows of the same signature, upstream id or alias.
 
     Exact ones share signature or upstream id; chains are not followed further.
     """
-    rows = conversations.join(resolved, "batch_key")
-    other = store.select(F.col("id").alias("duplicate_id"), "source_id", "signature", "upstream_id", "url")
-    a = rows.filter("signature is not null").join(other.filter("signature is not null").select("duplicate_id", "source_id", "signature"), ["source_id", "signature"]).select("batch_key", "conversation_id", "duplicate_id", F.lit(True).alias("exact"))
-    b = rows.filter("length(upstream_id) > 0").join(other.filter("length(upstream_id) > 0").select("duplicate_id", "source_id", "upstream_id"), ["source_id", "upstream_id"]).select("batch_key", "conversation_id", "duplicate_id", F.lit(True).alias("exact"))
-    theirs = other.select("duplicate_id", "source_id", F.explode(aliases()).alias("alias"))
-    c = rows.select("batch_key", "conversation_id", "source_id", F.explode(aliases()).alias("alias")).join(theirs, ["source_id", "alias"]).select("batch_key", "conversation_id", "duplicate_id", F.lit(False).alias("exact"))
-    every = a.union(b).union(c).filter("duplicate_id <> conversation_id")
-    return every.groupBy("batch_key", "conversation_id", "duplicate_id").agg(F.bool_or("exact").alias("exact"))
+    every = hits.join(resolved, "batch_key").filter(F.col("id") != F.col("conversation_id"))
+    return every.groupBy("batch_key", "conversation_id", F.col("id").alias("duplicate_id")).agg(F.bool_or(F.col("kind") != "a").alias("exact"))
 
 
 def dedup_evidence(rows: DataFrame) -> DataFrame:
@@ -145,6 +163,10 @@ class Change:
     cleared: DataFrame
     status: DataFrame
 
+    @property
+    def keys(self) -> DataFrame:
+        return stored_keys(self.conversations)
+
 
 def merge_change(store: Store, batch: Batch, scope: str = "partial", at: str = "1970-01-01T00:00:00.000Z") -> Change:
     """What merging a batch changes; of the store only rows of conversations that the batch meets are read whole.
@@ -157,9 +179,11 @@ def merge_change(store: Store, batch: Batch, scope: str = "partial", at: str = "
         raise ValueError("scope is full or partial")
     batch = Batch(**cut_all(**{f.name: getattr(batch, f.name) for f in fields(Batch)}))
     conversations, incoming, evidence = merge_batch_conversations(batch)
-    conversations = cut(conversations.join(resolve_ids(conversations, store.conversations), "batch_key"), "incoming")
+    conversations = cut(conversations, "incoming")
+    hits = cut(probe(conversations, stored_keys(store.conversations) if store.keys is None else store.keys), "hits")
+    conversations = cut(conversations.join(resolve_ids(conversations, store.conversations, hits), "batch_key"), "resolved")
     target = conversations.select("batch_key", "conversation_id")
-    doubles = duplicate_ids(conversations.drop("conversation_id", "match"), store.conversations, target)
+    doubles = duplicate_ids(hits, target)
     evidence = evidence.withColumn("content_hash", content_hash("content")).withColumn("evidence_id", stable_id("raw", "source_id", "content_hash"))
     both = cut_all(doubles=doubles, evidence=evidence)
     doubles, evidence = both["doubles"], both["evidence"]
@@ -193,6 +217,8 @@ def merge_change(store: Store, batch: Batch, scope: str = "partial", at: str = "
         failed = batch.diagnostics.filter("severity = 'error'").select("source_id").distinct()
         gone, cleared = gone.union(missing(store.conversations, ids, sources.join(failed, "source_id", "left_anti"))), sources
     old_evidence = store.evidence if scope == "partial" else store.evidence.join(cleared, "source_id", "left_anti")
+    # Only what the store holds of the batch's own sources is looked at.
+    old_evidence = old_evidence.join(F.broadcast(sources), "source_id", "left_semi")  # a row for each source
     new_evidence = shaped(keep_first(evidence, ["evidence_id"], ["uri"]).withColumn("created_at", F.lit(at)), STORE["evidence"]).join(old_evidence.select("evidence_id"), "evidence_id", "left_anti")
     told = upsert_diagnostics(empty(store.status.sparkSession, STORE["diagnostics"]), batch.diagnostics, at)
     done = cut_all(rows=rows, gone=gone.distinct(), new_evidence=new_evidence, told=told, cleared=cleared)

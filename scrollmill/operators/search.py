@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrollmill.functions.text import TOKEN, ascii_lower, fold, query_terms, search_text, snippet
@@ -32,15 +32,58 @@ def clamp_limit(value) -> int:
     return min(int(value), MOST)
 
 
+#: Messages of a shard, on average; and tokens after which a shard goes on in a next block, so a block's memory is bounded.
+PER_SHARD, BLOCK_TOKENS = 1024, 2_000_000
+#: Pairs of an edge; of more, neighbours become one that is better than both.
+EDGE = 12
+#: Up to so many tokens or shards stand as literals in a scan's filter; more are joined.
+MOST_LITERALS = 1000
+#: Shards that a ranked search scores first, to learn what score the others have to reach.
+SEEDS = 16
+
+BLOCK = (
+    "token string, shard long, n long, sum_dl long, edge array<struct<tf: bigint, dl: bigint>>, "
+    "postings array<struct<message_id: string, conversation_id: string, dl: bigint, tf: bigint, cols: array<struct<col: int, positions: array<int>>>>>"
+)
+
+
 @dataclass
 class Index:
-    """postings (token, message_id, conversation_id, col, tf, positions), lengths (message_id, conversation_id, dl)."""
+    """Blocks of postings, a row for each token and shard of messages, in files sorted by token and shard.
 
-    postings: DataFrame
-    lengths: DataFrame
+    A block has its number of messages and an edge: pairs of term frequency and length of which one is at least as good as any message
+    in it, whatever the mean length; a scan of these columns alone bounds every score in it. The block without a token has a shard's lengths. `dead` (part_no, conversation_id) are rows of
+    older parts of a store that no longer count.
+    """
 
+    blocks: DataFrame
+    dead: DataFrame | None = None
     known: tuple | None = None
 
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Postings of conversations that count."""
+        return rows if self.dead is None else rows.join(self.dead, ["part_no", "conversation_id"], "left_anti")
+
+    def postings(self, tokens=None, shards=None, columns=("message_id", "conversation_id", "dl", "tf", "cols")) -> DataFrame:
+        """Live postings (token, shard, ...) of some tokens (None: all) and shards; both filters reach the files."""
+        rows = self.blocks.filter("token is not null")
+        if tokens is not None:
+            rows = rows.filter(F.col("token").isin(list(tokens)))
+        if shards is not None:
+            rows = rows.filter(F.col("shard").isin(list(shards)))
+        part = ["part_no"] if self.dead is not None else []
+        # Only the columns asked for are read.
+        of = F.arrays_zip(*[F.col(f"postings.{c}").alias(c) for c in columns]) if len(columns) < 5 else F.col("postings")
+        return self.live(rows.select("token", "shard", *part, F.explode(of).alias("p")).select("token", "shard", *part, *[F.col(f"p.{c}").alias(c) for c in columns]))
+
+    @property
+    def lengths(self) -> DataFrame:
+        """(message_id, conversation_id, dl) of every message."""
+        rows = self.blocks.filter("token is null")
+        part = ["part_no"] if self.dead is not None else []
+        rows = rows.select(*part, F.explode(F.arrays_zip(*[F.col(f"postings.{c}").alias(c) for c in ("message_id", "conversation_id", "dl")])).alias("p"))
+        return self.live(rows.select(*part, "p.message_id", "p.conversation_id", "p.dl")).select("message_id", "conversation_id", "dl")
+
     def totals(self) -> tuple[int, float]:
         """Rows and their mean length, counted once for an index."""
         if self.known is None:
@@ -48,43 +91,71 @@ class Index:
             self.known = (row.n_rows, row.avg_dl or 1.0)
         return self.known
 
-    def stats(self) -> DataFrame:
-        return self.lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"), F.sum("dl").alias("n_tokens"))
-
-    def token_df(self) -> DataFrame:
-        return self.postings.groupBy("token").agg(F.count_distinct("message_id").alias("df"))
+    def many(self) -> bool:
+        """Whether there are more messages than a search's first shards hold."""
+        return self.totals()[0] > SEEDS * PER_SHARD
 
-
-ENTRY = "token string, message_id string, conversation_id string, col int, tf long, positions array<int>"
-
-
-def index_rows(batches):
-    """Arrow batches of (message_id, conversation_id, title, body) to postings; a row's length is an entry without a token."""
+    def stats(self) -> DataFrame:
+        if self.dead is not None:
+            return self.lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"), F.sum("dl").alias("n_tokens"))
+        rows = self.blocks.filter("token is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sum("sum_dl").alias("n_tokens"))
+        return rows.select("n_rows", (F.col("n_tokens") / F.nullif("n_rows", F.lit(0))).alias("avg_dl"), "n_tokens")
+
+    def token_df(self, tokens=None) -> DataFrame:
+        """(token, df): from the blocks' counts alone, unless some rows are dead."""
+        if self.dead is not None:
+            return self.postings(tokens, columns=("message_id", "conversation_id")).groupBy("token").agg(F.count("*").alias("df"))
+        rows = self.blocks.filter("token is not null")
+        return (rows if tokens is None else rows.filter(F.col("token").isin(list(tokens)))).groupBy("token").agg(F.sum("n").alias("df"))
+
+
+def edge_of(postings: list[dict]) -> list[dict]:
+    """The pairs (tf, dl) that no other pair beats in both, at most EDGE: with rising tf the length rises."""
+    best: dict[int, int] = {}
+    for p in postings:
+        best[p["tf"]] = min(p["dl"], best.get(p["tf"], p["dl"]))
+    out: list[list[int]] = []
+    for tf, dl in sorted(best.items(), reverse=True):
+        if not out or dl < out[-1][1]:
+            out.append([tf, dl])
+    step = -(-len(out) // EDGE)
+    return [{"tf": out[a][0], "dl": out[min(a + step, len(out)) - 1][1]} for a in range(0, len(out), step or 1)]
+
+
+def index_blocks(batches, most: int):
+    """Arrow batches of (shard, message_id, conversation_id, title, body), sorted by shard, to blocks; a shard's lengths are a block without a token."""
     import pyarrow as pa
 
     find = _token_pattern().findall
-    names = ["token", "message_id", "conversation_id", "col", "tf", "positions"]
+    pair = pa.list_(pa.struct([("tf", pa.int64()), ("dl", pa.int64())]))
+    posting = pa.struct([("message_id", pa.string()), ("conversation_id", pa.string()), ("dl", pa.int64()), ("tf", pa.int64()), ("cols", pa.list_(pa.struct([("col", pa.int32()), ("positions", pa.list_(pa.int32()))])))])
+    held: dict[str | None, list[dict]] = {None: []}
+    at, place, size = None, 0, 0
+
+    def blocks():
+        some = [(t, at << 20 | place, len(ps), sum(p["dl"] for p in ps), edge_of(ps), ps) for t, ps in held.items() if ps]
+        for a in range(0, len(some), 4096):
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pair, pa.list_(posting)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some[a : a + 4096]), kinds)], names=["token", "shard", "n", "sum_dl", "edge", "postings"])
+
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            token, key, owner, column, tf, positions = [], [], [], [], [], []
-            for message, conversation, *texts in zip(*[c.to_pylist() for c in part.columns]):
-                total = 0
+            for shard, message, conversation, *texts in zip(*[c.to_pylist() for c in batch.slice(a, 256).columns]):
+                if shard != at or size >= most:
+                    yield from blocks()
+                    place = place + 1 if shard == at else 0
+                    held, at, size = {None: []}, shard, 0
+                places: dict[str, dict[int, list[int]]] = {}
                 for n, text in enumerate(texts):
-                    places: dict[str, list[int]] = {}
                     for k, t in enumerate(find(fold(text or ""))):
-                        places.setdefault(t, []).append(k)
-                    total += sum(map(len, places.values()))
-                    token += places
-                    positions += places.values()
-                    key += [message] * len(places)
-                    owner += [conversation] * len(places)
-                    column += [n] * len(places)
-                    tf += map(len, places.values())
-                for values, value in ((token, None), (key, message), (owner, conversation), (column, None), (tf, total), (positions, None)):
-                    values.append(value)
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((token, key, owner, column, tf, positions), kinds)], names=names)
+                        places.setdefault(t, {}).setdefault(n, []).append(k)
+                tf = {t: sum(map(len, cols.values())) for t, cols in places.items()}
+                total = sum(tf.values())
+                size += total + 1
+                held[None].append({"message_id": message, "conversation_id": conversation, "dl": total, "tf": 0, "cols": []})
+                for t, cols in places.items():
+                    held.setdefault(t, []).append({"message_id": message, "conversation_id": conversation, "dl": total, "tf": tf[t], "cols": [{"col": n, "positions": ps} for n, ps in cols.items()]})
+    yield from blocks()
 
 
 def _token_pattern():
@@ -93,34 +164,63 @@ def _token_pattern():
     return regex.compile(TOKEN)
 
 
-def index_entries(rows: DataFrame) -> DataFrame:
-    """Entries of (message_id, conversation_id, title, text, thinking): a row's tokens are counted where it lies, so nothing is shuffled."""
-    owner = F.col("conversation_id") if "conversation_id" in rows.columns else F.lit(None)
-    flat = rows.select(F.col("message_id").cast("string").alias("message_id"), owner.cast("string").alias("conversation_id"), "title", search_text().alias("body"))
-    return flat.mapInArrow(index_rows, ENTRY)
-
+def sorted_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of (message_id, conversation_id, title, text, thinking), sorted by token and shard over all partitions.
 
-def as_index(entries: DataFrame) -> Index:
-    return Index(entries.filter("token is not null"), entries.filter("token is null").select("message_id", "conversation_id", F.col("tf").alias("dl")))
+    Messages meet by shard, a hash of their id, and are tokenized where they meet; the blocks are written once before they are sorted.
+    """
+    owner = F.col("conversation_id") if "conversation_id" in rows.columns else F.lit(None)
+    shards = max(1, rows.count() // PER_SHARD)
+    flat = rows.select(F.pmod(F.xxhash64("message_id"), F.lit(shards)).alias("shard"), F.col("message_id").cast("string").alias("message_id"), owner.cast("string").alias("conversation_id"), "title", search_text().alias("body"))
+    blocks = cut(flat.repartition("shard").sortWithinPartitions("shard").mapInArrow(partial(index_blocks, most=BLOCK_TOKENS), BLOCK), "blocks")
+    return blocks.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard")
 
 
 def build_index(rows: DataFrame) -> Index:
     """From (message_id, conversation_id, title, text, thinking): one full-text row per message, its title repeated in it.
 
-    The entries are written once and read by every use.
+    The blocks are written once and read by every use.
     """
-    return as_index(cut(index_entries(rows), "index"))
+    return Index(cut(sorted_blocks(rows), "index"))
+
+
+def index_part(spark: SparkSession, path: str, part: str) -> None:
+    """Index a part of a store that has no index yet."""
+    if not export.exists(spark, f"{path}/{part}/index/_SUCCESS"):
+        own = export.read_part(spark, path, part, "messages").join(export.read_part(spark, path, part, "conversations").select(F.col("id").alias("conversation_id"), "title"), "conversation_id")
+        sorted_blocks(own).write.mode("overwrite").parquet(f"{path}/{part}/index")
+
+
+def index_of(spark: SparkSession, path: str, parts: list[str]) -> Index:
+    if len(parts) == 1:
+        return Index(export.read_part(spark, path, parts[0], "index", BLOCK))
+    blocks = export.numbered(spark, path, parts, "index", BLOCK).withColumn("shard", F.col("part_no").cast("long") * (1 << 44) + F.col("shard"))
+    return Index(blocks, export.outdated(spark, path, parts))
 
 
 def store_index(spark: SparkSession, path: str) -> Index:
     """The index that lies beside a store; parts of the store that have none yet are indexed now, other parts are left as they are."""
     parts = export.parts_of(spark, path)
     for part in parts:
-        if not export.exists(spark, f"{path}/{part}/index/_SUCCESS"):
-            own = export.read_part(spark, path, part, "messages").join(export.read_part(spark, path, part, "conversations").select(F.col("id").alias("conversation_id"), "title"), "conversation_id")
-            # By token, so that a query's tokens prune row groups.
-            index_entries(own).repartitionByRange("token", "message_id").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/{part}/index")
-    return as_index(export.latest(spark, path, parts, "index", ENTRY, "conversation_id"))
+        index_part(spark, path, part)
+    return index_of(spark, path, parts)
+
+
+def merged_blocks(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """The index of several parts as one: no text is read again, dead rows go, and small shards are put together.
+
+    An edge stays that of all the rows that were in its blocks, so it still bounds them; a long one becomes the one pair that is better than all.
+    """
+    index = index_of(spark, path, parts)
+    shards = max(1, index.totals()[0] // PER_SHARD)
+    rows = index.blocks.withColumn("shard", F.when(F.col("n") >= PER_SHARD // 2, F.xxhash64("shard").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)).otherwise(F.pmod(F.xxhash64("shard"), F.lit(shards))))
+    flat = rows.select("token", "shard", "edge", "part_no", F.explode("postings").alias("p")).withColumn("conversation_id", F.col("p.conversation_id"))
+    edges = rows.groupBy("token", "shard").agg(F.flatten(F.collect_set("edge")).alias("edge"))
+    pair = F.array(F.struct(F.array_max(F.col("edge.tf")).alias("tf"), F.array_min(F.col("edge.dl")).alias("dl")))
+    edges = edges.withColumn("edge", F.when(F.size("edge") > 2 * EDGE, pair).otherwise(F.col("edge")))
+    blocks = index.live(flat).groupBy("token", "shard").agg(F.count("*").alias("n"), F.sum("p.dl").alias("sum_dl"), F.collect_list("p").alias("postings"))
+    out = blocks.join(edges, (blocks.token.eqNullSafe(edges.token)) & (blocks["shard"] == edges["shard"])).select(blocks.token, blocks["shard"], "n", "sum_dl", "edge", "postings")
+    return out.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard")
 
 
 def asked_terms(queries: DataFrame) -> list[tuple]:
@@ -141,45 +241,135 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def phrase_hits(index: Index, terms: DataFrame, tokens: int | None = None) -> DataFrame:
-    """(query_id, term_no, message_id, freq): rows that hold a phrase; its tokens stand side by side in one column."""
+def asked_tokens(asked: list[tuple]) -> set[str]:
+    return {t for *_, parts in asked for t in parts}
+
+
+ASKED = "query_id long, term_no int, term string, parts array<string>"
+
+
+def phrase_hits(index: Index, asked: list[tuple] | DataFrame, shards: DataFrame | list | None = None) -> DataFrame:
+    """(query_id, term_no, message_id, conversation_id, dl, freq): rows that hold a phrase; its tokens stand side by side in one column.
+
+    `shards`: a list, or a table (query_id, shard) of those to look at.
+    """
+    spark = index.blocks.sparkSession
+    asked = [tuple(r) for r in asked.collect()] if isinstance(asked, DataFrame) else asked  # what a user asks, not data
+    tokens = asked_tokens(asked)
+    terms = spark.createDataFrame(asked, ASKED)
     wanted = terms.select("query_id", "term_no", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "token"))
-    hit = index.postings.join(sized(wanted, wanted.count() if tokens is None else tokens), "token")
-    single = hit.filter("n = 1").select("query_id", "term_no", "message_id", "tf")
+    rows = index.postings(tokens if len(tokens) <= MOST_LITERALS else None, shards if isinstance(shards, list) else None)
+    hit = rows.join(sized(wanted, sum(len(parts) for *_, parts in asked)), "token")
+    if isinstance(shards, DataFrame):
+        hit = hit.join(shards, ["query_id", "shard"], "left_semi")
+    key = ["query_id", "term_no", "message_id", "conversation_id", "dl"]
+    single = hit.filter("n = 1").select(*key, F.col("tf").alias("freq"))
+    if all(len(parts) == 1 for *_, parts in asked):
+        return single
     # A phrase: shift each token's positions back to the phrase's start and keep what all share.
-    starts = hit.filter("n > 1").groupBy("query_id", "term_no", "message_id", "col", "n").agg(F.collect_list(F.struct("k", "positions")).alias("ps"), F.count("*").alias("held"))
+    many = hit.filter("n > 1").select(*key, "n", "k", F.explode("cols").alias("c")).select(*key, "n", "k", "c.col", "c.positions")
+    starts = many.groupBy(*key, "col", "n").agg(F.collect_list(F.struct("k", "positions")).alias("ps"), F.count("*").alias("held"))
     shifted = F.transform("ps", lambda p: F.transform(p["positions"], lambda x: x - p["k"]))
     common = F.aggregate(F.slice(shifted, 2, F.greatest(F.size("ps") - 1, F.lit(0))), F.element_at(shifted, 1), lambda a, x: F.array_intersect(a, x))
-    phrases = starts.filter("held = n").withColumn("tf", F.size(common).cast("long")).filter("tf > 0").select("query_id", "term_no", "message_id", "tf")
-    return single.union(phrases).groupBy("query_id", "term_no", "message_id").agg(F.sum("tf").alias("freq"))
+    phrases = starts.filter("held = n").withColumn("tf", F.size(common).cast("long")).filter("tf > 0")
+    return single.unionByName(phrases.groupBy(*key).agg(F.sum("tf").alias("freq")))
+
+
+def idf_of(n_rows: int) -> Column:
+    idf = F.ln((F.lit(n_rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+
+
+def weight_of(avg_dl: float, freq: Column, dl: Column) -> Column:
+    """What a term's idf is multiplied with, at a frequency and a length."""
+    return freq * (K1 + 1) / (freq + K1 * (1 - B + B * dl / F.lit(avg_dl)))
+
+
+def whole_queries(spark: SparkSession, asked: list[tuple]) -> DataFrame:
+    """(query_id, n_terms) of the queries whose every term has a token; others have no ranked results."""
+    terms: dict = {}
+    for query_id, _, _, tokens in asked:
+        terms.setdefault(query_id, []).append(len(tokens))
+    return F.broadcast(spark.createDataFrame([(q, len(ns)) for q, ns in terms.items() if min(ns)], "query_id long, n_terms long"))
+
+
+def scores_of(index: Index, hits: DataFrame, df: DataFrame, asked: list[tuple]) -> DataFrame:
+    """(query_id, message_id, conversation_id, score) of the rows that hold every term; df (query_id, term_no, df)."""
+    n_rows, avg_dl = index.totals()
+    part = idf_of(n_rows) * weight_of(avg_dl, F.col("freq"), F.col("dl"))
+    scored = hits.join(sized(df, len(asked)), ["query_id", "term_no"]).groupBy("query_id", "message_id", "conversation_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("n"))
+    return scored.join(whole_queries(hits.sparkSession, asked), "query_id").filter("n = n_terms").select("query_id", "message_id", "conversation_id", "score")
+
+
+def term_frequencies(index: Index, asked: list[tuple]) -> DataFrame:
+    """(query_id, term_no, df): of single tokens from the blocks' counts, of phrases by finding them."""
+    spark = index.blocks.sparkSession
+    single, phrases = [t for t in asked if len(t[3]) == 1], [t for t in asked if len(t[3]) > 1]
+    tokens = asked_tokens(single)
+    names = spark.createDataFrame([(q, n, parts[0]) for q, n, _, parts in single], "query_id long, term_no int, token string")
+    out = sized(names, len(single)).join(index.token_df(tokens if len(tokens) <= MOST_LITERALS else None), "token").select("query_id", "term_no", "df")
+    if phrases:
+        out = out.unionByName(phrase_hits(index, phrases).groupBy("query_id", "term_no").agg(F.count("*").alias("df")))
+    return out
 
 
 def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, message_id, score): rows that hold every phrase; a lower score is better.
+    """(query_id, message_id, conversation_id, score): all rows that hold every phrase; a lower score is better.
 
     A term without a token makes its query's ranked pass empty.
     """
     asked = asked_terms(queries)
-    parts: dict = {}
-    for query_id, _, _, tokens in asked:
-        parts.setdefault(query_id, []).append(len(tokens))
-    spark = queries.sparkSession
-    terms = spark.createDataFrame(asked, "query_id long, term_no int, term string, parts array<string>")
-    needed = spark.createDataFrame([(q, len(ns)) for q, ns in parts.items() if min(ns)], "query_id long, n_terms long")
-    hits = phrase_hits(index, terms, sum(map(sum, parts.values())))
-    df = hits.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
+    hits = phrase_hits(index, asked)
+    return scores_of(index, hits, hits.groupBy("query_id", "term_no").agg(F.count("*").alias("df")), asked)
+
+
+def block_bounds(index: Index, asked: list[tuple], df: DataFrame) -> DataFrame:
+    """(query_id, shard, bound, least): for shards with blocks of all of a query's tokens, what no score in them exceeds (scores are negative: goes
+    below), and how many messages of it may match. Postings are not read."""
+    spark = index.blocks.sparkSession
+    tokens = asked_tokens(asked)
+    wanted = spark.createDataFrame(asked, ASKED).select("query_id", "term_no", F.size("parts").alias("parts"), F.explode(F.array_distinct("parts")).alias("token"), F.size(F.array_distinct("parts")).alias("distinct"))
+    blocks = index.blocks.filter("token is not null") if len(tokens) > MOST_LITERALS else index.blocks.filter(F.col("token").isin(list(tokens)))
     n_rows, avg_dl = index.totals()
-    idf = F.ln((F.lit(n_rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("freq") + K1 * (1 - B + B * F.col("dl") / F.lit(avg_dl))
-    weighed = hits.join(sized(df, len(asked)), ["query_id", "term_no"]).join(index.lengths.select("message_id", "dl"), "message_id")  # df has a row for each term
-    part = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col("freq") * (K1 + 1) / norm
-    scored = weighed.groupBy("query_id", "message_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("n"))
-    return scored.join(sized(needed, len(parts)), "query_id").filter("n = n_terms").select("query_id", "message_id", "score")
+    best = F.array_max(F.transform("edge", lambda p: weight_of(avg_dl, p["tf"], p["dl"]))).alias("weight")
+    met = blocks.select("token", "shard", "n", best).join(sized(wanted, sum(len(p) for *_, p in asked)), "token")
+    terms = met.groupBy("query_id", "shard", "term_no", "distinct").agg(F.min("weight").alias("weight"), F.min("n").alias("least"), F.count("*").alias("held")).filter("held = distinct")
+    bound = -F.sum(idf_of(n_rows) * F.col("weight"))
+    found = terms.join(sized(df, len(asked)), ["query_id", "term_no"]).groupBy("query_id", "shard").agg(bound.alias("bound"), F.min("least").alias("least"), F.count("*").alias("n"))
+    return found.join(whole_queries(spark, asked), "query_id").filter("n = n_terms").select("query_id", "shard", "bound", "least")
+
 
+def top_scores(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of `bm25_scores` among the first k of their query (and all that tie with the k-th), and (query_id, shard, bound, read).
 
-def best_per_conversation(scored: DataFrame, messages: DataFrame, conversations: DataFrame, limit: int) -> DataFrame:
-    """The first 5 x limit message rows by (score, updated_at desc, message_id), then the best message of each conversation."""
-    rows = scored.join(messages.select("message_id", "conversation_id"), "message_id").join(conversations.select(F.col("id").alias("conversation_id"), "updated_at"), "conversation_id")
+    The shards with the best bounds are scored first; of the others only those whose bound reaches the k-th score found are read.
+    """
+    asked = asked_terms(queries)
+    df = cut(term_frequencies(index, asked), "df")
+    bounds = block_bounds(index, asked, df)
+    order = Window.partitionBy("query_id").orderBy("bound", "shard")
+    before = F.coalesce(F.sum("least").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = cut(bounds.withColumn("place", F.row_number().over(order)).withColumn("before", before), "bounds")
+    seeds = bounds.filter((F.col("place") <= SEEDS) | (F.col("before") < k))
+    score = lambda some: scores_of(index, phrase_hits(index, asked, some.select("query_id", "shard")), df, asked)
+    first = cut(score(seeds), "first")
+    reach = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score"))).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reach"))
+    more = bounds.join(seeds.select("query_id", "shard"), ["query_id", "shard"], "left_anti").join(F.broadcast(reach), "query_id", "left")  # a row for each query
+    more = cut(more.filter("reach is null or bound <= reach + 1e-9 * abs(reach)"), "more")
+    read = bounds.join(seeds.select("query_id", "shard").union(more.select("query_id", "shard")).withColumn("hit", F.lit(True)), ["query_id", "shard"], "left")
+    rows = first.unionByName(score(more))
+    best = rows.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy("score"))).filter(F.col("rank") <= k).drop("rank")
+    return best, read.select("query_id", "shard", "bound", F.coalesce("hit", F.lit(False)).alias("read"))
+
+
+def best_per_conversation(scored: DataFrame, conversations: DataFrame, limit: int, all_of_them: bool = False) -> DataFrame:
+    """The first 5 x limit message rows by (score, updated_at desc, message_id), then the best message of each conversation.
+
+    Where `conversations` are all there are, only rows that their score leaves in the running are joined with them.
+    """
+    if all_of_them:
+        scored = scored.withColumn("_rank", F.rank().over(Window.partitionBy("query_id").orderBy("score"))).filter(F.col("_rank") <= WIDEN * limit).drop("_rank")
+    rows = scored.join(conversations.select(F.col("id").alias("conversation_id"), "updated_at"), "conversation_id")
     order = [F.col("score"), F.col("updated_at").desc(), F.col("message_id")]
     cut = top_n(rows, ["query_id"], order, WIDEN * limit, "row")
     best = cut.withColumn("own", F.row_number().over(Window.partitionBy("query_id", "conversation_id").orderBy("row"))).filter("own = 1")
@@ -209,7 +399,7 @@ def substring_matches(messages: DataFrame, conversations: DataFrame, queries: Da
 def search_many(messages: DataFrame, conversations: DataFrame, index: Index, queries: DataFrame, limit=None) -> DataFrame:
     """Ranked results, filled up to the limit by substring results: query_id, rank, conversation_id, message_id, score."""
     limit = clamp_limit(limit)
-    ranked = cut(best_per_conversation(bm25_scores(index, queries), messages, conversations, limit), "ranked")  # used twice
+    ranked = cut(best_per_conversation(bm25_scores(index, queries), conversations, limit, True), "ranked")  # used twice
     fill = substring_matches(messages, conversations, queries, limit).join(ranked.select("query_id", "conversation_id"), ["query_id", "conversation_id"], "left_anti")
     both = ranked.withColumn("stage", F.lit(0)).unionByName(fill.withColumn("score", F.lit(0.0)).withColumn("stage", F.lit(1)))
     placed = both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("stage", "rank")))
@@ -231,10 +421,12 @@ def search(messages: DataFrame, conversations: DataFrame, index: Index, query: s
     some = filter_source(conversations, source_id)
     if date is not None:
         some = filter_local_day(some, date, tz)
-    spark, limit = messages.sparkSession, clamp_limit(limit)
+    spark, limit, whole = messages.sparkSession, clamp_limit(limit), source_id is None and date is None
     queries = spark.createDataFrame([(0, query)], "query_id long, query string")
+    # A filter on conversations may drop the best rows, so only without one a search stops at the best blocks.
+    scored = top_scores(index, queries, WIDEN * limit)[0] if whole and index.many() else bm25_scores(index, queries)
     # `limit` rows at most reach the driver; substrings are looked for only if the ranked pass leaves places free.
-    rows = [(r["rank"], r.conversation_id, r.message_id, r.score) for r in best_per_conversation(bm25_scores(index, queries), messages, some, limit).collect()]
+    rows = [(r["rank"], r.conversation_id, r.message_id, r.score) for r in best_per_conversation(scored, some, limit, whole).collect()]
     if len(rows) < limit:
         known = {r[1] for r in rows}
         fill = [r for r in substring_matches(messages, some, queries, limit).collect() if r.conversation_id not in known]

@@ -45,7 +45,7 @@ def corpus_stats(spark, sf_dir):
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS message_id, round(score, 6) AS score FROM ranked WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     m, c, index = corpus(spark, sf_dir)
-    found = search.best_per_conversation(search.bm25_scores(index, query_table(spark)), m, c, 10)
+    found = search.best_per_conversation(search.bm25_scores(index, query_table(spark)), c, 10, True)
     return found.select(F.col("query_id").cast("int"), "rank", "message_id", F.round("score", 6).alias("score"))
 
 

@@ -1,11 +1,14 @@
 """The store in parts: what a merge writes, what a read gives, versions, and looks that find nothing new."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from scrollmill.operators import export, search
 from scrollmill.operators.batch import Batch, Store, shared_path
-from scrollmill.operators.merge import merge_batch, merge_change
+from scrollmill.operators.merge import apply_change, merge_batch, merge_change, stored_keys
 from scrollmill.sources import grok_build
 from scrollmill.streaming.refresh import Spec, refresh
 
@@ -23,7 +26,7 @@ def texts(store):
     return sorted(r.text for r in store.messages.collect())
 
 
-def test_parts_hold_what_changed_and_reads_take_the_latest(spark, monkeypatch):
+def test_parts_hold_what_changed_and_reads_take_the_latest(spark):
     path = shared_path(spark, "store")
     export.write_change(merge_change(Store.new(spark), a_batch(spark, [("a", 0, "a0"), ("b", 0, "b0"), ("c", 0, "c0")]), "full", AT), path)
     plain = export.read_store(spark, path)
@@ -40,10 +43,47 @@ def test_parts_hold_what_changed_and_reads_take_the_latest(spark, monkeypatch):
     store = export.read_store(spark, path)
     assert texts(store) == ["c0", "d0"] and [(r.conversations, r.messages) for r in store.status.collect()] == [(2, 2)]
     assert sorted(r.token for r in search.store_index(spark, path).token_df().collect()) == ["c", "c0", "d", "d0"]
-    monkeypatch.setattr(export, "MOST_PARTS", 4)
     export.write_change(merge_change(store, a_batch(spark, [("e", 0, "e0")]), "partial", AT), path)
-    assert len(export.parts_of(spark, path)) == 1 and texts(export.read_store(spark, path)) == ["c0", "d0", "e0"]
-    assert len(export.vacuum(spark, path, keep=1)) == 4 and texts(export.read_store(spark, path)) == ["c0", "d0", "e0"]
+    assert texts(export.read_store(spark, path)) == ["c0", "d0", "e0"]
+    assert len(export.vacuum(spark, path, keep=1)) > 2 and texts(export.read_store(spark, path)) == ["c0", "d0", "e0"]
+
+
+def test_parts_merge_by_size():
+    for seed in range(20):
+        rng, sizes, written, total = random.Random(seed), [], 0, 0
+        for _ in range(400):
+            sizes.append(rng.choice([1, 1, 1, 5, 80]))
+            total += sizes[-1]
+            while (n := export.to_merge(sizes)) > 1:
+                written += sum(sizes[-n:])
+                sizes[-n:] = [sum(sizes[-n:])]
+            assert len(sizes) <= math.log2(total) + 2
+        assert written <= total * math.log2(total)
+
+
+def test_merged_parts_keep_rows_keys_and_index(spark):
+    """Small merges: the index is carried over, and reads are those of the changes applied one by one."""
+    path, plain, indexed = shared_path(spark, "store"), Store.new(spark), []
+    for k in range(3):
+        rows = [(f"s{j}", n, f"word{j} text{n}") for j in (k, k + 1) for n in range(2)]
+        change = merge_change(export.read_store(spark, path) if k else plain, a_batch(spark, rows), "partial", AT)
+        export.write_change(change, path)
+        plain = apply_change(plain, change)
+        parts = export.parts_of(spark, path)
+        assert len(parts) <= 3
+        indexed.append([export.exists(spark, f"{path}/{p}/index/_SUCCESS") for p in parts])
+        index, store = search.store_index(spark, path), export.read_store(spark, path)
+        assert texts(store) == texts(plain) and {r.id for r in store.conversations.collect()} == {r.id for r in plain.conversations.collect()}
+        fresh = search.build_index(store.messages.join(store.conversations.select(F.col("id").alias("conversation_id"), "title"), "conversation_id"))
+        ask = spark.createDataFrame([(0, "word1"), (1, "text0 word2"), (2, "s1")], "query_id long, query string")
+        scores = lambda i: sorted((r.query_id, r.message_id, round(r.score, 9)) for r in search.bm25_scores(i, ask).collect())
+        assert scores(index) == scores(fresh)
+        assert scores(index) == sorted((r.query_id, r.message_id, round(r.score, 9)) for r in search.top_scores(index, ask, 1000)[0].collect())
+        keys = lambda df: sorted(tuple(r) for r in df.select("kind", "key", "id", "updated_at").collect())
+        assert keys(store.keys) == keys(stored_keys(store.conversations))
+    assert any(len(i) == 1 and i[0] for i in indexed[1:])  # a merge wrote the index of what it joined
+    plan = store.keys.filter(F.col("bucket").isin(1, 2))._jdf.queryExecution().toString()
+    assert "In(bucket, [1,2])" in plan
 
 
 def test_two_writers_of_one_version(spark, monkeypatch):
