@@ -131,9 +131,10 @@ def with_spans(found: DataFrame, weights: list[int] | None) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` with `spans`: array<struct<start, kind, stop>>, kind an index into KINDS; the model is fitted from all of `docs`."""
+    """`docs` with `spans` (an input column of that name is replaced): array<struct<start, kind, stop>>, kind an index into KINDS; the model is fitted from all of `docs`."""
     weights = markov_weights(keep(marked(docs.select("text")).select("base", "candidates"), "candidates"))
-    return with_spans(marked(docs.drop("base", "candidates", "spans")), weights).drop("base")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "spans"]).alias("row")
+    return with_spans(marked(docs.select("text", row)), weights).select("row.*", "spans")
 
 
 def joined(spans: str) -> Column:

@@ -9,7 +9,8 @@ a fingerprint are counted before anything is emitted.
 `drop_near_copies`, the pipeline's stage, links texts whose sets of five-word shingles are 0.8 alike. Fingerprints over such
 shingles lie too far apart for a small radius; fingerprints over a text's counted words lie near (3 % of their bits differ on
 average at 0.8 and more), so each text has TABLES short ones of BITS bits. Each emits its ball of half the radius, texts that meet in a variant and
-also in the least hash of their shingles are candidates, and every candidate pair is verified by its shingle sets.
+also in the least hash of their shingles are candidates: first side by side, then round by round with the best linked text of those that share a least
+hash. Every candidate pair is verified by its shingle sets.
 
 Rows: a null or empty text has no words and fingerprint zero, linked like any other; fewer words
 than a shingle are one shingle; repeated rows and equal doc_ids are each answered; a null doc_id
@@ -30,8 +31,8 @@ from scrollmill.llm.common import id_last, join_hot, keep, table, with_text_colu
 from scrollmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Of `drop_near_copies`: words of a shingle, least similarity (4 / 5), fingerprints and bits of each, and how far apart two texts of a sorted bucket may lie.
-NEAR_SHINGLE, NEAR, TABLES, BITS, NEIGHBOURS = 5, (4, 5), 6, 10, 8
+#: Of `drop_near_copies`: words of a shingle, least similarity (4 / 5), fingerprints and bits of each, and how far apart two texts of a sorted bucket may lie in the first round.
+NEAR_SHINGLE, NEAR, TABLES, BITS, NEIGHBOURS = 5, (4, 5), 6, 10, 1
 #: In how many of the variants that they share texts of equal fingerprints are paired, each time in another order.
 SAME = 4
 
@@ -203,7 +204,7 @@ def neighbours(batches):
             at = np.arange(max(d, old), len(bucket))
             at = at[(bucket[at] == bucket[at - d]) & (fp[at] != fp[at - d])]
             at = at[(k[at] != k[at - d]) | (k[at] < SAME)]
-            yield out(0 if d == 1 else 3, bucket[at], np.minimum(fp[at], fp[at - d]), np.maximum(fp[at], fp[at - d]))
+            yield out(0, bucket[at], np.minimum(fp[at], fp[at - d]), np.maximum(fp[at], fp[at - d]))
         tail = [c[-w:] for c in rows]
     if (left := min(w, seen - w)) > 0:
         bucket, fp, _ = (c[-left:] for c in tail)
@@ -211,10 +212,10 @@ def neighbours(batches):
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b, side_by_side) candidates of distinct texts (fp, prints, mins), a < b: those that meet in a variant of a fingerprint and in a least hash.
+    """(a, b) first candidates of distinct texts (fp, prints, mins), a < b: those that meet in a variant of a fingerprint and in a least hash.
 
     A bucket's texts are within RADIUS bits of each other. It is sorted by other least hashes, which brings the most similar texts
-    together, and each text is paired with those next to it, so a bucket of k texts gives fewer than NEIGHBOURS * k pairs.
+    together, and each text is paired with those next to it, so a bucket of k texts gives fewer than NEIGHBOURS * k pairs; `ask_hubs` goes on from there.
     Sorting is global: parts are even whatever the buckets' sizes, and pairs across the parts' borders are found from their
     first and last rows.
     """
@@ -231,8 +232,7 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     # Two runs of NEIGHBOURS rows at most for each part.
     edge = [(r.bucket, r.a) for r in sorted(found.filter("kind in (1, 2)").collect(), key=lambda r: (r.part, r.kind))]
     crossing = [(min(x[1], y[1]), max(x[1], y[1])) for d in range(1, NEIGHBOURS + 1) for x, y in zip(edge, edge[d:]) if x[0] == y[0] and x[1] != y[1]]
-    every = found.filter("kind in (0, 3)").select("a", "b", "kind").union(spark.createDataFrame([(*p, 0) for p in crossing], "a long, b long, kind int"))
-    return every.groupBy("a", "b").agg((F.min("kind") == 0).alias("side_by_side"))
+    return found.filter("kind = 0").select("a", "b").union(spark.createDataFrame(crossing, "a long, b long")).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,24 +242,44 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(common * (NEAR[0] + NEAR[1]) >= (F.size("sa") + F.size("sb")) * NEAR[0]).select("a", "b")
 
 
+def ask_hubs(spots: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare, and the (fp, spot) that the next round looks at.
+
+    A spot holds the texts of one least hash. Its hub is the text with most links; every text of the spot that is not in the hub's component
+    is compared with it, so a spot of k texts gives fewer than k pairs. What is in that component is settled there.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("degree"))
+    known = degree.join(roots.withColumnRenamed("node", "fp"), "fp")
+    placed = keep(spots.join(known, "fp", "left").select("fp", "spot", F.coalesce("root", "fp").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "placed")
+    hubs = placed.filter("degree > 0").groupBy("spot").agg(F.max(F.struct("degree", "fp", "root")).alias("hub"))
+    apart = keep(placed.join(hubs, "spot").filter("root <> hub.root").select("fp", "spot", F.col("hub.fp").alias("hub")), "apart")
+    return apart.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), apart.select("fp", "spot")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component: that of the smallest doc_id (of rows that share it, the one of the smallest hash).
 
-    Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is checked exactly for
-    each candidate (see `near_pairs`). Texts of the same words are one.
+    Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more, counted for each candidate over 32-bit
+    hashes of its whole set. First candidates are neighbours in a bucket (`near_pairs`); then, as long as that links anything, the text with most
+    links of each spot is compared with all that are not connected with it (`ask_hubs`). Texts of the same words are one.
     """
     rows = docs.select(*row_columns(docs), F.col("text").alias("text"))
     marked = keep(with_text_columns(rows, "text", "fp long, prints array<int>, mins array<long>", _marks).select("fp", "id", "key", "prints", "mins"), "marked")
     prints = keep(best_rows(marked), "best_rows")
-    pairs = keep(near_pairs(marked.groupBy("fp").agg(F.first("prints").alias("prints"), F.first("mins").alias("mins"))), "pairs")
+    texts = marked.groupBy("fp").agg(F.first("prints").alias("prints"), F.first("mins").alias("mins"))
+    pairs = keep(near_pairs(texts), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = prints.join(nodes, "fp").select("fp", "best.key")
     held = rows.select("key", "text").join(wanted, "key").dropDuplicates(["fp"])
     sets = keep(with_text_columns(held, "text", "s array<int>", _shingle_lists).select("fp", "s"), "sets")
-    # Neighbours that lie side by side first; of the others only pairs that these have not connected are compared.
-    near = keep(similar(pairs.filter("side_by_side"), sets), "near")
-    roots = keep(components(near), "roots")
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = pairs.filter("not side_by_side").join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(a_root, a) <> coalesce(b_root, b)")
-    more = keep(similar(rest.select("a", "b"), sets), "more")
-    return survivors(docs, prints, keep(components(near.union(more)), "roots"))
+    links = keep(similar(pairs, sets), "near")
+    spot = F.posexplode("mins").alias("t", "own")
+    spots = keep(texts.join(nodes, "fp").select("fp", spot).select("fp", F.xxhash64("t", "own").alias("spot")).distinct(), "spots")
+    roots = keep(components(links), "roots")
+    while True:
+        asked, spots = ask_hubs(spots, links, roots)
+        found = keep(similar(asked.join(pairs, ["a", "b"], "left_anti"), sets), "found")
+        if found.isEmpty():
+            return survivors(docs, prints, roots)
+        links = links.unionByName(found)
+        roots = keep(components(links), "roots")

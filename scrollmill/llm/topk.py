@@ -31,7 +31,7 @@ QUERY_BLOCK, LEAST_GROUP, GROUP, BLOCK, SEED_ROWS = 8192, 1024, 65536, 64, 4096
 AXES = 16
 NONE = -(2**63)
 #: Of each query and group also a row without vec_id, that tells how many blocks were scored, of how many.
-FOUND = "query_id long, vec_id string, score long, scored long, blocks long"
+FOUND = "n long, query_id long, vec_id string, score long, scored long, blocks long"
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def with_floors(queries: DataFrame, sample: list, k: int) -> DataFrame:
 
 
 def probes(asked: DataFrame, folder: str) -> DataFrame:
-    """(g, query_id, v, floor) of every query and each group whose bound reaches the floor; tasks read the groups' bounds in pieces."""
+    """(g, query_id, v, floor, n) of every query and each group whose bound reaches the floor; tasks read the groups' bounds in pieces."""
 
     def run(batches):
         import pyarrow as pa
@@ -192,7 +192,7 @@ def probes(asked: DataFrame, folder: str) -> DataFrame:
         store, path = open_store(folder)
         files = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
         for batch in batches:
-            ids, dims, cells, floors = (c.to_pylist() for c in batch.columns)
+            ids, dims, cells, floors, numbers = (c.to_pylist() for c in batch.columns)
             at: dict[int, list[int]] = {}
             for i, dim in enumerate(dims):
                 at.setdefault(dim, []).append(i)
@@ -209,14 +209,14 @@ def probes(asked: DataFrame, folder: str) -> DataFrame:
                             reach = Blocks.bound(matrix([cells[i] for i in asks], dim), high, low) >= np.array([floors[i] for i in asks])[:, None]
                             q, g = np.nonzero(reach)
                             q = [asks[i] for i in q]
-                            yield pa.RecordBatch.from_arrays([pa.array([gs[some[j]] for j in g], pa.string()), pa.array([ids[i] for i in q], pa.int64()), pa.array([cells[i] for i in q], pa.binary()), pa.array([floors[i] for i in q], pa.int64())], names=["g", "query_id", "v", "floor"])
+                            yield pa.RecordBatch.from_arrays([pa.array([gs[some[j]] for j in g], pa.string()), pa.array([ids[i] for i in q], pa.int64()), pa.array([cells[i] for i in q], pa.binary()), pa.array([floors[i] for i in q], pa.int64()), pa.array([numbers[i] for i in q], pa.int64())], names=["g", "query_id", "v", "floor", "n"])
 
-    return asked.mapInArrow(run, "g string, query_id long, v binary, floor long")
+    return asked.mapInArrow(run, "g string, query_id long, v binary, floor long, n long")
 
 
 def _score(k: int, block: int):
     def run(group: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score", "scored", "blocks"]
+        names = ["n", "query_id", "vec_id", "score", "scored", "blocks"]
         if not len(group) or not len(queries):
             return pd.DataFrame([], columns=names)
         dim = int(group["dim"].iloc[0])
@@ -225,12 +225,12 @@ def _score(k: int, block: int):
         found = []
         for a in range(0, len(queries), 256):
             part = queries.iloc[a : a + 256]
-            q, ids = matrix(part["v"].tolist(), dim), part["query_id"].tolist()
+            q, ids, numbers = matrix(part["v"].tolist(), dim), part["query_id"].tolist(), part["n"].tolist()
             bounds = index.bounds(q)
             for i, floor in enumerate(part["floor"].tolist()):
                 vec, score, n = index.top(ids[i], q[i], bounds[i], floor, k)
-                found += [(ids[i], str(x), y, 0, 0) for x, y in zip(vec.tolist(), score.tolist())]
-                found.append((ids[i], None, 0, n, len(index.starts)))
+                found += [(numbers[i], ids[i], str(x), y, 0, 0) for x, y in zip(vec.tolist(), score.tolist())]
+                found.append((numbers[i], ids[i], None, 0, n, len(index.starts)))
         return pd.DataFrame(found, columns=names)
 
     return run
@@ -245,17 +245,18 @@ def search_rows(queries: DataFrame, candidates: DataFrame, k: int = K, group: in
     folder = new_folder(spark, "groups")
     groups = grouped(rows, group, folder)
     sample = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, n_rows // SEED_ROWS))) == 0).select("vec_id", "dim", "v").limit(2 * SEED_ROWS)
-    asked = keep(with_floors(packed(queries), [tuple(r) for r in sample.collect()], k), "asked")
+    asked = keep(with_floors(packed(queries), [tuple(r) for r in sample.collect()], k), "asked").withColumn("n", F.monotonically_increasing_id())
+    asked = keep(asked, "numbered")  # rows of one id are queries of their own
     blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    pairs = probes(asked, folder).withColumn("qb", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)))
+    pairs = probes(asked, folder).withColumn("qb", F.pmod(F.xxhash64("n", F.lit(1)), F.lit(blocks)))
     left = groups.select("g", "dim", "ids", "v").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     return left.groupBy("g", "qb").cogroup(pairs.groupBy("g", "qb")).applyInPandas(_score(k, block), FOUND)
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = K, group: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Best k candidates of every query, both (vec_id, dim, v): query_id, rank, vec_id, score."""
-    pairs = search_rows(queries, candidates, k, group, block).filter("vec_id is not null").select("query_id", F.col("vec_id").cast("long").alias("vec_id"), "score")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    """Best k candidates of every query row, both (vec_id, dim, v): query_id, rank, vec_id, score. Rows that share an id are ranked each for itself."""
+    pairs = search_rows(queries, candidates, k, group, block).filter("vec_id is not null").select("n", "query_id", F.col("vec_id").cast("long").alias("vec_id"), "score")
+    order = Window.partitionBy("n").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -274,8 +275,8 @@ WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
-), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM (SELECT *, row_number() OVER () AS n FROM e) q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

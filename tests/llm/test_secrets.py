@@ -62,6 +62,8 @@ def test_spans_match_brute_force(spark):
         assert [tuple(s) for s in r.spans] == want[r.text or ""][1]
     assert any(s.kind == 3 for r in got for s in r.spans)
     assert sc.find_secrets(docs.limit(0)).count() == 0
+    clash = sc.find_secrets(docs.selectExpr("*", "'b' as candidates", "'r' as row", "'s' as spans"))
+    assert clash.columns == ["doc_id", "text", "base", "candidates", "row", "spans"] and {(r.candidates, r.row) for r in clash.collect()} == {("b", "r")}
 
 
 def test_digests_of_the_query(spark, sf_dir):

@@ -133,3 +133,19 @@ def test_clashing_names_pass_the_stage(spark):
     docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
     left = sh.drop_near_copies(docs)
     assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [rows[0], rows[2]]
+
+
+def test_groups_whose_copies_are_near_to_one_text_alone(spark):
+    """Copies with three changed words each: most are 0.8 alike to the first text only, and all but that go."""
+    rng = random.Random(12)
+    texts = []
+    for size in (500, 300):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(size - 1):
+            copy = list(base)
+            for at in rng.sample(range(5, 195), 3):
+                copy[at] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in sh.drop_near_copies(docs).collect()) == [0, 500]

@@ -48,3 +48,14 @@ def test_bounds_stop_the_search():
     q = np.full((1, 8), 7)
     ids, _, scored = index.top(-1, q[0], index.bounds(q)[0], -math.inf, 10)
     assert set(ids) <= set(range(600, 640)) and scored < 20
+
+
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    """A repeated query row, and one id with two vectors: each row has its own ten ranks."""
+    rng = random.Random(3)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(5)]
+    rows = [(i, vec()) for i in range(1, 60)]
+    rows += [(300, rows[4][1]), (300, rows[4][1]), (303, vec()), (303, vec())]
+    ints = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    got = topk.search(ints.filter("vec_id >= 300"), ints).collect()
+    assert sorted(map(tuple, got)) == [r for r in brute(rows) if r[0] >= 300] and len(got) == 40
