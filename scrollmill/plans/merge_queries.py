@@ -224,6 +224,14 @@ def stream_daily(spark, sf_dir):
     return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source_id", "n")
 
 
+@query("stream_daily_zone", "SELECT CAST(CAST(((ts + INTERVAL 60 DAY) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS VARCHAR) AS day, event_type AS source_id, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_zone(spark, sf_dir):
+    """Days of a zone, in a month in which its summer time begins."""
+    later = lambda rows: rows.withColumn("updated_at", F.col("updated_at") + F.expr("INTERVAL 60 DAYS"))
+    days = last_totals(spark, sf_dir, "daily-zone", lambda rows: captures.daily_activity(later(rows), "America/New_York", late="60 days"))
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source_id", "n")
+
+
 @query("stream_totals", "SELECT event_type AS source_id, count(*) AS messages, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM events GROUP BY 1")
 def stream_totals(spark, sf_dir):
     totals = last_totals(spark, sf_dir, "totals", captures.running_totals)

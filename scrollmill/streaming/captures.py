@@ -68,10 +68,11 @@ def merge_captures(store: Store, rows: DataFrame, at: str) -> Store:
     return merge.merge_batch(store, captures_to_batch(parse_captures(rows)), "partial", at)
 
 
-def start_capture_stream(spark: SparkSession, in_dir: str, store_dir: str, checkpoint: str, at: str = "1970-01-01T00:00:00.000Z", **trigger):
+def start_capture_stream(spark: SparkSession, in_dir: str, store_dir: str, checkpoint: str, at: str = "1970-01-01T00:00:00.000Z", keep_versions: int = 50, **trigger):
     """Merge capture files as they arrive: each micro-batch is one partial import that writes the conversations it touches.
 
-    A repeated batch after a failure merges the same rows again, which changes nothing. There is no cut-off for late rows.
+    A repeated batch after a failure merges the same rows again, which changes nothing. There is no cut-off for late rows. The store's
+    last `keep_versions` versions stay, for readers that are still at them; a batch writes one, and one more where parts merge.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -79,6 +80,7 @@ def start_capture_stream(spark: SparkSession, in_dir: str, store_dir: str, check
         store = export.read_store(session, store_dir) if export.latest_number(session, store_dir) is not None else Store.new(session)
         with temporary(session):
             export.write_change(merge.merge_change(store, captures_to_batch(parse_captures(batch)), "partial", at), store_dir)
+        export.vacuum(session, store_dir, keep_versions)
 
     stream = spark.readStream.schema("value string").text(in_dir)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()

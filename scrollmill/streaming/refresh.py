@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scrollmill import sources as _sources  # noqa: F401
 from scrollmill.operators import export
-from scrollmill.operators.batch import FACTS, Store, empty, temporary
+from scrollmill.operators.batch import FACTS, Store, delete, empty, temporary
 from scrollmill.operators.merge import Change, apply_change, merge_change
 from scrollmill.operators.status import mark_absent, summarize_diagnostics
 from scrollmill.sources.base import SOURCES, Source, changed_files, files_fingerprint, find_files
@@ -20,6 +20,10 @@ INTERVAL_SECONDS = 30
 #: Up to so many changed files are named to the reader; of more, the folder is read whole.
 MOST_FILES = 10_000
 STATE = "source_id string, path string, length long, modified timestamp"
+#: The log of looks: files that a look found new or rewritten, or gone; a row without a path marks the look itself.
+LOG = STATE + ", gone boolean"
+#: After so many looks the log is written whole and older ones go.
+MOST_LOOKS = 32
 
 
 REPORT = "source_id string, changed_conversations long, changed_messages long, skipped_records long"
@@ -127,16 +131,16 @@ def import_all(spark: SparkSession, store: Store, specs: list[Spec], at: str, sk
 def refresh(spark: SparkSession, store_dir: str, specs: list[Spec], at: str, interval: float = INTERVAL_SECONDS, now: float | None = None) -> Store:
     """What a query calls first: the stored tables, with changed files merged unless the last look is under `interval` seconds old.
 
-    The file state lies beside the store, one partition a look. The store is written before it, so that a look that
-    fails in between is repeated, which changes nothing. A look that finds nothing new writes no version of the store.
+    The file state lies beside the store as a log, one partition a look with what that found changed. The store is written before it, so
+    that a look that fails in between is repeated, which changes nothing. A look that finds nothing new writes no version of the store, and one row.
     """
     now = time.time() if now is None else now
     store = export.read_store(spark, store_dir) if export.exists(spark, f"{store_dir}/manifest") else None
-    looks = stored(lambda: spark.read.schema(STATE + ", looked long").parquet(f"{store_dir}/files"))
+    looks = stored(lambda: spark.read.schema(LOG + ", looked long").parquet(f"{store_dir}/files"))
     last = looks.agg(F.max("looked")).first()[0] if looks is not None and store is not None else None
     if last is not None and now * 1000 - last < interval * 1000:
         return store
-    known = looks.filter(F.col("looked") == last).drop("looked") if last is not None else None
+    known = known_files(looks) if last is not None else None
 
     def put(change: Change) -> Store:
         export.write_change(change, store_dir)
@@ -145,10 +149,30 @@ def refresh(spark: SparkSession, store_dir: str, specs: list[Spec], at: str, int
     with temporary(spark):
         after, state, _ = import_all(spark, store if store is not None else Store.new(spark), specs, at, last is not None, known, put)
         if state is not None:
-            state.select("source_id", "path", "length", "modified").write.mode("overwrite").parquet(f"{store_dir}/files/looked={int(now * 1000)}")
+            log_look(spark, f"{store_dir}/files", known, state.select("source_id", "path", "length", "modified"), int(now * 1000))
     return after
 
 
+def known_files(looks: DataFrame) -> DataFrame:
+    """The files that a log of looks leaves: the latest row of each path, unless that is gone."""
+    latest = looks.filter("path is not null").groupBy("source_id", "path").agg(F.max_by(F.struct("length", "modified", "gone"), "looked").alias("x"))
+    return latest.filter("not x.gone").select("source_id", "path", "x.length", "x.modified")
+
+
+def log_look(spark: SparkSession, folder: str, known: DataFrame | None, state: DataFrame, at: int) -> None:
+    """Write what a look changes: rows of new or rewritten files, of files that are gone, and the look's own."""
+    mark = spark.createDataFrame([(None, None, None, None, False)], LOG)
+    before = sorted(r.looked for r in spark.read.parquet(folder).select("looked").distinct().collect()) if known is not None else []  # MOST_LOOKS at most
+    rows = state.withColumn("gone", F.lit(False))
+    if known is not None and len(before) < MOST_LOOKS:
+        gone = known.join(state, ["source_id", "path"], "left_anti").withColumn("gone", F.lit(True))
+        rows = rows.join(known, ["source_id", "path", "length", "modified"], "left_anti").select(rows.columns).unionByName(gone)
+    rows.unionByName(mark).write.mode("overwrite").parquet(f"{folder}/looked={at}")
+    if len(before) >= MOST_LOOKS:
+        for old in before:  # the oldest first: what is gone stays gone if this stops half-way
+            delete(spark, f"{folder}/looked={old}")
+
+
 def stored(read):
     """What `read` gives, or None where its folder is not there yet."""
     try:

@@ -1,6 +1,7 @@
 """Importing registered sources again when files changed."""
 
 from dataclasses import replace
+from datetime import datetime
 
 from scrollmill.operators.batch import Store, shared_path
 from scrollmill.sources.base import files_signature, find_files
@@ -44,3 +45,18 @@ def test_refresh_reads_changed_files_only(spark, tmp_path, monkeypatch):
     assert texts(refresh(spark, store_dir, specs, AT, now=1031.0)) == ["hello", "more", "other"]
     assert texts(refresh(spark, store_dir, specs, AT, now=1100.0)) == ["hello", "more", "other"]
     assert len(told) == 2 and isinstance(told[0], str) and len(told[1]) == 1 and told[1][0].endswith("b \\{1\\}\\[x\\].jsonl")
+
+
+def test_log_of_looks(spark, tmp_path, monkeypatch):
+    """A look writes what changed; the log gives the state of the last look, before and after it is written whole."""
+    monkeypatch.setattr(refresh_module, "MOST_LOOKS", 3)
+    folder, at = str(tmp_path / "files"), 0
+    for now in ({"a": 1, "b": 1}, {"a": 1, "b": 1}, {"a": 2, "c": 1}, {"c": 1, "b": 1}, {"c": 1, "b": 1, "d": 4}):
+        at += 1
+        state = spark.createDataFrame([("s", p, n, datetime(2026, 5, n)) for p, n in now.items()], refresh_module.STATE)
+        read = lambda: spark.read.schema(refresh_module.LOG + ", looked long").parquet(folder)
+        refresh_module.log_look(spark, folder, refresh_module.known_files(read()) if at > 1 else None, state, at)
+        assert {r.path: r.length for r in refresh_module.known_files(read()).collect()} == now
+        rows = {r.looked: r["count"] for r in read().groupBy("looked").count().collect()}
+        assert rows[at] == {1: 3, 2: 1, 3: 4, 4: 3, 5: 2}[at]
+        assert len(rows) == {1: 1, 2: 2, 3: 3, 4: 1, 5: 2}[at]
