@@ -239,6 +239,17 @@ def apply_change(store: Store, change: Change) -> Store:
     )
 
 
+def together(batches: list[Batch]) -> Batch:
+    """Batches of several sources as one, to be merged in one plan; sessions of different batches never meet by their keys alone."""
+    out = None
+    for n, batch in enumerate(batches):
+        own = {f.name: getattr(batch, f.name) for f in fields(Batch)}
+        for name in ("conversations", "messages", "evidence"):
+            own[name] = own[name].withColumn("conv_key", F.concat(F.lit(f"{n:04d}{UNIT}"), "conv_key"))
+        out = Batch(**own) if out is None else out.union(Batch(**own))
+    return out
+
+
 def merge_batch(store: Store, batch: Batch, scope: str = "partial", at: str = "1970-01-01T00:00:00.000Z") -> Store:
     """A new store with a batch merged in; see `merge_change`."""
     return apply_change(store, merge_change(store, batch, scope, at))

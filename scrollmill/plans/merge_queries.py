@@ -272,3 +272,12 @@ def import_all(spark, sf_dir):
             export.write_store(merge.merge_batch(store, b, scope, AT), path)
             store = export.read_store(spark, path)
     return store.status.select("source_id", "conversations", "messages")
+
+
+@query("import_together", f"WITH {STORE_SQL}, t AS (SELECT DISTINCT session, turn, role, created_at, text FROM m) SELECT x.source_id, count(DISTINCT session) AS conversations, count(*) AS messages FROM t, (VALUES ('claude-code'), ('codex')) x(source_id) GROUP BY 1")
+def import_together(spark, sf_dir):
+    """Two sources, whose sessions have the same names, merged by one plan into one version of a store."""
+    both = merge.together([claude_code.read(spark, render_claude_code(spark, sf_dir)), codex.read(spark, render_codex(spark, sf_dir))])
+    path = scratch(spark, "store")
+    export.write_change(merge.merge_change(Store.new(spark), both, "full", AT), path)
+    return export.read_store(spark, path).status.select("source_id", "conversations", "messages")
