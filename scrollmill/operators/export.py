@@ -51,7 +51,8 @@ def write_part(spark: SparkSession, path: str, tables: dict[str, DataFrame], bef
     part = f"part-{number:012d}-{uuid.uuid4().hex}"
 
     def put(name: str, df: DataFrame) -> None:
-        writer = df.write
+        # Messages of a conversation lie side by side in a file, so that who asks for some conversations skips the pages of others.
+        writer = (df.sortWithinPartitions("source_id", "conversation_id", "message_id") if name == "messages" else df).write
         (writer.partitionBy("source_id") if name in PARTITIONED else writer).parquet(f"{path}/{part}/{name}")
 
     with ThreadPoolExecutor(len(tables)) as pool:

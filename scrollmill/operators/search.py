@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import partial, reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -376,22 +376,108 @@ def best_per_conversation(scored: DataFrame, conversations: DataFrame, limit: in
     return top_n(best, ["query_id"], [F.col("row")], limit).select("query_id", "rank", "conversation_id", "message_id", "score")
 
 
-def substring_matches(messages: DataFrame, conversations: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+#: A piece that more than this share of the rows may hold leaves its query to the scan; up to so many conversations stand as literals in a scan of texts.
+RARE, MOST_PAGES = 0.1, 128
+
+
+def pieces_of(term: str) -> list[tuple[str, str]]:
+    """(kind, piece): what tokens a text has to have to hold a term, ASCII case ignored.
+
+    Runs of letters and digits in the folded term: inside it a run is a whole token, at its ends a token's tail or head, and a term that is one run is
+    part of a token. Folding goes by single characters but for sigma at the end of a word; a term with one gives no pieces.
+    """
+    low = fold(term)
+    if "\u03c3" in low or "\u03c2" in low:
+        return []
+    found = []
+    for m in _token_pattern().finditer(low):
+        first, last = m.start() == 0, m.end() == len(low)
+        found.append(("part" if first and last else "tail" if first else "head" if last else "whole", m.group()))
+    return list(dict.fromkeys(found))
+
+
+def has_piece(kind: str, piece: str) -> Column:
+    """Whether a token shows a piece; all four kinds reach the files of the index."""
+    token = F.col("token")
+    return {"part": token.contains, "tail": token.endswith, "head": token.startswith, "whole": token.__eq__}[kind](piece)
+
+
+def with_pieces(index: Index, pieces: list[tuple]) -> DataFrame:
+    """The index's blocks whose token shows one of (no, kind, piece), once for each, with `no`."""
+    tests = [(n, has_piece(kind, piece)) for n, kind, piece in pieces]
+    met = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in tests]))
+    return index.blocks.filter(_any([test for _, test in tests])).withColumn("no", F.explode(met))
+
+
+def _any(tests: list[Column]) -> Column:
+    """A balanced disjunction: a long one is no deep tree."""
+    while len(tests) > 1:
+        tests = [reduce(or_, tests[a : a + 2]) for a in range(0, len(tests), 2)]
+    return tests[0]
+
+
+def substring_candidates(index: Index, asked: list[tuple]) -> tuple[DataFrame | None, list]:
+    """(query_id, message_id, conversation_id) of the rows that may hold all terms of (query_id, terms), and the queries that need a scan instead.
+
+    The counts of the index's blocks bound how many rows a piece leaves, before any postings are read; postings are read of tokens that show
+    the rare pieces, and a row has to have all of these. Every row that holds the terms is among them.
+    """
+    spark = index.blocks.sparkSession
+    pieces, of = [], {}
+    for q, terms in asked:
+        for kind, piece in dict.fromkeys(p for t in terms for p in pieces_of(t)):
+            of.setdefault(q, []).append(len(pieces))
+            pieces.append((len(pieces), kind, piece))
+    bound, wanted = {}, []
+    for a in range(0, len(pieces), QUERY_BLOCK):  # a row for each piece of what a user asks
+        bound |= dict(with_pieces(index, pieces[a : a + QUERY_BLOCK]).groupBy("no").agg(F.sum("n")).collect())
+    most = RARE * index.totals()[0]
+    for q, numbers in of.items():
+        rare = [n for n in numbers if bound.get(n, 0) <= most]
+        wanted += [(q, n, len(rare)) for n in rare]
+    rest = [q for q, _ in asked if q not in {q for q, *_ in wanted}]
+    found = None
+    part = ["part_no"] if index.dead is not None else []
+    for a in range(0, len(wanted), QUERY_BLOCK):
+        block = wanted[a : a + QUERY_BLOCK]
+        ids = F.arrays_zip(*[F.col(f"postings.{c}").alias(c) for c in ("message_id", "conversation_id")])
+        rows = with_pieces(index, [pieces[n] for _, n, _ in block]).select("no", *part, F.explode(ids).alias("p")).select("no", *part, "p.message_id", "p.conversation_id")
+        own = index.live(rows).join(sized(spark.createDataFrame(block, "query_id long, no int, need int"), len(block)), "no").select("query_id", "no", "need", "message_id", "conversation_id")
+        found = own if found is None else found.union(own)
+    if found is not None:
+        found = found.groupBy("query_id", "message_id", "conversation_id", "need").agg(F.count_distinct("no").alias("held")).filter("held = need").select("query_id", "message_id", "conversation_id")
+    return found, rest
+
+
+def substring_matches(messages: DataFrame, conversations: DataFrame, queries: DataFrame, limit: int, index: Index | None = None) -> DataFrame:
     """(query_id, rank, conversation_id, message_id): every term in title, text or thinking of one message, ASCII case ignored.
 
-    One scan of the messages for each QUERY_BLOCK queries, whose terms stand in the scan's own expressions.
+    With the messages' index, a query that has a rare piece looks only at the texts of rows whose tokens show its pieces. Other queries share one scan
+    of the messages for each QUERY_BLOCK of them, their terms in the scan's own expressions.
     """
     asked = [(r.query_id, query_terms(r.query)) for r in queries.select("query_id", "query").collect()]  # the queries a user asks
     asked = [(q, [t.translate({i: i + 32 for i in range(65, 91)}) for t in terms]) for q, terms in asked if terms]
-    own = messages.select("conversation_id", "message_id", "created_at", "text", "thinking")
-    rows = own.join(conversations.select(F.col("id").alias("conversation_id"), "title", "updated_at"), "conversation_id")
-    low = rows.select("conversation_id", "message_id", "created_at", "updated_at", *[ascii_lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("title", "text", "thinking")])
     holds = lambda t: F.contains("title", F.lit(t)) | F.contains("text", F.lit(t)) | F.contains("thinking", F.lit(t))
-    hits = low.limit(0).select(F.lit(0).cast("long").alias("query_id"), "conversation_id", "message_id", "created_at", "updated_at")
-    for a in range(0, len(asked), QUERY_BLOCK):
-        block = asked[a : a + QUERY_BLOCK]
-        met = F.array_compact(F.array(*[F.when(reduce(and_, map(holds, terms)), F.lit(q).cast("long")) for q, terms in block]))
-        hits = hits.union(low.select(F.explode(met).alias("query_id"), "conversation_id", "message_id", "created_at", "updated_at"))
+    shown = conversations.select(F.col("id").alias("conversation_id"), "title", "updated_at")
+    low = lambda rows: rows.select(*[c for c in rows.columns if c not in ("title", "text", "thinking")], *[ascii_lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("title", "text", "thinking")])
+    own = messages.select("conversation_id", "message_id", "created_at", "text", "thinking")
+    columns = ("query_id", "conversation_id", "message_id", "created_at", "updated_at")
+    whole = low(own.join(shown, "conversation_id"))
+    hits = whole.limit(0).select(F.lit(0).cast("long").alias("query_id"), *columns[1:])
+    some, rest = substring_candidates(index, asked) if index is not None and asked else (None, [q for q, _ in asked])
+    if some is not None:
+        some = cut(some, "candidates")
+        ids = [r[0] for r in some.select("conversation_id").distinct().limit(MOST_PAGES + 1).collect()]
+        if len(ids) <= MOST_PAGES:  # texts lie by conversation: equalities skip the pages of others
+            own = own.filter(_any([F.col("conversation_id") == i for i in ids] or [F.lit(False)]))
+        met = low(own.join(export.small(some.select("query_id", "message_id")), "message_id").join(shown, "conversation_id"))
+        narrow = [(q, terms) for q, terms in asked if q not in set(rest)]
+        for a in range(0, len(narrow), QUERY_BLOCK):
+            hits = hits.union(met.filter(_any([(F.col("query_id") == q) & reduce(and_, map(holds, terms)) for q, terms in narrow[a : a + QUERY_BLOCK]])).select(*columns))
+    wide = [(q, terms) for q, terms in asked if q in set(rest)]
+    for a in range(0, len(wide), QUERY_BLOCK):
+        met = F.array_compact(F.array(*[F.when(reduce(and_, map(holds, terms)), F.lit(q).cast("long")) for q, terms in wide[a : a + QUERY_BLOCK]]))
+        hits = hits.union(whole.select(F.explode(met).alias("query_id"), *columns[1:]))
     best = hits.withColumn("own", F.row_number().over(Window.partitionBy("query_id", "conversation_id").orderBy(F.col("created_at").desc(), "message_id"))).filter("own = 1")
     return top_n(best, ["query_id"], [F.col("updated_at").desc(), F.col("conversation_id")], limit).select("query_id", "rank", "conversation_id", "message_id")
 
@@ -400,7 +486,7 @@ def search_many(messages: DataFrame, conversations: DataFrame, index: Index, que
     """Ranked results, filled up to the limit by substring results: query_id, rank, conversation_id, message_id, score."""
     limit = clamp_limit(limit)
     ranked = cut(best_per_conversation(bm25_scores(index, queries), conversations, limit, True), "ranked")  # used twice
-    fill = substring_matches(messages, conversations, queries, limit).join(ranked.select("query_id", "conversation_id"), ["query_id", "conversation_id"], "left_anti")
+    fill = substring_matches(messages, conversations, queries, limit, index if index.many() else None).join(ranked.select("query_id", "conversation_id"), ["query_id", "conversation_id"], "left_anti")
     both = ranked.withColumn("stage", F.lit(0)).unionByName(fill.withColumn("score", F.lit(0.0)).withColumn("stage", F.lit(1)))
     placed = both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("stage", "rank")))
     return placed.filter(F.col("place") <= limit).select("query_id", F.col("place").alias("rank"), "conversation_id", "message_id", "score")
@@ -429,7 +515,7 @@ def search(messages: DataFrame, conversations: DataFrame, index: Index, query: s
     rows = [(r["rank"], r.conversation_id, r.message_id, r.score) for r in best_per_conversation(scored, some, limit, whole).collect()]
     if len(rows) < limit:
         known = {r[1] for r in rows}
-        fill = [r for r in substring_matches(messages, some, queries, limit).collect() if r.conversation_id not in known]
+        fill = [r for r in substring_matches(messages, some, queries, limit, index if index.many() else None).collect() if r.conversation_id not in known]
         rows += [(0, r.conversation_id, r.message_id, 0.0) for r in sorted(fill, key=lambda r: r["rank"])]
     rows = [(0, n + 1, *r[1:]) for n, r in enumerate(sorted(rows, key=lambda r: r[0] or limit + 1)[:limit])]
     found = F.broadcast(spark.createDataFrame(rows, "query_id long, rank int, conversation_id string, message_id string, score double"))

@@ -67,6 +67,18 @@ def substring_search(spark, sf_dir):
     return search.substring_matches(m.drop("title"), c, query_table(spark), 10).select(F.col("query_id").cast("int"), "rank", "message_id")
 
 
+RARE_QUERIES = QUERIES + ("hbleat", "own cl", "f-the-", "erkei", "é", "GNU gen", "nsed under the apach", "-")
+RARE_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(RARE_QUERIES)) + ") v(query_id, query))"
+
+
+@query("substring_indexed", f"WITH {RARE_SQL}, {SUB_SQL} SELECT query_id, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS message_id FROM sub WHERE rank <= 10")
+def substring_indexed(spark, sf_dir):
+    """Parts of words, and punctuation between them: texts are read where the index shows all rare pieces."""
+    m, c, index = corpus(spark, sf_dir)
+    asked = spark.createDataFrame(list(enumerate(RARE_QUERIES)), "query_id long, query string")
+    return search.substring_matches(m.drop("title"), c, asked, 10, index).select(F.col("query_id").cast("int"), "rank", "message_id")
+
+
 @query("search_filled", f"WITH {BM25_SQL}, {SUB_SQL}, two AS (SELECT query_id, doc_id, 0 AS stage, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10 UNION ALL SELECT s.query_id, s.doc_id, 1, s.rank, 0.0 FROM sub s WHERE s.rank <= 10 AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.rank <= 10 AND r.query_id = s.query_id AND r.doc_id = s.doc_id)), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank) AS place FROM two) SELECT query_id, CAST(place AS INT) AS rank, CAST(doc_id AS VARCHAR) AS message_id, score FROM p WHERE place <= 10")
 def search_filled(spark, sf_dir):
     m, c, index = corpus(spark, sf_dir)

@@ -76,3 +76,96 @@ def test_edges_bound_every_posting():
         edge = search.edge_of(ps)
         assert 1 <= len(edge) <= search.EDGE
         assert all(any(e["tf"] >= p["tf"] and e["dl"] <= p["dl"] for e in edge) for p in ps)
+
+
+def plain_substrings(rows, queries, limit):
+    """Every query against every row; rows (message_id, conversation_id, title, text, thinking, created_at, updated_at)."""
+    low = lambda s: (s or "").translate({i: i + 32 for i in range(65, 91)})
+    out = set()
+    for q, query in queries:
+        terms, best = [low(t) for t in search.query_terms(query)], {}
+        for r in rows:
+            if terms and all(any(t in low(r[c]) for c in ("title", "text", "thinking")) for t in terms):
+                key = r["created_at"], [-ord(c) for c in r["message_id"]]
+                if r["conversation_id"] not in best or key > best[r["conversation_id"]][0]:
+                    best[r["conversation_id"]] = key, r
+        first = sorted((r for _, r in best.values()), key=lambda r: ([-ord(c) for c in r["updated_at"]], r["conversation_id"]))[:limit]
+        out |= {(q, n, r["conversation_id"], r["message_id"]) for n, r in enumerate(first, 1)}
+    return out
+
+
+ODD = ["abc", "Abd", "xabc", "-", "...", "éa", "éa", "ΟΔΟΣ", "οδος", "ΣΑΣ", "İx", "日本語", "本", "本語訳", "１２", "ﬁn", "K", "á̧b", "नि", "क्षि", "ß", "SS", "한국", "하", "_q_", "3,5"]
+
+
+def test_substrings_by_index_equal_every_row(spark, monkeypatch):
+    monkeypatch.setattr(search, "PER_SHARD", 20)
+    rng, rows = random.Random(4), []
+    word = lambda: "".join(rng.choice(ODD) for _ in range(rng.randint(1, 3)))
+    for i in range(400):
+        text = None if i % 19 == 0 else "" if i % 23 == 0 else " ".join(word() for _ in range(rng.randint(1, 6)))
+        rows.append({"message_id": f"m{i}", "conversation_id": f"c{i % 150}", "title": f"Title {i % 150} {ODD[i % 150 % len(ODD)]}", "text": text, "thinking": word() if i % 5 == 0 else None, "created_at": f"t{i % 7}", "updated_at": f"u{i % 150 % 9}"})
+    texts = [r[c] for r in rows for c in ("title", "text", "thinking") if r[c]]
+
+    def cutting():
+        t = rng.choice(texts)
+        a = rng.randrange(len(t))
+        return t[a : a + rng.randint(1, 7)].strip()
+
+    queries = [(n, q) for n, q in enumerate([*ODD, *(f"{cutting()} {cutting()}" if n % 3 == 0 else cutting() for n in range(50)), "", "nowhere", "abc nowhere"])]
+    table = spark.createDataFrame(rows, "message_id string, conversation_id string, title string, text string, thinking string, created_at string, updated_at string").repartition(3)
+    conversations = table.select(table.conversation_id.alias("id"), "title", "updated_at").distinct()
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    index = search.build_index(table)
+    want = plain_substrings(rows, queries, 5)
+    for share in (search.RARE, 1.0):
+        monkeypatch.setattr(search, "RARE", share)
+        got = search.substring_matches(table.drop("title", "updated_at"), conversations, asked, 5, index)
+        assert {tuple(r) for r in got.select("query_id", "rank", "conversation_id", "message_id").collect()} == want
+    terms = [(q, [t.lower() if t.isascii() else t for t in search.query_terms(text)]) for q, text in queries if search.query_terms(text)]
+    found, rest = search.substring_candidates(index, terms)
+    assert len(rest) < len(queries) / 2 and found.filter("query_id = %d" % queries[-1][0]).count() == 0
+    assert {q for q, text in queries if text in ("-", "...")} <= set(rest)
+
+
+def test_pieces_of_terms():
+    assert search.pieces_of("abc") == [("part", "abc")]
+    assert search.pieces_of("f-the-g_h") == [("tail", "f"), ("whole", "the"), ("whole", "g"), ("head", "h")]
+    assert search.pieces_of("-éa") == [("head", "ea")] and search.pieces_of("éa-") == [("tail", "ea")]
+    assert search.pieces_of("!!!") == search.pieces_of("") == search.pieces_of("ος") == []
+
+
+def test_texts_of_rare_substrings_are_read_by_conversation(spark, tmp_path, monkeypatch):
+    """A store's texts lie by conversation; a search for a rare part of a word reads the pages of those that the index names."""
+    from scrollmill.operators import export, merge
+    from scrollmill.operators.batch import Batch, Store
+
+    spark.conf.set("parquet.page.row.count.limit", "50")
+    try:
+        sessions = spark.range(3000).selectExpr("concat('s', id) as conv_key", "'src-a' as source_id", "concat('s', id) as upstream_id", "'t' as title", "'2024-01-01T00:00:00.000Z' as started_at", "'2024-01-01T00:00:00.000Z' as updated_at")
+        said = spark.range(3000).selectExpr("concat('s', id) as conv_key", "'src-a' as source_id", "0L as ord", "'user' as role", "'2024-01-01T00:00:00.000Z' as created_at", "concat('some words, ', if(id = 1234, 'xneedlex', 'hay'), id) as text")
+        export.write_store(merge.merge_batch(Store.new(spark), Batch.of(sessions, said), "full", "2024-02-01T00:00:00.000Z"), str(tmp_path))
+    finally:
+        spark.conf.unset("parquet.page.row.count.limit")
+    monkeypatch.setattr(search, "SEEDS", 0)
+    store, index = export.read_store(spark, str(tmp_path)), search.store_index(spark, str(tmp_path))
+    asked = spark.createDataFrame([(0, "needle")], "query_id long, query string")
+    got = search.substring_matches(store.messages, store.conversations, asked, 10, index)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "conversation_id" in plan and got.count() == 1
+    one = got.first().conversation_id
+    scans = got._jdf.queryExecution().sparkPlan().toString()
+    assert f"EqualTo(conversation_id,{one})" in scans
+    read = store.messages.filter(F.col("conversation_id") == one).select("text")
+    read.collect()
+    counts = [m for m in scan_rows(read)]
+    assert counts and max(counts) < 1000
+    assert search.search(store.messages, store.conversations, index, "needle").first().conversation_id == one
+
+
+def scan_rows(df):
+    """Rows that a collected frame's file scans gave."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    for k in range(leaves.size()):
+        metric = leaves.apply(k).metrics().get("numOutputRows")
+        if metric.isDefined():
+            yield metric.get().value()
