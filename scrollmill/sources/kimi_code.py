@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import json
-import math
 import re
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrollmill.functions import variants as V
 from scrollmill.functions.text import session_title
 from scrollmill.functions.times import EPOCH
-from scrollmill.operators.batch import Batch
+from scrollmill.operators.batch import Batch, cut
 from scrollmill.sources import base as S
 
 ID, LABEL = "kimi-code", "Kimi Code"
@@ -23,68 +22,93 @@ DIR = r"^(.*)/(?:agents/main|log=wire)/[^/]+$"
 KEPT = r'"type"\s*:\s*"(turn\.prompt|turn\.steer|context\.append_message|step\.begin|content\.part|step\.end|llm\.request|context\.undo|context\.clear|context\.apply_compaction)"'
 
 
-def replay(events: list[tuple]) -> list[dict]:
-    """Messages that stand at the end: role, text parts, time, upstream id, model.
+def replay(events: DataFrame) -> DataFrame:
+    """The messages of all sessions that stand at their ends, of (dir, line, op, text, time, id, count, model) with one row a line.
 
-    An event is (op, text, time, id, count, model). prompt: a user's input, which a later user message of equal
-    text completes (time and id) instead of repeating it, first come first served. step, part, end: an agent's step and
-    what is added to it by its id. model: names the running step's model. undo: takes back from the end
-    until `count` user messages are gone, never past the last clear. clear: sets that floor.
+    prompt: a user's input, which a later user message of equal text completes (time and id) instead of repeating it, first come first served.
+    step, part, end: an agent's step and what is added to it by its id. model: names the running step's model. undo: takes back from the
+    end until `count` user messages are gone, never past the last clear. clear: sets that floor. An undo or a clear forgets waiting prompts and open steps.
+
+    No event is replayed: each is placed by running sums and least values over its session. The windows see no text and share
+    one shuffle; texts meet by message.
     """
-    log: list[dict] = []
-    waiting: list[dict] = []
-    steps: dict[str, dict] = {}
-    running, floor = None, 0
-    for op, text, time, id_, count, model in events:
-        if op in ("prompt", "user", "assistant"):
-            match = next((w for w in waiting if op == "user" and w["parts"] == [text]), None)
-            if match:
-                waiting.remove(match)
-                match["time"], match["id"] = time or match["time"], id_ or match["id"]
-                continue
-            entry = {"role": "assistant" if op == "assistant" else "user", "parts": [text], "time": time, "id": None if op == "prompt" else id_, "model": None}
-            log.append(entry)
-            if op == "prompt":
-                waiting.append(entry)
-        elif op == "step":
-            running = steps[id_] = {"role": "assistant", "parts": [], "time": time, "id": id_, "model": None}
-            log.append(running)
-        elif op == "part":
-            if id_ in steps:
-                steps[id_]["parts"].append(text)
-        elif op == "end":
-            steps.pop(id_, None)
-            running = None if running and running["id"] == id_ else running
-        elif op == "model":
-            if running and model:
-                running["model"] = model
-        else:
-            if op == "undo":
-                users = [k for k in range(floor, len(log)) if log[k]["role"] == "user"]
-                if count > 0:
-                    del log[users[-math.ceil(count)] if math.ceil(count) <= len(users) else floor :]
-            else:
-                floor = len(log)
-            waiting, steps, running = [], {}, None
-    return log
-
-
-def reduce_session(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("line").astype(object).where(frame.sort_values("line").notna(), None)
-    some = []
-    for op, content, origin, *rest in zip(*[frame[c] for c in ("op", "content", "origin", "time", "id", "count", "model")]):
-        text = None
-        if op in ("prompt", "user", "assistant", "part"):
-            content, origin = [json.loads(x) if x else None for x in (content, origin)]
-            text = asked(content, origin) if op in ("prompt", "user") else shown(content)
-        if text != "" and (rest[1] is not None or op not in ("step", "part", "end")):
-            some.append((op, text, *rest))
-    rows = []
-    for n, m in enumerate(replay(some)):
-        text = "\n".join(p.strip() for p in m["parts"] if p.strip()).strip()
-        if text:
-            rows.append((key[0], n, m["id"], m["role"], m["time"], text, m["model"]))
-    return pd.DataFrame(rows, columns=["dir", "ord", "upstream_id", "role", "time", "text", "model_id"])
+    own = lambda *keys: Window.partitionBy("dir", *keys).orderBy("line")
+    back = lambda *keys: Window.partitionBy("dir", *keys).orderBy(F.col("line").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    till = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    is_ = lambda *ops: F.col("op").isin(*ops)
+    one = lambda test: F.when(test, 1).otherwise(0)
+    lowest = lambda c, w: F.least(F.lit(0), F.coalesce(F.min(c).over(w), F.lit(0)))
+
+    rows = events.select("dir", "line", "op", F.when(is_("prompt", "user"), F.sha2("text", 256)).alias("said"), "time", F.col("id").alias("name"), F.when(is_("step", "part", "end"), F.col("id")).alias("step"), "count", F.when(F.col("model") != "", F.col("model")).alias("model"))
+    rows = rows.repartition("dir")
+    # Prompts and steps wait no longer than to the next undo or clear; what one takes back starts at the last clear.
+    rows = rows.withColumns({"part": F.sum(one(is_("undo", "clear"))).over(till(own())), "era": F.sum(one(is_("clear"))).over(till(own()))})
+    # A user message takes a waiting prompt unless it brings the balance of both to a new low; the n-th that takes one takes the n-th.
+    same = own("part", "said")
+    rows = rows.withColumn("balance", F.sum(one(is_("prompt")) - one(is_("user"))).over(till(same)))
+    rows = rows.withColumn("takes", is_("user") & (F.col("balance") >= lowest("balance", before(same))))
+    rows = rows.withColumn("nth", F.when(is_("prompt"), F.sum(one(is_("prompt"))).over(till(same))).when(F.col("takes"), F.sum(one(F.col("takes"))).over(till(same))))
+    prompt = F.min(F.when(is_("prompt"), F.col("line"))).over(Window.partitionBy("dir", "part", "said", "nth"))
+    # A step is open from its start to its end; the last one that started is the running one while it is open.
+    rows = rows.withColumns({"ended": F.last(F.when(is_("end"), F.col("line")), True).over(back("part", "step")), "prompt": prompt, "opened": F.last(F.when(is_("step", "end"), F.struct("line", "op")), True).over(till(own("part", "step")))})
+    rows = rows.withColumn("running", F.last(F.when(is_("step", "undo", "clear"), F.struct("line", "op", "ended")), True).over(till(own())))
+    entry = (
+        F.when(F.col("takes"), F.col("prompt"))
+        .when(is_("prompt", "user", "assistant", "step"), F.col("line"))
+        .when(is_("part") & (F.col("opened.op") == "step"), F.col("opened.line"))
+        .when(is_("model") & (F.col("running.op") == "step") & (F.col("running.ended").isNull() | (F.col("running.ended") > F.col("line"))), F.col("running.line"))
+    )
+    rows = rows.withColumn("entry", entry)
+    # User messages stand as on a stack: an undo leaves so many, or takes all back to the floor; what is higher than a later undo leaves is gone.
+    back_by = F.when(is_("undo") & (F.col("count") > 0), F.least(F.ceil("count"), F.lit(10**9)).cast("long")).otherwise(0)
+    rows = rows.withColumn("level", F.sum(one(is_("prompt") | (is_("user") & ~F.col("takes"))) - back_by).over(till(own("era"))))
+    rows = rows.withColumn("low", lowest("level", before(own("era"))))
+    rows = rows.withColumn("height", F.col("level") - F.least("level", "low"))
+    left = F.when(back_by > 0, F.when(F.col("level") < F.col("low"), -1).otherwise(F.col("height")))
+    rows = rows.withColumn("left", left).withColumn("least", F.min("left").over(back("era")))
+    rows = rows.withColumn("stands", (F.col("entry") == F.col("line")) & (F.col("least").isNull() | (F.col("least") >= F.col("height"))))
+    rows = rows.withColumn("ord", F.sum(one(F.col("stands"))).over(till(own())) - 1)
+
+    of = rows.filter("entry is not null").select("dir", "line", "entry", "op", "takes", "stands", "ord", "time", "name", "model")
+    head = lambda c: F.max(F.when(F.col("entry") == F.col("line"), F.col(c)))
+    taken = lambda c: F.max(F.when(F.col("takes"), F.col(c)))
+    told = of.groupBy("dir", "entry").agg(
+        head("stands").alias("stands"), head("ord").alias("ord"), head("op").alias("head"),
+        F.coalesce(taken("time"), head("time")).alias("time"),
+        F.coalesce(F.nullif(taken("name"), F.lit("")), F.max(F.when((F.col("entry") == F.col("line")) & ~is_("prompt"), F.col("name")))).alias("upstream_id"),
+        F.max_by("model", F.when(is_("model") & F.col("model").isNotNull(), F.col("line"))).alias("model_id"),
+        F.array_sort(F.collect_list(F.when(is_("prompt", "user", "assistant", "part") & ~F.col("takes"), F.col("line")))).alias("lines"),
+    ).filter("stands")
+    attributes = ("ord", "head", "time", "upstream_id", "model_id")
+    parts = told.select("dir", "entry", *attributes, F.explode("lines").alias("line")).join(events.filter("text is not null").select("dir", "line", "text"), ["dir", "line"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda p: p["text"]), "\n").alias("text")
+    whole = parts.groupBy("dir", "entry").agg(*[F.first(c).alias(c) for c in attributes], text)
+    role = F.when(F.col("head").isin("prompt", "user"), "user").otherwise("assistant").alias("role")
+    return whole.select("dir", "ord", "upstream_id", role, "time", "text", "model_id")
+
+
+SPOKEN = "dir string, line long, op string, text string, time string, id string, count double, model string"
+
+
+def with_texts(frames):
+    """What a user or an agent said in each event, from JSON texts; events that say nothing and parts of steps without a name are dropped."""
+
+    def one(op, content, origin):
+        if op not in ("prompt", "user", "assistant", "part"):
+            return None
+        content, origin = [json.loads(x) if x else None for x in (content, origin)]
+        return asked(content, origin) if op in ("prompt", "user") else shown(content)
+
+    for frame in frames:
+        frame["text"] = pd.Series([one(*row) for row in zip(frame["op"], frame["content"], frame["origin"])], dtype=object, index=frame.index)
+        nameless = frame["op"].isin(["step", "part", "end"]) & frame["id"].isna()
+        yield frame[~nameless & (frame["text"] != "")][["dir", "line", "op", "text", "time", "id", "count", "model"]]
+
+
+def spoken(found: DataFrame) -> DataFrame:
+    """Events with their texts, written once: a replay looks at the texts apart."""
+    return cut(found.mapInPandas(with_texts, SPOKEN), "events")
 
 
 MARKS = {"image_url": "[image]", "audio_url": "[audio]", "video_url": "[video]"}
@@ -137,7 +161,9 @@ def events(records):
         .when(F.col("kind") == "context.undo", "undo")
         .when(F.col("kind").isin("context.clear", "context.apply_compaction"), "clear")
     )
-    rows = records.select(F.regexp_extract("path", DIR, 1).alias("dir"), "line", "v", V.string("v", "$.type").alias("kind"), V.string("v", "$.event.type").alias("event"), V.string("v", "$.message.role").alias("said"))
+    # Lines of several files of one session stay apart.
+    place = F.col("line").cast("long") * (1 << 20) + F.pmod(F.xxhash64("path"), F.lit(1 << 20))
+    rows = records.select(F.regexp_extract("path", DIR, 1).alias("dir"), place.alias("line"), "v", V.string("v", "$.type").alias("kind"), V.string("v", "$.event.type").alias("event"), V.string("v", "$.message.role").alias("said"))
     rows = rows.withColumn("op", op).filter("op is not null")
     is_ = lambda *ops: F.col("op").isin(*ops)
     content = F.when(is_("prompt"), V.get("v", "$.input")).when(is_("part"), V.get("v", "$.event.part")).otherwise(V.get("v", "$.message.content"))
@@ -158,7 +184,7 @@ def read(spark: SparkSession, root: str, states: str | None = None) -> Batch:
     found = events(records)
     session = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"session=([^/]+)", 1), F.lit("")), F.regexp_extract(p, r"([^/]+)/?$", 1))
     found = found.withColumn("dir", session("dir"))
-    kept = found.groupBy("dir").applyInPandas(reduce_session, "dir string, ord long, upstream_id string, role string, time string, text string, model_id string")
+    kept = replay(spoken(found))
     objects, unread = S.read_objects(spark, states or root, r"state\.json$|state/.*part-", ID)
     meta = objects.select(session(S.parent("path")).alias("dir"), F.col("v").alias("s"))
     whole = S.log_files(spark, root, DIR).select(session(F.regexp_extract("path", DIR, 1)).alias("dir")).distinct().join(meta, "dir", "left").withColumn("conv_key", F.col("dir"))
