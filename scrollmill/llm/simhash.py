@@ -10,7 +10,8 @@ a fingerprint are counted before anything is emitted.
 shingles lie too far apart for a small radius; fingerprints over a text's counted words lie near (3 % of their bits differ on
 average at 0.8 and more), so each text has TABLES short ones of BITS bits. Each emits its ball of half the radius, texts that meet in a variant and
 also in the least hash of their shingles are candidates: first side by side, then round by round with the best linked text of those that share a least
-hash. Every candidate pair is verified by its shingle sets.
+hash. That links nearly all at once; what it leaves is found exactly: two sets 0.8 alike share one of their first shingles in any order of all shingles, so
+every pair of texts that do and that are not connected yet is bounded or verified (`ask_rest`). Every link is verified by its shingle sets.
 
 Rows: a null or empty text has no words and fingerprint zero, linked like any other; fewer words
 than a shingle are one shingle; repeated rows and equal doc_ids are each answered; a null doc_id
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import id_last, join_hot, keep, table, with_text_columns
+from scrollmill.llm.common import drop_kept, id_last, join_hot, keep, kept_count, table, with_text_columns
 from scrollmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -35,6 +36,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 NEAR_SHINGLE, NEAR, TABLES, BITS, NEIGHBOURS = 5, (4, 5), 6, 10, 1
 #: In how many of the variants that they share texts of equal fingerprints are paired, each time in another order.
 SAME = 4
+#: Texts that the order of shingles is learned from, shingles placed last by it, and texts of a shingle that the first exact round compares with all others of it.
+SAMPLE, COMMON, HUBS = 100_000, 200_000, 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -161,18 +164,54 @@ def least(hashes: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-def _marks():
-    def one(text):
-        words = split_words(text)
-        if not words:
-            return 0, [], []
-        return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).view(np.int64)), word_prints(words), least(shingles(words))
+def first_shingles(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> list[int]:
+    """Of n sorted hashes the first n - ceil(0.8 n) + 1 in an order of all hashes: by how often a sample shows them (`counts` of the sorted `common`, else 0), then by hash.
 
-    return lambda texts: list(zip(*map(one, texts))) or [[], [], []]
+    Sets 0.8 alike have at least ceil(0.8 n) hashes in common, so each has one of those among its first, and the earliest of them is among the first of both.
+    """
+    n = len(hashes)
+    held = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        held = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, held))[: n - -(-n * NEAR[0] // NEAR[1]) + 1]].view(np.int64).tolist()
+
+
+def parity(hashes: np.ndarray) -> list[int]:
+    """For each of 256 classes of hashes whether their number is odd: two sets differ in at least as many hashes as their bits."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _marks(order):
+    """`order`: a broadcast (common, counts)."""
+
+    def make():
+        common, counts = order.value
+
+        def one(text):
+            words = split_words(text)
+            if not words:
+                return 0, [], [], 0, [0] * 4, []
+            found, fp = shingles(words), int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).view(np.int64))
+            return fp, word_prints(words), least(found), len(found), parity(found), first_shingles(found, common, counts)
+
+        return lambda texts: list(zip(*map(one, texts))) or [[]] * 6
+
+    return make
 
 
 def _shingle_lists():
-    return lambda texts: [[np.unique((shingles(split_words(t)) >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist() for t in texts]]
+    return lambda texts: [[shingles(split_words(t)).view(np.int64).tolist() for t in texts]]
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least 3 texts of a sample hold, sorted, and how many do; of many the most frequent. They decide how fast `ask_rest` is, not what it finds."""
+    every = max(8, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    held = with_text_columns(some, "text", "s array<long>", _shingle_lists).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    rows = sorted((r.h % 2**64, r.n) for r in held.filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect())  # COMMON rows at most
+    return np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
 
 
 def neighbours(batches):
@@ -236,7 +275,7 @@ def near_pairs(texts: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets (fp, s) have a Jaccard similarity of NEAR or more, counted over 32-bit hashes of all shingles."""
+    """Pairs (a, b) whose sets (fp, s) have a Jaccard similarity of NEAR or more."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common * (NEAR[0] + NEAR[1]) >= (F.size("sa") + F.size("sb")) * NEAR[0]).select("a", "b")
@@ -256,30 +295,87 @@ def ask_hubs(spots: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[Data
     return apart.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), apart.select("fp", "spot")
 
 
+def live_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, fp, root) of the rows (h, fp) whose shingle h has texts of several components; of shingles with the same texts one stays."""
+    placed = keep(rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("h", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    marks = [F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(SEED))).alias("y")]
+    held = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *marks)
+    return keep(placed.join(held.filter("low < high").groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h"), "h"), "live")
+
+
+def fits(a: str, b: str):
+    """Whether the sizes and parities of two sets (columns with these prefixes) leave it possible that they are 0.8 alike."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.get(f"{a}bits", F.lit(i)).bitwiseXOR(F.get(f"{b}bits", F.lit(i)))) for i in range(4)), F.lit(0))
+    # Of n hashes in both, counted twice where common, c common ones suffice if c * 9 >= n * 4; n - 2 * c are in one only.
+    return (F.least(na, nb) * NEAR[1] >= F.greatest(na, nb) * NEAR[0]) & (apart * (NEAR[0] + NEAR[1]) <= na + nb)
+
+
+def possible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes and parities (fp, n, bits) do not rule out."""
+    side = lambda c: sizes.select(F.col("fp").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(fits("a_", "b_")).select("a", "b")
+
+
+def ask_rest(live: DataFrame, sizes: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare of rows (h, fp, root), and the (h, fp) that the next round looks at.
+
+    The first `hubs` texts of each shingle meet all of it that are not connected with them, and are done there. A shingle of k texts makes at
+    most hubs * k meetings in a round, and all of its pairs meet after some rounds. Sizes and parities (fp, n, bits) rule most pairs out as they meet.
+    """
+    order = Window.partitionBy("h").orderBy(F.xxhash64("fp"), "fp")
+    ranked = keep(live.join(sizes, "fp").withColumn("place", F.row_number().over(order)), "ranked")
+    first = ranked.filter(F.col("place") <= hubs).select("h", *[F.col(c).alias(f"hub_{c}") for c in ("fp", "root", "place", "n", "bits")])
+    met = ranked.join(first, "h").filter(F.expr("root <> hub_root and place > hub_place") & fits("", "hub_"))
+    return met.select(F.least("fp", "hub_fp").alias("a"), F.greatest("fp", "hub_fp").alias("b")).distinct(), ranked.filter(F.col("place") > hubs).select("h", "fp")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component: that of the smallest doc_id (of rows that share it, the one of the smallest hash).
 
-    Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more, counted for each candidate over 32-bit
-    hashes of its whole set. First candidates are neighbours in a bucket (`near_pairs`); then, as long as that links anything, the text with most
-    links of each spot is compared with all that are not connected with it (`ask_hubs`). Texts of the same words are one.
+    Two texts are linked when their sets of five-word shingles (64-bit hashes) have a Jaccard similarity of 0.8 or more. First candidates are
+    neighbours in a bucket (`near_pairs`); then, as long as that links anything, the text with most links of each spot is compared with all that
+    are not connected with it (`ask_hubs`); then all other pairs that may be links and are not connected yet (`ask_rest`). Texts of the same words are one.
     """
     rows = docs.select(*row_columns(docs), F.col("text").alias("text"))
-    marked = keep(with_text_columns(rows, "text", "fp long, prints array<int>, mins array<long>", _marks).select("fp", "id", "key", "prints", "mins"), "marked")
+    order = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
+    added = "fp long, prints array<int>, mins array<long>, n int, bits array<long>, first array<long>"
+    marked = keep(with_text_columns(rows, "text", added, _marks(order)).drop("text"), "marked")
     prints = keep(best_rows(marked), "best_rows")
-    texts = marked.groupBy("fp").agg(F.first("prints").alias("prints"), F.first("mins").alias("mins"))
-    pairs = keep(near_pairs(texts), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = prints.join(nodes, "fp").select("fp", "best.key")
-    held = rows.select("key", "text").join(wanted, "key").dropDuplicates(["fp"])
-    sets = keep(with_text_columns(held, "text", "s array<int>", _shingle_lists).select("fp", "s"), "sets")
+    same = ["prints", "mins", "n", "bits", "first"]
+    texts = keep(marked.groupBy("fp").agg(F.first(F.struct(*same)).alias("x")).select("fp", "x.*"), "texts")
+    sizes = texts.select("fp", "n", "bits")
+
+    def sets_of(pairs):
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        wanted = prints.join(nodes, "fp").select("fp", "best.key")
+        held = rows.select("key", "text").join(wanted, "key").dropDuplicates(["fp"])
+        return keep(with_text_columns(held, "text", "s array<long>", _shingle_lists).select("fp", "s"), "sets"), nodes
+
+    pairs = keep(possible(near_pairs(texts), sizes), "pairs")
+    sets, nodes = sets_of(pairs)
     links = keep(similar(pairs, sets), "near")
     spot = F.posexplode("mins").alias("t", "own")
     spots = keep(texts.join(nodes, "fp").select("fp", spot).select("fp", F.xxhash64("t", "own").alias("spot")).distinct(), "spots")
     roots = keep(components(links), "roots")
     while True:
         asked, spots = ask_hubs(spots, links, roots)
-        found = keep(similar(asked.join(pairs, ["a", "b"], "left_anti"), sets), "found")
+        found = keep(similar(possible(asked, sizes).join(pairs, ["a", "b"], "left_anti"), sets), "found")
         if found.isEmpty():
-            return survivors(docs, prints, roots)
+            break
         links = links.unionByName(found)
         roots = keep(components(links), "roots")
+    held, hubs = texts.select("fp", F.explode("first").alias("h")), HUBS
+    rest = keep(held.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1").select("h", "fp"), "rest")
+    while True:
+        before = kept_count()
+        if (live := live_rows(rest, roots)).isEmpty():
+            return survivors(docs, prints, roots)
+        asked, rest = ask_rest(live, sizes, hubs)
+        asked, rest = keep(asked, "asked"), keep(rest, "rest")
+        found = keep(similar(asked, sets_of(asked)[0]), "found")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = keep(components(links), "roots")
+        drop_kept(before, ("found", "rest", "roots"))
+        hubs *= 4

@@ -149,3 +149,50 @@ def test_groups_whose_copies_are_near_to_one_text_alone(spark):
             texts.append(" ".join(copy))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     assert sorted(r.doc_id for r in sh.drop_near_copies(docs).collect()) == [0, 500]
+
+
+def test_pairs_that_share_no_print_go_too(spark):
+    """Short texts with a word or an end of their own, and many that differ from all but one: a comparison of all pairs gives the same components."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for _ in range(700):
+        base = [word() for _ in range(rng.randint(24, 60))]
+        texts.append(" ".join(base))
+        texts.append(" ".join(base + [word() for _ in range((len(base) - 4) // 4)]))
+    for _ in range(3):  # chains: each 0.8 alike to the one before and the one after
+        base = [word() for _ in range(900)]
+        texts += [" ".join(base[a : a + 300]) for a in range(0, 600, 30)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets, holds = five_word_sets(texts), {}
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in holds.get(x, [])}:
+            if len(s & sets[j]) * 5 >= len(s | sets[j]) * 4:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+        for x in s:
+            holds.setdefault(x, []).append(i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    left = {r.doc_id for r in sh.drop_near_copies(docs).collect()}
+    assert left == {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_first_shingles_and_parities_of_sets(spark):
+    """Sets 0.8 alike share a first shingle under any order, and their parities are close enough."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 9, 60, 400):
+        x = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        common = np.sort(rng.choice(x, n // 2, False))
+        counts = rng.integers(3, 9, len(common))
+        gone = n // 5
+        y = np.sort(np.delete(x, rng.choice(n, gone, False)))
+        assert set(sh.first_shingles(x, common, counts)) & set(sh.first_shingles(y, common, counts))
+        apart = sum(bin((a ^ b) % 2**64).count("1") for a, b in zip(sh.parity(x), sh.parity(y)))
+        assert apart <= gone and len(sh.first_shingles(x, common, counts)) == n - -(-n * 4 // 5) + 1
