@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import new_folder, open_store, put_file, ranges
+from scrollmill.llm.common import new_folder, open_store, put_file, ranges, release
 
 HEADER, INDEX, SEEK = 0x184D2A50, 0x184D2A51, 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
@@ -281,6 +281,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         name = f"tokens-{k:06d}.zst"
         put_file(folder, name, lambda out: found.extend(write_frames(out, rows(), enc.dtype, enc.vocab, end_id, level)))
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (k, name, *found)], names=["shard", "file", "n_docs", "n_tokens"])
+        release()
 
     # Rows of one id are dealt by their texts, rows alike by their places.
     place = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
