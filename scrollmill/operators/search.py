@@ -122,40 +122,96 @@ def edge_of(postings: list[dict]) -> list[dict]:
     return [{"tf": out[a][0], "dl": out[min(a + step, len(out)) - 1][1]} for a in range(0, len(out), step or 1)]
 
 
+def edges_of(code, tf, dl):
+    """`edge_of` of many tokens at once: (pairs per token, tf, dl) of postings sorted by their token's number."""
+    import numpy as np
+
+    order = np.lexsort((dl, -tf, code))
+    code, tf, dl = code[order], tf[order], dl[order]
+    # Each token's values lie under those of all before it, so the least value so far is the token's own.
+    value = dl - code * (int(dl.max()) + 1)
+    best = value < np.concatenate([[value[0] + 1], np.minimum.accumulate(value)[:-1]])
+    code, tf, dl = code[best], tf[best], dl[best]
+    size = np.bincount(code)
+    first = np.cumsum(size) - size
+    at, step = np.arange(len(code)) - first[code], -(-size // EDGE)[code]
+    last = (at % step == step - 1) | (at == size[code] - 1)
+    return -(-size // -(-size // EDGE)), tf[at % step == 0], dl[last]
+
+
 def index_blocks(batches, most: int):
     """Arrow batches of (shard, message_id, conversation_id, title, body), sorted by shard, to blocks; a shard's lengths are a block without a token."""
+    import numpy as np
     import pyarrow as pa
 
     find = _token_pattern().findall
-    pair = pa.list_(pa.struct([("tf", pa.int64()), ("dl", pa.int64())]))
-    posting = pa.struct([("message_id", pa.string()), ("conversation_id", pa.string()), ("dl", pa.int64()), ("tf", pa.int64()), ("cols", pa.list_(pa.struct([("col", pa.int32()), ("positions", pa.list_(pa.int32()))])))])
-    held: dict[str | None, list[dict]] = {None: []}
+    names = ["token", "shard", "n", "sum_dl", "edge", "postings"]
+    number: dict[str, int] = {}
+    ids, owners, codes, sizes = [], [], [], []
     at, place, size = None, 0, 0
 
-    def blocks():
-        some = [(t, at << 20 | place, len(ps), sum(p["dl"] for p in ps), edge_of(ps), ps) for t, ps in held.items() if ps]
-        for a in range(0, len(some), 4096):
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pair, pa.list_(posting)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some[a : a + 4096]), kinds)], names=["token", "shard", "n", "sum_dl", "edge", "postings"])
+    def lists(counts, values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+    def struct(**fields):
+        return pa.StructArray.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in fields.values()], names=list(fields))
+
+    def rows(tokens, n, dl_sums, edges, postings):
+        shard = np.full(len(n), at << 20 | place, np.int64)
+        return pa.RecordBatch.from_arrays([tokens, pa.array(shard), pa.array(n), pa.array(dl_sums), edges, postings], names=names)
+
+    def posted(who, dl, tf, cols):
+        return struct(message_id=messages.take(pa.array(who)), conversation_id=conversations.take(pa.array(who)), dl=dl, tf=tf, cols=cols)
 
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
-            for shard, message, conversation, *texts in zip(*[c.to_pylist() for c in batch.slice(a, 256).columns]):
+            for shard, message, conversation, *texts in [*zip(*[c.to_pylist() for c in batch.slice(a, 256).columns])]:
                 if shard != at or size >= most:
-                    yield from blocks()
+                    if ids:
+                        messages, conversations = pa.array(ids, pa.string()), pa.array(owners, pa.string())
+                        yield from blocks_of(number, codes, np.array(sizes, np.int64), lists, struct, rows, posted)
                     place = place + 1 if shard == at else 0
-                    held, at, size = {None: []}, shard, 0
-                places: dict[str, dict[int, list[int]]] = {}
-                for n, text in enumerate(texts):
-                    for k, t in enumerate(find(fold(text or ""))):
-                        places.setdefault(t, {}).setdefault(n, []).append(k)
-                tf = {t: sum(map(len, cols.values())) for t, cols in places.items()}
-                total = sum(tf.values())
-                size += total + 1
-                held[None].append({"message_id": message, "conversation_id": conversation, "dl": total, "tf": 0, "cols": []})
-                for t, cols in places.items():
-                    held.setdefault(t, []).append({"message_id": message, "conversation_id": conversation, "dl": total, "tf": tf[t], "cols": [{"col": n, "positions": ps} for n, ps in cols.items()]})
-    yield from blocks()
+                    number, ids, owners, codes, sizes, at, size = {}, [], [], [], [], shard, 0
+                found = [find(fold(text or "")) for text in texts]
+                for tokens in found:
+                    codes.append(np.array([number.setdefault(t, len(number)) for t in tokens], np.int64))
+                ids.append(message)
+                owners.append(conversation)
+                sizes.append([len(tokens) for tokens in found])
+                size += sum(sizes[-1]) + 1
+    if ids:
+        messages, conversations = pa.array(ids, pa.string()), pa.array(owners, pa.string())
+        yield from blocks_of(number, codes, np.array(sizes, np.int64), lists, struct, rows, posted)
+
+
+def blocks_of(number, codes, sizes, lists, struct, rows, posted):
+    """The blocks of a shard: the tokens' numbers, those in each text, and the texts' lengths, a row for each message; tokens by first appearance."""
+    import numpy as np
+    import pyarrow as pa
+
+    width, dl = sizes.shape[1], sizes.sum(1)
+    who, none = np.arange(len(dl)), lists(np.zeros(len(dl), np.int64), struct(col=np.zeros(0, np.int32), positions=pa.array([], pa.list_(pa.int32()))))
+    edge = lists([1], struct(tf=np.zeros(1, np.int64), dl=dl.min(keepdims=True)))
+    yield rows(pa.array([None], pa.string()), np.array([len(dl)]), dl.sum(keepdims=True), edge, lists([len(dl)], posted(who, dl, np.zeros(len(dl), np.int64), none)))
+    if not number:
+        return
+    flat = sizes.ravel()
+    place = (np.arange(flat.sum()) - np.repeat(np.cumsum(flat) - flat, flat)).astype(np.int32)
+    text, code = np.repeat(np.arange(len(flat)), flat), np.concatenate(codes)
+    order = np.argsort(code, kind="stable")
+    code, text, place = code[order], text[order], place[order]
+    starts = lambda *keys: np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+    col = starts(code, text)
+    post = starts(code[col], text[col] // width)
+    cols = struct(col=(text[col] % width).astype(np.int32), positions=lists(np.diff(np.append(col, len(code))), pa.array(place)))
+    own, who = code[col][post], text[col][post] // width
+    tf = np.diff(np.append(col[post], len(code)))
+    postings = posted(who, dl[who], tf, lists(np.diff(np.append(post, len(col))), cols))
+    n = np.bincount(own)
+    edges, edge_tf, edge_dl = edges_of(own, tf, dl[who])
+    sums = np.add.reduceat(dl[who], np.cumsum(n) - n)
+    whole = rows(pa.array(list(number), pa.string()), n, sums, lists(edges, struct(tf=edge_tf, dl=edge_dl)), lists(n, postings))
+    yield from (whole.slice(a, 4096) for a in range(0, len(n), 4096))
 
 
 def _token_pattern():
