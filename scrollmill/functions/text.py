@@ -91,7 +91,10 @@ def fold(text: str) -> str:
     """Case folded and without combining marks, but not NFKC: full-width letters stay."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    flat = unicodedata.normalize("NFD", text.lower())
+    for mark in filter(unicodedata.combining, set(flat)):
+        flat = flat.replace(mark, "")
+    return flat
 
 
 @F.pandas_udf(StringType())

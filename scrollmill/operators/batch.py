@@ -51,11 +51,11 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 _written: list[str] = []
 
 
-def cut(df: DataFrame, kind: str) -> DataFrame:
-    """Cut lineage with a written table: later steps read it instead of planning and running all before them again."""
+def cut(df: DataFrame, kind: str, **options: str) -> DataFrame:
+    """Cut lineage with a written table: later steps read it instead of planning and running all before them again; `options` are the writer's."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import partial, reduce
+from itertools import count
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +36,8 @@ def clamp_limit(value) -> int:
 
 #: Messages of a shard, on average; and tokens after which a shard goes on in a next block, so a block's memory is bounded.
 PER_SHARD, BLOCK_TOKENS = 1024, 2_000_000
+#: Blocks of a page at most: a file has some shards, each sorted by token, so a token is on few pages of each and the others are skipped.
+PAGES = {"parquet.page.row.count.limit": "1000"}
 #: Pairs of an edge; of more, neighbours become one that is better than both.
 EDGE = 12
 #: Up to so many tokens or shards stand as literals in a scan's filter; more are joined.
@@ -146,7 +150,8 @@ def index_blocks(batches, most: int):
 
     find = _token_pattern().findall
     names = ["token", "shard", "n", "sum_dl", "edge", "postings"]
-    number: dict[str, int] = {}
+    fresh = lambda: defaultdict(count().__next__)
+    number: dict[str, int] = fresh()
     ids, owners, codes, sizes = [], [], [], []
     at, place, size = None, 0, 0
 
@@ -171,10 +176,10 @@ def index_blocks(batches, most: int):
                         messages, conversations = pa.array(ids, pa.string()), pa.array(owners, pa.string())
                         yield from blocks_of(number, codes, np.array(sizes, np.int64), lists, struct, rows, posted)
                     place = place + 1 if shard == at else 0
-                    number, ids, owners, codes, sizes, at, size = {}, [], [], [], [], shard, 0
+                    number, ids, owners, codes, sizes, at, size = fresh(), [], [], [], [], shard, 0
                 found = [find(fold(text or "")) for text in texts]
                 for tokens in found:
-                    codes.append(np.array([number.setdefault(t, len(number)) for t in tokens], np.int64))
+                    codes.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
                 ids.append(message)
                 owners.append(conversation)
                 sizes.append([len(tokens) for tokens in found])
@@ -185,7 +190,7 @@ def index_blocks(batches, most: int):
 
 
 def blocks_of(number, codes, sizes, lists, struct, rows, posted):
-    """The blocks of a shard: the tokens' numbers, those in each text, and the texts' lengths, a row for each message; tokens by first appearance."""
+    """The blocks of a shard: the tokens' numbers, those in each text, and the texts' lengths, a row for each message; sorted by token."""
     import numpy as np
     import pyarrow as pa
 
@@ -195,9 +200,12 @@ def blocks_of(number, codes, sizes, lists, struct, rows, posted):
     yield rows(pa.array([None], pa.string()), np.array([len(dl)]), dl.sum(keepdims=True), edge, lists([len(dl)], posted(who, dl, np.zeros(len(dl), np.int64), none)))
     if not number:
         return
+    names = sorted(number)
+    ranks = np.empty(len(names), np.int64)
+    ranks[np.fromiter(map(number.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
     flat = sizes.ravel()
     place = (np.arange(flat.sum()) - np.repeat(np.cumsum(flat) - flat, flat)).astype(np.int32)
-    text, code = np.repeat(np.arange(len(flat)), flat), np.concatenate(codes)
+    text, code = np.repeat(np.arange(len(flat)), flat), ranks[np.concatenate(codes)]
     order = np.argsort(code, kind="stable")
     code, text, place = code[order], text[order], place[order]
     starts = lambda *keys: np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
@@ -210,7 +218,7 @@ def blocks_of(number, codes, sizes, lists, struct, rows, posted):
     n = np.bincount(own)
     edges, edge_tf, edge_dl = edges_of(own, tf, dl[who])
     sums = np.add.reduceat(dl[who], np.cumsum(n) - n)
-    whole = rows(pa.array(list(number), pa.string()), n, sums, lists(edges, struct(tf=edge_tf, dl=edge_dl)), lists(n, postings))
+    whole = rows(pa.array(names, pa.string()), n, sums, lists(edges, struct(tf=edge_tf, dl=edge_dl)), lists(n, postings))
     yield from (whole.slice(a, 4096) for a in range(0, len(n), 4096))
 
 
@@ -221,15 +229,14 @@ def _token_pattern():
 
 
 def sorted_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of (message_id, conversation_id, title, text, thinking), sorted by token and shard over all partitions.
+    """Blocks of (message_id, conversation_id, title, text, thinking): shard by shard, each sorted by token.
 
-    Messages meet by shard, a hash of their id, and are tokenized where they meet; the blocks are written once before they are sorted.
+    Messages meet by shard, a hash of their id, are tokenized where they meet, and sorted there: the texts are shuffled once, the blocks never.
     """
     owner = F.col("conversation_id") if "conversation_id" in rows.columns else F.lit(None)
     shards = max(1, rows.count() // PER_SHARD)
     flat = rows.select(F.pmod(F.xxhash64("message_id"), F.lit(shards)).alias("shard"), F.col("message_id").cast("string").alias("message_id"), owner.cast("string").alias("conversation_id"), "title", search_text().alias("body"))
-    blocks = cut(flat.repartition("shard").sortWithinPartitions("shard").mapInArrow(partial(index_blocks, most=BLOCK_TOKENS), BLOCK), "blocks")
-    return blocks.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard")
+    return flat.repartition("shard").sortWithinPartitions("shard").mapInArrow(partial(index_blocks, most=BLOCK_TOKENS), BLOCK)
 
 
 def build_index(rows: DataFrame) -> Index:
@@ -237,14 +244,14 @@ def build_index(rows: DataFrame) -> Index:
 
     The blocks are written once and read by every use.
     """
-    return Index(cut(sorted_blocks(rows), "index"))
+    return Index(cut(sorted_blocks(rows), "index", **PAGES))
 
 
 def index_part(spark: SparkSession, path: str, part: str) -> None:
     """Index a part of a store that has no index yet."""
     if not export.exists(spark, f"{path}/{part}/index/_SUCCESS"):
         own = export.read_part(spark, path, part, "messages").join(export.read_part(spark, path, part, "conversations").select(F.col("id").alias("conversation_id"), "title"), "conversation_id")
-        sorted_blocks(own).write.mode("overwrite").parquet(f"{path}/{part}/index")
+        sorted_blocks(own).write.options(**PAGES).mode("overwrite").parquet(f"{path}/{part}/index")
 
 
 def index_of(spark: SparkSession, path: str, parts: list[str]) -> Index:
@@ -375,8 +382,7 @@ def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     A term without a token makes its query's ranked pass empty.
     """
     asked = asked_terms(queries)
-    hits = phrase_hits(index, asked)
-    return scores_of(index, hits, hits.groupBy("query_id", "term_no").agg(F.count("*").alias("df")), asked)
+    return scores_of(index, phrase_hits(index, asked), term_frequencies(index, asked), asked)
 
 
 def block_bounds(index: Index, asked: list[tuple], df: DataFrame) -> DataFrame:
@@ -549,9 +555,13 @@ def search_many(messages: DataFrame, conversations: DataFrame, index: Index, que
 
 
 def with_snippets(results: DataFrame, messages: DataFrame, queries: DataFrame, n_queries: int | None = None) -> DataFrame:
-    """Add snippet and uri to results; only result rows reach the helper."""
+    """Add snippet and uri to results; only result rows reach the helper.
+
+    The results are found once, written, and go to the messages, whose texts lie still in one scan; at most MOST rows of each query.
+    """
     n_queries = queries.count() if n_queries is None else n_queries
-    texts = messages.join(results.select("message_id").distinct(), "message_id", "left_semi").select("message_id", "text", "thinking")
+    results = cut(results, "results")
+    texts = messages.join(sized(results.select("message_id").distinct(), n_queries * MOST), "message_id", "left_semi").select("message_id", "text", "thinking")
     rows = results.join(texts, "message_id").join(sized(queries.select("query_id", "query"), n_queries), "query_id")
     return rows.withColumn("snippet", snippet("text", "thinking", "query")).withColumn("uri", conversation_uri("conversation_id")).drop("text", "thinking", "query")
 

@@ -210,3 +210,25 @@ def test_blocks_of_many_messages_equal_a_plain_build():
     assert {k: r["postings"] for k, r in got.items()} == want
     for k, r in got.items():
         assert (r["n"], r["sum_dl"], r["edge"]) == (len(want[k]), sum(p["dl"] for p in want[k]), search.edge_of(want[k]))
+
+
+def test_blocks_are_sorted_where_they_are_made(spark, corpus, monkeypatch):
+    """Texts are shuffled once, by shard; blocks, which are larger, never."""
+    monkeypatch.setattr(search, "PER_SHARD", 500)
+    blocks = search.sorted_blocks(corpus)
+    plan = blocks._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "rangepartitioning" not in plan
+    shards = {}
+    for r in blocks.select("shard", "token").collect():
+        shards.setdefault(r.shard, []).append(r.token)
+    assert len(shards) > 3 and all(ts[0] is None and ts[1:] == sorted(ts[1:]) for ts in shards.values())
+
+
+def test_results_with_snippets_are_found_once(spark, corpus):
+    conversations = corpus.selectExpr("conversation_id as id", "'t' as title", "'u' as updated_at").distinct()
+    queries = spark.createDataFrame([(0, "w1 w0"), (1, "59")], "query_id long, query string")
+    found = search.search_many(corpus.drop("title").withColumn("created_at", F.lit("t")), conversations, search.build_index(corpus), queries, 10)
+    shown = search.with_snippets(found, corpus, queries)
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and "Window" not in plan
+    assert {(r.query_id, r["rank"], r.message_id) for r in shown.collect()} == {(r.query_id, r["rank"], r.message_id) for r in found.collect()}
