@@ -24,13 +24,18 @@ def block(text):
 def put_lines(rows: DataFrame, path: str, per_session: bool = False) -> str:
     """Write (session, at, value) as text, in order of (session, at); one file per session, or several sessions in each of some files."""
     if per_session:
-        # at most one task holds a session, so each has one file
-        rows.repartition(8, "session").sortWithinPartitions("session", "at").select("session", "value").write.partitionBy("session").text(path)
+        put_files(rows.sparkSession, rows.select("session", "at", "value"), path, "session")
     else:
         rows.repartition(4, "session").sortWithinPartitions("session", "at").select("value").write.text(path)
     return path
 
 
+def put_files(spark: SparkSession, rows: DataFrame, path: str, *folders: str) -> None:
+    """One file per session, since at most one task holds it; all cores write."""
+    dealt = rows.repartition(max(8, spark.sparkContext.defaultParallelism), "session").sortWithinPartitions("session", "at")
+    dealt.drop("at").write.partitionBy(*folders).text(path)
+
+
 def lines(spark: SparkSession, sf_dir: str, *kinds) -> DataFrame:
     """(session, at, value) of some renderings (offset, filter, value) of every turn."""
     t = turns(spark, sf_dir).withColumn("ms", F.unix_millis(F.col("created_at").cast("timestamp"))).withColumn("last", F.max("turn").over(Window.partitionBy("session")))
@@ -236,7 +241,7 @@ def render_kimi(spark, sf_dir) -> str:
     end = F.col("turn") == F.col("last")
     root = scratch(spark, "kimi")
     rows = lines(spark, sf_dir, (0, user, prompt), (1, user, append), (2, agent, step("step.begin", uuid=sid)), (3, agent, step("content.part", stepUuid=sid, part=F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))), (4, F.lit(True), tool), (5, agent, step("step.end", uuid=sid)), (7, end, lost), (8, end, undo))
-    rows.repartition(8, "session").sortWithinPartitions("session", "at").select("session", F.lit("wire").alias("log"), "value").write.partitionBy("session", "log").text(root)
+    put_files(spark, rows.select("session", "at", F.lit("wire").alias("log"), "value"), root, "session", "log")
     return root
 
 

@@ -154,7 +154,7 @@ def active_branch(spark, sf_dir):
     side = t.filter("turn % 4 = 1").select(F.col("session").alias("path"), (F.col("turn") * 2 + 1).cast("int").alias("line"), F.concat(up(F.col("turn")), F.lit("x")).alias("id"), up(F.col("turn") - 1).alias("parent"), F.lit(False).alias("root"))
     none = F.lit(None).cast("string")
     entries = main.union(side).withColumns({"version": F.lit(3.0), "leaf": F.lit(False), "target": none, "target_null": F.lit(False)})
-    walked = entries.select("path", "line", "version", "id", "parent", "root", "leaf", "target", "target_null").groupBy("path").applyInPandas(pi.resolve, "path string, line int, place int, verdict string")
+    walked = pi.branches(entries)
     kept = walked.filter("line > 0 and verdict = 'ok'")
     return kept.groupBy(F.col("path").alias("session")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: ((x - 2) / 2).cast("int").cast("string")), ",").alias("branch"))
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scrollmill.functions import variants as V
 from scrollmill.functions.text import is_title, session_title, title_from_text, trimmed
@@ -42,9 +46,10 @@ def register_source(id: str, label: str, confidence: str, path_rule: str, by_fil
 
 
 def tolerant(spark: SparkSession) -> None:
-    """The last of duplicate JSON keys counts, as in JavaScript. Logs lie in many small folders, which are listed by some tasks for each core, not one for each folder."""
+    """The last of duplicate JSON keys counts, as in JavaScript. Logs lie in many small folders, which are listed by some tasks for each core, not one for each folder, and a task opens some hundreds of small files."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(256 << 10))
 
 
 def find_files(spark: SparkSession, root: str, rule: str) -> DataFrame:
@@ -84,12 +89,12 @@ BROADCAST_BLOCKS = 100_000
 def text_lines(spark: SparkSession, root: str | list[str], rule: str = ".*", select: str | None = None) -> DataFrame:
     """(path, line, value, modified): non-blank lines of all files with their 1-based numbers, blank lines counted.
 
-    `select` keeps lines by a pattern. No line is shuffled: a first pass counts the lines of each block of a file, whose running sums
-    number its blocks; inside a block, which one task reads in order, a line's number follows from the row's own.
+    `select` keeps lines by a pattern. Many small files are opened once: their lines are written as a table, and all passes read that. No line is
+    shuffled: a first pass counts the lines of each block of a file, whose running sums number its blocks; inside a block, which one task read in
+    order, a line's number follows from the row's own.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("modified"))
-    # Both passes read one listing, so rows have the same ids in both.
-    raw = raw.withColumn("seq", F.monotonically_increasing_id()).filter(F.col("path").rlike(rule) & ~F.col("path").rlike(SKIPPED))
+    raw = cut(raw.withColumn("seq", F.monotonically_increasing_id()).filter(F.col("path").rlike(rule) & ~F.col("path").rlike(SKIPPED)), "lines")
     counted = raw.groupBy("path", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
     blocks = cut(counted.select("path", "block", (before - F.col("first") + 1).alias("shift")), "blocks")
@@ -128,10 +133,34 @@ def read_jsonl(lines: DataFrame, source_id: str, tail: str | None = None) -> tup
     return records, diagnostics
 
 
+def per_session(rows: DataFrame, order: list[str], one: Callable[[object, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """The tuples that `one(key, group)` gives for the rows of each key, the first column; a group is a list of tuples of the other columns in `order`.
+
+    Sessions are many and small: those of a task run one after another over its Arrow batches, and all cores take part, however few bytes the rows have.
+    """
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    kinds = [f.type for f in to_arrow_schema(T._parse_datatype_string(schema))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
+        found = []
+        for key, group in groupby((r for b in batches for r in zip(*[c.to_pylist() for c in b.columns])), key=itemgetter(0)):
+            found += one(key, [r[1:] for r in group])
+            if len(found) >= 10_000:
+                yield pack(found)
+                found = []
+        yield pack(found)
+
+    key = rows.columns[0]
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def read_objects(spark: SparkSession, root: str, rule: str, source_id: str) -> tuple[DataFrame, DataFrame]:
-    """One JSON object per file: (path, v) and an error for each other file."""
+    """One JSON object per file: (path, v) and an error for each other file. The files are opened once."""
     files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root).select("value", F.col("_metadata.file_path").alias("path"))
-    files = files.filter(F.col("path").rlike(rule)).withColumn("v", V.parse("value"))
+    files = cut(files.filter(F.col("path").rlike(rule)), "objects").withColumn("v", V.parse("value"))
     bad = files.filter(~V.is_object("v"))
     return files.filter(V.is_object("v")).select("path", "v"), diagnostic(bad, source_id, "error", "source_unreadable", "A file does not hold a JSON object.", "path")
 

@@ -25,7 +25,7 @@ COUNTERS = {
 
 
 def candidates(spark: SparkSession, root: str):
-    """(files, messages): one row per file with its counts and flags, and the messages of all files."""
+    """(files, messages): one row per file with its counts and flags, and the messages of all files, from lines that are read and parsed once."""
     raw = spark.read.option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"))
     raw = raw.filter(F.col("path").rlike("agent-transcripts/") & ~F.col("path").rlike("/subagents?/")).withColumn("seq", F.monotonically_increasing_id())
     by_file = S.Window.partitionBy("path")
@@ -40,6 +40,7 @@ def candidates(spark: SparkSession, root: str):
     texts = F.filter(F.transform(F.filter(blocks, lambda b: F.coalesce(kind(b) == "text", F.lit(False))), lambda b: trimmed(F.try_variant_get(b, "$.text", "string"))), lambda t: t != "")
     odd = F.exists(blocks, lambda b: F.coalesce(~kind(b).isin("text", "tool_use"), F.lit(False)))
     rows = lines.select("path", "line", "modified", "size", "bytes", "last", bad_json.alias("bad"), said.alias("said"), (said & ~fine).alias("broken"), (said & odd).alias("odd"), F.when(said, F.nullif(trimmed(F.array_join(texts, "\n")), F.lit(""))).alias("text"), F.when(said, F.try_variant_get("v", "$.role", "string")).alias("role"))
+    rows = S.cut(rows, "lines")
     cut = F.col("bad") & (F.col("line") == F.col("last")) & (F.col("bytes") > F.col("size"))
     files = rows.groupBy("path").agg(F.max("modified").alias("modified"), F.bool_or(F.col("broken") | (F.col("bad") & ~cut)).alias("invalid"), F.bool_or(cut).alias("incomplete"), F.bool_or("odd").alias("unknown"), F.count("text").alias("complete"))
     return files.withColumn("id", F.regexp_extract("path", FOLDER, 1)), rows.filter("text is not null")
@@ -54,7 +55,7 @@ def best_transcript(files):
 def read(spark: SparkSession, root: str) -> Batch:
     S.tolerant(spark)
     files, rows = candidates(spark, root)
-    files, rows = S.cut(files, "files"), S.settle(rows)
+    files = S.cut(files, "files")
     best = best_transcript(files)
     counts = files.groupBy().agg(
         (F.count("*") - F.count_distinct("id")).alias("duplicates"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +51,8 @@ def replay(events: list[tuple]) -> list[tuple]:
     return [(m["line"], m["n"], m["role"], "".join(m["parts"]).strip()) for m in done]
 
 
-def reduce_session(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["line", "n"])
-    prompts = [None if pd.isna(p) else int(p) for p in frame["prompt"]]
-    kept = replay(list(zip(frame["line"], frame["n"], frame["op"], frame["text"], prompts)))
-    return pd.DataFrame([(key[0], *m) for m in kept if m[3]], columns=["dir", "line", "n", "role", "text"])
+def reduce_session(key, events: list[tuple]) -> list[tuple]:
+    return [(key, *m) for m in replay(events) if m[3]]
 
 
 def events(records):
@@ -124,7 +120,7 @@ def read(spark: SparkSession, root: str, summaries: str | None = None, workspace
     # Folder names join both files: <session>/updates... and <session>/summary...
     key = F.regexp_extract("dir", r"session=([^/]+)", 1)
     found = found.withColumn("dir", F.coalesce(F.nullif(key, F.lit("")), F.col("dir")))
-    kept = found.select("dir", "line", "n", "op", "text", "prompt").groupBy("dir").applyInPandas(reduce_session, "dir string, line int, n int, role string, text string")
+    kept = S.per_session(found.select("dir", "line", "n", "op", "text", "prompt"), ["line", "n"], reduce_session, "dir string, line int, n int, role string, text string")
     objects, unread = S.read_objects(spark, summaries or root, r"summary\.json$|summary/.*part-", ID)
     where = F.regexp_extract("path", DIR, 1)
     meta = objects.select(F.coalesce(F.nullif(F.regexp_extract("path", r"session=([^/]+)", 1), F.lit("")), where).alias("dir"), F.col("v").alias("s"))

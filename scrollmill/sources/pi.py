@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrollmill.functions import variants as V
@@ -33,33 +31,44 @@ def walk_back(ids: list, parents: list, roots: list, leaf) -> list[int] | None:
     return None
 
 
+ENTRY = ["line", "id", "parent", "root", "leaf", "target", "target_null"]
+
+
 def active_branch(entries: pd.DataFrame) -> tuple[list[int], str]:
+    """`branch_of` of a table with the columns ENTRY."""
+    return branch_of([tuple(None if pd.isna(x) else x for x in row) for row in entries[ENTRY].itertuples(index=False)])
+
+
+def branch_of(entries: list[tuple]) -> tuple[list[int], str]:
     """(lines of the active branch, "ok" or "invalid") of one session's entries in file order.
 
-    Columns: line, id, parent, root (the parent is null), leaf (a leaf record), target, target_null.
+    An entry is (line, id, parent, root (the parent is null), leaf (a leaf record), target, target_null).
     The last entry with an id is the leaf unless a leaf record says another; one without a target empties the branch.
     """
-    e = entries
-    no_id, no_parent = e["id"].isna(), e["parent"].isna() & ~e["root"]
-    odd_leaf = e["leaf"] & e["target"].isna() & ~e["target_null"]
-    if no_id.any() or no_parent.any() or odd_leaf.any() or e["id"].duplicated().any():
-        return [], "invalid"
-    if e.empty:
+    if not entries:
         return [], "ok"
-    last = e.iloc[-1]
-    if last["leaf"] and last["target_null"]:
+    lines, ids, parents, roots, leaves, targets, nulls = map(list, zip(*entries))
+    no_parent = any(p is None and not r for p, r in zip(parents, roots))
+    odd_leaf = any(leaf and t is None and not n for leaf, t, n in zip(leaves, targets, nulls))
+    if None in ids or no_parent or odd_leaf or len(set(ids)) < len(ids):
+        return [], "invalid"
+    if leaves[-1] and nulls[-1]:
         return [], "ok"
-    way = walk_back(e["id"].tolist(), e["parent"].tolist(), e["root"].tolist(), last["target"] if last["leaf"] else last["id"])
-    return ([], "invalid") if way is None else (e["line"].iloc[way].tolist(), "ok")
+    way = walk_back(ids, parents, roots, targets[-1] if leaves[-1] else ids[-1])
+    return ([], "invalid") if way is None else ([lines[k] for k in way], "ok")
+
+
+def resolve(path, entries: list[tuple]) -> list[tuple]:
+    """One session, of (line, version, ...): a row per line of its branch, and a row with line 0 that holds the verdict."""
+    tree = (entries[0][1] or 0) >= 2
+    lines, verdict = branch_of([(e[0], *e[2:]) for e in entries]) if tree else ([e[0] for e in entries], "ok")
+    return [(path, 0, 0, verdict), *((path, line, n + 1, verdict) for n, line in enumerate(lines))]
 
 
-def resolve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """One session: a row per line of its branch, and a row with line 0 that holds the verdict."""
-    frame = frame.sort_values("line")
-    tree = frame["version"].iloc[0] >= 2
-    lines, verdict = active_branch(frame) if tree else (frame["line"].tolist(), "ok")
-    rows: Iterable = [(key[0], 0, 0, verdict), *((key[0], line, n + 1, verdict) for n, line in enumerate(lines))]
-    return pd.DataFrame(rows, columns=["path", "line", "place", "verdict"])
+def branches(entries) -> DataFrame:
+    """(path, line, place, verdict) of entries (path, version, ENTRY)."""
+    rows = entries.select("path", "line", "version", *ENTRY[1:])
+    return S.per_session(rows, ["line"], resolve, "path string, line int, place int, verdict string")
 
 
 def visible(v, user: Column) -> Column:
@@ -85,7 +94,7 @@ def read(spark: SparkSession, root: str) -> Batch:
     void = lambda p: F.coalesce(V.kind(V.get("v", p)) == "VOID", F.lit(False))
     narrow = entries.select("path", "line", "version", V.string("v", "$.id").alias("id"), V.string("v", "$.parentId").alias("parent"), void("$.parentId").alias("root"), (kind == "leaf").alias("leaf"), V.string("v", "$.targetId").alias("target"), void("$.targetId").alias("target_null"))
     # Only ids and pointers go to the helper; texts join back by line.
-    walked = S.cut(narrow.groupBy("path").applyInPandas(resolve, "path string, line int, place int, verdict string"), "branches")
+    walked = S.cut(branches(narrow), "branches")
     invalid = S.diagnostic(walked.filter("line = 0 and verdict = 'invalid'"), ID, "warning", "pi_session_tree_invalid", "The session's tree is ambiguous or broken; it was skipped.", "path")
     branch = entries.join(walked.filter("line > 0").select("path", "line", "place"), ["path", "line"])
     role = V.string("v", "$.message.role")

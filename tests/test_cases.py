@@ -145,3 +145,32 @@ def test_search_with_filters_and_fill(spark):
         search.search(m, c, index, "  ")
     with pytest.raises(ValueError):
         recall.open_conversation(c, m, "zz")
+
+
+def test_log_files_are_opened_once(spark):
+    """All passes over numbered lines read one table; of small files a task opens many."""
+    path = shared_path(spark, "logs")
+    rows = [(f"s{i}", f'{{"n": {k}}}') for i in range(40) for k in range(3)]
+    spark.createDataFrame(rows, "session string, v string").repartition(2, "session").write.partitionBy("session").text(path)
+    base.tolerant(spark)
+    lines = base.text_lines(spark, path)
+    plan = lines._jdf.queryExecution().sparkPlan().toString()
+    assert "FileScan text" not in plan and "FileScan parquet" in plan
+    assert sorted(r.line for r in lines.collect()) == sorted([1, 2, 3] * 40)
+    objects, _ = base.read_objects(spark, path, ".*", "s")
+    assert "FileScan text" not in objects._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sessions_of_a_task_run_over_its_batches(spark):
+    """Each key's rows come together and in order, also across batches, and all tasks take part."""
+    rows = spark.range(3000).selectExpr("case when id % 7 = 0 then null else concat('s', id % 70) end as s", "3000 - id as n", "cast(id as string) as t")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = base.per_session(rows, ["n"], lambda key, group: [(key, len(group), group == sorted(group))], "s string, size int, ordered boolean")
+        assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+        got = {r.s: (r.size, r.ordered) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {r.s: r["count"] for r in rows.groupBy("s").count().collect()}
+    assert {k: n for k, (n, _) in got.items()} == want and all(o for _, o in got.values())
