@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import drop_kept, id_last, join_hot, keep, kept_count, table, with_text_columns
+from scrollmill.llm.common import drop_kept, free_shuffles, id_last, join_hot, keep, kept_count, table, with_text_columns
 from scrollmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -337,6 +337,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     neighbours in a bucket (`near_pairs`); then, as long as that links anything, the text with most links of each spot is compared with all that
     are not connected with it (`ask_hubs`); then all other pairs that may be links and are not connected yet (`ask_rest`). Texts of the same words are one.
     """
+    spark, start = docs.sparkSession, kept_count()
     rows = docs.select(*row_columns(docs), F.col("text").alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
     added = "fp long, prints array<int>, mins array<long>, n int, bits array<long>, first array<long>"
@@ -344,6 +345,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     prints = keep(best_rows(marked), "best_rows")
     same = ["prints", "mins", "n", "bits", "first"]
     texts = keep(marked.groupBy("fp").agg(F.first(F.struct(*same)).alias("x")).select("fp", "x.*"), "texts")
+    drop_kept(start, ("best_rows", "texts"))
     sizes = texts.select("fp", "n", "bits")
 
     def sets_of(pairs):
@@ -359,15 +361,18 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     spots = keep(texts.join(nodes, "fp").select("fp", spot).select("fp", F.xxhash64("t", "own").alias("spot")).distinct(), "spots")
     roots = keep(components(links), "roots")
     while True:
+        free_shuffles(spark)
         asked, spots = ask_hubs(spots, links, roots)
         found = keep(similar(possible(asked, sizes).join(pairs, ["a", "b"], "left_anti"), sets), "found")
         if found.isEmpty():
             break
         links = links.unionByName(found)
         roots = keep(components(links), "roots")
+    drop_kept(start, ("best_rows", "texts", "near", "found", "roots"))
     held, hubs = texts.select("fp", F.explode("first").alias("h")), HUBS
     rest = keep(held.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1").select("h", "fp"), "rest")
     while True:
+        free_shuffles(spark)
         before = kept_count()
         if (live := live_rows(rest, roots)).isEmpty():
             return survivors(docs, prints, roots)

@@ -196,3 +196,15 @@ def test_first_shingles_and_parities_of_sets(spark):
         assert set(sh.first_shingles(x, common, counts)) & set(sh.first_shingles(y, common, counts))
         apart = sum(bin((a ^ b) % 2**64).count("1") for a, b in zip(sh.parity(x), sh.parity(y)))
         assert apart <= gone and len(sh.first_shingles(x, common, counts)) == n - -(-n * 4 // 5) + 1
+
+
+def test_tables_go_when_they_are_done(spark):
+    """Near-dedup deletes the tables of its first rounds before the exact ones begin."""
+    from scrollmill.llm import common
+
+    start = common.kept_count()
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 30 + i])) for i in range(4)], "doc_id long, text string")
+    assert simhash.drop_near_copies(docs).count() >= 1
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._kept[start:]}
+    assert not left & {"marked", "sets", "pairs", "neighbours", "spots", "placed", "apart"}
