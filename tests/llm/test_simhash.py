@@ -205,6 +205,6 @@ def test_tables_go_when_they_are_done(spark):
     start = common.kept_count()
     words = [f"w{i}" for i in range(40)]
     docs = spark.createDataFrame([(i, " ".join(words[: 30 + i])) for i in range(4)], "doc_id long, text string")
-    assert simhash.drop_near_copies(docs).count() >= 1
+    assert sh.drop_near_copies(docs).count() >= 1
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._kept[start:]}
     assert not left & {"marked", "sets", "pairs", "neighbours", "spots", "placed", "apart"}
