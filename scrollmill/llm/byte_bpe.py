@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import gc
+import sys
+from array import array
 from functools import cache, partial
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scrollmill.llm.common import table, with_text_columns
 
 #: Steps of the deterministic transducer that a worker keeps (some 500 bytes each), pairs of tokens that it has tried, and words whose tokens it remembers.
-MOST_STEPS, MOST_PAIRS, MOST_WORDS = 200_000, 300_000, 150_000
+MOST_STEPS, MOST_PAIRS, MOST_WORDS = 200_000, 300_000, 100_000
 #: Where up to so many tokens go on from what is read, those that may follow stand for the last token, so more states are alike.
 FEW = 32
 #: Longer words are not remembered; longer texts are split into words one by one.
@@ -199,7 +201,7 @@ def chunks(ids, spelled: dict[int, bytes]):
     """Bytes of the ids, cut between code points; the last chunk may end inside one."""
     rest = b""
     for a in range(0, len(ids), FLUSH):
-        data = rest + b"".join([spelled[i] for i in ids[a : a + FLUSH]])
+        data = rest + b"".join(map(spelled.__getitem__, ids[a : a + FLUSH]))
         still = open_bytes(data)
         data, rest = data[: len(data) - still], data[len(data) - still :]
         yield data
@@ -226,25 +228,49 @@ def spelling(path: str) -> dict[int, bytes]:
     return {i: t for t, i in read_ranks(path).items()}
 
 
-def _encoder(path: str, pattern: str):
+class Known(dict):
+    """Packed ids of strings (some 200 bytes each), made by `make` when first asked for. Of two generations the older goes when the younger is full, so strings that recur stay."""
+
+    def __init__(self, make, most: int = MOST_WORDS):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (packed := self.older.get(key)) is None:
+            packed = self.make(key)
+        if len(key) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = packed
+        return packed
+
+
+@cache
+def coder(path: str, pattern: str):
+    """A function from a text to its packed ids; what it remembers is for all tasks of a worker."""
     import regex
 
     own, split = transducer(path), regex.compile(pattern)
-    known: dict[str, list[int]] = {}
-
-    def one(text):
-        ids: list[int] = []
-        for word in split.findall(text) if len(text) < LONG_TEXT else (m.group() for m in split.finditer(text)):
-            tokens = known.get(word)
-            if tokens is None:
-                tokens = []
-                own.word(word.encode("utf-8", "surrogatepass"), tokens.extend)
-                if len(word) <= LONG_WORD:
-                    if len(known) >= MOST_WORDS:
-                        known.clear()
-                    known[word] = tokens
-            ids += tokens
-        return np.array(ids, "<u4").tobytes()
+
+    def word(text: str) -> bytes:
+        tokens: list[int] = []
+        own.word(text.encode("utf-8", "surrogatepass"), tokens.extend)
+        packed = array("I", tokens)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    words = Known(word)
+
+    def by_words(text: str) -> bytes:
+        return b"".join(map(words.__getitem__, split.findall(text) if len(text) < LONG_TEXT else (m.group() for m in split.finditer(text))))
+
+    return by_words
+
+
+def _encoder(path: str, pattern: str):
+    one = coder(path, pattern)
 
     def many(texts):
         gc.disable()  # of the many small tuples none is in a cycle

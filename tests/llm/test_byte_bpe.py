@@ -74,3 +74,25 @@ def test_digests_of_the_query(spark, sf_dir, plain):
         ids = plain.encode_ordinary(r.text or "")
         want[r.doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
     assert {r.doc_id: tuple(r)[1:] for r in bpe.op12_byte_bpe(spark, sf_dir).collect()} == want
+
+
+def test_words_are_remembered_across_tasks(plain):
+    """What a worker coded once it does not code again in its next task; words that recur stay when the table is full."""
+    first, second = (bpe._encoder(PATH, public_tokenizers.PATTERN) for _ in range(2))
+    text = "alphabetagamma deltaepsilon zzqzz"
+    want = np.array(plain.encode_ordinary(text), "<u4").tobytes()
+    assert first([text, None]) == [[want, b""]]
+    calls, own = [], bpe.transducer(PATH)
+    own.word, word = lambda w, put: (calls.append(w), word(w, put)), own.word
+    try:
+        assert second([text]) == [[want]] and calls == []
+    finally:
+        del own.word
+    made: list[str] = []
+    known = bpe.Known(lambda w: made.append(w) or w.encode(), most=3)
+    for w in "abacadaeafaga":
+        assert known[w] == w.encode()
+        assert len(known) <= 3 and len(known.older) <= 3
+    assert made == list("abcdefg")
+    known["x" * (bpe.LONG_WORD + 1)]
+    assert "x" * (bpe.LONG_WORD + 1) not in known
