@@ -38,6 +38,8 @@ NEAR_SHINGLE, NEAR, TABLES, BITS, NEIGHBOURS = 5, (4, 5), 6, 10, 1
 SAME = 4
 #: Texts that the order of shingles is learned from, shingles placed last by it, and texts of a shingle that the first exact round compares with all others of it.
 SAMPLE, COMMON, HUBS = 100_000, 200_000, 16
+#: Most classes of hashes of a text's wide parity.
+WIDEST = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -183,6 +185,13 @@ def parity(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def wide_parity(hashes: np.ndarray) -> list[int]:
+    """The same for as many classes as a set of that size needs to be told from others: a power of two, at least twice its hashes, up to WIDEST."""
+    classes = min(WIDEST, max(256, 1 << (2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _marks(order):
     """`order`: a broadcast (common, counts)."""
 
@@ -192,11 +201,11 @@ def _marks(order):
         def one(text):
             words = split_words(text)
             if not words:
-                return 0, [], [], 0, [0] * 4, []
+                return 0, [], [], 0, [0] * 4, [0] * 4, []
             found, fp = shingles(words), int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).view(np.int64))
-            return fp, word_prints(words), least(found), len(found), parity(found), first_shingles(found, common, counts)
+            return fp, word_prints(words), least(found), len(found), parity(found), wide_parity(found), first_shingles(found, common, counts)
 
-        return lambda texts: list(zip(*map(one, texts))) or [[]] * 6
+        return lambda texts: list(zip(*map(one, texts))) or [[]] * 7
 
     return make
 
@@ -317,6 +326,18 @@ def possible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(fits("a_", "b_")).select("a", "b")
 
 
+def telling(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the wide parities (fp, n, wide) do not rule out: the longer one is folded to the shorter one's classes.
+
+    Of long sets the 256 classes say little, and their whole sets are what takes disk; of these a pair costs a thirtieth.
+    """
+    side = lambda c: wide.select(F.col("fp").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide"))
+    few = "least(size(a_wide), size(b_wide))"
+    fold = lambda c: f"aggregate(sequence(i, size({c}_wide) - 1, {few}), 0L, (x, j) -> x ^ {c}_wide[j])"
+    apart = f"aggregate(sequence(0, {few} - 1), 0, (s, i) -> s + bit_count({fold('a')} ^ {fold('b')}))"
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.expr(f"{apart} * {NEAR[0] + NEAR[1]} <= a_n + b_n")).select("a", "b")
+
+
 def ask_rest(live: DataFrame, sizes: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to compare of rows (h, fp, root), and the (h, fp) that the next round looks at.
 
@@ -340,13 +361,13 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     spark, start = docs.sparkSession, kept_count()
     rows = docs.select(*row_columns(docs), F.col("text").alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
-    added = "fp long, prints array<int>, mins array<long>, n int, bits array<long>, first array<long>"
+    added = "fp long, prints array<int>, mins array<long>, n int, bits array<long>, wide array<long>, first array<long>"
     marked = keep(with_text_columns(rows, "text", added, _marks(order)).drop("text"), "marked")
     prints = keep(best_rows(marked), "best_rows")
-    same = ["prints", "mins", "n", "bits", "first"]
+    same = ["prints", "mins", "n", "bits", "wide", "first"]
     texts = keep(marked.groupBy("fp").agg(F.first(F.struct(*same)).alias("x")).select("fp", "x.*"), "texts")
     drop_kept(start, ("best_rows", "texts"))
-    sizes = texts.select("fp", "n", "bits")
+    sizes, wide = texts.select("fp", "n", "bits"), texts.select("fp", "n", "wide")
 
     def sets_of(pairs):
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -354,7 +375,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         held = rows.select("key", "text").join(wanted, "key").dropDuplicates(["fp"])
         return keep(with_text_columns(held, "text", "s array<long>", _shingle_lists).select("fp", "s"), "sets"), nodes
 
-    pairs = keep(possible(near_pairs(texts), sizes), "pairs")
+    pairs = keep(telling(possible(near_pairs(texts), sizes), wide), "pairs")
     sets, nodes = sets_of(pairs)
     links = keep(similar(pairs, sets), "near")
     spot = F.posexplode("mins").alias("t", "own")
@@ -363,7 +384,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     while True:
         free_shuffles(spark)
         asked, spots = ask_hubs(spots, links, roots)
-        found = keep(similar(possible(asked, sizes).join(pairs, ["a", "b"], "left_anti"), sets), "found")
+        found = keep(similar(telling(possible(asked, sizes), wide).join(pairs, ["a", "b"], "left_anti"), sets), "found")
         if found.isEmpty():
             break
         links = links.unionByName(found)
@@ -377,7 +398,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         if (live := live_rows(rest, roots)).isEmpty():
             return survivors(docs, prints, roots)
         asked, rest = ask_rest(live, sizes, hubs)
-        asked, rest = keep(asked, "asked"), keep(rest, "rest")
+        asked, rest = keep(telling(asked, wide), "asked"), keep(rest, "rest")
         found = keep(similar(asked, sets_of(asked)[0]), "found")
         if not found.isEmpty():
             links = links.unionByName(found)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from scrollmill.llm import simhash as sh
@@ -208,3 +209,21 @@ def test_tables_go_when_they_are_done(spark):
     assert sh.drop_near_copies(docs).count() >= 1
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._kept[start:]}
     assert not left & {"marked", "sets", "pairs", "neighbours", "spots", "placed", "apart"}
+
+
+def test_wide_parities_tell_long_sets_apart(spark):
+    """Sets of some thousand hashes, which 256 classes cannot tell apart: those under 0.8 by far go before their hashes meet, those of 0.8 and more never do."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**64, 40_000, np.uint64))
+    shown = rng.permutation(base)
+    sets = {1: shown[:4000], 2: shown[2000:6000], 3: shown[400:4000], 4: shown[:5000], 5: shown[:3999], 6: shown[:300], 7: shown[:240], 8: shown[30_000:34_000]}
+    sets = {k: np.sort(v) for k, v in sets.items()}
+    rows = [(k, len(v), sh.parity(v), sh.wide_parity(v)) for k, v in sets.items()]
+    texts = spark.createDataFrame(rows, "fp long, n int, bits array<long>, wide array<long>")
+    every = [(a, b) for a in sets for b in sets if a < b]
+    pairs = sh.possible(spark.createDataFrame(every, "a long, b long"), texts.select("fp", "n", "bits"))
+    told = {tuple(r) for r in sh.telling(pairs, texts.select("fp", "n", "wide")).collect()}
+    alike = {(a, b) for a, b in every if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert (1, 4) in alike and (6, 7) in alike and alike <= told <= {tuple(r) for r in pairs.collect()}
+    assert {(1, 2), (1, 8)} <= {tuple(r) for r in pairs.collect()} and not {(1, 2), (1, 8)} & told
+    assert len(sh.wide_parity(base)) * 64 == 1 << 17 and sh.wide_parity(np.zeros(0, np.uint64)) == [0] * 4
