@@ -196,8 +196,8 @@ def import_pi(spark, sf_dir):
     return shown(pi.read(spark, render_pi(spark, sf_dir)))
 
 
-def render_grok(spark, sf_dir) -> tuple[str, str]:
-    """Texts in two chunks, thoughts between, and a prompt that is rewound."""
+def render_grok(spark, sf_dir, summaries: bool = True) -> str:
+    """Texts in two chunks, thoughts between, and a prompt that is rewound; summaries only where they are read, since each is a file."""
     half = F.floor(F.length("text") / 2).cast("int")
     kind = F.when(F.col("role") == "user", "user_message_chunk").otherwise("agent_message_chunk")
     users = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(Window.partitionBy("session").orderBy("turn"))
@@ -216,6 +216,8 @@ def render_grok(spark, sf_dir) -> tuple[str, str]:
         rows = part if rows is None else rows.union(part)
     root = scratch(spark, "grok")
     put_lines(rows, f"{root}/updates", per_session=True)
+    if not summaries:
+        return root
     summary = turns(spark, sf_dir).filter("turn = 0").select("session", F.lit(0).alias("at"), js(info=F.struct(F.col("session").alias("id")), current_model_id="model-x").alias("value"))
     put_lines(summary, f"{root}/summary", per_session=True)
     return root

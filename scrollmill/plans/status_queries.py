@@ -40,7 +40,7 @@ def grok_hidden(spark, sf_dir):
     """Sessions whose summary says hidden, or names a subagent and does not say shown, are left out."""
     kind = F.when(F.col("conv_id") % 6 == 4, "subagent_task").when(F.col("conv_id") % 6 == 3, "subagent_shown")
     hidden = F.when(F.col("conv_id") % 6 == 5, True).when(F.col("conv_id") % 6 == 3, False)
-    root = render_grok(spark, sf_dir)
+    root = render_grok(spark, sf_dir, summaries=False)
     summary = turns(spark, sf_dir).filter("turn = 0").select("session", F.lit(0).alias("at"), js(info=F.struct(F.col("session").alias("id")), hidden=hidden, session_kind=kind).alias("value"))
     side = put_lines(summary, f"{scratch(spark, 'hidden')}/summary", per_session=True)
     return grok_build.read(spark, f"{root}/updates", side).conversations.select(F.col("upstream_id").alias("session"))

@@ -124,3 +124,14 @@ def test_workspaces_beside_sessions(spark, tmp_path):
     (other / "updates.jsonl").write_text('{"kind":"something else"}\n')
     found = grok_build.read(spark, f"file://{tmp_path}").conversations.collect()
     assert sorted((r.metadata["sourcePath"].split("/")[-2], r.metadata.get("workspaceDirectory")) for r in found) == [("one", "/work/one"), ("two", None)]
+
+
+def test_hidden_sessions_are_found_without_unread_summaries(spark, sf_dir, monkeypatch):
+    """`grok_hidden` writes two files a session: its log and the summary that it reads."""
+    from scrollmill.plans import import_queries, status_queries
+
+    put, written = import_queries.put_lines, []
+    for module in (import_queries, status_queries):
+        monkeypatch.setattr(module, "put_lines", lambda rows, path, **more: written.append(path.rsplit("/", 1)[1]) or put(rows, path, **more))
+    status_queries.grok_hidden(spark, sf_dir)
+    assert sorted(written) == ["summary", "updates"]
