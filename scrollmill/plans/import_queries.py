@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +35,39 @@ def put_lines(rows: DataFrame, path: str, per_session: bool = False) -> str:
 
 
 def put_files(spark: SparkSession, rows: DataFrame, path: str, *folders: str) -> None:
-    """One file per session, since at most one task holds it; all cores write."""
-    dealt = rows.repartition(max(8, spark.sparkContext.defaultParallelism), "session").sortWithinPartitions("session", "at")
-    dealt.drop("at").write.partitionBy(*folders).text(path)
+    """One file per session, since at most one task holds it; all cores write.
+
+    In a local folder the tasks write the files themselves: without Hadoop's native code its local file system starts a process for each file, checksum and folder to set their modes.
+    """
+    dealt = rows.repartition(max(8, spark.sparkContext.defaultParallelism), "session").sortWithinPartitions("session", "at").select(*folders, "value")
+    if re.match("file:|/", path):
+        root = "/" + path.removeprefix("file:").lstrip("/")
+        dealt.mapInArrow(lambda batches: local_files(batches, root, folders), "files long").agg(F.sum("files")).collect()
+    else:
+        dealt.write.partitionBy(*folders).text(path)
+
+
+def local_files(batches, root: str, folders: tuple[str, ...]):
+    """Write (*folders, value) rows, sorted by folders, as Spark's text writer does, a file in each folder; a file gets its name when it is whole."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    name, private = f"part-{task.partitionId():05d}.txt", f".part-{task.taskAttemptId()}"
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+    n = 0
+    for n, (keys, group) in enumerate(groupby(rows, key=lambda r: [k or None for k in r[:-1]]), 1):
+        folder = os.path.join(root, *[f"{f}={partition_name(k)}" for f, k in zip(folders, keys)])
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/{private}", "w", encoding="utf-8", newline="") as out:
+            out.writelines(f"{r[-1] or ''}\n" for r in group)
+        os.replace(f"{folder}/{private}", f"{folder}/{name}")
+    yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+
+def partition_name(value: str | None) -> str:
+    """A value as the name of its partition folder."""
+    return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
 
 
 def lines(spark: SparkSession, sf_dir: str, *kinds) -> DataFrame:
