@@ -35,6 +35,11 @@ def trimmed(text) -> Column:
     return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
 
 
+def filled(text) -> Column:
+    """Whether anything is left of a trimmed text; looks no further than its first sign."""
+    return col(text).rlike(r"(?U)\S")
+
+
 def collapsed(text) -> Column:
     return trimmed(F.regexp_replace(col(text), SPACES, " "))
 

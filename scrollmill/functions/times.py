@@ -30,7 +30,8 @@ def iso_date(number, text, fallback=EPOCH) -> Column:
     Dates are ISO forms; free forms such as "May 3 2026" give the fallback.
     """
     text = col(text)
-    numeric = F.when(F.length(text) >= 10, text.try_cast("double"))
+    # A failed cast costs an exception, and dates are nearly all of what comes.
+    numeric = F.when((F.length(text) >= 10) & ~text.rlike(r"^\d{4}-\d\d-\d\d"), text.try_cast("double"))
     parsed = F.try_to_timestamp(F.trim(text))
     return F.coalesce(from_millis(col(number).cast("double")), from_millis(numeric), iso(parsed), F.lit(fallback))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrollmill.functions.ids import col
-from scrollmill.functions.text import trimmed
+from scrollmill.functions.text import filled, trimmed
 
 
 def parse(text) -> Column:
@@ -31,13 +31,13 @@ def string(v, *paths: str) -> Column:
     found = []
     for path in paths or ("$",):
         text = F.try_variant_get(col(v), path, "string")
-        found.append(F.when((kind(get(v, path)) == "STRING") & (trimmed(text) != ""), text))
+        found.append(F.when((kind(get(v, path)) == "STRING") & filled(text), text))
     return F.coalesce(*found)
 
 
 def number(v, path: str = "$") -> Column:
     """A JSON number, as double."""
-    return F.when(~F.coalesce(kind(get(v, path)).isin("STRING", "BOOLEAN", "VOID"), F.lit(True)) & ~kind(get(v, path)).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(col(v), path, "double"))
+    return F.when(~F.coalesce(kind(get(v, path)).rlike("^(STRING|BOOLEAN|VOID|ARRAY|OBJECT)"), F.lit(True)), F.try_variant_get(col(v), path, "double"))
 
 
 def items(v, path: str = "$") -> Column:

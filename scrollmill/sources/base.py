@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from scrollmill.functions import variants as V
-from scrollmill.functions.text import is_title, session_title, title_from_text, trimmed
+from scrollmill.functions.text import filled, is_title, session_title, title_from_text
 from scrollmill.functions.times import EPOCH, iso_date
 from scrollmill.operators.batch import DIAGNOSTICS, MESSAGES, Batch, cut, empty, shaped
 from scrollmill.operators.windows import keep_first
@@ -99,7 +99,7 @@ def text_lines(spark: SparkSession, root: str | list[str], rule: str = ".*", sel
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
     blocks = cut(counted.select("path", "block", (before - F.col("first") + 1).alias("shift")), "blocks")
     side = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
-    kept = raw.filter(trimmed("value") != "")
+    kept = raw.filter(filled("value"))
     if select:
         kept = kept.filter(F.col("value").rlike(select))
     return kept.join(side, ["path", "block"]).select("path", (F.col("seq") + F.col("shift")).cast("int").alias("line"), "value", "modified")
@@ -172,9 +172,10 @@ def diagnostic(rows: DataFrame, source_id: str, severity: str, code: str, messag
 
 
 def record_time(v="v") -> Column:
-    """timestamp, createdAt or created_at of a record: a number is milliseconds, text a date, else the epoch."""
+    """timestamp, createdAt or created_at of a record: a number is milliseconds, text a date, else the epoch; each step is evaluated once."""
     first = F.coalesce(V.get(v, "$.timestamp"), V.get(v, "$.createdAt"), V.get(v, "$.created_at"))
-    return iso_date(V.number(first), F.when(F.length(V.string(first)) < 10, None).otherwise(F.when(~V.string(first).rlike(r"^\d+$"), V.string(first))), EPOCH)
+    told = F.transform(F.array(first), lambda x: F.struct(V.number(x).alias("n"), V.string(x).alias("s")))
+    return F.get(F.transform(told, lambda x: iso_date(x["n"], F.when((F.length(x["s"]) >= 10) & ~x["s"].rlike(r"^\d+$"), x["s"]), EPOCH)), 0)
 
 
 def json_date(v: Column, fallback=EPOCH) -> Column:

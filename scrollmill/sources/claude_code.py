@@ -40,6 +40,7 @@ def read(spark: SparkSession, root: str, history: DataFrame | str | None = None)
     role = F.when((V.string("v", "$.type") == "queue-operation") & (V.string("v", "$.operation") == "enqueue"), "user").when(named.isin(*ROLES), named).when(named == "tool_result", "tool").otherwise("unknown")
     text = F.coalesce(*[V.text_from_content("v", p) for p in ("$.message.content", "$.content", "$.text", "$.summary")])
     rows = records.select("path", "line", session.alias("conv_key"), role.alias("role"), text.alias("text"), F.coalesce(V.string("v", "$.uuid", "$.id"), F.concat(F.lit("L"), F.col("line").cast("string"))).alias("upstream_id"), S.record_time().alias("created_at"))
+    rows = S.cut(rows, "events")  # messages, sessions and diagnostics are found from one parse
     rows = rows.withColumn("ord", F.dense_rank().over(S.Window.partitionBy("conv_key").orderBy("path", "line")).cast("long"))
     messages = S.dedup(rows.filter("text is not null"))
     whole = rows.groupBy("conv_key").agg(F.min("path").alias("path"))

@@ -35,6 +35,7 @@ def read(spark: SparkSession, root: str, titles: DataFrame | str | None = None)
     text = F.coalesce(V.text_from_content("m", "$.content"), V.text_from_content("m", "$.text"), V.text_from_content("v", "$.payload.content"), V.text_from_content("v", "$.payload.text"))
     first = F.coalesce(V.string("v", "$.payload.session_id", "$.payload.id", "$.session_id", "$.sessionId"), file_stem("path"))
     rows = rows.select("path", "line", V.string("v", "$.type").alias("type"), role.alias("role"), text.alias("text"), first.alias("session"), F.coalesce(V.string("v", "$.id", "$.payload.id"), F.concat(F.lit("L"), F.col("line").cast("string"))).alias("upstream_id"), S.record_time().alias("created_at"), F.col("path").alias("conv_key"), F.col("line").cast("long").alias("ord"))
+    rows = S.cut(rows, "events")  # messages, sessions and diagnostics are found from one parse
     good = F.col("text").isNotNull() & (F.col("role") != "unknown")
     messages = S.dedup(rows.filter(good))
     whole = rows.groupBy("conv_key").agg(F.min_by("session", "line").alias("session"))

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scrollmill.functions import variants as V
-from scrollmill.functions.text import is_title, session_title, title_from_text, trimmed
+from scrollmill.functions.text import filled, is_title, session_title, title_from_text, trimmed
 from scrollmill.functions.times import iso
 from scrollmill.operators.batch import Batch
 from scrollmill.operators.windows import keep_first
@@ -30,7 +30,7 @@ def candidates(spark: SparkSession, root: str):
     raw = raw.filter(F.col("path").rlike("agent-transcripts/") & ~F.col("path").rlike("/subagents?/")).withColumn("seq", F.monotonically_increasing_id())
     by_file = S.Window.partitionBy("path")
     lines = raw.withColumn("line", F.row_number().over(by_file.orderBy("block", "seq"))).withColumn("bytes", F.sum(F.octet_length("value") + 1).over(by_file))
-    lines = lines.filter(trimmed("value") != "").withColumn("v", V.parse("value")).withColumn("last", F.max("line").over(by_file))
+    lines = lines.filter(filled("value")).withColumn("v", V.parse("value")).withColumn("last", F.max("line").over(by_file))
     bad_json = F.col("v").isNull()
     said = V.is_object("v") & F.coalesce(F.try_variant_get("v", "$.role", "string").isin("user", "assistant") & (V.kind(V.get("v", "$.role")) == "STRING"), F.lit(False))
     blocks = V.items("v", "$.message.content")
