@@ -272,18 +272,21 @@ def store_index(spark: SparkSession, path: str) -> Index:
 def merged_blocks(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
     """The index of several parts as one: no text is read again, dead rows go, and small shards are put together.
 
+    Blocks of the last part, where no row is dead, stay whole; all are shuffled once, by token and shard.
     An edge stays that of all the rows that were in its blocks, so it still bounds them; a long one becomes the one pair that is better than all.
     """
     index = index_of(spark, path, parts)
     shards = max(1, index.totals()[0] // PER_SHARD)
     rows = index.blocks.withColumn("shard", F.when(F.col("n") >= PER_SHARD // 2, F.xxhash64("shard").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)).otherwise(F.pmod(F.xxhash64("shard"), F.lit(shards))))
-    flat = rows.select("token", "shard", "edge", "part_no", F.explode("postings").alias("p")).withColumn("conversation_id", F.col("p.conversation_id"))
-    edges = rows.groupBy("token", "shard").agg(F.flatten(F.collect_set("edge")).alias("edge"))
+    last, key = F.col("part_no") == len(parts) - 1, ("token", "shard")
+    held = rows.select(*key, "edge", F.when(last, F.col("postings")).alias("postings"))
+    flat = rows.filter(~last).select(*key, "part_no", F.explode("postings").alias("p")).withColumn("conversation_id", F.col("p.conversation_id"))
+    both = held.unionByName(index.live(flat).select(*key, F.array("p").alias("postings")), allowMissingColumns=True)
+    blocks = both.groupBy(*key).agg(F.flatten(F.collect_set("edge")).alias("edge"), F.flatten(F.collect_list("postings")).alias("postings")).filter(F.size("postings") > 0)
     pair = F.array(F.struct(F.array_max(F.col("edge.tf")).alias("tf"), F.array_min(F.col("edge.dl")).alias("dl")))
-    edges = edges.withColumn("edge", F.when(F.size("edge") > 2 * EDGE, pair).otherwise(F.col("edge")))
-    blocks = index.live(flat).groupBy("token", "shard").agg(F.count("*").alias("n"), F.sum("p.dl").alias("sum_dl"), F.collect_list("p").alias("postings"))
-    out = blocks.join(edges, (blocks.token.eqNullSafe(edges.token)) & (blocks["shard"] == edges["shard"])).select(blocks.token, blocks["shard"], "n", "sum_dl", "edge", "postings")
-    return out.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard")
+    edge = F.when(F.size("edge") > 2 * EDGE, pair).otherwise(F.col("edge")).alias("edge")
+    out = blocks.select(*key, F.size("postings").cast("long").alias("n"), F.aggregate("postings.dl", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_dl"), edge, "postings")
+    return out.sortWithinPartitions(*key)
 
 
 def asked_terms(queries: DataFrame) -> list[tuple]:
